@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,41 @@ def utf8(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of text, one row at least."""
+    if not batch.num_rows:
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def distinct_pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts cut at each single space: (distinct pieces, number of each piece in order, where each text begins)."""
+    lists = pc.split_pattern(texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), first.astype(np.int64)
+
+
+def spell_out(parts: Sequence[bytes], number: np.ndarray, first: np.ndarray, kind: str) -> list[bytes]:
+    """For each text the parts with its numbers, joined; ``kind`` is the parts' item type."""
+    blob = np.frombuffer(b"".join(parts), kind)
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
+    start = np.cumsum(size) - size
+    length = size[number]
+    end = np.cumsum(length)
+    kind_of = np.int32 if len(blob) + end[-1:].sum() < 1 << 31 else np.int64
+    source = np.repeat((start[number] - (end - length)).astype(kind_of), length)
+    source += np.arange(len(source), dtype=kind_of)
+    edge = np.concatenate([[0], end])[first] * np.dtype(kind).itemsize
+    raw = blob[source].tobytes()
+    return [raw[a:b] for a, b in zip(edge.tolist(), edge[1:].tolist())]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

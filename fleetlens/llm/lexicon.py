@@ -140,7 +140,7 @@ class Merger:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.merges = {self.vocab[a] << 20 | self.vocab[b]: r << 20 | self.vocab[a + b] for r, (a, b) in enumerate(pairs)}
         letters = byte_letters()
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.suffix] for c in letters]
@@ -151,11 +151,32 @@ class Merger:
     def ids(self, word: bytes) -> list[int]:
         if not word:
             return []
-        have: list[int] = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
+        inner = self.inner
+        have = [inner[b] for b in word[:-1]]
+        have.append(self.last[word[-1]])
+        if len(have) > 64:
+            return self._long(have)
+        get, none = self.merges.get, 1 << 60
+        rank = [get(a << 20 | b, none) for a, b in zip(have, have[1:])]
+        while rank:
+            low = min(rank)
+            if low == none:
+                break
+            i = rank.index(low)
+            have[i] = new = low & 0xFFFFF
+            del have[i + 1], rank[i]
+            if i < len(rank):
+                rank[i] = get(new << 20 | have[i + 1], none)
+            if i:
+                rank[i - 1] = get(have[i - 1] << 20 | new, none)
+        return have
+
+    def _long(self, have: list[int]) -> list[int]:
+        """The same by a heap, for words whose length squared would count."""
         n = len(have)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges = self.merges
-        heap = [(m[0], i, have[i], have[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((have[i], have[i + 1])))]
+        get = self.merges.get
+        heap = [(m >> 20, i, have[i], have[i + 1], m & 0xFFFFF) for i in range(n - 1) if (m := get(have[i] << 20 | have[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, new = heapq.heappop(heap)
@@ -166,8 +187,8 @@ class Merger:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((new, have[k])):
-                    heapq.heappush(heap, (m[0], i, new, have[k], m[1]))
-            if (h := before[i]) >= 0 and (m := merges.get((have[h], new))):
-                heapq.heappush(heap, (m[0], h, have[h], new, m[1]))
+                if (m := get(new << 20 | have[k])) is not None:
+                    heapq.heappush(heap, (m >> 20, i, new, have[k], m & 0xFFFFF))
+            if (h := before[i]) >= 0 and (m := get(have[h] << 20 | new)) is not None:
+                heapq.heappush(heap, (m >> 20, h, have[h], new, m & 0xFFFFF))
         return [x for x in have if x >= 0]

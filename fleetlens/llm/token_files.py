@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import scratch_root, written
+from fleetlens.llm.common import by_bytes, distinct_pieces, scratch_root, spell_out, written
 
 #: For each control byte, the lengths of the four codes that it governs, two bits each, lowest first.
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -47,12 +48,13 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class PieceEncoder:
     """Encodes whole texts with the tokenizers library, asking it once for each distinct piece of text.
 
-    Byte-level BPE cuts a text by its public pattern before merging, so ids of a text are those of its pieces. Texts
-    are cut at single spaces, which is always such a cut, then by the pattern. Texts with a special token's string
-    or with runs of spaces take the plain ways.
+    The public pattern of byte-level BPE cuts a text before it merges, so the ids of a text are those of its pieces,
+    and a cut before a space between two other signs is always there. Distinct words are encoded many at a time, as
+    one text of words behind spaces (or line ends) that the tokens show again. Texts with a special token's string or
+    with runs of spaces take the plain ways.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -63,40 +65,99 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(pattern).findall
         self.most = most
-        self.known: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        if len(self.known_pieces) > self.most:
-            self.known_pieces.clear()
-        cut = {c: self.pieces(c) for c in chunks}
-        fresh = list({p for ps in cut.values() for p in ps} - self.known_pieces.keys())
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known_pieces[p] = np.array(e.ids, "<u2").tobytes()
-        get = self.known_pieces.__getitem__
-        for c, ps in cut.items():
-            self.known[c] = b"".join(map(get, ps))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit integers."""
-        out = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes())
+        vocabulary = self.tokenizer.get_vocab()
+        spaced = np.zeros(1 << 16, bool)  # tokens that begin with a space
+        spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
+        line = np.zeros(1 << 16, bool)
+        line[vocabulary["\u010a"]] = True
+        self.marks = {" ": spaced, "\n": line}
+        self.behind_space: dict[str, bytes] = {}  # ids of " " + word
+        self.alone: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}  # ids of pieces that the pattern cut
+
+    def _many(self, words: list[str], sign: str) -> list[bytes]:
+        """Ids of sign + word for words of letters alone."""
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([sign + sign.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u2")
+            edge = [*(2 * np.flatnonzero(self.marks[sign][ids])).tolist(), 2 * len(ids)]
+            if len(edge) != len(group) + 1:
+                raise RuntimeError("the tokens don't show where the words begin")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(edge, edge[1:])]
+        return out
+
+    def _plain(self, pieces: list[str]) -> bytes:
+        raw = self.raw
+        if fresh := list({p for p in pieces if p not in raw}):
+            for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+                raw[p] = np.array(e.ids, "<u2").tobytes()
+        return b"".join([raw[p] for p in pieces])
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Ids of " " + x for every x."""
+        known, alone = self.behind_space, self.alone
+        words, lines, later, cut = set(), set(), [], {}
+        for x in fresh:
+            if x.isalpha():
+                words.add(x)
                 continue
-            head, *rest = text.split(" ")
-            chunks = [head, *(" " + x for x in rest)]
-            if not head or " " in chunks:
-                chunks = self.pieces(text)
-            try:
-                out.append(b"".join([self.known[c] for c in chunks]))
-            except KeyError:
-                self._learn({c for c in chunks if c not in self.known})
-                if not all(c in self.known for c in chunks):
-                    self._learn(set(chunks))
-                out.append(b"".join([self.known[c] for c in chunks]))
+            core, mark = (x[:-1], x[-1]) if x[-1] in ".,;:!?|" else (x, "")
+            if core.isalpha():
+                later.append((x, core, mark, "", ""))
+                if core not in known:
+                    words.add(core)
+                continue
+            head, end, tail = x.partition("\n")
+            core, mark = (head[:-1], head[-1]) if head and head[-1] in ".,;:!?|" else (head, "")
+            if core.isalpha() and tail.isalpha():
+                later.append((x, core, mark, end, tail))
+                if core not in known:
+                    words.add(core)
+                if tail not in alone:
+                    lines.add(tail)
+            else:
+                cut[x] = self.pieces(" " + x)
+        order = list(words)
+        known.update(zip(order, self._many(order, " ")))
+        order = list(lines)
+        alone.update(zip(order, [x[2:] for x in self._many(order, "\n")]))  # without the line end's own id
+        signs = {m: self._plain([m]) if m else b"" for m in {m for _, _, m, end, _ in later for m in (m, end)}}
+        for x, core, mark, end, tail in later:
+            ids = known[core] + signs[mark]
+            known[x] = ids + signs[end] + alone[tail] if tail else ids
+        self._plain([p for pieces in cut.values() for p in pieces])
+        raw = self.raw
+        for x, pieces in cut.items():
+            known[x] = b"".join([raw[p] for p in pieces])
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian 16-bit integers."""
+        for memory in (self.behind_space, self.alone, self.raw):
+            if len(memory) > self.most:
+                memory.clear()
+        known = self.behind_space
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, "")))
+        marked = pc.match_substring(texts, self.special[0]) if self.special else pc.equal(texts, None)
+        for s in self.special[1:]:
+            marked = pc.or_(marked, pc.match_substring(texts, s))
+        out = [b""] * len(texts)
+        odd, marked = (x.to_numpy(zero_copy_only=False).astype(bool) for x in (odd, pc.fill_null(marked, False)))
+        for i in np.flatnonzero(odd | marked).tolist():
+            text = texts[i].as_py()
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes() if marked[i] else self._plain(self.pieces(text))
+        plain = np.flatnonzero(~(odd | marked))
+        if len(plain):
+            words, number, first = distinct_pieces(texts.take(pa.array(plain)))
+            head = number[first[:-1]]
+            number = number.copy()
+            number[first[:-1]] = len(words) + np.arange(len(plain))
+            self._learn({w for w in words if w not in known})
+            parts = [known[w] for w in words] + [self._plain(self.pieces(words[i])) for i in head.tolist()]
+            for i, ids in zip(plain.tolist(), spell_out(parts, number, first, "<u2")):
+                out[i] = ids
         return out
 
 
@@ -107,9 +168,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(tokenizer, pattern)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                ids = encoder.encode([x or "" for x in part.column(1).to_pylist()])
+            for part in by_bytes(b, 1, 16 << 20):
+                ids = encoder.encode(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + tail for x in ids], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import held_out, training_rows, utf8, words_of, written
+from fleetlens.llm.common import by_bytes, distinct_pieces, held_out, training_rows, utf8, words_of, written
 
 # Letters that a written sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz"}
@@ -96,7 +96,7 @@ def viterbi(steps: list[list[tuple[str, float]]], model: LetterModel) -> str:
 class Restorer:
     """Words of a text after undoing leetspeak, spacing and repetition; clean tokens have one reading and stay."""
 
-    def __init__(self, model: LetterModel, most: int = 300_000, piece: int = 64):
+    def __init__(self, model: LetterModel, most: int = 700_000, piece: int = 64):
         self.model, self.most, self.piece = model, most, piece
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -127,6 +127,20 @@ class Restorer:
             out.update(self.token(m.group()))
         return out
 
+    def telling(self, texts: list[str], weights: dict[str, float]) -> list[set[str]]:
+        """The words of each text that have weights; each distinct token is restored once for all texts."""
+        low = [t.lower() for t in texts]
+        tokens, number, first = distinct_pieces(pa.array([" ".join(t.split()) for t in low], pa.string()))
+        own = [[w for w in self.token(t) if w in weights] for t in tokens]
+        out: list[set[str]] = [set() for _ in texts]
+        hits = np.flatnonzero(np.fromiter(map(bool, own), bool, len(own))[number])
+        for i, n in zip((np.searchsorted(first, hits, "right") - 1).tolist(), number[hits].tolist()):
+            out[i].update(own[n])
+        for i, t in enumerate(low):
+            for m in _spaced.finditer(t):
+                out[i].update(w for w in self.token(m.group()) if w in weights)
+        return out
+
     def text(self, text: str) -> str:
         """The restored text: disguised stretches replaced by their readings, everything else as it is."""
         joined = _spaced.sub(lambda m: viterbi(lattice(m.group().lower()), self.model).strip(), text)
@@ -185,8 +199,7 @@ class ToxicityModel:
         self.letters, self.weights, self.bias = letters, weights, bias
 
     def score(self, words: set[str]) -> float:
-        small, large = (words, self.weights) if len(words) < len(self.weights) else (self.weights, words)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + math.fsum(self.weights[w] for w in sorted(w for w in small if w in large))))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + math.fsum(self.weights[w] for w in words if w in self.weights)))))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> ToxicityModel:
@@ -246,7 +259,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(shared.value.letters)
         for b in batches:
-            score = [shared.value.score(restore.words(t or "")) for t in b.column(b.num_columns - 1).to_pylist()]
+            score = []
+            for part in by_bytes(b, b.num_columns - 1):
+                found = restore.telling([t or "" for t in part.column(b.num_columns - 1).to_pylist()], shared.value.weights)
+                score += map(shared.value.score, found)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())], schema.names)
 
     return frame.mapInArrow(run, schema)

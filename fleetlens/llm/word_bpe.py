@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 import tempfile
 import unicodedata
 import uuid
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetlens.llm.common import by_bytes, distinct_pieces, spell_out
 from fleetlens.llm.lexicon import Lexicon, Merger
 
 # Fixed values of the tokenizer file: its white space and its pattern of words.
@@ -40,27 +42,35 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
+def words_in(chunk: str) -> list[str]:
+    """The tokenizer's words of one stretch."""
+    if chunk.isalpha():
+        return [chunk]
+    if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+        return [chunk[:-1], chunk[-1]]
+    return WORD.findall(chunk)
+
+
 def frequent_words(docs: DataFrame, size: int, flush: int = 300_000) -> DataFrame:
     """(word, n): the ``size`` most frequent words of all texts, counted in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: Counter = Counter()
+        words: Counter = Counter()
 
-        def out() -> Iterator[pa.RecordBatch]:
-            words: Counter = Counter()
-            for c, n in chunks.items():
-                for w in WORD.findall(c):
-                    words[w] += n
-            chunks.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+            words.clear()
+            return batch
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    chunks.update(chunks_of(text))
-                if len(chunks) > flush:
-                    yield from out()
-        yield from out()
+            for part in by_bytes(b, 0):
+                chunks, number, _ = distinct_pieces(pa.array([" ".join(chunks_of(t)) if t else "" for t in part.column(0).to_pylist()], pa.string()))
+                for c, n in zip(chunks, np.bincount(number, minlength=len(chunks)).tolist()):
+                    for w in words_in(c):
+                        words[w] += n
+                if len(words) > flush:
+                    yield out()
+        yield out()
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
     return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
@@ -84,65 +94,50 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
 class WordEncoder:
     """Whole texts to ids: frequent words by the lexicon, all others by exact merging; repeats are remembered."""
 
-    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 400_000):
+    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 700_000):
         self.lexicon, self.merger, self.most = lexicon, merger, most
-        self.known: dict[str, bytes] = {}
-        self.rare: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of a stretch between white space
+        self.words: dict[str, bytes] = {}
         self.special = regex.compile("(" + "|".join(map(regex.escape, merger.special)) + ")") if merger.special else None
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        if len(self.rare) > self.most:
-            self.rare.clear()
-        cut = {c: WORD.findall(c) for c in chunks}
-        words = list({w for ws in cut.values() for w in ws})
-        raw = [w.encode() for w in words]
-        ids: dict[str, bytes] = {}
-        for w, r, n in zip(words, raw, self.lexicon.numbers(raw).tolist()):
-            if n >= 0:
-                ids[w] = self.lexicon.ids_of(n).astype("<u4").tobytes()
-            elif w in self.rare:
-                ids[w] = self.rare[w]
-            else:
-                ids[w] = self.rare[w] = np.array(self.merger.ids(r), "<u4").tobytes()
+        words = self.words
+        cut = {c: words_in(c) for c in chunks}
+        fresh = list({w for ws in cut.values() for w in ws if w not in words})
+        raw = [w.encode() for w in fresh]
+        for w, r, n in zip(fresh, raw, self.lexicon.numbers(raw).tolist()):
+            words[w] = self.lexicon.ids_of(n).astype("<u4").tobytes() if n >= 0 else pack_ids(self.merger.ids(r))
         for c, ws in cut.items():
-            self.known[c] = b"".join([ids[w] for w in ws])
-
-    def _plain(self, text: str) -> bytes:
-        chunks = chunks_of(text)
-        try:
-            return b"".join([self.known[c] for c in chunks])
-        except KeyError:
-            self.learn({c for c in chunks if c not in self.known})
-            if not all(c in self.known for c in chunks):
-                self.learn(set(chunks))
-            return b"".join([self.known[c] for c in chunks])
+            self.known[c] = words[c] if len(ws) == 1 and ws[0] == c else b"".join([words[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; strings of special tokens are those tokens."""
-        fresh: set[str] = set()
-        special = self.merger.special
-        out, later = [], []
-        for text in texts:
-            if any(s in text for s in special):
+        for memory in (self.known, self.words):
+            if len(memory) > self.most:
+                memory.clear()
+        special, known = self.merger.special, self.known
+        out: list[bytes] = [b""] * len(texts)
+        plain, joined = [], []
+        for i, text in enumerate(texts):
+            if any([s in text for s in special]):
                 parts = self.special.split(text)
-                out.append(b"".join(np.array([special[p]], "<u4").tobytes() if p in special else self._plain(p) for p in parts))
-                continue
-            chunks = chunks_of(text)
-            try:
-                out.append(b"".join([self.known[c] for c in chunks]))
-            except KeyError:
-                fresh.update(c for c in chunks if c not in self.known)
-                later.append((len(out), text))
-                out.append(b"")
-        if fresh:
-            self.learn(fresh)
-        for i, text in later:
-            out[i] = self._plain(text)
+                self.learn({c for p in parts if p not in special for c in chunks_of(p) if c not in known})
+                out[i] = b"".join([pack_ids([special[p]]) if p in special else b"".join([known[c] for c in chunks_of(p)]) for p in parts])
+            else:
+                plain.append(i)
+                joined.append(" ".join(chunks_of(text)))
+        if plain:
+            chunks, number, first = distinct_pieces(pa.array(joined, pa.string()))
+            self.learn({c for c in chunks if c not in known})
+            for i, ids in zip(plain, spell_out([known[c] for c in chunks], number, first, "<u4")):
+                out[i] = ids
         return out
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def decode(ids: bytes, names: list[str]) -> str:
     """The tokenizer file names no decoder, so tokens are joined by spaces, special ones included."""
     return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -164,8 +159,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, size: int = 1 << 16, carry: l
         merger = Merger(tokenizer)
         encoder = WordEncoder(Lexicon(SparkFiles.get(name)), merger)
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
+            for b in by_bytes(whole, len(carry)):
                 ids = encoder.encode([x or "" for x in b.column(len(carry)).to_pylist()])
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if digest:
