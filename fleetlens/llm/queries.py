@@ -55,7 +55,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return token_files.with_crc(token_files.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+    return token_files.round_trip(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digest=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

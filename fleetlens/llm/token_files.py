@@ -54,7 +54,7 @@ class PieceEncoder:
     with runs of spaces take the plain ways.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 700_000):
+    def __init__(self, path: str, pattern: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -161,39 +161,53 @@ class PieceEncoder:
         return out
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, ids binary): 16-bit ids of every whole text with the end id behind them. Null counts as empty."""
+_encoders: dict[tuple[str, str], PieceEncoder] = {}
+
+
+def _encoder(tokenizer: str, pattern: str) -> PieceEncoder:
+    """One encoder for each worker process: later tasks know the pieces of earlier ones."""
+    if (tokenizer, pattern) not in _encoders:
+        _encoders[tokenizer, pattern] = PieceEncoder(tokenizer, pattern)
+    return _encoders[tokenizer, pattern]
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, n_ids: int = 1 << 16) -> DataFrame:
+    """(kind, doc_id, ids binary).
+
+    Kind 0: 16-bit ids of every whole text with the end id behind them; null counts as empty. Kind 1: one row for each
+    task, how often it saw each id, as 64-bit integers.
+    """
     tail = np.array([end_id], "<u2").tobytes()
+    names = ["kind", "doc_id", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer, pattern)
+        total = np.zeros(n_ids, "<i8")
         for b in batches:
-            for part in by_bytes(b, 1, 16 << 20):
-                ids = encoder.encode(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + tail for x in ids], pa.binary())], ["doc_id", "ids"])
+            for part in by_bytes(b, 1):
+                ids = [x + tail for x in _encoder(tokenizer, pattern).encode(part.column(1))]
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=n_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), part.column(0), pa.array(ids, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, doc_id long, ids binary")
 
 
-def id_ranks(encoded: DataFrame, n_ids: int = 1 << 16) -> np.ndarray:
-    """Ids in order of falling frequency over the whole corpus (ties: smaller id); at most ``n_ids`` counts a task."""
+def id_ranks(tallies: DataFrame, n_ids: int = 1 << 16) -> np.ndarray:
+    """Ids in order of falling frequency over the whole corpus (ties: smaller id), from the rows of kind 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_ids, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=n_ids) if len(x) > n_ids else 0
-            short = b"".join(x for x in b.column(0).to_pylist() if len(x) <= n_ids)
-            total += np.bincount(np.frombuffer(short, "<u2"), minlength=n_ids)
+                total += np.frombuffer(x, "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
-    counts = encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    order = np.arange(n_ids)
+    counts = tallies.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     n = np.zeros(n_ids, np.int64)
     for i, c in counts.collect():  # a row for each token id
         n[i] = c
-    return order[np.lexsort((order, -n))]
+    return np.lexsort((np.arange(n_ids), -n))
 
 
 SEGMENT = "shard int, segment int, start long, n_docs int, n_tokens long, doc_ids binary, no_id binary, lengths binary, control binary, data binary"
@@ -237,49 +251,45 @@ def write_token_files(encoded: DataFrame, path: str, by_rank: np.ndarray, partit
     ordered.select("doc_id", "ids").mapInArrow(run, SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
-def read_token_files(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary as 32-bit integers) from the segments; start counts all tokens before."""
+def read_token_files(files: DataFrame, by_rank: np.ndarray, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) from the segments; start counts all tokens before.
+
+    ids is binary, 32-bit integers; with ``digest`` its crc32 stands in its place as ids_crc32.
+    """
     totals = dict(files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())  # a pair for each shard
     before, seen = {}, 0
     for shard in sorted(totals):
         before[shard], seen = seen, seen + totals[shard]
     table = by_rank.astype("<u4")
+    last = "ids_crc32" if digest else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids = table[unpack(r["control"], r["data"], r["n_tokens"])]
+                raw = memoryview(table[unpack(r["control"], r["data"], r["n_tokens"])]).cast("B")
                 n = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
                 end = np.cumsum(n)
                 empty = np.unpackbits(np.frombuffer(r["no_id"], np.uint8))[: len(n)].astype(bool)
-                raw = ids.tobytes()
                 cut = [raw[4 * (e - k) : 4 * e] for e, k in zip(end.tolist(), n.tolist())]
-                columns = [pa.array(np.frombuffer(r["doc_ids"], "<i8"), pa.int64(), mask=empty), pa.array(before[r["shard"]] + r["start"] + end - n), pa.array(n), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
+                ids = pa.array(list(map(zlib.crc32, cut)), pa.int64()) if digest else pa.array(list(map(bytes, cut)), pa.binary())
+                columns = [pa.array(np.frombuffer(r["doc_ids"], "<i8"), pa.int64(), mask=empty), pa.array(before[r["shard"]] + r["start"] + end - n), pa.array(n), ids]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", last])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} " + ("long" if digest else "binary"))
 
 
-def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, as read back from token files in the shared folder.
+def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids or ids_crc32) of every document, as read back from token files in the shared folder.
 
     Null and empty texts hold the end id alone; repeated rows are written each; a null doc_id comes first; further
     columns are ignored; an empty table gives an empty file set and no rows.
     """
     spark = docs.sparkSession
-    encoded = written(encode_documents(docs, tokenizer, pattern, end_id), "ids")
-    by_rank = id_ranks(encoded)
-    path = f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(encoded, path, by_rank, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return read_token_files(spark.read.schema(SEGMENT).parquet(path), by_rank)
-
-
-def with_crc(tokens: DataFrame) -> DataFrame:
-    """The digest columns: crc32 of each document's ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = pa.array([zlib.crc32(x) for x in b.column(3).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    root = scratch_root(spark)
+    encoded = f"{root}/ids-{uuid.uuid4().hex}"
+    encode_documents(docs, tokenizer, pattern, end_id).write.option("compression", "zstd").partitionBy("kind").parquet(encoded)
+    both = spark.read.schema("doc_id long, ids binary, kind int").parquet(encoded)
+    by_rank = id_ranks(both.where("kind = 1"))
+    path = f"{root}/tokens-{uuid.uuid4().hex}"
+    write_token_files(both.where("kind = 0"), path, by_rank, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read_token_files(spark.read.schema(SEGMENT).parquet(path), by_rank, digest)
