@@ -94,7 +94,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
 class WordEncoder:
     """Whole texts to ids: frequent words by the lexicon, all others by exact merging; repeats are remembered."""
 
-    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 700_000):
+    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 500_000):
         self.lexicon, self.merger, self.most = lexicon, merger, most
         self.known: dict[str, bytes] = {}  # ids of a stretch between white space
         self.words: dict[str, bytes] = {}
@@ -134,6 +134,17 @@ class WordEncoder:
         return out
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def _encoder(name: str, tokenizer: str) -> WordEncoder:
+    """One encoder for each worker process: later tasks know the words of earlier ones."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = WordEncoder(Lexicon(SparkFiles.get(name)), Merger(tokenizer))
+    return _encoders[name]
+
+
 def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -156,8 +167,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, size: int = 1 << 16, carry: l
     schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(n, t) for n, t in kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(tokenizer)
-        encoder = WordEncoder(Lexicon(SparkFiles.get(name)), merger)
+        encoder = _encoder(name, tokenizer)
+        merger = encoder.merger
         for whole in batches:
             for b in by_bytes(whole, len(carry)):
                 ids = encoder.encode([x or "" for x in b.column(len(carry)).to_pylist()])
