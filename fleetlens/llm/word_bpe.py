@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import by_bytes, distinct_pieces, spell_out
+from fleetlens.llm.common import by_bytes, distinct_pieces, spell_out, written
 from fleetlens.llm.lexicon import Lexicon, Merger
 
 # Fixed values of the tokenizer file: its white space and its pattern of words.
@@ -52,7 +52,10 @@ def words_in(chunk: str) -> list[str]:
 
 
 def frequent_words(docs: DataFrame, size: int, flush: int = 300_000) -> DataFrame:
-    """(word, n): the ``size`` most frequent words of all texts, counted in tasks before the shuffle."""
+    """(word, n): the most frequent words of all texts, ``size`` at most; ties are in or out together.
+
+    Words are counted in tasks before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -73,7 +76,14 @@ def frequent_words(docs: DataFrame, size: int, flush: int = 300_000) -> DataFram
         yield out()
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
-    return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    counts = written(counts.groupBy("word").agg(F.sum("n").alias("n")), "words").withColumn("step", F.floor(8 * F.log2("n")).cast("int"))
+    # Steps of the logarithm: some hundreds of totals tell from which count on ``size`` words are enough.
+    least, held = 1 << 30, 0
+    for step, n in sorted(counts.groupBy("step").agg(F.count("*")).collect(), reverse=True):
+        if held + n > size:
+            break
+        least, held = step, held + n
+    return counts.where(F.col("step") >= least).select("word", "n")
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
