@@ -68,43 +68,45 @@ class FactorisationMachine:
         return float(self.bias + self.w[index] @ value + 0.5 * (total @ total - (xv * xv).sum()))
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rank: int = RANK, steps: int = 60, rate: float = 0.05, decay: float = 2e-4, seed: int = 6) -> FactorisationMachine:
-        """Logistic loss over all rows by Adam. Without rows of both kinds: the share of ones (one half without rows)."""
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rank: int = RANK, epochs: int = 8, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 6) -> FactorisationMachine:
+        """Logistic loss by Adagrad over small batches, so that memory is bounded by a batch.
+
+        Without rows of both kinds: the share of ones (one half without rows).
+        """
         dice = np.random.default_rng(seed)
-        w, v = np.zeros(DIMENSIONS), dice.normal(0, 0.01, (DIMENSIONS, rank))
         share = (y.sum() + 0.5) / (len(y) + 1)
         bias = math.log(share / (1 - share))
+        theta = np.zeros((DIMENSIONS, rank + 1))  # w, then v
         if len(y) == 0 or y.min() == y.max():
-            return cls(bias, w, np.zeros_like(v))
-        count = np.array([len(i) for i, _ in rows])
-        start = np.cumsum(count) - count
-        index, x = np.concatenate([i for i, _ in rows]), np.concatenate([v_ for _, v_ in rows])
-        row = np.repeat(np.arange(len(rows)), count)
-        by = np.argsort(index, kind="stable")
-        used, first = np.unique(index[by], return_index=True)
-        theta = np.concatenate([w[used][:, None], v[used]], axis=1)
-        place = np.searchsorted(used, index)
-        mean, square = np.zeros_like(theta), np.zeros_like(theta)
-        row_by, x_by = row[by], x[by]
-        mb = sb = 0.0
-        for t in range(1, steps + 1):
-            xt = theta[place] * x[:, None]
-            sums = np.add.reduceat(xt, start)
-            pairs = 0.5 * ((sums[:, 1:] ** 2).sum(1) - np.add.reduceat((xt[:, 1:] ** 2).sum(1), start))
-            error = 1 / (1 + np.exp(-np.clip(bias + sums[:, 0] + pairs, -30, 30))) - y
-            pull = (error[row_by] * x_by)[:, None]
-            inner = np.concatenate([np.ones((len(by), 1)), sums[row_by, 1:] - xt[by, 1:]], axis=1)
-            grad = np.add.reduceat(pull * inner, first) / len(y) + decay * theta
-            mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
-            theta -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
-            g = error.mean()
-            mb, sb = 0.9 * mb + 0.1 * g, 0.99 * sb + 0.01 * g * g
-            bias -= rate * (mb / (1 - 0.9**t)) / (math.sqrt(sb / (1 - 0.99**t)) + 1e-6)
-        w[used], v[used] = theta[:, 0], theta[:, 1:]
-        unseen = np.ones(DIMENSIONS, bool)
-        unseen[used] = False
-        v[unseen] = 0
-        return cls(bias, w, v)
+            return cls(bias, theta[:, 0], theta[:, 1:])
+        theta[:, 1:] = dice.normal(0, 0.02, (DIMENSIONS, rank))
+        square, square_bias = np.full_like(theta, 1e-4), 1e-4
+        met = np.zeros(DIMENSIONS, bool)
+        for _ in range(epochs):
+            order = dice.permutation(len(rows))
+            for at in range(0, len(order), batch):
+                own = order[at : at + batch]
+                count = np.array([len(rows[i][0]) for i in own])
+                start = np.cumsum(count) - count
+                index, x = np.concatenate([rows[i][0] for i in own]), np.concatenate([rows[i][1] for i in own])[:, None]
+                xt = theta[index] * x
+                sums = np.add.reduceat(xt, start)
+                pairs = 0.5 * ((sums[:, 1:] ** 2).sum(1) - np.add.reduceat((xt[:, 1:] ** 2).sum(1), start))
+                error = (1 / (1 + np.exp(-np.clip(bias + sums[:, 0] + pairs, -30, 30))) - y[own]) / len(own)
+                inner = np.repeat(sums, count, axis=0) - xt
+                inner[:, 0] = 1
+                inner *= np.repeat(error, count)[:, None] * x
+                by = np.argsort(index, kind="stable")
+                used, first = np.unique(index[by], return_index=True)
+                met[used] = True
+                grad = np.add.reduceat(inner[by], first) + decay * theta[used]
+                square[used] += grad**2
+                theta[used] -= rate * grad / np.sqrt(square[used])
+                g = error.sum()
+                square_bias += g * g
+                bias -= rate * g / math.sqrt(square_bias)
+        theta[~met] = 0
+        return cls(bias, theta[:, 0].copy(), theta[:, 1:].copy())
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> FactorisationMachine:
