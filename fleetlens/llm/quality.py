@@ -41,7 +41,7 @@ def features(text: bytes, crc: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray
     """(indices, values) of a whole text: its distinct words, hashed, with equal weights of norm 1, and one bin for each statistic."""
     words = words_of(text)
     seen = set(words)
-    if len(crc) > 500_000:
+    if len(crc) > 150_000:
         crc.clear()
     mask = (1 << WORD_BITS) - 1
     hashed = []

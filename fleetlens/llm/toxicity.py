@@ -107,7 +107,7 @@ class Restorer:
             inner = token.strip(_edge)
             if inner.isalpha() and not _suspect.search(inner):
                 got = (inner,)
-            elif not _suspect.search(inner):
+            elif not _suspect.search(inner) and not _spaced.fullmatch(token):
                 got = tuple(words_text(inner))
             else:
                 read: list[str] = []

@@ -104,7 +104,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
 class WordEncoder:
     """Whole texts to ids: frequent words by the lexicon, all others by exact merging; repeats are remembered."""
 
-    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 500_000):
+    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 100_000):
         self.lexicon, self.merger, self.most = lexicon, merger, most
         self.known: dict[str, bytes] = {}  # ids of a stretch between white space
         self.words: dict[str, bytes] = {}
@@ -180,7 +180,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, size: int = 1 << 16, carry: l
         encoder = _encoder(name, tokenizer)
         merger = encoder.merger
         for whole in batches:
-            for b in by_bytes(whole, len(carry)):
+            for b in by_bytes(whole, len(carry), 4 << 20):
                 ids = encoder.encode([x or "" for x in b.column(len(carry)).to_pylist()])
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if digest:
@@ -188,5 +188,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, size: int = 1 << 16, carry: l
                 else:
                     more = [pa.array(ids, pa.binary()), pa.array([decode(x, merger.names) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], n, *more], schema.names)
+        for memory in (encoder.known, encoder.words):  # an idle worker holds no more than the automaton and the merges
+            memory.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
