@@ -67,7 +67,7 @@ class TrainingShard:
         known = np.flatnonzero(ids)
         starts = _among(padded[known], test.single) | ((padded[known + 1] > 0) & _among(padded[known] * test.base + padded[known + 1], test.double))
         self.start = known[starts]
-        rows = padded[self.start[:, None] + np.arange(test.window)]
+        rows = padded.astype(np.int32)[self.start[:, None] + np.arange(test.window)]
         rows[np.logical_or.accumulate(rows == 0, axis=1)] = 0
         keys = rows.astype(">u4").view(f"S{4 * test.window}").ravel() if len(rows) else np.zeros(0, f"S{4 * test.window}")
         order = np.argsort(keys, kind="stable")
@@ -140,7 +140,7 @@ def _united(parts: list[np.ndarray]) -> int:
     return total
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = WINDOW, block_bytes: int = 4 << 20, shard_words: int = 1 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = WINDOW, block_bytes: int = 4 << 20, shard_words: int = 1 << 18) -> DataFrame:
     """Words of each document that stand inside a benchmark window, and the items they come from.
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter item. Training texts are cut into
