@@ -100,3 +100,30 @@ def trigger_events(events: DataFrame, n: int, before: str | None = None) -> Data
 def trigger_summary(events: DataFrame, key: list[str]) -> DataFrame:
     """Events by kind and outcome."""
     return events.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "ok").alias("n_ok"), F.count_if(F.col("outcome") != "ok").alias("n_failed"), F.max("ts").alias("last_at"))
+
+
+LOGS = "ts timestamp, severity string, host string, db string, user string, text string, fields map<string,string>"
+
+
+def read_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """S3: log records in JSON lines, as a table or as a stream of new files; lines that don't parse give nulls."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(LOGS).json(path)
+
+
+def commit_hot(snapshot: DataFrame, anchors: DataFrame, path: str, version: int) -> None:
+    """A snapshot and its anchors, visible together or not at all.
+
+    Both are written to the version's own folder, and the version is entered among the commits last. Repeating a version
+    writes it anew, so a retried batch is safe.
+    """
+    snapshot.write.mode("overwrite").parquet(f"{path}/snapshot/v={version}")
+    anchors.write.mode("overwrite").parquet(f"{path}/anchors/v={version}")
+    spark = snapshot.sparkSession
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/v={version}")
+
+
+def read_hot(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """The ``snapshot`` or ``anchors`` of the newest committed version."""
+    newest = spark.read.parquet(f"{path}/commits").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/{part}/v={newest}")
