@@ -80,6 +80,55 @@ VIEWS = {
     "storage_days": "select event_type as cluster, cast(ts as date) as dt, count(*) * 1000 as bytes from events group by event_type, cast(ts as date)",
     "trigger_log": "select event_id, ts, event_type as kind, mod(user_id, 10) as cluster, case when mod(event_id, 7) = 0 then 'empty' else 'ok' end as outcome from events",
     "sequences": "select p_partkey as seq_id, mod(p_partkey, 3) = 0 as is_int4, cast(floor(p_retailprice * 1000000) as bigint) as last_value, cast(2147483647 as bigint) as max_value from part",
+    # a table is a customer, a column of it a line number, an index or a foreign key an order
+    "attributes": """
+        select o_custkey as attrelid, l_linenumber as attnum, concat('c', cast(l_linenumber as varchar(2)), case when mod(sum(l_suppkey), 5) = 0 then '_id' else '' end) as attname,
+          case when mod(sum(l_partkey), 4) = 0 then 'varchar' when mod(sum(l_partkey), 4) = 1 then 'int' else 'uuid' end as type, case when mod(sum(l_suppkey), 3) = 0 then 40 else -1 end as typmod,
+          mod(sum(l_orderkey), 2) = 0 as notnull, cast(mod(sum(l_partkey), 16) as double) / 16e0 as null_frac, case when mod(sum(l_suppkey), 13) = 0 then null else 4 + mod(sum(l_partkey), 60) end as avg_width,
+          case when mod(sum(l_suppkey), 6) = 0 then null when mod(sum(l_suppkey), 6) = 1 then -1e0 when mod(sum(l_suppkey), 6) = 2 then -0.5e0 else cast(mod(sum(l_partkey), 900) as double) end as n_distinct,
+          mod(sum(l_suppkey), 7) = 0 as is_array, case when mod(sum(l_partkey), 3) = 0 then 'x' else 'p' end as storage
+        from lineitem join orders on l_orderkey = o_orderkey group by o_custkey, l_linenumber""",
+    "constraints": """
+        select o_orderkey as name, o_custkey as conrelid, cast(floor(o_custkey / 2) as bigint) as confrelid, mod(o_orderkey, 7) + 1 as k1, mod(o_orderkey, 5) + 1 as k2, mod(o_orderkey, 3) + 1 as f1, mod(o_orderkey, 3) + 4 as f2,
+          case when mod(o_orderkey, 6) = 0 then 'f' else 's' end as matchtype, o_orderstatus <> 'P' as validated, o_orderkey + mod(o_orderkey, 2) as indexrelid
+        from orders""",
+    "idx": """
+        select o_orderkey as indexrelid, o_custkey as indrelid, mod(o_orderkey, 7) + 1 as k1, mod(cast(floor(o_totalprice) as bigint), 6) + 1 as k2, case when mod(o_orderkey, 4) = 0 then 1 else 2 end as nkeyatts,
+          o_orderstatus = 'F' as is_unique, mod(o_orderkey, 11) <> 0 as valid, mod(o_orderkey, 13) <> 0 as ready, case when mod(o_orderkey, 9) = 0 then 'hash' else 'btree' end as method,
+          cast(floor(o_totalprice) as bigint) as reltuples, mod(cast(floor(o_totalprice) as bigint), 997) + 1 as relpages, cast(floor(o_totalprice) as bigint) as size_bytes,
+          concat('CREATE ', case when o_orderstatus = 'F' then 'UNIQUE ' else '' end, 'INDEX i', cast(o_orderkey as varchar(20)), ' ON t USING btree (c', cast(mod(o_orderkey, 2) as varchar(2)), case when mod(o_orderkey, 3) = 0 then ' DESC' else '' end,
+            case when mod(o_orderkey, 5) = 0 then ' NULLS LAST' else '' end, ', c', cast(mod(o_custkey, 2) as varchar(2)), ')', case when mod(o_orderkey, 8) = 0 then ' WHERE x' else '' end) as definition
+        from orders""",
+    "classes": """
+        select c_custkey as relid, c_nationkey as schema, case when mod(c_custkey, 17) = 0 then 'user' when mod(c_custkey, 17) = 1 then concat('t-', cast(c_custkey as varchar(20))) else concat('t', cast(c_custkey as varchar(20))) end as object,
+          case when mod(c_custkey, 10) = 1 then 'p' when mod(c_custkey, 10) = 2 then 'm' when mod(c_custkey, 10) = 3 then 'S' else 'r' end as relkind, case when mod(c_custkey, 9) = 0 then 'u' else 'p' end as relpersistence,
+          mod(c_custkey * 37, 5000) + 1 as relpages, mod(c_custkey * 7919, 900000) as reltuples, (mod(c_custkey * 37, 5000) + 1) * 16384 as total_bytes, mod(c_custkey, 50) as toast_pages, mod(c_custkey, 900) as toast_tuples,
+          case when mod(c_custkey, 2) = 1 then c_custkey + 1 else null end as reltoastrelid, mod(c_custkey * 7919, 2000) * 1000000 as xid_age
+        from customer""",
+    "progress": "select user_id as host, event_type as kind, mod(user_id, 7) as pid, ts, cast(round(value * 100) as bigint) as done, 100000 as total, event_id from events",
+    "clients": """
+        select o_custkey as host, o_orderkey as pid, case when o_orderpriority like '5%' then null else o_orderpriority end as database, case when o_orderstatus = 'F' then null else o_clerk end as user_name,
+          case when o_orderstatus = 'O' then 'active' when o_orderstatus = 'F' then 'idle in transaction' else 'strange' end as state, case when mod(o_orderkey, 3) = 0 then 'client backend' else 'walwriter' end as backend_type
+        from orders""",
+    "stat_db": "select c_nationkey as database, sum(case when o_orderstatus = 'F' then 1 else 0 end) as xact_commit, sum(case when o_orderstatus = 'P' then 1 else 0 end) as xact_rollback from orders join customer on o_custkey = c_custkey group by c_nationkey",
+    "settings": """
+        select host, name, max(setting) as setting, max(source) as source from (select o_custkey as host,
+          case mod(o_orderkey, 8) when 0 then 'log_min_duration_statement' when 1 then 'from_collapse_limit' when 2 then 'huge_pages' when 3 then 'wal_compression' when 4 then 'autovacuum' when 5 then 'autovacuum_naptime' when 6 then 'vacuum_cost_limit' else 'maintenance_work_mem' end as name,
+          case mod(o_orderkey, 8) when 2 then (case when o_orderstatus = 'F' then 'off' else 'on' end) when 3 then (case when o_orderstatus = 'F' then 'pglz' else 'lz4' end) when 4 then (case when o_orderstatus = 'F' then 'off' else 'on' end)
+            else cast(mod(cast(floor(o_totalprice) as bigint), 12) as varchar(20)) end as setting,
+          case when o_orderstatus = 'F' then 'default' else 'file' end as source from orders) x group by host, name""",
+    "writer": "select c_custkey as host, mod(c_custkey, 90) as req, mod(c_custkey, 50) as timed, c_custkey * 10 as maxwritten_clean, mod(c_custkey, 5) as days from customer",
+    "seqs": """
+        select p_partkey as object, mod(p_partkey, 20) as schema, cast(floor(p_retailprice * 1000000) as bigint) as last_value, 1 as start, case when mod(p_partkey, 3) = 0 then 9223372036854775807 else 2147483647 end as max_value, 1 as min_value,
+          1 as increment, mod(p_partkey, 11) = 0 as cycle, mod(p_partkey, 13) <> 0 as last_value_known, case when mod(p_partkey, 3) = 0 then 'integer' else 'bigint' end as owned_column_type
+        from part""",
+    # a statement's usages are an order's lines, its table the customer
+    "usages": """
+        select l_orderkey as fingerprint, o_custkey as relid, l_linenumber as seq, concat('c', cast(mod(l_partkey, 7) + 1 as varchar(2))) as col, case l_returnflag when 'R' then 'equality' when 'A' then 'range' else (case when mod(l_suppkey, 3) = 0 then 'is_null' when mod(l_suppkey, 3) = 1 then 'order' else 'equality' end) end as role
+        from lineitem join orders on l_orderkey = o_orderkey""",
+    "load": "select l_orderkey as fingerprint, sum(cast(round(l_extendedprice * 100) as bigint)) as exec_ms, count(*) as calls from lineitem group by l_orderkey",
+    "triggers": "select event_id, user_id as instance, ts, event_type as kind from events",
+    "metrics": "select event_type as instance, 'statements_calls' as metric, 'all' as label, user_id as series, ts, cast(round(value * 100) as double) as value, event_id from events",
 }
 
 NEEDS = {"raw": ["raw_counts"]}

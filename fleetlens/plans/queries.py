@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.graph import lock_tree, root_of
 from fleetlens.operators import health, indexes, logs, series, workload
 from fleetlens.plans.bindings import bind, with_views
+from fleetlens.plans.registry import QUERIES, SQL, query
 from fleetlens.sources import snapshots
 from fleetlens.streaming import triggers
 
 METRICS = ["calls", "exec_ms", "n_rows", "wal_bytes"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
 
 _S = ", ".join(f"sum({m}) as {m}" for m in METRICS)
 _P = ", ".join(f"100.0::double * {m} / nullif(sum({m}) over (partition by database), 0) as {m}_pct, 100.0::double * {m} / nullif(sum({m}) over (), 0) as {m}_total_pct" for m in METRICS)
@@ -309,3 +294,6 @@ def h16(spark, d):
 @query("h22_fleet_rank")
 def h22(spark, d):
     return health.fleet_rank(h14(spark, d), 20)
+
+
+from fleetlens.plans import catalog_queries, fleet_queries  # noqa: E402,F401  (they register themselves)
