@@ -157,7 +157,8 @@ def weights(candidates: DataFrame, workload: DataFrame, key: list[str]) -> DataF
     total = workload.groupBy(*key).agg(F.sum("exec_ms").alias("_all"))
     per = candidates.select(*key, "relid", "predicate", "columns", F.explode("fingerprints").alias("fingerprint")).join(workload.select(*key, "fingerprint", "exec_ms", "calls"), [*key, "fingerprint"])
     sums = per.groupBy(*key, "relid", "predicate", "columns").agg(F.sum("exec_ms").alias("_ms"), F.sum("calls").alias("calls"))
-    rows = candidates.join(sums, [*key, "relid", "predicate", "columns"], "left").join(total, key, "left")
+    rows = candidates.join(sums, [*key, "relid", "predicate", "columns"], "left")
+    rows = rows.join(total, key, "left") if key else rows.withColumn("_all", total.select("_all").scalar())
     return rows.withColumn("weight_pct", F.when(F.col("_all") > 0, 100.0 * F.coalesce("_ms", F.lit(0)) / F.col("_all")).otherwise(0.0)).drop("_ms", "_all")
 
 

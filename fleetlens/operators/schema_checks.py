@@ -47,7 +47,7 @@ def headroom(sequences: DataFrame) -> DataFrame:
 def sequence_exhaustion(sequences: DataFrame, key: list[str], bounds: tuple[float, float, float] = (5, 10, 20)) -> DataFrame:
     """L1: sequences with little headroom; one level worse where a 4-byte column owns it. Hidden values are skips, not findings."""
     rank = F.when(F.col("free_pct") < bounds[0], 0).when(F.col("free_pct") < bounds[1], 1).when(F.col("free_pct") < bounds[2], 2)
-    rank = F.when(F.col("owned_column_type") == "integer", F.greatest(rank - 1, F.lit(0))).otherwise(rank)
+    rank = F.when(rank.isNotNull() & (F.col("owned_column_type") == "integer"), F.greatest(rank - 1, F.lit(0))).otherwise(rank)
     rows = headroom(sequences).where("last_value_known").withColumn("_rank", rank).where("_rank is not null")
     return _finding(rows, key, "sequence_exhaustion", F.element_at(F.array(*map(F.lit, LEVELS)), F.col("_rank") + 1), used_pct=100 - F.col("free_pct"))
 
@@ -160,4 +160,4 @@ def order_findings(findings: DataFrame) -> DataFrame:
 
 def lint_summary(findings: DataFrame, key: list[str]) -> DataFrame:
     """Findings by level for each key, zeros included."""
-    return findings.groupBy(*key).pivot("level", LEVELS).agg(F.count("*")).fillna(0, LEVELS)
+    return findings.groupBy(*key).pivot("level", LEVELS).agg(F.count(F.lit(1))).fillna(0, LEVELS)

@@ -107,7 +107,7 @@ VIEWS = {
         from customer""",
     "progress": "select user_id as host, event_type as kind, mod(user_id, 7) as pid, ts, cast(round(value * 100) as bigint) as done, 100000 as total, event_id from events",
     "clients": """
-        select o_custkey as host, o_orderkey as pid, case when o_orderpriority like '5%' then null else o_orderpriority end as database, case when o_orderstatus = 'F' then null else o_clerk end as user_name,
+        select o_custkey as host, o_orderkey as pid, case when o_orderpriority like '5%' then null else o_orderpriority end as database, case when o_orderstatus = 'F' then null else concat('u', cast(mod(o_orderkey, 5) as varchar(2))) end as user_name,
           case when o_orderstatus = 'O' then 'active' when o_orderstatus = 'F' then 'idle in transaction' else 'strange' end as state, case when mod(o_orderkey, 3) = 0 then 'client backend' else 'walwriter' end as backend_type
         from orders""",
     "stat_db": "select c_nationkey as database, sum(case when o_orderstatus = 'F' then 1 else 0 end) as xact_commit, sum(case when o_orderstatus = 'P' then 1 else 0 end) as xact_rollback from orders join customer on o_custkey = c_custkey group by c_nationkey",
@@ -119,7 +119,7 @@ VIEWS = {
           case when o_orderstatus = 'F' then 'default' else 'file' end as source from orders) x group by host, name""",
     "writer": "select c_custkey as host, mod(c_custkey, 90) as req, mod(c_custkey, 50) as timed, c_custkey * 10 as maxwritten_clean, mod(c_custkey, 5) as days from customer",
     "seqs": """
-        select p_partkey as object, mod(p_partkey, 20) as schema, cast(floor(p_retailprice * 1000000) as bigint) as last_value, 1 as start, case when mod(p_partkey, 3) = 0 then 9223372036854775807 else 2147483647 end as max_value, 1 as min_value,
+        select p_partkey as object, mod(p_partkey, 20) as schema, cast(floor(p_retailprice * 100000) as bigint) * (mod(p_partkey, 15) + 8) as last_value, 1 as start, case when mod(p_partkey, 3) = 0 then 9223372036854775807 else 2147483647 end as max_value, 1 as min_value,
           1 as increment, mod(p_partkey, 11) = 0 as cycle, mod(p_partkey, 13) <> 0 as last_value_known, case when mod(p_partkey, 3) = 0 then 'integer' else 'bigint' end as owned_column_type
         from part""",
     # a statement's usages are an order's lines, its table the customer

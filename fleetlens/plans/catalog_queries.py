@@ -200,13 +200,13 @@ def l24(spark, d):
 
 
 @query("l2_relation_keys", with_views("classes idx attributes", """
-  select schema, object, case when s is not null then 'no_primary_key' else 'no_unique_key' end as code, not s as unique_nullable from classes left join
+  select schema, object, case when s is not null then 'no_primary_key' else 'no_unique_key' end as code, coalesce(not s, false) as unique_nullable from classes left join
     (select indrelid, bool_or(strict) as s, bool_or(prim) as p from (select i.indexrelid, i.indrelid, mod(i.indexrelid, 4) = 1 as prim, bool_and(coalesce(a.notnull, false)) as strict
       from (select *, k1 as k from idx union all select *, k2 from idx where nkeyatts = 2) i left join attributes a on a.attrelid = i.indrelid and a.attnum = i.k where is_unique and valid and mod(i.indexrelid, 6) <> 0 group by 1, 2, 3) group by 1) on indrelid = relid
   where relkind in ('r', 'p') and (p is null or not p)"""))
 def l2(spark, d):
     rows = _indexes(spark, d).withColumns({"predicate": F.expr("case when mod(indexrelid, 6) = 0 then 'x' end"), "primary": F.expr("mod(indexrelid, 4) = 1")})
-    return schema_checks.relation_keys(bind(spark, d, "classes"), rows, bind(spark, d, "attributes"), NO_KEY).select("schema", "object", "code", "unique_nullable")
+    return schema_checks.relation_keys(bind(spark, d, "classes"), rows, bind(spark, d, "attributes"), NO_KEY).select("schema", "object", "code", F.coalesce("unique_nullable", F.lit(False)).alias("unique_nullable"))
 
 
 @query("l5_unlogged", with_views("classes", "select schema, object, case relkind when 'S' then 'unlogged_sequence' else 'unlogged_relation' end as code from classes where relpersistence = 'u'"))
@@ -219,14 +219,14 @@ def l7(spark, d):
     return schema_checks.uuid_like(bind(spark, d, "classes"), bind(spark, d, "attributes"), NO_KEY).select("schema", "object", "within")
 
 
-@query("l8_without_fk", with_views("classes constraints", "select schema, object, code from (select schema, object, 'relation_without_fk' as code, relid from classes where relkind in ('r', 'p')) c where not exists (select 1 from constraints f where f.conrelid = c.relid) and not exists (select 1 from constraints f where f.confrelid = c.relid)"))
+@query("l8_without_fk", with_views("classes constraints", "select schema, object, code from (select schema, object, 'relation_without_fk' as code, relid from classes where relkind in ('r', 'p')) c where not exists (select 1 from constraints f where not validated and f.conrelid = c.relid) and not exists (select 1 from constraints f where not validated and f.confrelid = c.relid)"))
 def l8(spark, d):
-    return schema_checks.without_fk(bind(spark, d, "classes"), _constraints(spark, d), NO_KEY).select("schema", "object", "code")
+    return schema_checks.without_fk(bind(spark, d, "classes"), _constraints(spark, d).where("not validated"), NO_KEY).select("schema", "object", "code")
 
 
-@query("l9_without_columns", with_views("classes attributes", "select schema, object, 'relation_without_columns' as code from classes c where relkind in ('r', 'p') and not exists (select 1 from attributes a where a.attrelid = c.relid)"))
+@query("l9_without_columns", with_views("classes attributes", "select schema, object, 'relation_without_columns' as code from classes c where relkind in ('r', 'p') and not exists (select 1 from attributes a where is_array and a.attrelid = c.relid)"))
 def l9(spark, d):
-    return schema_checks.without_columns(bind(spark, d, "classes"), bind(spark, d, "attributes"), NO_KEY).select("schema", "object", "code")
+    return schema_checks.without_columns(bind(spark, d, "classes"), bind(spark, d, "attributes").where("is_array"), NO_KEY).select("schema", "object", "code")
 
 
 @query("l10_unsafe_names", with_views("classes", "select schema, object, case when object = 'user' then 'reserved_word_in_name' else 'unsafe_chars_in_name' end as code from classes where object = 'user' or regexp_matches(object, '[^A-Za-z0-9_]')"))
@@ -261,7 +261,7 @@ def _usages(spark, d):
 
 
 def _named(role: str) -> str:
-    return f"coalesce(string_agg(col, ',' order by s) filter (role = '{role}'), '')"
+    return f"coalesce(string_agg(col, ',' order by s, col) filter (role = '{role}'), '')"
 
 
 _ROLES = f"select fingerprint, relid, {_named('equality')} as equality, {_named('range')} as ranges, {_named('is_null')} as nulls, {_named('order')} as ordering from (select fingerprint, relid, role, col, min(seq) as s from usages group by all) group by all"
@@ -286,17 +286,20 @@ def _drafts(spark, d):
     return advisor.draft_keys(advisor.with_column_facts(roles, _relations(spark, d), _columns(spark, d), NO_KEY))
 
 
-@query("v7_draft_keys", with_views("usages classes attributes", f"""
+_KEYS = """
   , r as (select fingerprint, relid, role, col, min(seq) as s from usages group by all),
   e as (select r.*, a.attnum is not null as known, a.is_array, a.n_distinct as nd, case when a.n_distinct < 0 then -a.n_distinct * c.reltuples else a.n_distinct end as dist, bool_or(role = 'range') over w as ranged, min(case when role = 'range' then s end) over w as r0,
     bool_or(role = 'equality' and a.n_distinct is null) over w as missing from r left join attributes a on a.attrelid = r.relid and concat('c', a.attnum) = r.col left join classes c on c.relid = r.relid window w as (partition by fingerprint, r.relid)),
   o as (select *, case role when 'equality' then 0 else 1 end as g, case when role = 'equality' and not missing then -dist end as g2 from e where role = 'equality' or (role = 'range' and s = r0) or (role = 'order' and not ranged)),
-  u as (select * from o qualify row_number() over (partition by fingerprint, relid, col order by g, g2, s) = 1), k as (select * from u where known and not is_array),
-  n as (select *, row_number() over w as i, coalesce(sum(case when g = 0 and nd <= -1 then 1 else 0 end) over (partition by fingerprint, relid order by g, g2, s rows between unbounded preceding and 1 preceding), 0) as stop from k window w as (partition by fingerprint, relid order by g, g2, s))
-  select fingerprint, f.relid, case when c.relid is null then 'unknown_relation' when reltuples < 10000 then 'table_too_small' when cols is null and arr then 'unsupported_type' when cols is null and wants > 0 then 'unknown_column' when cols is null then 'no_indexable_predicate' end as reason, coalesce(cols, '') as columns
+  u as (select * from o qualify row_number() over (partition by fingerprint, relid, col order by g, g2, s, col) = 1), k as (select * from u where known and not is_array),
+  n as (select *, row_number() over w as i, coalesce(sum(case when g = 0 and nd <= -1 then 1 else 0 end) over (partition by fingerprint, relid order by g, g2, s, col rows between unbounded preceding and 1 preceding), 0) as stop from k window w as (partition by fingerprint, relid order by g, g2, s, col))"""
+_DRAFTS = """select fingerprint, f.relid, case when c.relid is null then 'unknown_relation' when reltuples < 10000 then 'table_too_small' when cols is null and arr then 'unsupported_type' when cols is null and wants > 0 then 'unknown_column' when cols is null then 'no_indexable_predicate' end as reason, coalesce(cols, '') as columns
   from (select distinct fingerprint, relid from usages) f left join classes c using (relid)
   left join (select fingerprint, relid, string_agg(col, ',' order by i) as cols from n where stop = 0 and i <= 3 group by all) using (fingerprint, relid)
-  left join (select fingerprint, relid, count(*) as wants, bool_or(is_array) as arr from u group by all) using (fingerprint, relid)"""))
+  left join (select fingerprint, relid, count(*) as wants, bool_or(is_array) as arr from u group by all) using (fingerprint, relid)"""
+
+
+@query("v7_draft_keys", with_views("usages classes attributes", _KEYS + " " + _DRAFTS))
 def v7(spark, d):
     return _drafts(spark, d).select("fingerprint", "relid", "reason", F.array_join("columns", ",").alias("columns"))
 
@@ -316,6 +319,6 @@ def v12(spark, d):
     return advisor.rank_candidates(rows, ["relid"], 5).select("relid", "predicate", F.array_join("columns", ",").alias("columns"), F.size("fingerprints").alias("statements"), "calls", "weight_pct", F.array_join("warnings", ",").alias("warnings"), "rn")
 
 
-@query("v14_not_analysed")
+@query("v14_not_analysed", with_views("usages classes attributes", f"{_KEYS} select reason, count(distinct fingerprint) as n from ({_DRAFTS}) where reason is not null group by reason"))
 def v14(spark, d):
     return advisor.not_analysed(_drafts(spark, d), NO_KEY)

@@ -64,11 +64,11 @@ def k1(spark, d):
 
 @query("k4_epoch_ok", with_views("samples", """
   select s.user_id, coalesce(a.r is not distinct from s.r and a.user_id is not null, false) as complete from (select user_id, case when mod(user_id, 3) = 0 then null else max(day) end as r from samples group by 1) s
-  left join (select user_id, case when mod(user_id, 3) = 0 then null else max(day) filter (mod(extract(day from day), 2) = 0) end as r from samples where mod(user_id, 7) <> 0 group by 1) a on a.user_id = s.user_id"""))
+  left join (select user_id, case when mod(user_id, 3) = 0 then null else max(day) filter (mod(extract(day from day), 2) = 0) end as r from samples where reads > 3 group by 1) a on a.user_id = s.user_id"""))
 def k4(spark, d):
     rows = bind(spark, d, "samples")
     reset = lambda c: F.when(F.col("user_id") % 3 == 0, None).otherwise(F.max(c)).alias("stats_reset")
-    anchors = rows.where("mod(user_id, 7) <> 0").groupBy("user_id").agg(reset(F.when(F.day("day") % 2 == 0, F.col("day"))))
+    anchors = rows.where("reads > 3").groupBy("user_id").agg(reset(F.when(F.day("day") % 2 == 0, F.col("day"))))
     return hot.epoch_ok(anchors, rows.groupBy("user_id").agg(reset("day")), ["user_id"])
 
 
@@ -83,8 +83,8 @@ def _histograms(spark, d):
   q as (select class, q::double as q, value from (select class, value::double as value, row_number() over (partition by class order by value) as r, count(*) over (partition by class) as n from t) join (select unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]) as q) on r = greatest(1, ceil(q * n - 1e-9))),
   l as (select class, 0::double as q, 0::double as value from (select distinct class from t) union all select * from q union all select class, 1::double, m from (select class, max(value)::double as m from t group by 1) x where m > (select max(value) from q where q.class = x.class)),
   s as (select class, q as p0, value as v0, lead(q) over w as p1, lead(value) over w as v1 from l window w as (partition by class order by q))
-  select o.class, object, cast(o.value as bigint) as value, case when o.value <= 0 then 0 else coalesce(max(p0 + (p1 - p0) * (o.value - v0) / (v1 - v0)) filter (v1 > o.value and v0 <= o.value and v1 > v0), max(p0)) end as percentile
-  from objects o join s on s.class = o.class group by o.class, object, o.value"""))
+  select o.class, object, cast(o.value as bigint) as value, case when o.value <= 0 then 0 else coalesce(max(p0 + (p1 - p0) * (o.value - v0) / (v1 - v0)) filter (v1 > o.value and v0 <= o.value and v1 > v0), max(p0), 0) end as percentile
+  from objects o left join s on s.class = o.class group by o.class, object, o.value"""))
 def k10(spark, d):
     return hot.project_percentile(bind(spark, d, "objects"), _histograms(spark, d), ["class"])
 
@@ -103,7 +103,7 @@ def k11(spark, d):
 
 
 @query("x1_derive_signals", with_views("metrics", """
-  select instance, ts, signal, value from (select instance, to_timestamp(floor(epoch(ts) / 86400) * 86400)::timestamp as ts, sum(value) as value, 'grown' as signal from (
+  select instance, ts, signal, value from (select instance, to_timestamp(floor(epoch(ts) / 86400) * 86400)::timestamp as ts, coalesce(sum(value), 0) as value, 'grown' as signal from (
     select instance, series, ts, case when lag(value) over w is null then null when value < lag(value) over w then value else value - lag(value) over w end as value from metrics window w as (partition by instance, series order by ts)) group by 1, 2) where value is not null"""))
 def x1(spark, d):
     rows = bind(spark, d, "metrics")
@@ -153,11 +153,11 @@ def z5(spark, d):
 
 
 @query("z7_lock_peak", with_views("roles", """
-  select e.event_type as instance, e.event_id, max(b.event_id) as lock_peak from (select *, lead(ts) over (partition by event_type order by ts) as nxt from events where mod(event_id, 50) = 0) e
-  left join events b on b.event_type = e.event_type and b.ts >= e.ts and (e.nxt is null or b.ts < e.nxt) and b.ts <= e.ts + interval 2 hours group by all"""))
+  select e.user_id as instance, e.event_id, max(b.event_id) as lock_peak from (select *, lead(ts) over (partition by user_id order by ts) as nxt from events where event_type = 'error') e
+  left join events b on b.user_id = e.user_id and b.ts >= e.ts and (e.nxt is null or b.ts < e.nxt) and b.ts <= e.ts + interval 2 hours group by all"""))
 def z7(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("instance"), F.col("ts").cast("timestamp").alias("ts"))
-    spikes = rows.where("mod(event_id, 50) = 0").select("instance", "event_id", F.col("ts").alias("onset_ts"), F.expr("ts + interval 2 hours").alias("at_ts"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("user_id").alias("instance"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    spikes = rows.where("event_type = 'error'").select("instance", "event_id", F.col("ts").alias("onset_ts"), F.expr("ts + interval 2 hours").alias("at_ts"))
     return incidents.lock_peak(spikes, rows.select(F.col("event_id").alias("probe_id"), "instance", "ts", F.col("event_id").alias("blocked")), ["instance"]).select("instance", "event_id", "lock_peak")
 
 
@@ -190,7 +190,7 @@ def t4(spark, d):
     return indexes.hit_rate(bind(spark, d, "stat_indexes"), ["index_id"], "idx_blks_hit", "idx_blks_read")
 
 
-@query("w9_scope_report", with_views("statements", "select queryid, database, cast(sum(calls) as bigint) as calls, 100.0::double * sum(calls) / sum(sum(calls)) over () as calls_share from statements group by 1, 2 qualify database = 7").replace("over ()", "over (partition by database)"))
+@query("w9_scope_report", with_views("statements", "select queryid, database, cast(sum(calls) as bigint) as calls, 100.0::double * sum(calls) / sum(sum(calls)) over () as calls_share from statements group by 1, 2 qualify database < 12").replace("over ()", "over (partition by database)"))
 def w9(spark, d):
     report = workload.contribution_report(bind(spark, d, "statements"), ["calls"], ["database"])
-    return workload.scope_report(report, ["calls"], F.col("database") == 7)
+    return workload.scope_report(report, ["calls"], F.col("database") < 12)
