@@ -288,9 +288,9 @@ def _drafts(spark, d):
 
 _KEYS = """
   , r as (select fingerprint, relid, role, col, min(seq) as s from usages group by all),
-  e as (select r.*, a.attnum is not null as known, a.is_array, a.n_distinct as nd, case when a.n_distinct < 0 then -a.n_distinct * c.reltuples else a.n_distinct end as dist, bool_or(role = 'range') over w as ranged, min(case when role = 'range' then s end) over w as r0,
+  e as (select r.*, a.attnum is not null as known, a.is_array, a.n_distinct as nd, case when a.n_distinct < 0 then -a.n_distinct * c.reltuples else a.n_distinct end as dist, bool_or(role = 'range') over w as ranged, row_number() over (partition by fingerprint, r.relid, role order by s, col) as rr,
     bool_or(role = 'equality' and a.n_distinct is null) over w as missing from r left join attributes a on a.attrelid = r.relid and concat('c', a.attnum) = r.col left join classes c on c.relid = r.relid window w as (partition by fingerprint, r.relid)),
-  o as (select *, case role when 'equality' then 0 else 1 end as g, case when role = 'equality' and not missing then -dist end as g2 from e where role = 'equality' or (role = 'range' and s = r0) or (role = 'order' and not ranged)),
+  o as (select *, case role when 'equality' then 0 else 1 end as g, case when role = 'equality' and not missing then -dist end as g2 from e where role = 'equality' or (role = 'range' and rr = 1) or (role = 'order' and not ranged)),
   u as (select * from o qualify row_number() over (partition by fingerprint, relid, col order by g, g2, s, col) = 1), k as (select * from u where known and not is_array),
   n as (select *, row_number() over w as i, coalesce(sum(case when g = 0 and nd <= -1 then 1 else 0 end) over (partition by fingerprint, relid order by g, g2, s, col rows between unbounded preceding and 1 preceding), 0) as stop from k window w as (partition by fingerprint, relid order by g, g2, s, col))"""
 _DRAFTS = """select fingerprint, f.relid, case when c.relid is null then 'unknown_relation' when reltuples < 10000 then 'table_too_small' when cols is null and arr then 'unsupported_type' when cols is null and wants > 0 then 'unknown_column' when cols is null then 'no_indexable_predicate' end as reason, coalesce(cols, '') as columns
