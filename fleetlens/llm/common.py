@@ -41,6 +41,21 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterato
         at = end
 
 
+def joined(batches: Iterator[pa.RecordBatch], column: int, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until they hold about ``most`` bytes of text; what is shared within one is done once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        n = pc.sum(pc.binary_length(b.column(column))).as_py() or 0
+        if held and size + n > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def distinct_pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts cut at each single space: (distinct pieces, number of each piece in order, where each text begins)."""
     lists = pc.split_pattern(texts, " ")

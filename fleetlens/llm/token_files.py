@@ -10,11 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import by_bytes, distinct_pieces, scratch_root, spell_out, written
+from fleetlens.llm.common import by_bytes, distinct_pieces, joined, scratch_root, spell_out, written
 
 #: For each control byte, the lengths of the four codes that it governs, two bits each, lowest first.
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -45,6 +44,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: Hardly a value of these files occurs twice, so a dictionary of values would be work for nothing.
+UNIQUE = {"compression": "zstd", "parquet.enable.dictionary": "false"}
+
+
 class PieceEncoder:
     """Encodes whole texts with the tokenizers library, asking it once for each distinct piece of text.
 
@@ -54,7 +57,7 @@ class PieceEncoder:
     with runs of spaces take the plain ways.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 500_000):
+    def __init__(self, path: str, pattern: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -134,8 +137,10 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
-        for memory in (self.behind_space, self.alone, self.raw):
-            if len(memory) > self.most:
+        if len(self.behind_space) > self.most:  # what is put together from words is cheap, so it goes first
+            self.behind_space = {x: ids for x, ids in self.behind_space.items() if x.isalpha()}
+        for memory, most in ((self.behind_space, self.most * 3 // 4), (self.alone, self.most // 4), (self.raw, self.most // 4)):
+            if len(memory) > most:
                 memory.clear()
         known = self.behind_space
         texts = pc.fill_null(texts, "")
@@ -171,25 +176,34 @@ def _encoder(tokenizer: str, pattern: str) -> PieceEncoder:
     return _encoders[tokenizer, pattern]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, n_ids: int = 1 << 16) -> DataFrame:
-    """(kind, doc_id, ids binary).
+def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
+    """Ids at which the document ids fall into ``shards`` ranges of about equal counts; only the ids are read."""
+    probs = [i / shards for i in range(1, shards)]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", probs, 0.25 / shards) if probs else []
+    return np.unique(np.array(found or [], np.float64))
+
 
-    Kind 0: 16-bit ids of every whole text with the end id behind them; null counts as empty. Kind 1: one row for each
-    task, how often it saw each id, as 64-bit integers.
+def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, bounds: np.ndarray, end_id: int = 0, n_ids: int = 1 << 16) -> DataFrame:
+    """(kind, shard, doc_id, ids binary).
+
+    Kind 0: 16-bit ids of every whole text with the end id behind them; null counts as empty; the shard is the range of
+    ``bounds`` that the doc_id lies in (null: the first). Kind 1: one row for each task, how often it saw each id, as
+    64-bit integers.
     """
     tail = np.array([end_id], "<u2").tobytes()
-    names = ["kind", "doc_id", "ids"]
+    names = ["kind", "shard", "doc_id", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_ids, "<i8")
-        for b in batches:
-            for part in by_bytes(b, 1):
+        for b in joined(batches, 1):
+            for part in by_bytes(b, 1, 16 << 20):
                 ids = [x + tail for x in _encoder(tokenizer, pattern).encode(part.column(1))]
                 total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=n_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), part.column(0), pa.array(ids, pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
+                at = np.searchsorted(bounds, part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(at), part.column(0), pa.array(ids, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([None], pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, shard int, doc_id long, ids binary")
 
 
 def id_ranks(tallies: DataFrame, n_ids: int = 1 << 16) -> np.ndarray:
@@ -216,14 +230,14 @@ SEGMENT = "shard int, segment int, start long, n_docs int, n_tokens long, doc_id
 def write_token_files(encoded: DataFrame, path: str, by_rank: np.ndarray, partitions: int, segment_tokens: int = 1 << 19) -> None:
     """Write ids in ascending doc_id order (null first, ties by ids) as segments of about ``segment_tokens`` tokens.
 
-    A shard is one range of doc_ids. A segment holds the documents' ids and lengths, then the ranks of their tokens:
+    A shard is one range of doc_ids, known from the encoding, so no pass over the ids is needed to find the ranges. A segment holds the documents' ids and lengths, then the ranks of their tokens:
     control bytes and data bytes apart. ``start`` counts the shard's tokens before the segment.
     """
     rank_of = np.empty(len(by_rank), np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        shard = 0
         ids: list[int | None] = []
         tokens: list[bytes] = []
         held, number, start = 0, 0, 0
@@ -236,6 +250,7 @@ def write_token_files(encoded: DataFrame, path: str, by_rank: np.ndarray, partit
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in SEGMENT.split(", ")])
 
         for b in batches:
+            shard = b.column(2)[0].as_py() if b.num_rows else shard
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
                 tokens.append(x)
@@ -246,9 +261,9 @@ def write_token_files(encoded: DataFrame, path: str, by_rank: np.ndarray, partit
         if ids:
             yield segment()
 
-    ordered = encoded.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = encoded.repartitionById(partitions, F.col("shard")).sortWithinPartitions("doc_id", "ids")
     # Data bytes are codes already; a general compressor would gain little.
-    ordered.select("doc_id", "ids").mapInArrow(run, SEGMENT).write.option("compression", "zstd").parquet(path)
+    ordered.select("doc_id", "ids", "shard").mapInArrow(run, SEGMENT).write.options(**UNIQUE).parquet(path)
 
 
 def read_token_files(files: DataFrame, by_rank: np.ndarray, digest: bool = False) -> DataFrame:
@@ -287,9 +302,10 @@ def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, d
     spark = docs.sparkSession
     root = scratch_root(spark)
     encoded = f"{root}/ids-{uuid.uuid4().hex}"
-    encode_documents(docs, tokenizer, pattern, end_id).write.option("compression", "zstd").partitionBy("kind").parquet(encoded)
-    both = spark.read.schema("doc_id long, ids binary, kind int").parquet(encoded)
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encode_documents(docs, tokenizer, pattern, shard_bounds(docs, shards), end_id).write.options(**UNIQUE).partitionBy("kind").parquet(encoded)
+    both = spark.read.schema("shard int, doc_id long, ids binary, kind int").parquet(encoded)
     by_rank = id_ranks(both.where("kind = 1"))
     path = f"{root}/tokens-{uuid.uuid4().hex}"
-    write_token_files(both.where("kind = 0"), path, by_rank, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_token_files(both.where("kind = 0"), path, by_rank, shards)
     return read_token_files(spark.read.schema(SEGMENT).parquet(path), by_rank, digest)
