@@ -103,7 +103,7 @@ def health_score(raw: DataFrame, key: list[str], weights: dict[str, float] | Non
     scores = category_rows(adjust(penalties(raw)), key, weights).groupBy(*key).agg(F.sum(F.round(F.col("penalty") * F.col("weight"), 9).cast("decimal(20,9)")).cast("double").alias("lost"))
     primary = ~F.col("in_recovery")
     critical = (F.col("checksum_failures") > 0) | (_c("disk_used") >= 0.9) | (primary & ((_c("xid_age") >= 1.6e9) | F.col("autovacuum_off") | F.col("track_counts_off")))
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.col("lost"))), 1)
+    score = F.round(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.col("lost"))), 6), 1)  # first to 6 places, so that halves round up whatever the last bits
     return raw.select(*key, critical.alias("critical")).join(scores, key).select(*key, "critical", F.when(F.col("critical"), F.least(score, F.lit(30.0))).otherwise(score).alias("score"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import health, health_inputs, hot, indexes, series, signals, workload
 from fleetlens.plans.bindings import bind, with_views
-from fleetlens.plans.registry import query
+from fleetlens.plans.registry import SQL, query
 from fleetlens.sources import snapshots
 from fleetlens.streaming import incidents, triggers
 
@@ -34,7 +34,41 @@ def h17(spark, d):
     return health_inputs.attribute(rows).groupBy("rule", "database").agg(F.count("*").alias("n"))
 
 
-@query("h18_score_per_db")
+# the penalties of each category, as the oracle has them
+_PENALTIES = """
+  pen as (select instance, mon, in_recovery, replicas, xid_age, hot_ratio, checksum_failures, disk_used, autovacuum_off, track_counts_off, io_timing_off, latency_ratio, seqscan_ratio, load_per_cpu, pooler_used,
+    round(least(100, case when r > 0.95 then 70 + (r - 0.95) / 0.05 * 30 when r > 0.8 then 30 + (r - 0.8) / 0.15 * 40 when r > 0.6 then (r - 0.6) / 0.2 * 30 else 0 end + least(5 * idle_in_tx, 30) + case when longest_tx_s > 300 then least((longest_tx_s - 300) / 60 * 5, 20) else 0 end), 1) as connections,
+    round(least(100, case when cache_sample > 0 and cache_sample < 50000 then 0 when c >= 95 then 0 when c >= 90 then (95 - c) / 5 * 20 when c >= 85 then 20 + (90 - c) / 5 * 30 else 50 + (85 - c) / 10 * 50 end), 1) as performance,
+    round(least(100, case when dead_max_pct > 30 then 40 when dead_max_pct > 20 then 20 + (dead_max_pct - 20) / 10 * 20 else dead_max_pct end + case when dead_avg_pct > 15 then least((dead_avg_pct - 15) * 2, 30) else 0 end + case when bloated_tables > 5 then least(3 * bloated_tables, 30) else 0 end
+      + case when newpage_ratio > 0.2 then 20 when newpage_ratio > 0.1 then 10 when newpage_ratio > 0.05 then 5 else 0 end), 1) as storage,
+    case when replicas <= 0 then 0 else round(least(100, case when replica_lag_s > 30 then 50 when replica_lag_s > 5 then 10 + (replica_lag_s - 5) / 25 * 40 when replica_lag_s > 1 then (replica_lag_s - 1) / 4 * 10 else 0 end
+      + case when replica_lag_mb > 100 then least(replica_lag_mb / 10, 30) else 0 end + least(30 * replicas_lost, 60)), 1) end as replication,
+    round(least(100, case when x > 1.6e9 then 80 + least((x - 1.6e9) / 5e8 * 20, 20) when x > 2e8 then (x - 2e8) / 1.4e9 * 80 else 0 end + case when h > 1440 then 30 when h > 504 then least(15 + (h - 504) / 24 * 0.5, 30) when h > 168 then (h - 168) / 24 else 0 end
+      + case when vacuum_backlog > 5 then least((vacuum_backlog - 5) * 1.5, 15) else 0 end + least(5 * never_vacuumed, 20) + least(3 * autovac_off_tables, 15) + least(2 * stale_stats, 15)), 1) as maintenance,
+    round(least(100, case when z > 1e8 then 70 + least((z - 1e8) / 1e8 * 30, 30) when z > 1e7 then 30 + (z - 1e7) / 9e7 * 40 when z > 1e6 then (z - 1e6) / 9e6 * 30 else 0 end), 1) as horizon,
+    case when checkpoints_timed + checkpoints_req < 10 then 0 else round(least(100, case when q > 0.2 then 70 + least((q - 0.2) / 0.3 * 30, 30) when q > 0.1 then 30 + (q - 0.1) / 0.1 * 40 when q > 0.05 then (q - 0.05) / 0.05 * 30 else 0 end), 1) end as wal_checkpoint,
+    round(least(100, case when lock_waiters >= 10 then 60 when lock_waiters >= 3 then 30 when lock_waiters >= 1 then 10 else 0 end + case when lock_wait_s > 60 then 40 when lock_wait_s > 30 then 20 when lock_wait_s > 10 then 5 else 0 end + case when ungranted >= 15 then 30 when ungranted >= 5 then 15 when ungranted >= 2 then 5 else 0 end
+      + case when lock_pool > 0.8 then 30 when lock_pool > 0.6 then 15 when lock_pool > 0.5 then 5 else 0 end + case when deadlocks >= 100 then 20 when deadlocks >= 10 then 10 when deadlocks >= 1 then 3 else 0 end), 1) as locks
+  from (select *, conn_total::double / conn_max as r, cache_hit_pct::double as c, xid_age::double as x, vacuum_overdue_h::double as h, horizon_age::double as z, checkpoints_req::double / nullif(checkpoints_timed + checkpoints_req, 0) as q from raw))"""
+_HOT = "case when hot_ratio < 0.5 then 30 when hot_ratio < 0.65 then 15 when hot_ratio < 0.8 then 5 else 0 end"
+_STEP = "case when {0} >= {1} then {2} when {0} >= {3} then {4} when {0} >= {5} then {6} else 0 end"
+_ADJUSTED = f"""
+  adj as (select * replace (
+    least(least(maintenance + case when autovacuum_off then 100 else 0 end, 100) + case when track_counts_off then 100 else 0 end, 100) as maintenance,
+    round(least(least(least(performance + case when io_timing_off then 5 else 0 end, 100) + {_STEP.format('latency_ratio', 6, 50, 3, 30, 1.5, 10)}, 100) + {_STEP.format('seqscan_ratio', 6, 40, 3, 25, 1.5, 10)}, 100), 1) as performance,
+    round(least(least(storage + {_HOT}, 100) + {_STEP.format('disk_used', 0.9, 80, 0.8, 30, 0.7, 10)}, 100), 1) as storage,
+    round(least(least(connections + {_STEP.format('load_per_cpu', 4, 60, 2, 30, 1, 10)}, 100) + {_STEP.format('pooler_used', 0.8, 30, 0.6, 15, 0.5, 5)}, 100), 1) as connections) from pen)"""
+_SCORES = """
+  select instance, mon, critical, case when critical then least(score, 30) else score end as score from (select instance, mon, checksum_failures > 0 or disk_used >= 0.9 or (not in_recovery and (xid_age >= 1600000000 or autovacuum_off or track_counts_off)) as critical,
+    round(round(greatest(0, least(100, 100 - (0.15 * connections + 0.15 * performance + 0.1 * storage + case when replicas > 0 then 0.15 * replication else 0 end + case when in_recovery then 0 else 0.15 * maintenance end + 0.1 * horizon + 0.1 * wal_checkpoint + 0.1 * locks)
+      / (1.0 - case when replicas > 0 then 0 else 0.15 end - case when in_recovery then 0.15 else 0 end))), 6), 1) as score from adj)"""
+SQL["h14_health_score"] = with_views("raw", "") + "," + _PENALTIES + "," + _ADJUSTED + _SCORES
+SQL["h22_fleet_rank"] = with_views("raw", "") + "," + _PENALTIES + "," + _ADJUSTED + " select * from (" + _SCORES + ") order by score, instance, mon limit 20"
+
+
+@query("h18_score_per_db", with_views("raw", "") + "," + _PENALTIES + f"""
+  select instance, mon, round(round(case when not in_recovery and xid_age >= 1600000000 then least(s, 30) else s end, 6), 1) as score from (select *, greatest(0, least(100, 100 - case when in_recovery then 0.6 * performance + 0.4 * st else 0.375 * performance + 0.25 * st + 0.375 * maintenance end)) as s
+    from (select *, round(least(100, storage + {_HOT}), 1) as st from pen))""")
 def h18(spark, d):
     return health_inputs.score_per_db(bind(spark, d, "raw"), ["instance", "mon"])
 
