@@ -99,3 +99,20 @@ def autovac_summary(due: DataFrame, key: list[str]) -> DataFrame:
 def count_by(df: DataFrame, key: list[str | Column], where: Column | None = None) -> DataFrame:
     """Sessions by source, state or wait event."""
     return (df if where is None else df.where(where)).groupBy(*key).agg(F.count("*").alias("n"))
+
+
+def table_caching(statio: DataFrame) -> DataFrame:
+    """Cache hit ratio of heap, indexes, overflow table and its index; tables without traffic are left out."""
+    kinds = ["heap", "idx", "toast", "tidx"]
+    n = {k: F.coalesce(F.col(f"{k}_blks_hit"), F.lit(0)) + F.coalesce(F.col(f"{k}_blks_read"), F.lit(0)) for k in kinds}
+    return statio.where(sum(n.values(), F.lit(0)) > 0).withColumns({f"{k}_ratio": safe_ratio(F.col(f"{k}_blks_hit"), n[k]) for k in kinds})
+
+
+def vacuum_thresholds(t: DataFrame) -> DataFrame:
+    """When vacuum, insert vacuum and analyze come due: base + factor * reltuples; a table's own options (map reloptions) go before the settings."""
+    def pick(option: str, setting: str) -> Column:
+        return F.coalesce(F.try_element_at("reloptions", F.lit(option)).try_cast("double"), F.col(setting))
+
+    rows = F.greatest(F.col("reltuples"), F.lit(0.0))
+    names = {"vacuum": ("autovacuum_vacuum", "vacuum"), "insert": ("autovacuum_vacuum_insert", "insert"), "analyze": ("autovacuum_analyze", "analyze")}
+    return t.withColumns({f"{n}_at": pick(f"{o}_threshold", f"{s}_base") + pick(f"{o}_scale_factor", f"{s}_factor") * rows for n, (o, s) in names.items()})

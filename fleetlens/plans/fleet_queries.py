@@ -228,3 +228,21 @@ def t4(spark, d):
 def w9(spark, d):
     report = workload.contribution_report(bind(spark, d, "statements"), ["calls"], ["database"])
     return workload.scope_report(report, ["calls"], F.col("database") < 12)
+
+
+@query("t3_table_caching", with_views("stat_indexes", "select host, index_id, 1.0::double * idx_blks_hit / nullif(idx_blks_hit + idx_blks_read, 0) as heap_ratio, 1.0::double * idx_blks_read / nullif(idx_blks_read, 0) as idx_ratio from stat_indexes where idx_blks_hit + idx_blks_read > 0"))
+def t3(spark, d):
+    none = {f"{k}_blks_{x}": F.lit(0) for k in ("toast", "tidx") for x in ("hit", "read")}
+    rows = bind(spark, d, "stat_indexes").select("host", "index_id", F.col("idx_blks_hit").alias("heap_blks_hit"), F.col("idx_blks_read").alias("heap_blks_read"), F.col("idx_blks_read").alias("idx_blks_hit"), F.lit(0).alias("idx_blks_read")).withColumns(none)
+    return indexes.table_caching(rows).select("host", "index_id", "heap_ratio", "idx_ratio")
+
+
+@query("t7_vacuum_thresholds", with_views("stat_tables", "select relid, 50 + (case when n_tup_del > 0 then 0.05e0 else 0.2e0 end) * reltuples as vacuum_at, 1000 + 0.2e0 * reltuples as insert_at, 50 + 0.1e0 * reltuples as analyze_at from stat_tables"))
+def t7(spark, d):
+    option = F.when(F.col("n_tup_del") > 0, F.create_map(F.lit("autovacuum_vacuum_scale_factor"), F.lit("0.05"))).otherwise(F.create_map().cast("map<string,string>"))
+    return indexes.vacuum_thresholds(_tables(spark, d).withColumn("reloptions", option)).select("relid", "vacuum_at", "insert_at", "analyze_at")
+
+
+@query("k5_aggregate_hosts", with_views("stat_indexes", "select index_id, cast(sum(idx_scan) as bigint) as idx_scan, count(distinct host) as hosts from stat_indexes where not is_unique group by index_id"))
+def k5(spark, d):
+    return series.aggregate_hosts(bind(spark, d, "stat_indexes").withColumn("valid", ~F.col("is_unique")), ["index_id"], "idx_scan")
