@@ -43,14 +43,46 @@ def substring_bits(n: int) -> int:
     return min(32, max(8, round(math.log2(max(2, n))) - 2))
 
 
-def table_keys(vectors: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], bits: int) -> np.ndarray:
-    """(n, tables) keys: the code is cut into substrings of ``bits`` bits."""
-    code = np.concatenate([(vectors - mean) @ r >= 0 for r in rotations], axis=1)
+def _substrings(code: np.ndarray, bits: int) -> np.ndarray:
     tables = max(1, code.shape[1] // bits)
     weight = 1 << np.arange(min(bits, code.shape[1]), dtype=np.int64)
     return code[:, : tables * len(weight)].reshape(len(code), tables, -1) @ weight
 
 
+def table_keys(vectors: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], bits: int, planes: np.ndarray | None = None) -> np.ndarray:
+    """(n, tables) keys: the code is cut into substrings of ``bits`` bits; ``planes`` add ``bits`` bits a table."""
+    keys = _substrings(np.concatenate([(vectors - mean) @ r >= 0 for r in rotations], axis=1), bits)
+    if planes is None or not planes.shape[1]:
+        return keys
+    return np.concatenate([keys, _substrings(vectors @ planes >= 0, bits)], axis=1)
+
+
+def further_planes(vectors: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], bits: int, threshold: float, miss: float = 0.05, pairs: int = 4096, seed: int = 5) -> np.ndarray:
+    """(dim, tables * bits) random planes for as many more tables as keep the chance to miss a pair at ``threshold`` at ``miss``.
+
+    Longer keys mean fewer and stricter rotated tables. What those miss is measured on pairs made at a cosine of just
+    ``threshold``, from sampled vectors and two sorts of directions: any, and those between sampled vectors; the worse
+    counts. Planes through the origin with normal directions split vectors with an angle's share of pi whatever the
+    data are, so a table of them catches (1 - angle / pi) ** bits of the pairs at that angle, and more of closer ones.
+    """
+    dice = np.random.default_rng(seed)
+    dim = vectors.shape[1]
+    cosine = min(1.0, max(-1.0, threshold))
+    x = vectors[dice.integers(0, len(vectors), pairs)]
+    missed = 0.0
+    for way in (dice.normal(size=x.shape), vectors[dice.integers(0, len(vectors), pairs)] - vectors[dice.integers(0, len(vectors), pairs)]):
+        way = way - (way * x).sum(axis=1, keepdims=True) * x
+        length = np.sqrt((way * way).sum(axis=1))
+        some = length > 1e-6
+        if some.any():
+            a = x[some]
+            b = cosine * a + math.sqrt(1 - cosine * cosine) * way[some] / length[some, None]
+            missed = max(missed, 1 - (table_keys(a, mean, rotations, bits) == table_keys(b, mean, rotations, bits)).any(axis=1).mean())
+    caught = (1 - math.acos(cosine) / math.pi) ** bits
+    tables = 0 if missed <= miss else 1 if caught >= 1 else math.ceil(math.log(miss / missed) / math.log1p(-caught))
+    return dice.normal(size=(dim, tables * bits))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -65,10 +97,11 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, sample: int = S
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding).
 
     Equal vectors are compared once and counted with their number. A rotation is learnt on at most ``sample`` distinct
-    vectors (picked by hash); all vectors are coded and indexed in every table. Vectors that share a table's key are
-    compared by cosine in double precision; a pair that meets in several tables counts in the first. Large buckets are
-    cut into blocks, and tasks return counts and a forest of links, never pairs. Links are never false; recall is the
-    share of pairs that share a key in some table.
+    vectors (picked by hash); all vectors are coded and indexed in every table. Keys grow with the table, so tables are
+    added until a pair at the threshold shares a key with a chance of 0.95 (see ``further_planes``). Vectors that share
+    a table's key are compared by cosine in double precision; a pair that meets in several tables counts in the first.
+    Large buckets are cut into blocks, and tasks return counts and a forest of links, never pairs. Links are never
+    false; recall is the share of pairs that share a key in some table.
 
     Null and zero vectors and those with null or non-finite components link with nothing, nor does a vector of another
     length than most. Repeated rows count as separate vectors; a null vec_id gets a row, is counted, and never names a
@@ -87,30 +120,32 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, sample: int = S
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if picked is None or not len(picked):
         return alone
-    mean, rotations = learn_rotations(_unit(_matrix(picked, dim)))
+    seen = _unit(_matrix(picked, dim))
+    mean, rotations = learn_rotations(seen)
     n = distinct.count()
     bits = substring_bits(n)
-    learnt = distinct.sparkSession.sparkContext.broadcast((mean, rotations))  # dim squared numbers a rotation
-    width = int(table_keys(np.ones((1, dim)), mean, rotations, bits).shape[1])
+    planes = further_planes(seen, mean, rotations, bits, threshold)
+    learnt = distinct.sparkSession.sparkContext.broadcast((mean, rotations, bits, planes))  # dim squared numbers a rotation, dim numbers a further bit
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x = _unit(_matrix(b.column(0), dim))
-            keys = table_keys(x, *learnt.value, bits)
+            keys = table_keys(x, *learnt.value)
             flat = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), a.shape[1]).cast(pa.list_(pa.from_numpy_dtype(a.dtype)))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), flat(x), flat(keys)], ["node", "copies", "x", "keys"])
 
     coded = distinct.select("v", "node", "copies").mapInArrow(index, "node long, copies long, x array<double>, keys array<bigint>")
     entries = coded.select("node", "copies", "x", "keys", F.posexplode("keys").alias("t", "key"))
+    entries = entries.withColumn("keys", F.slice("keys", F.lit(1), F.col("t")))  # those of the tables before
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["t", "key", "blk_a", "blk_b"]
         for frame in whole_groups((b.to_pandas() for b in batches), names, 1 << 12):
             k = frame[names].to_numpy()
             edge = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
-            x, keys = np.stack(frame["x"].to_numpy()), np.stack(frame["keys"].to_numpy())
+            x, keys = np.stack(frame["x"].to_numpy()), frame["keys"].to_numpy()
             node, copies, blk = (frame[c].to_numpy() for c in ("node", "copies", "blk"))
             links, parent = np.zeros(len(frame), np.int64), np.arange(len(frame))
             for lo, hi in zip(edge, edge[1:]):
@@ -124,8 +159,14 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, sample: int = S
                         i, j = i + i0, j + j0
                         fit = (i < j) & ((a == b) | (blk[i] != blk[j]))
                         i, j = i[fit], j[fit]
-                        first = ~(keys[i, :t] == keys[j, :t]).any(axis=1)
-                        i, j = i[first], j[first]
+                        if t and len(i):
+                            at, number = np.unique(np.concatenate([i, j]), return_inverse=True)
+                            before = np.stack(keys[at])
+                            one, two = number[: len(i)], number[len(i) :]
+                            first = np.ones(len(i), bool)
+                            for c in range(t):  # a column at a time, so that many tables take no more memory
+                                first &= before[one, c] != before[two, c]
+                            i, j = i[first], j[first]
                         np.add.at(links, i, copies[j])
                         np.add.at(links, j, copies[i])
                         merge_labels(parent, i, j)

@@ -148,6 +148,21 @@ def test_embeddings_against_brute_force(spark):
     assert itq.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [10**4, 10**6, 10**8])
+def test_embedding_recall_does_not_fall_with_the_table(n):
+    dice = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(dice.normal(size=(2000, 64)))
+    way = dice.normal(size=x.shape)
+    way = unit(way - (way * x).sum(axis=1, keepdims=True) * x)
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * way
+    mean, rotations = itq.learn_rotations(unit(dice.normal(size=(1000, 64))))
+    bits = itq.substring_bits(n)
+    planes = itq.further_planes(unit(dice.normal(size=(1000, 64))), mean, rotations, bits, 0.9)
+    keys = [itq.table_keys(v, mean, rotations, bits, planes) for v in (x, y)]
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.9
+
+
 def test_factorisation_machine_identity():
     dice = np.random.default_rng(3)
     fm = quality.FactorisationMachine(0.5, dice.normal(size=9), dice.normal(size=(9, 4)))
