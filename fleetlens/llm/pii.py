@@ -21,12 +21,13 @@ SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{2,}"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """array<struct<s, e, v>>: start, end (code points, exclusive) and value of every match, leftmost, non-overlapping.
 
     Spark returns matches and the text between them; running lengths of both give the places.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pattern = F.lit(pattern)
+    hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -84,52 +85,59 @@ def _of_kind(spans: Column, kind: int) -> Column:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, found): h is a hash of the text, found the base spans by start and kind."""
+    """(doc_id, h, found, _t): h is a hash of the text, found the base spans by start and kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     frame = docs.select("doc_id", text.alias("_t"))
     every = F.concat(*(_of_kind(base_spans(F.col("_t"), k), i) for i, k in enumerate(KINDS)))
     return frame.select("doc_id", F.xxhash64("_t").alias("h"), F.array_sort(every).alias("found"), "_t")
 
 
-def contexts(found: DataFrame, reach: int, words: int) -> DataFrame:
-    """(doc_id, h, entity, term, s, e): the ``words`` terms before and behind each base span, within ``reach`` signs."""
-    each = found.select("doc_id", "h", "_t", F.explode("found").alias("x"))
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.k") + 1)
-    low = F.greatest(F.col("x.s") - reach, F.lit(0))
-    each = each.select(
-        "doc_id", "h", _entity(kind, F.col("x.v")).alias("entity"), low.alias("low"), F.col("x.e").alias("high"),
-        F.substr("_t", low + 1, F.col("x.s") - low).alias("before"), F.substr("_t", F.col("x.e") + 1, F.lit(reach)).alias("after"),
-    )
-    before = F.transform(F.slice(located(F.col("before"), TERM), F.lit(-words), F.lit(words)), lambda t: F.struct(F.lower(t["v"]).alias("term"), (t["s"] + F.col("low")).alias("s"), (t["e"] + F.col("low")).alias("e")))
-    # slice() from -n of a shorter array is empty, so short lists are taken whole
-    whole = F.transform(located(F.col("before"), TERM), lambda t: F.struct(F.lower(t["v"]).alias("term"), (t["s"] + F.col("low")).alias("s"), (t["e"] + F.col("low")).alias("e")))
-    before = F.when(F.size(whole) < words, whole).otherwise(before)
-    after = F.transform(F.slice(located(F.col("after"), TERM), 1, words), lambda t: F.struct(F.lower(t["v"]).alias("term"), (t["s"] + F.col("high")).alias("s"), (t["e"] + F.col("high")).alias("e")))
-    return each.select("doc_id", "h", "entity", F.explode(F.concat(before, after)).alias("y")).select("doc_id", "h", "entity", "y.term", "y.s", "y.e")
-
-
-def disclosing(near: DataFrame, docs: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(entity, term): terms whose presence tells that the entity is there.
-
-    Over all documents: n(t, e) documents hold the term near the entity, n(t) the term anywhere, n(e) the entity, of N.
-    The measure is the mutual information log2(n(t,e) N / (n(t) n(e))) as a share of its largest value,
-    -log2(n(t,e) / N); pairs that ``support`` documents share and that reach ``threshold`` disclose.
+def _words(text: Column) -> Column:
+    """The distinct lower-cased terms of a text; each is lowered by itself."""
+    spelt = F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.split(F.lower(F.array_join(spelt, " ")), " "))
+
+
+def disclosing(holding: DataFrame, docs: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(doc_id, h, telling): the terms of each document that tell that one of its entities is there.
+
+    Over all documents and whole texts: n(t, e) documents hold the term and the entity, n(t) the term, n(e) the entity,
+    of N. The measure is the mutual information log2(n(t,e) N / (n(t) n(e))) as a share of its largest value,
+    -log2(n(t,e) / N); pairs that ``support`` documents share and that reach ``threshold`` (above 0) disclose. As n(t,e)
+    is n(t) or n(e) at most, most pairs can't reach it by these two counts alone and are never formed.
     """
-    pairs = near.select("doc_id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    entities = near.select("doc_id", "h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = float(max(2, docs.count()))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.k") + 1)
+    entities = written(holding.select("doc_id", "h", F.explode("found").alias("x")).select("doc_id", "h", _entity(kind, F.col("x.v")).alias("entity")).distinct(), "entities")
+    spread = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    shared = written(entities.join(spread, "entity"), "shared")
+
+    def reach(low: Column) -> Column:
+        """The largest count that can go with ``low``; the share rises with n(t,e), so n(t,e) = low decides."""
+        return F.pow(F.lit(total), F.lit(1.0 - threshold)) * F.pow(low, F.lit(threshold)) * (1 + 1e-9)
+
+    most = shared.agg(F.max("n_e")).first()[0] or 0
+    terms = docs.select(F.explode(_words(F.col("text").cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = terms.where(F.col("n_t").between(support, F.greatest(F.lit(float(most)), reach(F.lit(float(most))))))
+    own = holding.select("doc_id", "h", F.explode(_words(F.col("_t"))).alias("term")).where("term <> ''").distinct()
+    own = own.join(terms, "term").withColumnsRenamed({"doc_id": "_doc_id", "h": "_h"})
+    both = shared.join(own, shared["doc_id"].eqNullSafe(own["_doc_id"]) & (shared["h"] == own["_h"])).drop("_doc_id", "_h")
+    together = written(both.where(F.greatest("n_t", "n_e") <= reach(F.least("n_t", "n_e"))), "together")
     joint = F.col("n_te") / total
     share = F.when(joint >= 1, 1.0).otherwise(F.log2(joint * total * total / (F.col("n_t") * F.col("n_e"))) / -F.log2(joint))
-    return pairs.join(entities, "entity").join(terms, "term").where(share >= threshold).select("entity", "term")
+    pairs = together.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te")).where((F.col("n_te") >= support) & (share >= threshold))
+    return together.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("doc_id", "h").agg(F.collect_set("term").alias("telling"))
 
 
-def _placed(found: DataFrame, docs: DataFrame, threshold: float, support: int, reach: int, words: int) -> tuple[DataFrame, DataFrame]:
-    near = written(contexts(found, reach, words), "near")
-    telling = disclosing(near, docs, threshold, support)
-    more = near.join(telling, ["entity", "term"]).select("doc_id", "h", F.struct("s", F.lit(len(KINDS)).alias("k"), "e").alias("x")).distinct()
-    return near, more.groupBy("doc_id", "h").agg(F.collect_list("x").alias("terms"))
+def _placed(holding: DataFrame, docs: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(doc_id, h, terms): every place of a document's telling terms that no base span covers already."""
+    places = _same(holding.dropDuplicates(["doc_id", "h"]), disclosing(holding, docs, threshold, support)).where("telling is not null")
+    # terms hold no sign with a meaning in patterns, so their spellings, set off from other signs of terms, are one
+    spelt = F.filter(F.array_distinct(F.regexp_extract_all("_t", F.lit(TERM), F.lit(0))), lambda w: F.array_contains("telling", F.lower(w)))
+    sign = TERM.removesuffix("{2,}")
+    places = places.withColumn("_p", F.concat(F.lit(f"(?<!{sign})(?:"), F.array_join(spelt, "|"), F.lit(f")(?!{sign})")))
+    free = F.filter(located(F.col("_t"), F.col("_p")), lambda t: ~F.exists("found", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
+    return places.select("doc_id", "h", F.transform(free, lambda t: F.struct(t["s"].alias("s"), F.lit(len(KINDS)).alias("k"), t["e"].alias("e"))).alias("terms"))
 
 
 def _same(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -146,30 +154,29 @@ def _without_value(found: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
 
 
-def scan_pii(docs: DataFrame, threshold: float = 0.8, support: int = 2, reach: int = 80, words: int = 4) -> DataFrame:
+def scan_pii(docs: DataFrame, threshold: float = 0.8, support: int = 2) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document.
 
-    Base spans come from the patterns over whole texts. The method adds spans of kind ``term``: words near an entity
-    that disclose it by the corpus's co-occurrence (see ``disclosing``). base_sha256 and spans list kind:start:end by
+    Base spans come from the patterns over whole texts. The method adds spans of kind ``term``: every place, outside
+    base spans, of a word that discloses one of the document's entities by the corpus's co-occurrence (see
+    ``disclosing``). An entity or a term in fewer than ``support`` documents has no pair to count. base_sha256 and spans list kind:start:end by
     start, then kind. Null and empty texts have no spans (the SHA-256 of nothing, an empty list); repeated rows get a
     row each and count each in the statistics' distinct (doc_id, text) once; null ids are matched as equal; an empty
     table gives no rows. Columns other than doc_id and text are ignored.
     """
-    found = find_base(docs)
-    kept = written(found.select("doc_id", "h", "found"), "spans")
-    _, terms = _placed(found.where(F.size("found") > 0), docs, threshold, support, reach, words)
+    kept = written(find_base(docs).withColumn("_t", F.when(F.size("found") > 0, F.col("_t"))), "spans")
+    terms = _placed(kept.where(F.size("found") > 0), docs, threshold, support)
     every = F.array_sort(F.concat(_without_value(F.col("found")), F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
     count = lambda i: F.size(F.filter("found", lambda x: x["k"] == i)).cast("long").alias(f"n_{KINDS[i]}")
     return _same(kept, terms).select("doc_id", *map(count, range(len(KINDS))), F.sha2(_text_of(F.col("found")), 256).alias("base_sha256"), _text_of(every).alias("spans"))
 
 
-def sanitise(docs: DataFrame, threshold: float = 0.8, support: int = 2, reach: int = 80, words: int = 4) -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = 0.8, support: int = 2) -> DataFrame:
     """``docs`` with every span generalised to its kind in brackets; overlapping spans become the first one's kind.
 
     Null texts stay null; n_chars, if there is such a column, is set to the new length.
     """
-    found = find_base(docs)
-    _, terms = _placed(found.where(F.size("found") > 0), docs, threshold, support, reach, words)
+    terms = _placed(written(find_base(docs).where(F.size("found") > 0), "spans"), docs, threshold, support)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     marked = docs.withColumn("h", F.xxhash64(text))
     spans = F.concat(*(_of_kind(base_spans(F.col("text"), k), i) for i, k in enumerate(KINDS)))

@@ -111,6 +111,39 @@ def test_pii(docs, empty):
     assert pii.scan_pii(empty).count() == 0 and pii.sanitise(docs).count() == len(TEXTS)
 
 
+def test_terms_that_disclose_against_brute_force(spark):
+    far = " ".join(["common filler words between"] * 30)
+    rows = [
+        (1, f"Zanzibar first. {far} mail éjo.doe@ex.org now. {far} Σigma and ZANZIBAR, zanzibars"), (2, f"JO.DOE@ex.org {far} zanzibar jo {far} σigma 10.1.2.3"),
+        (2, f"JO.DOE@ex.org {far} zanzibar jo {far} σigma 10.1.2.3"), (None, f"10.1.2.3 {far} quokka, Quokka"), (4, f"{far} quokka 10.1.2.3 zanzibarish"), (5, "only.one@ex.org hapax"), (6, None),
+    ] + [(i, f"common filler words between {chr(97 + i % 26) * 3} number") for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.scan_pii(docs).collect()}
+    base = {i: [(k, int(s), int(e)) for k, s, e in x if k != "term"] for i, x in found.items()}
+    word = re.compile(pii.TERM)
+    lower = lambda t: {w.lower() for w in word.findall(t or "")}
+    texts_of = dict(rows)
+    holds = {i: {f"{k}:{texts_of[i][s:e].lower()}" for k, s, e in x} for i, x in base.items()}
+    n = len(rows)
+    n_t = {}
+    for _, t in rows:
+        for w in lower(t):
+            n_t[w] = n_t.get(w, 0) + 1
+    want = {}
+    for i, t in texts_of.items():
+        telling = set()
+        for e in holds[i]:
+            n_e = sum(e in h for h in holds.values())
+            for w in lower(t):
+                n_te = sum(e in holds[j] and w in lower(u) for j, u in texts_of.items())
+                if n_te >= 2 and np.log2(n_te * n / (n_t[w] * n_e)) / -np.log2(n_te / n) >= 0.8:
+                    telling.add(w)
+        want[i] = [(m.start(), m.end()) for m in word.finditer(t or "") if m.group().lower() in telling and not any(s < m.end() and m.start() < e for _, s, e in base[i])]
+    assert {i: [(int(s), int(e)) for k, s, e in x if k == "term"] for i, x in found.items()} == want
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1].startswith("[term] first.") and clean[1].endswith("[term] and [term], zanzibars") and clean[None].endswith("[term], [term]")
+
+
 def test_simhash_groups(spark, docs, empty):
     got = {r.doc_id: r for r in simhash.simhash_groups(docs).collect()}
     assert got[2].fingerprint == "0" * 16 and {got[i].component_id for i in (2, 3, 4)} == {2}
