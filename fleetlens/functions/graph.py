@@ -6,32 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def root_of(edges: DataFrame, key: list[str] | None = None, depth: int = 64) -> DataFrame:
+def _settled(df: DataFrame) -> DataFrame:
+    """df, computed and cut from its lineage: in the checkpoint folder if there is one, else on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def root_of(edges: DataFrame, key: list[str] | None = None) -> DataFrame:
     """(key, child, root, level) of every child of a forest of edges (key, child, parent).
 
-    Pointer doubling: each round lets every node jump as far again as it has come, so ``depth`` levels take log2(depth)
-    joins. Nodes on a cycle, or deeper than ``depth``, end at the node their jumps lead to.
+    Pointer doubling: each round lets every node jump as far again as it has come, until none moves, so a forest of d
+    levels takes log2(d) joins and one. Nodes on a cycle end at the node their jumps lead to, once these are longer
+    than any path can be.
     """
     key = key or []
-    jump = edges.select(*key, "child", F.col("parent").alias("root"), F.lit(1).alias("level"))
-    rounds = max(1, (depth - 1).bit_length())
-    for _ in range(rounds):
+    jump = _settled(edges.select(*key, "child", F.col("parent").alias("root"), F.lit(1).alias("level")))
+    for _ in range(jump.count().bit_length()):
         up = jump.select(*key, F.col("child").alias("root"), F.col("root").alias("_up"), F.col("level").alias("_more"))
-        jump = jump.join(up, [*key, "root"], "left").select(*key, "child", F.coalesce("_up", "root").alias("root"), (F.col("level") + F.coalesce("_more", F.lit(0))).alias("level"))
+        moved = jump.join(up, [*key, "root"], "left").select(*key, "child", F.coalesce("_up", "root").alias("root"), (F.col("level") + F.coalesce("_more", F.lit(0))).alias("level"), F.col("_more").isNotNull().alias("_moved"))
+        moved = _settled(moved)
+        jump = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            break
     return jump
 
 
-def lock_tree(waits: DataFrame, key: list[str], depth: int = 12) -> DataFrame:
+def lock_tree(waits: DataFrame, key: list[str], depth: int | None = None) -> DataFrame:
     """(key, pid, root, level, path) from waits (key, pid, blocker): who waits for whom, from blockers that don't wait.
 
-    One join for each level; a pid that already stands on its path ends the branch, so cycles do too.
+    One join for each level, until a level is empty or ``depth`` is reached, if it is given; a pid that already stands
+    on its path ends the branch, so cycles do too.
     """
     waiting = waits.select(*key, F.col("pid").alias("blocker")).distinct()
     roots = waits.select(*key, "blocker").distinct().join(waiting, [*key, "blocker"], "left_anti")
     level = roots.select(*key, F.col("blocker").alias("pid"), F.col("blocker").alias("root"), F.lit(0).alias("level"), F.array("blocker").alias("path"))
     out = level
-    for _ in range(depth):
+    done = 0
+    while depth is None or done < depth:
         below = level.select(*key, F.col("pid").alias("blocker"), "root", "level", "path")
         level = waits.join(below, [*key, "blocker"]).where(~F.array_contains("path", F.col("pid"))).select(*key, "pid", "root", (F.col("level") + 1).alias("level"), F.concat("path", F.array("pid")).alias("path"))
+        done += 1
+        if depth is None:
+            level = _settled(level)
+            if level.isEmpty():
+                break
         out = out.unionByName(level)
     return out

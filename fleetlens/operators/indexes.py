@@ -52,7 +52,7 @@ def unused_verdict(samples: DataFrame, edges: DataFrame, expected: DataFrame, ke
     samples makes the verdict unknown; any host that uses the index settles it as used; a used index with old evidence
     is stale; windows shorter than ``min_days`` are not enough.
     """
-    roots = root_of(edges, key, 16).select(*key, F.col("child").alias("index"), "root")
+    roots = root_of(edges, key).select(*key, F.col("child").alias("index"), "root")
     per_host = samples.join(roots, [*key, "index"], "left").groupBy(*key, F.coalesce("root", "index").alias("index"), "host").agg(F.sum("idx_scan").alias("scans"), F.min("window_days").alias("days"))
     rate = F.col("scans") / F.greatest(F.col("days"), F.lit(1 / 24))
     per_index = per_host.groupBy(*key, "index").agg(F.max(rate).alias("per_day"), F.sum("scans").alias("scans"), F.min("days").alias("days"), F.count_distinct("host").alias("hosts"))

@@ -51,6 +51,15 @@ def test_root_of_and_cycle(spark):
     assert {(r.pid, r.root, r.level) for r in lock_tree(waits, ["k"]).collect()} == {(1, 1, 0), (2, 1, 1), (3, 1, 2)}
 
 
+def test_forests_and_trees_of_any_depth(spark):
+    chain = spark.createDataFrame([(0, i + 1, i) for i in range(1, 151)], "k int, pid int, blocker int")
+    edges = chain.selectExpr("pid as child", "blocker as parent")
+    assert {(r.child, r.root, r.level) for r in root_of(edges).collect()} == {(i + 1, 1, i) for i in range(1, 151)}
+    short = chain.where("pid <= 31")
+    assert {(r.pid, r.root, r.level) for r in lock_tree(short, ["k"]).collect()} == {(i, 1, i - 1) for i in range(1, 32)}
+    assert root_of(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "child int, parent int")).count() == 3
+
+
 def test_blocked_pairs_keeps_unmatched(spark):
     schema = "k int, pid int, locktype string, relation int, transactionid int, lock_database int, granted boolean"
     locks = spark.createDataFrame([(0, 1, "r", 9, None, None, True), (0, 2, "r", 9, None, None, False), (0, 3, "r", 8, None, None, False)], schema)
