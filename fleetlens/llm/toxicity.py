@@ -22,6 +22,9 @@ LETTERS = 28  # 0 the edge of a word, 1-26 a to z, 27 any other letter
 SAMPLE = 20_000
 TERMS = 256
 _edge = ".,;:?\"'()[]{}<>«»„“”‘’…|*#%&=~`/\\-_"
+_outer = "".join(c for c in _edge if c not in SIGNS)
+#: Signs at a word's edge that may stand for a letter.
+_masked = regex.compile(r"(?<![*#|])[*#|]{1,2}[\p{L}0-9@$!]|[\p{L}0-9@$!][*#|]{1,2}(?![*#|])")
 _suspect = regex.compile(r"\p{L}[^\p{L}\s]+\p{L}|[0-9@$!€£¡+]\p{L}|\p{L}[0-9@$€£+]|(\p{L})\1\1")
 _spaced = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}0-9@$!€|][ .\-_*~/]{1,2}){2,}[\p{L}0-9@$!€|](?![\p{L}\p{N}])")
 
@@ -96,8 +99,8 @@ def viterbi(steps: list[list[tuple[str, float]]], model: LetterModel) -> str:
 class Restorer:
     """Words of a text after undoing leetspeak, spacing and repetition; clean tokens have one reading and stay."""
 
-    def __init__(self, model: LetterModel, most: int = 700_000, piece: int = 64):
-        self.model, self.most, self.piece = model, most, piece
+    def __init__(self, model: LetterModel, most: int = 700_000):
+        self.model, self.most = model, most
         self.known: dict[str, tuple[str, ...]] = {}
 
     def token(self, token: str) -> tuple[str, ...]:
@@ -110,11 +113,12 @@ class Restorer:
             elif not _suspect.search(inner) and not _spaced.fullmatch(token):
                 got = tuple(words_text(inner))
             else:
-                read: list[str] = []
-                for at in range(0, len(inner), self.piece):  # a lattice of bounded length; the pieces cover the token
-                    read += viterbi(lattice(inner[at : at + self.piece]), self.model).split()
+                read = viterbi(lattice(inner), self.model).split()
                 plain = inner.rstrip("!")
                 got = tuple(dict.fromkeys([*read, *words_text(inner), *((plain,) if plain.isalpha() else ())]))
+            outer = token.strip(_outer)
+            if outer != inner and any(map(str.isalpha, outer)) and _masked.search(outer):  # signs at the edge may be letters too
+                got = tuple(dict.fromkeys([*got, *viterbi(lattice(outer), self.model).split()]))
             self.known[token] = got
         return got
 
@@ -144,7 +148,15 @@ class Restorer:
     def text(self, text: str) -> str:
         """The restored text: disguised stretches replaced by their readings, everything else as it is."""
         joined = _spaced.sub(lambda m: viterbi(lattice(m.group().lower()), self.model).strip(), text)
-        return regex.sub(r"\S+", lambda m: viterbi(lattice(m.group().lower().strip(_edge)), self.model).strip() if _suspect.search(m.group().lower().strip(_edge)) and len(m.group()) <= self.piece else m.group(), joined)
+
+        def plain(m: regex.Match) -> str:
+            outer = m.group().lower().strip(_outer)
+            inner = outer.strip(_edge)
+            if any(map(str.isalpha, outer)) and _masked.search(outer):
+                return viterbi(lattice(outer), self.model).strip()
+            return viterbi(lattice(inner), self.model).strip() if _suspect.search(inner) else m.group()
+
+        return regex.sub(r"\S+", plain, joined)
 
 
 def words_text(s: str) -> list[str]:

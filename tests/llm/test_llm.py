@@ -229,6 +229,23 @@ def test_disguised_words_are_restored():
         assert "idiot" in restore.words(f"this is an {disguise} text"), disguise
 
 
+def test_disguises_of_any_length_and_at_edges():
+    counts = np.zeros((28, 28, 28))
+    for w, n in (("idiot", 50), ("moron", 50), ("this", 80), ("is", 80), ("an", 50)):
+        codes = [0, 0, *(ord(c) - 96 for c in w), 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            counts[a, b, c] += n
+    restore = toxicity.Restorer(toxicity.LetterModel(counts))
+    for before in range(24, 36):  # the word moves over the 64th sign
+        spaced = " ".join([*("thisis" * 6)[:before], *"idiot"])
+        assert any("idiot" in w for w in restore.words(spaced)), before
+    long = "th1s." * 13 + "i.d.1.o.t"
+    assert "idiot" in restore.words(long) and "idiot" in restore.text(long).split()
+    for disguise in ("idio*", "|diot", "'idio*',", "m*ro*"):
+        assert {"idiot", "moron"} & restore.words(f"this is an {disguise} text"), disguise
+    assert {"idiot", "an"} <= restore.words("this is **idiot** #an")
+
+
 def test_contract_digests(spark):
     d = "/root/testdata/sf0.001"
     row = queries.op7_sharding(spark, d).orderBy("doc_id").first()
