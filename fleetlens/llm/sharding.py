@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,39 @@ def block_sizes(total: int, shards: int, block: int) -> list[tuple[int, int, int
     return out
 
 
+#: numpy draws from populations below this size only.
+LARGE = 10**9
+
+
+def large_hypergeometric(dice: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` rows drawn from good + bad are good, for populations of any size.
+
+    Inversion over the counts within 12 deviations and 60 of the mode, weighed by the exact ratios of neighbouring
+    probabilities; what lies outside is less than a double's resolution. Takes about sqrt(good + bad) steps.
+    """
+    total = good + bad
+    low, high = max(0, sample - bad), min(good, sample)
+    mode = min(high, max(low, (sample + 1) * (good + 1) // (total + 2)))
+    reach = 60 + int(12 * math.sqrt(sample * (good / total) * (bad / total) * ((total - sample) / max(1, total - 1))))
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.int64)  # the ratio of the probabilities of k + 1 and k
+    step = np.log(((good - k) / (k + 1)) * ((sample - k) / (bad - sample + k + 1)))
+    log = np.concatenate([[0.0], np.cumsum(step)])
+    weight = np.cumsum(np.exp(log - log[mode - low]))
+    return low + min(high - low, int(np.searchsorted(weight, dice.random() * weight[-1], "right")))
+
+
+def drawn(dice: np.random.Generator, capacity: np.ndarray, sample: int) -> np.ndarray:
+    """Multivariate hypergeometric counts; large populations are halved until numpy takes them."""
+    if len(capacity) == 1:
+        return np.array([sample], np.int64)
+    if int(capacity.sum()) < LARGE:
+        return dice.multivariate_hypergeometric(capacity, sample, method="marginals")
+    mid = len(capacity) // 2
+    left = large_hypergeometric(dice, int(capacity[:mid].sum()), int(capacity[mid:].sum()), sample)
+    return np.concatenate([drawn(dice, capacity[:mid], left), drawn(dice, capacity[mid:], sample - left)])
+
+
 def matrix_row(part: int, counts: np.ndarray, capacity: np.ndarray, seed: int) -> np.ndarray:
     """Row ``part`` of the communication matrix: how many of its rows go to each block.
 
@@ -38,7 +72,7 @@ def matrix_row(part: int, counts: np.ndarray, capacity: np.ndarray, seed: int) -
     total = np.concatenate([[0], np.cumsum(counts)])
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(capacity, int(total[mid] - total[lo]), method="marginals")
+        left = drawn(np.random.default_rng([seed, lo, hi]), capacity, int(total[mid] - total[lo]))
         lo, hi, capacity = (lo, mid, left) if part < mid else (mid, hi, capacity - left)
     return capacity
 

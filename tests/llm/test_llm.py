@@ -101,6 +101,23 @@ def test_matrix_has_its_sums():
     assert (matrix.sum(1) == counts).all() and (matrix.sum(0) == capacity).all()
 
 
+def test_matrix_of_a_billion_rows_and_more():
+    counts, capacity = np.array([9 * 10**8, 0, 2 * 10**9, 10**8]), np.array([10**9, 5 * 10**8, 5, 15 * 10**8 - 5])
+    matrix = np.array([sharding.matrix_row(p, counts, capacity, 1) for p in range(4)])
+    assert (matrix.sum(1) == counts).all() and (matrix.sum(0) == capacity).all() and (matrix >= 0).all()
+    assert abs(matrix[0, 0] / 3e8 - 1) < 1e-3
+
+
+@pytest.mark.parametrize("good,bad,sample", [(5, 9, 6), (3, 0, 2), (0, 4, 3), (7, 2, 9), (400, 900, 300)])
+def test_large_sampler_has_the_law(good, bad, sample):
+    from math import comb
+
+    dice = np.random.default_rng(7)
+    got = np.bincount([sharding.large_hypergeometric(dice, good, bad, sample) for _ in range(20000)], minlength=sample + 1) / 20000
+    want = np.array([comb(good, k) * comb(bad, sample - k) / comb(good + bad, sample) if sample - k <= bad else 0 for k in range(sample + 1)])
+    assert len(got) == sample + 1 and (got[want == 0] == 0).all() and abs(got - want).max() < 0.02
+
+
 def test_pii(docs, empty):
     got = {r.doc_id: r for r in pii.scan_pii(docs).collect()}
     assert (got[1].n_email, got[1].n_ip, got[1].n_phone) == (1, 1, 1)
