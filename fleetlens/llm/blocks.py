@@ -8,22 +8,29 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import written
+
+
+#: Sizes of large buckets are broadcast up to this number of buckets.
+FEW = 100_000
+
 
 def block_tasks(rows: DataFrame, keys: list[str], ident: str, block: int) -> DataFrame:
-    """Rows of buckets with two members or more, dealt into tasks (keys, blk_a, blk_b).
+    """Rows of buckets dealt into tasks (keys, blk_a, blk_b), a shuffle of the rows.
 
     A bucket of up to ``block`` rows is one task; a larger one is cut into blocks by a hash of ``ident`` and each two
     blocks meet in one task, so no task holds more than about 2 * block rows, however large its bucket is. ``blk`` is
-    the row's own block.
+    the row's own block. Only large buckets are looked up; their sizes are broadcast if they are FEW, joined otherwise.
     """
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block)
+    large = written(large.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "large")
     dealt = (
-        rows.join(sizes, keys)
-        .withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+        rows.join(F.broadcast(large) if large.count() <= FEW else large, keys, "left")
+        .withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
         .withColumn("blk", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("blk_a", F.least("blk", "_other")).withColumn("blk_b", F.greatest("blk", "_other"))
-        .drop("_n", "_blocks", "_other")
+        .drop("_blocks", "_other")
     )
     order = [*keys, "blk_a", "blk_b"]
     return dealt.repartition(*order).sortWithinPartitions(*order)

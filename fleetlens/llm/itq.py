@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,72 +17,99 @@ from fleetlens.llm.common import written
 from fleetlens.llm.components import connected_components
 
 SAMPLE = 4096
-ROTATIONS = 4
+CODE = 128  # bits of a code, two 64-bit words
+#: log2 of the members that a bucket of evenly spread vectors has.
+MEMBERS = 9
+MOST_TABLES = 256
+TILE = 1024
 
 
-def learn_rotations(vectors: np.ndarray, rotations: int = ROTATIONS, rounds: int = 25, seed: int = 3) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(mean, matrices): principal axes, then rotations under which the signs lie close to the vectors, so that codes are balanced.
+def learn_projection(vectors: np.ndarray, rounds: int = 25, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, matrix): principal axes, then rotations under which signs lie close to the vectors, so that codes are balanced.
 
-    Each matrix starts from another random rotation; with a sample of fewer vectors than axes, random axes fill up.
+    Each rotation gives as many bits as there are axes (CODE at most) and starts from another random one, until there
+    are CODE bits.
     """
     mean = vectors.mean(axis=0)
     x = vectors - mean
-    d = x.shape[1]
-    _, axes = np.linalg.eigh(x.T @ x)
-    v = x @ axes[:, ::-1]
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :CODE]
+    v = x @ axes
+    d = axes.shape[1]
     out = []
-    for k in range(rotations):
+    for k in range(-(-CODE // d)):
         r = np.linalg.qr(np.random.default_rng([seed, k]).normal(size=(d, d)))[0]
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
-        out.append(axes[:, ::-1] @ r)
-    return mean, out
+        out.append(axes @ r)
+    return mean, np.concatenate(out, axis=1)[:, :CODE]
 
 
-def substring_bits(n: int) -> int:
-    """Bits of a table's key: about log2 of the number of vectors, so that buckets stay small at every size."""
-    return min(32, max(8, round(math.log2(max(2, n))) - 2))
-
-
-def _substrings(code: np.ndarray, bits: int) -> np.ndarray:
-    tables = max(1, code.shape[1] // bits)
-    weight = 1 << np.arange(min(bits, code.shape[1]), dtype=np.int64)
-    return code[:, : tables * len(weight)].reshape(len(code), tables, -1) @ weight
-
-
-def table_keys(vectors: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], bits: int, planes: np.ndarray | None = None) -> np.ndarray:
-    """(n, tables) keys: the code is cut into substrings of ``bits`` bits; ``planes`` add ``bits`` bits a table."""
-    keys = _substrings(np.concatenate([(vectors - mean) @ r >= 0 for r in rotations], axis=1), bits)
-    if planes is None or not planes.shape[1]:
-        return keys
-    return np.concatenate([keys, _substrings(vectors @ planes >= 0, bits)], axis=1)
-
-
-def further_planes(vectors: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray], bits: int, threshold: float, miss: float = 0.05, pairs: int = 4096, seed: int = 5) -> np.ndarray:
-    """(dim, tables * bits) random planes for as many more tables as keep the chance to miss a pair at ``threshold`` at ``miss``.
-
-    Longer keys mean fewer and stricter rotated tables. What those miss is measured on pairs made at a cosine of just
-    ``threshold``, from sampled vectors and two sorts of directions: any, and those between sampled vectors; the worse
-    counts. Planes through the origin with normal directions split vectors with an angle's share of pi whatever the
-    data are, so a table of them catches (1 - angle / pi) ** bits of the pairs at that angle, and more of closer ones.
-    """
+def pairs_at(vectors: np.ndarray, threshold: float, pairs: int = 4096, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors whose cosine is just ``threshold``: sampled ones, moved in any direction, and in directions between sampled ones."""
     dice = np.random.default_rng(seed)
-    dim = vectors.shape[1]
     cosine = min(1.0, max(-1.0, threshold))
     x = vectors[dice.integers(0, len(vectors), pairs)]
-    missed = 0.0
+    out = []
     for way in (dice.normal(size=x.shape), vectors[dice.integers(0, len(vectors), pairs)] - vectors[dice.integers(0, len(vectors), pairs)]):
         way = way - (way * x).sum(axis=1, keepdims=True) * x
         length = np.sqrt((way * way).sum(axis=1))
         some = length > 1e-6
         if some.any():
-            a = x[some]
-            b = cosine * a + math.sqrt(1 - cosine * cosine) * way[some] / length[some, None]
-            missed = max(missed, 1 - (table_keys(a, mean, rotations, bits) == table_keys(b, mean, rotations, bits)).any(axis=1).mean())
-    caught = (1 - math.acos(cosine) / math.pi) ** bits
-    tables = 0 if missed <= miss else 1 if caught >= 1 else math.ceil(math.log(miss / missed) / math.log1p(-caught))
-    return dice.normal(size=(dim, tables * bits))
+            out.append((x[some], cosine * x[some] + math.sqrt(1 - cosine * cosine) * way[some] / length[some, None]))
+    return out or [(x, x)]
+
+
+@dataclass
+class Index:
+    """What is learnt for the vectors of one length; ``tables`` holds the code bits that make each table's key."""
+
+    mean: np.ndarray
+    matrix: np.ndarray
+    tables: np.ndarray
+    radius: int
+
+    def signs(self, unit: np.ndarray) -> np.ndarray:
+        return (unit - self.mean) @ self.matrix >= 0
+
+    def masks(self) -> np.ndarray:
+        """(tables, 2) words with a table's bits set."""
+        bits = np.zeros((len(self.tables), CODE), bool)
+        np.put_along_axis(bits, self.tables, True, axis=1)
+        return words_of_code(bits)
+
+    def key(self, signs: np.ndarray, table: int) -> np.ndarray:
+        own = self.tables[table]
+        return (signs[:, own] @ (1 << np.arange(len(own), dtype=np.int64))) + (table << 48)
+
+
+def words_of_code(signs: np.ndarray) -> np.ndarray:
+    return np.packbits(signs, axis=1, bitorder="little").view("<u8")
+
+
+def learn_index(vectors: np.ndarray, n: int, threshold: float, miss: float = 0.04, seed: int = 7) -> Index:
+    """An index for ``n`` vectors, from a sample of unit vectors.
+
+    Keys have log2(n) - MEMBERS bits, so that buckets stay as large as they are when the table grows; each table's key
+    takes its bits at random from the code. What a set of tables and the Hamming radius miss is measured on pairs made
+    at just the threshold (see ``pairs_at``; the worse sort counts) from that half of the sample that the rotations
+    haven't seen, and tables are added until it is ``miss`` at most.
+    If MOST_TABLES don't do, keys get shorter; without bits all vectors share a bucket, so recall never depends on n.
+    """
+    mean, matrix = learn_projection(vectors[::2])
+    index = Index(mean, matrix, np.zeros((1, 0), np.int64), CODE)
+    differ = [index.signs(a) != index.signs(b) for a, b in pairs_at(vectors[1::2] if len(vectors) > 1 else vectors, threshold)]
+    index.radius = int(max(np.quantile(d.sum(axis=1), 0.998) for d in differ))
+    for bits in range(max(0, round(math.log2(max(1, n))) - MEMBERS), -1, -1):
+        dice = np.random.default_rng([seed, bits])
+        missed, tables = [np.ones(len(d), bool) for d in differ], []
+        while len(tables) < MOST_TABLES:
+            tables.append(dice.permutation(CODE)[:bits])
+            missed = [m & d[:, tables[-1]].any(axis=1) for m, d in zip(missed, differ)]
+            if max((m | (d.sum(axis=1) > index.radius)).mean() for m, d in zip(missed, differ)) <= miss:
+                index.tables = np.array(tables, np.int64).reshape(len(tables), bits)
+                return index
+    return index
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -93,87 +122,123 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def candidates(code: np.ndarray, blk: np.ndarray, cross: bool, index: Index, masks: np.ndarray, table: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of one bucket within the Hamming radius that share no earlier table's key, in pieces of bounded size.
+
+    ``cross``: the members are of two blocks and only pairs between them count.
+    """
+    n = len(code)
+    for i0 in range(0, n, TILE):
+        for j0 in range(i0, n, TILE):
+            a, b = code[i0 : i0 + TILE], code[j0 : j0 + TILE]
+            far = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
+            i, j = np.nonzero(far <= index.radius)
+            i, j = i + i0, j + j0
+            fit = i < j
+            if cross:
+                fit &= blk[i] != blk[j]
+            i, j = i[fit], j[fit]
+            if table and len(i):
+                differ = code[i] ^ code[j]
+                fresh = np.ones(len(i), bool)
+                for m in masks[:table]:
+                    fresh &= (differ & m).any(axis=1)
+                i, j = i[fresh], j[fresh]
+            if len(i):
+                yield i, j
+
+
+TASK = ["dim", "key", "blk_a", "blk_b"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[tuple[int, int, tuple[int, int, int, int]]]]]:
+    """Frames of whole buckets with their codes and (first row, end, task) of each bucket of two members or more."""
+    for frame in whole_groups((b.to_pandas() for b in batches), TASK, rows):
+        k = frame[TASK].to_numpy()
+        edge = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
+        code = frame[["c0", "c1"]].to_numpy().view(np.uint64)
+        yield frame, code, [(lo, hi, tuple(k[lo].tolist())) for lo, hi in zip(edge.tolist(), edge[1:].tolist()) if hi - lo > 1]
+
+
 def embedding_groups(vectors: DataFrame, threshold: float = 0.9, sample: int = SAMPLE, block: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding).
 
-    Equal vectors are compared once and counted with their number. A rotation is learnt on at most ``sample`` distinct
-    vectors (picked by hash); all vectors are coded and indexed in every table. Keys grow with the table, so tables are
-    added until a pair at the threshold shares a key with a chance of 0.95 (see ``further_planes``). Vectors that share
-    a table's key are compared by cosine in double precision; a pair that meets in several tables counts in the first.
-    Large buckets are cut into blocks, and tasks return counts and a forest of links, never pairs. Links are never
-    false; recall is the share of pairs that share a key in some table.
+    Equal vectors are compared once and counted with their number. For each length of vectors an index is learnt on at
+    most ``sample`` distinct ones (picked by hash); all vectors are coded and entered in every table (see
+    ``learn_index``), as node and code, without the vector. Members of a bucket within the Hamming radius are
+    candidates; only those that have one fetch their vectors and are compared by cosine in double precision. A pair
+    that meets in several tables counts in the first. Large buckets are cut into blocks, and tasks return counts and a
+    forest of links, never pairs. Links are never false; recall is 0.95 or more of pairs just at the threshold.
 
-    Null and zero vectors and those with null or non-finite components link with nothing, nor does a vector of another
-    length than most. Repeated rows count as separate vectors; a null vec_id gets a row, is counted, and never names a
-    component. An empty table gives no rows.
+    Null, empty and zero vectors and those with null or non-finite components link with nothing; vectors link with
+    those of their own length only. Repeated rows count as separate vectors; a null vec_id gets a row, is counted, and
+    never names a component. An empty table gives no rows; further columns are ignored.
     """
-    value = F.col("embedding").cast("array<double>")
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    value = F.col("embedding").cast(f"array<{kind}>")
     good = value.isNotNull() & (F.size(value) > 0) & F.coalesce(F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(value, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.transform(value, lambda x: x + 0.0)).alias("v"))
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dim = sizes[0][0] if sizes else 0
-    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")))
+    zero = F.lit(0).cast(kind)  # adding it makes -0 and 0 equal
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, F.transform(value, lambda x: x + zero)).alias("v"))
     distinct = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    # node numbers the distinct vectors: a hash of the vector would do but for collisions, so it is the hash and the vector's rank among equals
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    picked = distinct.orderBy(F.xxhash64("v"), "node").limit(sample).select("v").toArrow().column("v").combine_chunks() if dim else None
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if picked is None or not len(picked):
-        return alone
-    seen = _unit(_matrix(picked, dim))
-    mean, rotations = learn_rotations(seen)
-    n = distinct.count()
-    bits = substring_bits(n)
-    planes = further_planes(seen, mean, rotations, bits, threshold)
-    learnt = distinct.sparkSession.sparkContext.broadcast((mean, rotations, bits, planes))  # dim squared numbers a rotation, dim numbers a further bit
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = sorted(distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect())  # a pair for each length
+    learnt = {}
+    for dim, n in sizes:
+        picked = distinct.where(F.size("v") == dim).orderBy(F.xxhash64("v"), "node").limit(sample).select("v").toArrow().column("v").combine_chunks()
+        learnt[dim] = learn_index(_unit(_matrix(picked, dim)), n, threshold)
+    shared = distinct.sparkSession.sparkContext.broadcast(learnt)  # CODE numbers for each axis of each length
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = _unit(_matrix(b.column(0), dim))
-            keys = table_keys(x, *learnt.value)
-            flat = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), a.shape[1]).cast(pa.list_(pa.from_numpy_dtype(a.dtype)))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), flat(x), flat(keys)], ["node", "copies", "x", "keys"])
-
-    coded = distinct.select("v", "node", "copies").mapInArrow(index, "node long, copies long, x array<double>, keys array<bigint>")
-    entries = coded.select("node", "copies", "x", "keys", F.posexplode("keys").alias("t", "key"))
-    entries = entries.withColumn("keys", F.slice("keys", F.lit(1), F.col("t")))  # those of the tables before
+            length = b.column(0).value_lengths().to_numpy()
+            for dim in np.unique(length).tolist():
+                own = b.filter(pa.array(length == dim))
+                index = shared.value[dim]
+                signs = index.signs(_unit(_matrix(own.column(0), dim)))
+                code = words_of_code(signs).view(np.int64)
+                for t in range(len(index.tables)):
+                    columns = [np.full(len(code), dim, np.int32), index.key(signs, t), None, code[:, 0], code[:, 1]]
+                    yield pa.RecordBatch.from_arrays([own.column(1) if c is None else pa.array(c) for c in columns], ["dim", "key", "node", "c0", "c1"])
+
+    entries = distinct.select("v", "node").mapInArrow(enter, "dim int, key long, node long, c0 long, c1 long")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*TASK, "blk", "node", "c0", "c1"]
+        masks = {dim: i.masks() for dim, i in shared.value.items()}
+        for frame, code, groups in _groups(batches, 1 << 16):
+            some = np.zeros(len(frame), bool)
+            blk = frame["blk"].to_numpy()
+            for lo, hi, (dim, key, a, b) in groups:
+                for i, j in candidates(code[lo:hi], blk[lo:hi], a != b, shared.value[dim], masks[dim], key >> 48):
+                    some[lo + i] = some[lo + j] = True
+            yield pa.RecordBatch.from_pandas(frame.loc[some, names], preserve_index=False)
+
+    task = "dim int, key long, blk_a int, blk_b int, blk int, node long, c0 long, c1 long"
+    chosen = block_tasks(entries, ["dim", "key"], "node", block).mapInArrow(choose, task)
+    fetched = chosen.join(distinct.select("node", "v", "copies"), "node").repartition(*TASK).sortWithinPartitions(*TASK)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["t", "key", "blk_a", "blk_b"]
-        for frame in whole_groups((b.to_pandas() for b in batches), names, 1 << 12):
-            k = frame[names].to_numpy()
-            edge = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
-            x, keys = np.stack(frame["x"].to_numpy()), frame["keys"].to_numpy()
+        masks = {dim: i.masks() for dim, i in shared.value.items()}
+        for frame, code, groups in _groups(batches, 1 << 12):
             node, copies, blk = (frame[c].to_numpy() for c in ("node", "copies", "blk"))
             links, parent = np.zeros(len(frame), np.int64), np.arange(len(frame))
-            for lo, hi in zip(edge, edge[1:]):
-                t, _, a, b = k[lo]
-                for i0 in range(lo, hi, 1024):  # bounded pieces of the group's cosine matrix
-                    i1 = min(hi, i0 + 1024)
-                    for j0 in range(i0, hi, 1024):
-                        j1 = min(hi, j0 + 1024)
-                        near = x[i0:i1] @ x[j0:j1].T >= threshold
-                        i, j = np.nonzero(near)
-                        i, j = i + i0, j + j0
-                        fit = (i < j) & ((a == b) | (blk[i] != blk[j]))
-                        i, j = i[fit], j[fit]
-                        if t and len(i):
-                            at, number = np.unique(np.concatenate([i, j]), return_inverse=True)
-                            before = np.stack(keys[at])
-                            one, two = number[: len(i)], number[len(i) :]
-                            first = np.ones(len(i), bool)
-                            for c in range(t):  # a column at a time, so that many tables take no more memory
-                                first &= before[one, c] != before[two, c]
-                            i, j = i[first], j[first]
-                        np.add.at(links, i, copies[j])
-                        np.add.at(links, j, copies[i])
-                        merge_labels(parent, i, j)
+            for lo, hi, (dim, key, a, b) in groups:
+                x = _unit(np.stack(frame["v"].to_numpy()[lo:hi]).astype(np.float64))
+                for i, j in candidates(code[lo:hi], blk[lo:hi], a != b, shared.value[dim], masks[dim], key >> 48):
+                    i0, j0 = int(i[0]) // TILE * TILE, int(j[0]) // TILE * TILE
+                    if 20 * len(i) > min(TILE, hi - lo) ** 2:
+                        near = (x[i0 : i0 + TILE] @ x[j0 : j0 + TILE].T)[i - i0, j - j0] >= threshold
+                    else:
+                        step = max(1, (1 << 20) // dim)
+                        near = np.concatenate([np.einsum("ij,ij->i", x[i[s : s + step]], x[j[s : s + step]]) for s in range(0, len(i), step)]) >= threshold
+                    i, j = i[near] + lo, j[near] + lo
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
+                    merge_labels(parent, i, j)
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[parent[some]])], ["node", "links", "root"])
 
-    found = written(block_tasks(entries, ["t", "key"], "node", block).mapInArrow(compare, "node long, links long, root long"), "links")
+    found = written(fetched.mapInArrow(compare, "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "_node")
     named = distinct.join(links, "node", "left").join(components, F.col("node") == F.col("_node"), "left").select("v", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("root"))

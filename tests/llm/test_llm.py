@@ -198,19 +198,40 @@ def test_embeddings_against_brute_force(spark):
     assert itq.embedding_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-@pytest.mark.parametrize("n", [10**4, 10**6, 10**8])
-def test_embedding_recall_does_not_fall_with_the_table(n):
+@pytest.mark.parametrize("n", [10**3, 10**5, 10**7, 10**9, 10**10])
+@pytest.mark.parametrize("dim", [2, 64, 200])
+def test_embedding_recall_does_not_fall_with_the_table(n, dim):
     dice = np.random.default_rng(4)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
-    x = unit(dice.normal(size=(2000, 64)))
+    x = unit(dice.normal(size=(2000, dim)))
     way = dice.normal(size=x.shape)
     way = unit(way - (way * x).sum(axis=1, keepdims=True) * x)
-    y = 0.905 * x + np.sqrt(1 - 0.905**2) * way
-    mean, rotations = itq.learn_rotations(unit(dice.normal(size=(1000, 64))))
-    bits = itq.substring_bits(n)
-    planes = itq.further_planes(unit(dice.normal(size=(1000, 64))), mean, rotations, bits, 0.9)
-    keys = [itq.table_keys(v, mean, rotations, bits, planes) for v in (x, y)]
-    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.9
+    y = 0.902 * x + np.sqrt(1 - 0.902**2) * way
+    index = itq.learn_index(unit(dice.normal(size=(1000, dim))), n, 0.9)
+    a, b = index.signs(x), index.signs(y)
+    meet = np.zeros(len(x), bool)
+    for t in range(len(index.tables)):
+        meet |= index.key(a, t) == index.key(b, t)
+    assert (meet & ((a != b).sum(axis=1) <= index.radius)).mean() >= 0.9
+
+
+def test_embeddings_of_any_length_link_among_themselves(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.2]), (4, [1.0, 1.0, 1.0]), (5, [2.0, 2.0, 2.0]), (6, []), (7, [5.0]), (None, [3.0]), (8, [-1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in itq.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True), 7: (1, 7, True), None: (1, 7, True), 8: (0, 8, True)}
+
+
+def test_large_buckets_of_embeddings_are_cut_into_blocks(spark):
+    dice = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(dice.normal(size=(1, 8)) + dice.normal(size=(150, 8)) * 0.12)]
+    rows += [(500 + i, rows[i][1]) for i in range(10)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    small, whole = (sorted(itq.embedding_groups(frame, block=b).collect()) for b in (16, 4096))
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
+    assert small == whole and 0.9 * sum(want) <= sum(r.n_links for r in small) <= sum(want)
+    assert all(r.n_links <= w for r, w in zip(small, want))
 
 
 def test_factorisation_machine_identity():
