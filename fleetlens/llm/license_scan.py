@@ -2,151 +2,223 @@
 
 from __future__ import annotations
 
+import json
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The four base phrases and their labels.
 BASE = [("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license")]
-#: (label, words before, mandatory key phrase, words behind) of every template.
-TEMPLATES = [
-    ("gpl", "licensed under the", "gnu general public license", "version 3"),
-    ("apache", "licensed under the", "apache license", "version 2 0"),
-    ("cc-by", "licensed under", "cc by", "4 0"),
-    ("mit", "released under the", "mit license", ""),
-    ("gpl-3", "licensed under the", "gnu general public license version 3", ""),
-    ("gpl-2", "licensed under the", "gnu general public license version 2", ""),
-    ("lgpl", "licensed under the", "gnu lesser general public license", "version 3"),
-    ("agpl", "licensed under the", "gnu affero general public license", "version 3"),
-    ("apache-2", "licensed under the", "apache license version 2 0", "the license you may not use this file"),
-    ("cc-by-nc", "licensed under", "cc by nc", "4 0"),
-    ("cc-by-sa", "licensed under", "cc by sa", "4 0"),
-    ("cc-by-nd", "licensed under", "cc by nd", "4 0"),
-    ("cc-by", "licensed under a", "creative commons attribution", "4 0 international license"),
-    ("cc0", "released under", "cc0 1 0", "universal"),
-    ("mit", "", "permission is hereby granted free of charge", "to any person obtaining a copy of this software"),
-    ("bsd", "", "redistribution and use in source and binary forms", "with or without modification are permitted"),
-    ("bsd", "released under the", "bsd license", ""),
-    ("mpl", "subject to the terms of the", "mozilla public license", "v 2 0"),
-    ("epl", "under the terms of the", "eclipse public license", "v 2 0"),
-    ("isc", "released under the", "isc license", ""),
-    ("public-domain", "this work is", "released into the public domain", ""),
+# Fixed values: (label, text, mandatory key phrases) of licence notices and bodies.
+LICENCES = [
+    ("gpl-3", "licensed under the GNU General Public License version 3", ["gnu general public license version 3"]),
+    ("gpl-2", "licensed under the GNU General Public License version 2", ["gnu general public license version 2"]),
+    ("lgpl", "licensed under the GNU Lesser General Public License version 3", ["gnu lesser general public license"]),
+    ("agpl", "licensed under the GNU Affero General Public License version 3", ["gnu affero general public license"]),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", ["apache license version 2 0"]),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0", ["cc by nc"]),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0", ["cc by sa"]),
+    ("cc-by-nd", "licensed under CC BY-ND 4.0", ["cc by nd"]),
+    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution"]),
+    ("cc0", "released under CC0 1.0 Universal", ["cc0 1 0"]),
+    ("bsd", "released under the BSD License", ["bsd license"]),
+    ("isc", "released under the ISC License", ["isc license"]),
+    ("public-domain", "This work is released into the public domain", ["released into the public domain"]),
+    ("epl", "under the terms of the Eclipse Public License v. 2.0", ["eclipse public license"]),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+        "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+        the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions
+        of the Software.""",
+        ["permission is hereby granted free of charge"],
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution.""",
+        ["redistribution and use in source and binary forms", "with or without modification are permitted"],
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies.""",
+        ["permission to use copy modify and or distribute this software for any purpose"],
+    ),
+    (
+        "apache-2",
+        """you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the
+        License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
+        the specific language governing permissions and limitations under the License.""",
+        ["you may not use this file except in compliance with the license", "apache org licenses license 2 0"],
+    ),
+    (
+        "gpl",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published
+        by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in
+        the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        ["redistribute it and or modify it under the terms of the gnu general public license"],
+    ),
+    (
+        "mpl",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+        file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+        ["mozilla public license"],
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+        means.""",
+        ["free and unencumbered software released into the public domain"],
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely""",
+        ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    ),
 ]
 RARE = 3
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _cut(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def templates() -> list[dict]:
+    """Base phrases and licences: key phrases and all words by their offset from the start of the first key phrase."""
+    out = []
+    for base, label, text, keys in [*((True, label, phrase, [phrase]) for label, phrase in BASE), *((False, *x) for x in LICENCES)]:
+        words, phrases = _cut(text), [_cut(k) for k in keys]
+        at = [next(i for i in range(len(words)) if words[i : i + len(p)] == p) for p in phrases]
+        first = min(at)
+        out.append({
+            "label": label, "base": base, "keys": [{"o": i - first, "w": p} for i, p in zip(at, phrases)],
+            "body": [{"o": i - first, "w": w} for i, w in enumerate(words)],
+        })
+    return out
+
+
 def _words(text: Column) -> Column:
     # lower() differs from lowering A-Z alone only in letters outside ASCII, which no phrase has, and it keeps them letters.
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NOT_WORD), "")
 
 
-def _strings(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words))
+def _fixed(value: object, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def licence_idf(docs: DataFrame) -> dict[str, float]:
     """Inverse document frequency of each key-phrase word over all documents: as many rows as there are such words."""
-    vocabulary = sorted({w for _, _, phrase, _ in TEMPLATES for w in phrase.split()})
-    seen = docs.select(F.explode(F.array_intersect(_words(F.col("text")), _strings(vocabulary))).alias("word"))
+    vocabulary = sorted({w for t in templates() for k in t["keys"] for w in k["w"]})
+    seen = docs.select(F.explode(F.array_distinct(F.filter(_words(F.col("text")), lambda w: w.isin(vocabulary)))).alias("word"))
     rows = {r[0]: r[1] for r in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = docs.count()
     return {w: math.log((total + 1) / (rows.get(w, 0) + 1)) for w in vocabulary}
 
 
+def rare_postings(idf: dict[str, float], rare: int) -> tuple[dict[str, list[dict]], list[int]]:
+    """The index: for each word the (template, offset) that it stands at among a template's ``rare`` rarest places, and how many these are."""
+    index: dict[str, list[dict]] = {}
+    needs = []
+    for number, t in enumerate(templates()):
+        places = [(k["o"] + i, w) for k in t["keys"] for i, w in enumerate(k["w"])]
+        chosen = sorted(places, key=lambda p: (-idf[p[1]], p[0]))[:rare]
+        for o, w in chosen:
+            index.setdefault(w, []).append({"t": number, "o": o})
+        needs.append(len(chosen))
+    return index, needs
+
+
 def scan_licenses(docs: DataFrame, carry: list[str] | None = None, rare: int = RARE) -> DataFrame:
     """Columns ``carry`` (default: doc_id) and n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
-    A template can only stand in a file that has all words of its key phrase. In such files the positions of each
-    template's rarest word (highest IDF over the corpus) are looked up; the next rare words must stand at their
-    positions relative to it; then the whole key phrase is verified word for word. Which words are rare steers the
-    search, never the result. ``places`` lists label, start and the share of the template's words, key phrase and
-    surroundings, that stand where the template has them; score is the largest such share, 0 without a place. Work is
-    linear in the text, and nothing but the word counts is shuffled.
+    A positional index holds, for each template, the places of the ``rare`` words of its key phrases that have the
+    highest IDF over the corpus. A file's words are looked up in it; each posting found votes for a template and a start,
+    and a start stays only if all of that template's rare words vote for it, each at its own distance. There all key
+    phrases are verified word for word. Which words are rare steers the search, never the result: a template that
+    stands has all its rare words in place. ``places`` lists label, start (of the first key phrase) and the share of
+    the template's words that stand where the template has them; score is the largest such share, 0 without a place.
+    Work is linear in the text, the plan doesn't grow with the templates, and nothing but word counts is shuffled.
 
     Null and empty texts have no words and no labels (empty strings) and null first_word and last_word; repeated rows
-    and null ids get a row each; an empty table gives no rows.
+    and null ids get a row each; an empty table gives no rows; columns not in ``carry`` are ignored, whatever their names.
     """
     carry = carry or ["doc_id"]
-    idf = licence_idf(docs)
-    found = []
-    plans = []
-    for label, before, phrase, after in TEMPLATES:
-        words = phrase.split()
-        order = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:rare]
-        plans.append((label, before.split(), words, after.split(), order))
-    anchors = sorted({p[2][p[4][0]] for p in plans})
-    vocabulary = sorted(idf)
+    index, needs = rare_postings(licence_idf(docs), rare)
+    posting = "struct<t:int,o:int>"
+    every = _fixed(templates(), "array<struct<label:string,base:boolean,keys:array<struct<o:int,w:array<string>>>,body:array<struct<o:int,w:string>>>>")
     frame = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), _words(F.col("text")).alias("_w"))
-    frame = frame.withColumn("_present", F.array_intersect("_w", _strings(vocabulary)))
-    able = [F.size(F.array_intersect("_present", _strings(sorted(set(p[2]))))) == len(set(p[2])) for p in plans]
-    any_able = able[0]
-    for a in able[1:]:
-        any_able = any_able | a
-    pairs = F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("p")))
-    none = F.array().cast("array<struct<w:string,p:int>>")
-    frame = frame.withColumn("_hits", F.when(any_able, F.filter(pairs, lambda h: F.array_contains(_strings(anchors), h["w"]))).otherwise(none))
-
-    def places(plan: tuple, ok: Column) -> Column:
-        label, before, words, after, order = plan
-        around = [(i - len(before), w) for i, w in enumerate(before)] + [(len(words) + i, w) for i, w in enumerate(after)]
-        anchor = order[0]
-
-        def stands(start: Column) -> Column:
-            test = start >= 0
-            for i in order[1:]:
-                test = test & (F.get("_w", start + i) == words[i])
-            return F.coalesce(test & (F.slice("_w", F.greatest(start, F.lit(0)) + 1, len(words)) == _strings(words)), F.lit(False))
-
-        def place(start: Column) -> Column:
-            hit = F.lit(len(words))
-            for i, w in around:
-                hit = hit + F.when(F.get("_w", start + i) == w, 1).otherwise(0)
-            return F.struct(F.lit(label).alias("label"), start.cast("long").alias("start"), (hit / F.lit(float(len(words) + len(around)))).alias("share"))
-
-        starts = F.transform(F.filter("_hits", lambda h: h["w"] == words[anchor]), lambda h: h["p"] - anchor)
-        return F.when(ok, F.transform(F.filter(starts, stands), place)).otherwise(F.array().cast("array<struct<label:string,start:bigint,share:double>>"))
-
-    found = [places(p, a) for p, a in zip(plans, able)]
-    frame = frame.withColumn("_base", F.concat(*found[: len(BASE)])).withColumn("places", F.concat("_base", *found[len(BASE) :]))
+    rare_words = sorted(index)
+    frame = frame.withColumn("_at", F.array_compact(F.transform("_w", lambda w, i: F.when(w.isin(rare_words), i))))
+    postings = _fixed(index, f"map<string,array<{posting}>>")
+    votes = F.flatten(F.transform("_at", lambda p: F.transform(F.try_element_at(postings, F.get("_w", p)), lambda x: F.struct(x["t"].alias("t"), (p - x["o"]).alias("s")))))
+    frame = frame.withColumn("_votes", F.array_sort(F.filter(votes, lambda v: v["s"] >= 0)))
+    need = _fixed(needs, "array<int>")
+    before = lambda i: F.get("_votes", i - 1)
+    # Equal votes stand together: the first of them at i and one more need - 1 places on mean that all rare words agree.
+    frame = frame.withColumn("_starts", F.filter("_votes", lambda v, i: ((i == 0) | (before(i) != v)) & F.coalesce(F.get("_votes", i + F.get(need, v["t"]) - 1) == v, F.lit(False))))
+
+    def stands(v: Column) -> Column:
+        return F.forall(F.get(every, v["t"])["keys"], lambda k: F.slice("_w", v["s"] + k["o"] + 1, F.size(k["w"])) == k["w"])
+
+    def place(v: Column) -> Column:
+        t = F.get(every, v["t"])
+        hit = F.size(F.filter(t["body"], lambda b: F.get("_w", v["s"] + b["o"]) == b["w"]))
+        return F.struct(t["label"].alias("label"), t["base"].alias("base"), v["s"].cast("long").alias("start"), (hit / F.size(t["body"])).alias("share"))
+
+    frame = frame.withColumn("_found", F.transform(F.filter("_starts", stands), place))
+    frame = frame.withColumn("_base", F.filter("_found", lambda x: x["base"]))
     start = F.transform("_base", lambda x: x["start"])
     names = lambda column: F.array_join(F.array_sort(F.array_distinct(F.transform(column, lambda x: x["label"]))), ",")
     return frame.select(
         *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)),
         F.size("_w").cast("long").alias("n_words"), F.size("_base").cast("long").alias("n_base"),
         F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
-        names("_base").alias("base_labels"), names("places").alias("labels"),
-        F.coalesce(F.array_max(F.transform("places", lambda x: x["share"])), F.lit(0.0)).alias("score"), "places",
+        names("_base").alias("base_labels"), names("_found").alias("labels"),
+        F.coalesce(F.array_max(F.transform("_found", lambda x: x["share"])), F.lit(0.0)).alias("score"),
+        F.transform("_found", lambda x: x.dropFields("base")).alias("places"),
     )
 
 
 def scan_sql() -> str:
-    """The same result as DuckDB SQL, from the same templates."""
-
-    def stands(words: list[str], at: str) -> str:
-        return " and ".join(f"w[{at} + {i + 1}] = '{x}'" for i, x in enumerate(words))
-
-    def one(label: str, before: str, phrase: str, after: str) -> str:
-        words, b, a = phrase.split(), before.split(), after.split()
-        around = [(i - len(b), x) for i, x in enumerate(b)] + [(len(words) + i, x) for i, x in enumerate(a)]
-        more = "".join(f" + case when i + {o + 1} > 0 and w[i + {o + 1}] = '{x}' then 1 else 0 end" for o, x in around)
-        return f"list_transform(list_filter(range(len(w)), lambda i: {stands(words, 'i')}), lambda i: {{'label': '{label}', 'start': i, 'share': ({len(words)}{more}) / {float(len(words) + len(around))}}})"
-
-    parts = [one(*t) for t in TEMPLATES]
-    every = lambda xs: "flatten([" + ", ".join(xs) + "])"
-    names = lambda c: f"array_to_string(list_sort(list_distinct(list_transform({c}, lambda x: x.label))), ',')"
+    """The same result as DuckDB SQL by another way: phrases are sought as strings in the joined words, no index, no rare words."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    strings = lambda xs: "[" + ", ".join(map(quote, xs)) + "]"
+    texts = [*((True, label, phrase, [phrase]) for label, phrase in BASE), *((False, *x) for x in LICENCES)]
+    rows = ",\n      ".join(f"({i}, {quote(label)}, {str(base).lower()}, {quote(' '.join(_cut(text)))}, {strings(keys)})" for i, (base, label, text, keys) in enumerate(texts))
     return f"""
-    with words as (
-      select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+    with licences(id, label, base, body, keys) as (values
+      {rows}
+    ), parts as (  -- words before the first key phrase, the phrases' own offsets from it
+      select id, label, base, string_split(body, ' ') as b, keys,
+        list_transform(keys, lambda k: len(string_split(substr(' ' || body || ' ', 1, instr(' ' || body || ' ', ' ' || k || ' ')), ' ')) - 2) as o from licences
+    ), words as (
+      select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
       from documents
+    ), able as (
+      select w.r, w.w, p.* from (select *, ' ' || array_to_string(w, ' ') || ' ' as s from words) w
+      join parts p on len(list_filter(p.keys, lambda k: not contains(w.s, ' ' || k || ' '))) = 0
+    ), tried as (
+      select *, unnest(range(len(w))) as i from able
+    ), places as (
+      select r, label, base, i, len(list_filter(range(len(b)), lambda j: i + j - list_min(o) >= 0 and w[i + j - list_min(o) + 1] = b[j + 1])) / cast(len(b) as double) as share
+      from tried where len(list_filter(range(len(keys)), lambda n: array_to_string(w[i + o[n + 1] - list_min(o) + 1 : i + o[n + 1] - list_min(o) + len(string_split(keys[n + 1], ' '))], ' ') = keys[n + 1])) = len(keys)
     ), found as (
-      select doc_id, w, {every(parts[: len(BASE)])} as base, {every(parts)} as places from words
+      select r, count(*) filter (base) as n_base, min(i) filter (base) as first_word, max(i) filter (base) as last_word, max(share) as score,
+        string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels from places group by r
     )
-    select doc_id, cast(len(w) as bigint) as n_words, cast(len(base) as bigint) as n_base,
-      cast(list_min(list_transform(base, lambda x: x.start)) as bigint) as first_word,
-      cast(list_max(list_transform(base, lambda x: x.start)) as bigint) as last_word,
-      {names("base")} as base_labels, {names("places")} as labels,
-      coalesce(list_max(list_transform(places, lambda x: x.share)), 0.0) as score
-    from found
+    select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(f.n_base, 0) as n_base, cast(f.first_word as bigint) as first_word, cast(f.last_word as bigint) as last_word,
+      coalesce(f.base_labels, '') as base_labels, coalesce(f.labels, '') as labels, coalesce(f.score, 0.0) as score
+    from words w left join found f using (r)
     """
