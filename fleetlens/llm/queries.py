@@ -65,27 +65,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP2_SQL = """
 with words as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+  select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
   from documents
 ), items as (
-  select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+  select item_id, row_number() over () as it, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
   from benchmark
 ), windows as (
-  select distinct item_id, m, array_to_string(w[i + 1 : i + m], ' ') as win
-  from (select item_id, w, least(13, len(w)) as m, unnest(range(greatest(1, len(w) - 12))) as i from items where len(w) > 0)
+  select item_id, it, i as j, m, array_to_string(w[i + 1 : i + m], ' ') as win
+  from (select item_id, it, w, least(13, len(w)) as m, unnest(range(greatest(1, len(w) - 12))) as i from items where len(w) > 0)
 ), grams as (
-  select doc_id, i, m, array_to_string(w[i + 1 : i + m], ' ') as win
-  from (select doc_id, w, m, unnest(range(len(w) - m + 1)) as i from words, (select distinct m from windows) where len(w) >= m)
+  select r, i, m, array_to_string(w[i + 1 : i + m], ' ') as win
+  from (select r, w, m, unnest(range(len(w) - m + 1)) as i from words, (select distinct m from windows) where len(w) >= m)
 ), found as (
-  select g.doc_id, g.i, g.m, w.item_id from grams g join windows w on g.m = w.m and g.win = w.win
+  select g.r, g.i, g.m, w.item_id, w.it, w.j from grams g join windows w on g.m = w.m and g.win = w.win
 ), hits as (
-  select doc_id, count(distinct p) as n_hit from (select distinct doc_id, i, unnest(range(i, i + m)) as p from found) group by doc_id
+  select r, count(distinct p) as n_hit from (select distinct r, unnest(range(i, i + m)) as p from found) group by r
 ), named as (
-  select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from found group by doc_id
+  select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from found group by r
+), matches as (  -- windows that follow each other in a document and an item are one match
+  select r, min(i) as at, count(*) + any_value(m) - 1 as n from (select *, i - row_number() over (partition by r, it, i - j, m order by i) as island from found) group by r, it, i - j, m, island
+), longest as (
+  select r, max(n) as n, arg_min(at, {'n': -n, 'at': at}) as at from matches group by r
 )
 select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(n.n_items, 0) as n_items,
-  sha256(coalesce(n.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(w.w) as contaminated
-from words w left join hits h using (doc_id) left join named n using (doc_id)
+  sha256(coalesce(n.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(w.w) as contaminated,
+  cast(coalesce(l.n, 0) as bigint) as longest_match, cast(l.at as bigint) as longest_at
+from words w left join hits h using (r) left join named n using (r) left join longest l using (r)
 """
 
 OP3_SQL = """
