@@ -84,11 +84,12 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 20, block:
     communication matrix, permutes its rows locally by dealing them a shuffled list of target blocks, the blocks are
     exchanged, and each block of at most ``block`` rows is permuted again. ``rows`` should be read straight from a
     table: its partitions must be the same in both passes, and a task fails if its count has changed. Repeated rows
-    and nulls are rows like any other; an empty table gives none. Columns named shard, slot or _block clash and are
-    refused.
+    and nulls are rows like any other; an empty table gives none. Columns of rows that are named shard or slot are
+    replaced; all others are kept, whatever their names.
     """
-    if clash := {"shard", "slot", "_block", "_dice", "_at"} & set(rows.columns):
-        raise ValueError(f"columns {sorted(clash)} clash")
+    rows = rows.drop("shard", "slot")
+    own = rows.columns
+    rows = rows.toDF(*(f"c{i}" for i in range(len(own))))  # no name can clash with those below
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = sum(b.num_rows for b in batches)
@@ -99,7 +100,7 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 20, block:
     blocks = block_sizes(int(counts.sum()), shards, block)
     capacity = np.array([n for _, _, n in blocks], np.int64)
     shard_of, first_of = (np.array([b[i] for b in blocks]) for i in (0, 1))
-    names = [*rows.columns, "_block", "shard", "_first", "_dice", "_at"]
+    names = [*rows.columns, "block", "shard", "first", "dice", "at"]
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in zip(names[-5:], (T.IntegerType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.LongType())))])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,15 +111,15 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 20, block:
         targets = dice.permutation(targets)
         done = 0
         for b in batches:
-            own = targets[done : done + b.num_rows]
-            if len(own) < b.num_rows:
+            mine = targets[done : done + b.num_rows]
+            if len(mine) < b.num_rows:
                 raise RuntimeError("the partition has more rows than were counted")
-            extra = [pa.array(own.astype(np.int32)), pa.array(shard_of[own].astype(np.int32)), pa.array(first_of[own].astype(np.int64)), pa.array(dice.random(len(own))), pa.array(np.arange(done, done + len(own)) + (part << 40))]
+            extra = [pa.array(mine.astype(np.int32)), pa.array(shard_of[mine].astype(np.int32)), pa.array(first_of[mine].astype(np.int64)), pa.array(dice.random(len(mine))), pa.array(np.arange(done, done + len(mine)) + (part << 40))]
             done += b.num_rows
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names)
         if done != n:
             raise RuntimeError("the partition has fewer rows than were counted")
 
-    again = Window.partitionBy("_block").orderBy("_dice", "_at")
-    placed = rows.mapInArrow(deal, schema).withColumn("slot", F.col("_first") + F.row_number().over(again) - 1)
-    return placed.select(*rows.columns, "shard", "slot")
+    again = Window.partitionBy("block").orderBy("dice", "at")
+    placed = rows.mapInArrow(deal, schema).withColumn("slot", F.col("first") + F.row_number().over(again) - 1)
+    return placed.select(*(F.col(c).alias(n) for c, n in zip(rows.columns, own)), "shard", "slot")
