@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import written
 
+FEW = 100_000  # rows of ids that are broadcast at most
 KINDS = ["email", "ip", "card", "phone"]
 # The kinds' patterns. Possessive repeats and the look-behind only keep the matcher from trying the same
 # run of signs again from each of its places; the leftmost match of such a run starts at its first sign anyway.
@@ -21,22 +24,45 @@ SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]{2,}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def folded(items: Column, kind: str, add: Callable[[Column, Column], Column]) -> Column:
+    """A fold of ``add`` over items with the state (at: int, out: ``kind``), which starts at 0 and empty.
+
+    Items are folded in blocks of about the square root of their number and a block's ``out`` is appended as a whole,
+    so that many items don't copy the growing array each.
+    """
+    none = F.array().cast(kind)
+
+    def block(acc: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), add, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    def run(x: Column) -> Column:
+        width = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(x).cast("double"))).cast("int"))
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / width).cast("int")), lambda i: F.slice(x, i * width + 1, width))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), block)
+
+    return let(items, run)
+
+
 def located(text: Column, pattern: str | Column) -> Column:
     """array<struct<s, e, v>>: start, end (code points, exclusive) and value of every match, leftmost, non-overlapping.
 
     Spark returns matches and the text between them; running lengths of both give the places.
     """
     pattern = F.lit(pattern)
-    hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+    found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
 
     def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
+        s = acc["at"] + x["g"]
         e = s + F.length(x["v"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    pairs = let(found, lambda f: F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["hits"])), f["hits"], lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))))
+    return folded(pairs, "array<struct<s:int,e:int,v:string>>", add)["out"]
 
 
 def _digits(v: Column) -> Column:
@@ -102,11 +128,13 @@ def disclosing(holding: DataFrame, docs: DataFrame, threshold: float, support: i
     """(doc_id, h, telling): the terms of each document that tell that one of its entities is there.
 
     Over all documents and whole texts: n(t, e) documents hold the term and the entity, n(t) the term, n(e) the entity,
-    of N. The measure is the mutual information log2(n(t,e) N / (n(t) n(e))) as a share of its largest value,
+    of N, where rows with equal doc_id and text count once. The measure is the mutual information log2(n(t,e) N / (n(t) n(e))) as a share of its largest value,
     -log2(n(t,e) / N); pairs that ``support`` documents share and that reach ``threshold`` (above 0) disclose. As n(t,e)
     is n(t) or n(e) at most, most pairs can't reach it by these two counts alone and are never formed.
     """
-    total = float(max(2, docs.count()))
+    units = written(docs.groupBy("doc_id", "h").agg(F.count("*").alias("rows")), "units")
+    n, repeated = units.agg(F.count("*"), F.count_if(F.col("rows") > 1)).first()
+    total = float(max(2, n))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.k") + 1)
     entities = written(holding.select("doc_id", "h", F.explode("found").alias("x")).select("doc_id", "h", _entity(kind, F.col("x.v")).alias("entity")).distinct(), "entities")
     spread = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
@@ -117,7 +145,12 @@ def disclosing(holding: DataFrame, docs: DataFrame, threshold: float, support: i
         return F.pow(F.lit(total), F.lit(1.0 - threshold)) * F.pow(low, F.lit(threshold)) * (1 + 1e-9)
 
     most = shared.agg(F.max("n_e")).first()[0] or 0
-    terms = docs.select(F.explode(_words(F.col("text").cast("string"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    share_of = F.lit(1.0)
+    if repeated:  # a row that stands there k times counts 1/k each time
+        again = units.where("rows > 1")
+        docs = _same(docs, F.broadcast(again) if repeated <= FEW else again)
+        share_of = 1.0 / F.coalesce("rows", F.lit(1))
+    terms = docs.select(F.explode(_words(F.col("text"))).alias("term"), share_of.alias("part")).groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_t"))
     terms = terms.where(F.col("n_t").between(support, F.greatest(F.lit(float(most)), reach(F.lit(float(most))))))
     own = holding.select("doc_id", "h", F.explode(_words(F.col("_t"))).alias("term")).where("term <> ''").distinct()
     own = own.join(terms, "term").withColumnsRenamed({"doc_id": "_doc_id", "h": "_h"})
@@ -131,7 +164,8 @@ def disclosing(holding: DataFrame, docs: DataFrame, threshold: float, support: i
 
 def _placed(holding: DataFrame, docs: DataFrame, threshold: float, support: int) -> DataFrame:
     """(doc_id, h, terms): every place of a document's telling terms that no base span covers already."""
-    places = _same(holding.dropDuplicates(["doc_id", "h"]), disclosing(holding, docs, threshold, support)).where("telling is not null")
+    plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    places = _same(holding.dropDuplicates(["doc_id", "h"]), disclosing(holding, plain, threshold, support)).where("telling is not null")
     # terms hold no sign with a meaning in patterns, so their spellings, set off from other signs of terms, are one
     spelt = F.filter(F.array_distinct(F.regexp_extract_all("_t", F.lit(TERM), F.lit(0))), lambda w: F.array_contains("telling", F.lower(w)))
     sign = TERM.removesuffix("{2,}")
@@ -174,23 +208,27 @@ def scan_pii(docs: DataFrame, threshold: float = 0.8, support: int = 2) -> DataF
 def sanitise(docs: DataFrame, threshold: float = 0.8, support: int = 2) -> DataFrame:
     """``docs`` with every span generalised to its kind in brackets; overlapping spans become the first one's kind.
 
-    Null texts stay null; n_chars, if there is such a column, is set to the new length.
+    Null and empty texts stay as they are; repeated rows stay repeated, each sanitised alike; null ids are matched as
+    equal; an empty table gives no rows; other columns are carried, whatever their names, but n_chars is set to the new
+    length where a text changes.
     """
     terms = _placed(written(find_base(docs).where(F.size("found") > 0), "spans"), docs, threshold, support)
+    # other columns are renamed, so that none clashes with those made here
+    marked = docs.toDF(*(c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("h", F.xxhash64(text))
+    marked = marked.withColumn("h", F.xxhash64(text))
     spans = F.concat(*(_of_kind(base_spans(F.col("text"), k), i) for i, k in enumerate(KINDS)))
     every = F.array_sort(F.concat(_without_value(spans), F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
     names = F.array(*(F.lit(f"[{k}]") for k in [*KINDS, "term"]))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
     def add(acc: Column, x: Column) -> Column:
         piece = F.array(F.substr(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.element_at(names, x["k"] + 1))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["s"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate("every", start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
+    whole = let(folded(F.col("every"), "array<string>", add), lambda x: F.concat(F.array_join(x["out"], ""), F.substr(F.col("text"), x["at"] + 1, F.length("text"))))
     frame = _same(marked, terms).withColumn("every", every)
     frame = frame.withColumn("text", F.when(F.size("every") > 0, whole).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        frame = frame.withColumn("n_chars", F.when(F.size("every") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return frame.select(*docs.columns)
+    names_of = dict(zip(docs.columns, marked.drop("h").columns))
+    if "n_chars" in names_of:
+        n = names_of["n_chars"]
+        frame = frame.withColumn(n, F.when(F.size("every") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return frame.select(*(F.col(m).alias(c) for c, m in names_of.items()))
