@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,16 +40,19 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, piece: int = 1 <<
     return int.from_bytes(np.packbits(2 * counts > len(raw), bitorder="little").tobytes(), "little")
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every document."""
+def with_fingerprint(docs: DataFrame, shingle: int = 3, digest: bool = False) -> DataFrame:
+    """(doc_id, fp long) of every document; with ``digest`` also the SHA-256 of its text in hex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            texts = utf8(b.column(1))
+            columns = [b.column(0), pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64), pa.int64())]
+            if digest:
+                columns.append(pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest"][: len(columns)])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, fp long")
+    return ids.mapInArrow(run, "doc_id long, fp long" + (", digest string" if digest else ""))
 
 
 def near_pairs(fps: np.ndarray, group: np.ndarray, blk: np.ndarray, cross: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -125,6 +129,14 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, block: int = 4096) -
     return block_tasks(rows, ["t", "key"], "fp", block).mapInArrow(run, "a long, b long")
 
 
+def grouped(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """(fp, rep, component_id) of the distinct fingerprints of prints (doc_id, fp): smallest doc_id of the fingerprint and of its group."""
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
+    components = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    named = distinct.join(components, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    return named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
+
+
 def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
@@ -134,18 +146,31 @@ def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFr
     columns are ignored. An empty table gives no rows.
     """
     prints = written(with_fingerprint(docs, shingle), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    distinct = written(distinct, "fps")
-    components = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    named = distinct.join(components, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select(
+    return prints.join(grouped(prints, radius).select("fp", "component_id"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; documents without an id stay."""
-    kept = simhash_groups(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """One document of each group, with its own columns: the smallest doc_id, then the smallest text.
+
+    A document is judged by its own fingerprint, so unlike texts under one doc_id are each kept or dropped with their
+    own group. Ids come before null; of rows with equal id and text the one stays whose
+    other columns come first as JSON. Null and empty texts form one group. An
+    empty table gives no rows; further columns are carried, whatever their names.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    mine = docs.toDF(*names).withColumnsRenamed({names[docs.columns.index(c)]: c for c in ("doc_id", "text")})
+    prints = written(with_fingerprint(mine, shingle, digest=True), "prints")
+    groups = grouped(prints, radius).select("fp", "root")
+    # The first document of each fingerprint, then of each group: no group is gathered in one place.
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")
+    first = prints.groupBy("fp").agg(F.min(order).alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    marked = mine.withColumn("_d", digest)
+    kept = marked.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")), "left_semi")
+    others = [c for c in mine.columns if c not in ("doc_id", "text")]
+    every = F.struct(*mine.columns)
+    one = F.min_by(every, F.to_json(F.struct(*others))) if others else F.first(every)  # combined before the shuffle
+    return kept.groupBy("doc_id", "_d").agg(one.alias("one")).select(*(F.col(f"one.{c}").alias(n) for c, n in zip(mine.columns, docs.columns)))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 pytest.importorskip("fleetlens.llm")
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,15 +48,79 @@ def test_licenses(docs, empty):
     assert license_scan.scan_licenses(docs).count() == len(TEXTS) and license_scan.scan_licenses(empty).count() == 0
 
 
+def test_licences_in_their_own_words(spark):
+    rows = [
+        (1, "Copyright 2020. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files", "mit"),
+        (2, "// Licensed under the Apache License, Version 2.0 (the License); apache license, Apache-License", "apache,apache-2"),
+        (3, "GNU General Public License " * 50, "gpl"), (4, "gnu general public gnu general public license license", "gpl"),
+        (5, "under CC BY-SA 4.0 or CC-BY-NC", "cc-by,cc-by-nc,cc-by-sa"), (6, "Permission is hereby granted free of", ""), (7, "charge free general license by cc", ""),
+        (8, "Redistribution and use in source and binary forms, with or without modification, are permitted provided", "bsd"),
+        (9, "Redistribution and use in source and binary forms are permitted", ""), (9, "MIT LICENSE mit license mit", "mit"), (None, "x" * 100_000 + " the GNU Lesser General Public License", "lgpl"),
+    ]
+    got = license_scan.scan_licenses(spark.createDataFrame([(i, t, t, 1) for i, t, _ in rows], "doc_id long, text string, _w string, places int"))
+    assert sorted((str(r.doc_id), r.labels) for r in got.collect()) == sorted((str(i), labels) for i, _, labels in rows)
+    many = {r.labels: r for r in got.where("doc_id in (3, 9)").collect()}
+    assert (many["gpl"].n_base, many["gpl"].first_word, many["gpl"].last_word) == (50, 0, 196) and (many["mit"].n_base, many["mit"].last_word) == (2, 2)
+    assert all(0 <= r.score <= 1 for r in got.collect()) and many["gpl"].score == 1.0
+
+
 def test_decontamination_in_one_or_many_blocks(spark, docs, empty):
     bench = spark.createDataFrame([(7, "word word word"), (8, "No id here"), (9, None), (10, "x")], "item_id long, text string")
     one = sorted(decontaminate.find_contamination(docs, bench).drop("runs").collect(), key=str)
-    many = sorted(decontaminate.find_contamination(docs, bench, block_bytes=1).drop("runs").collect(), key=str)
+    many = sorted(decontaminate.find_contamination(docs, bench, block_bytes=10).drop("runs").collect(), key=str)
     assert one == many
     got = {r.doc_id: r for r in one}
     assert (got[6].n_words, got[6].n_hit, got[6].items) == (5001, 5000, ["7"])
     assert got[None].contaminated and not got[2].contaminated
     assert decontaminate.find_contamination(empty, bench).count() == 0
+    clash = docs.select("doc_id", "text", F.lit(1).alias("n_hit"), F.lit("z").alias("text_"), F.lit(2).alias("c1"), F.lit(3).alias("contaminated"))
+    left = decontaminate.remove_contaminated(clash, bench)
+    assert left.columns == clash.columns and left.where("doc_id = 6 or doc_id is null").count() == 0 and left.where("contaminated = 3").count() == left.count() > 0
+
+
+def odd_texts(seed, n=60):
+    dice = np.random.default_rng(seed)
+    words = ["a", "b", "ab", "Ünd", "x1", "end"]
+    return [" ".join(dice.choice(words, size=int(dice.integers(0, 80)))) for _ in range(n)]
+
+
+def test_contamination_against_brute_force(spark):
+    items = [(i, t) for i, t in enumerate(odd_texts(1, 12))] + [(3, "a b"), (None, "x1 x1 end"), (20, "Ünd"), (21, None), (22, "only here")]
+    texts_ = odd_texts(2, 40) + [items[5][1] + " zzz " + items[6][1], None, "", "x1 x1 end", "q " * 30 + "a b", items[7][1], items[7][1]]
+    docs = [(i if i % 7 else None, t) for i, t in enumerate(texts_)]
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w]
+    want = []
+    for i, t in docs:
+        w, hit, ids, best = cut(t), set(), set(), (0, 0)
+        for item, u in items:
+            v = cut(u)
+            m = min(13, len(v))
+            for j in range(max(0, len(v) - m + 1) if v else 0):
+                for s in range(len(w) - m + 1):
+                    if w[s : s + m] == v[j : j + m]:
+                        hit.update(range(s, s + m))
+                        ids.add(item)
+                        n = m
+                        while m == 13 and s + n < len(w) and j + n < len(v) and w[s + n] == v[j + n]:
+                            n += 1
+                        best = min(best, (-n, s))
+        names = sorted(str(x) for x in ids if x is not None)
+        digest = hashlib.sha256(",".join(names).encode()).hexdigest()
+        want.append((i, len(w), len(hit), len(names), digest, len(hit) > 0 and 20 * len(hit) >= len(w), -best[0], best[1] if hit else None))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for bytes_, shards in ((400, (1,)), (1 << 20, (100, 1 << 18))):
+        for shard in shards:
+            got = decontaminate.find_contamination(frame, bench, block_bytes=bytes_, shard_words=shard).drop("runs", "items").collect()
+            assert sorted(map(tuple, got), key=str) == sorted(want, key=str), (bytes_, shard)
+
+
+def test_longest_matches_against_brute_force(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    items = [(1, long), (2, "p q r"), (3, " ".join(f"w{i}" for i in range(20, 45)) + " other")]
+    docs = [(7, "x " + " ".join(f"w{i}" for i in range(5, 40)) + " y"), (8, " ".join(f"w{i}" for i in range(5, 40))), (9, " ".join(f"w{i}" for i in range(18, 60))), (10, "w1 w2 w3")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.longest_matches(*frames, shard_words=1).collect()))
+    assert got == [("1", 5, 35, 7, 1), ("1", 18, 42, 9, 0), ("3", 0, 25, 9, 2)]
 
 
 def test_word_bpe_is_the_library(docs, empty):
@@ -92,6 +157,8 @@ def test_sharding_is_exact(spark, docs, empty):
     got = sharding.shuffle_into_shards(rows, 8, block=50).toPandas()
     assert sorted(got.id) == list(range(1003)) and set(got.groupby("shard").size()) <= {125, 126}
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    clash = docs.withColumns({c: F.lit(1) for c in ("shard", "slot", "_first", "block", "first", "_block", "c0")})
+    assert sorted(sharding.shuffle_into_shards(clash, 3).columns) == sorted(clash.columns) and sorted(r.slot for r in sharding.shuffle_into_shards(clash, 1).collect()) == list(range(len(TEXTS)))
     assert sharding.shuffle_into_shards(docs.select("doc_id")).count() == len(TEXTS) and sharding.shuffle_into_shards(empty.select("doc_id")).count() == 0
 
 
@@ -141,9 +208,9 @@ def test_terms_that_disclose_against_brute_force(spark):
     lower = lambda t: {w.lower() for w in word.findall(t or "")}
     texts_of = dict(rows)
     holds = {i: {f"{k}:{texts_of[i][s:e].lower()}" for k, s, e in x} for i, x in base.items()}
-    n = len(rows)
+    n = len(set(rows))
     n_t = {}
-    for _, t in rows:
+    for _, t in set(rows):
         for w in lower(t):
             n_t[w] = n_t.get(w, 0) + 1
     want = {}
@@ -157,6 +224,11 @@ def test_terms_that_disclose_against_brute_force(spark):
                     telling.add(w)
         want[i] = [(m.start(), m.end()) for m in word.finditer(t or "") if m.group().lower() in telling and not any(s < m.end() and m.start() < e for _, s, e in base[i])]
     assert {i: [(int(s), int(e)) for k, s, e in x if k == "term"] for i, x in found.items()} == want
+    six = docs
+    for _ in range(5):
+        six = six.unionByName(docs)
+    again = {(r.doc_id, r.spans) for r in pii.scan_pii(six).collect()}
+    assert again == {(i, ",".join(map(":".join, x))) for i, x in found.items()}
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[1].startswith("[term] first.") and clean[1].endswith("[term] and [term], zanzibars") and clean[None].endswith("[term], [term]")
 
@@ -165,6 +237,38 @@ def test_simhash_groups(spark, docs, empty):
     got = {r.doc_id: r for r in simhash.simhash_groups(docs).collect()}
     assert got[2].fingerprint == "0" * 16 and {got[i].component_id for i in (2, 3, 4)} == {2}
     assert simhash.keep_one(docs).where("doc_id = 8").count() == 1 and simhash.simhash_groups(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
+
+
+def test_keep_one_judges_each_text(spark):
+    far = [" ".join(f"{c}{i * 7 % 97}" for i in range(60)) for c in "abcd"]
+    rows = [(1, far[0], "u"), (1, far[1], "v"), (2, far[0], "w"), (3, far[2], "y"), (3, far[2], "x"), (None, far[3], "p"), (None, far[3], "p"), (5, far[3], "q"), (None, far[0] + "", "n"), (6, None, "e"), (7, "", "f")]
+    frame = spark.createDataFrame([(i, t, s, 1, 2) for i, t, s in rows], "doc_id long, text string, _d string, _c0 int, fp int")
+    got = simhash.keep_one(frame)
+    assert got.columns == frame.columns
+    assert sorted((str(r.doc_id), r._d) for r in got.collect()) == [("1", "u"), ("1", "v"), ("3", "x"), ("5", "q"), ("6", "e")]
+
+
+@pytest.mark.parametrize("radius", [0, 2])
+def test_fingerprints_and_groups_against_brute_force(spark, radius):
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    def fingerprint(text):
+        words = re.sub("[A-Z]", lambda m: m.group().lower(), text or "").encode()
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", words) if w]
+        shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 3 else [b" ".join(words)] if words else []
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    fps = {r.doc_id: fingerprint(r.text) for r in rows}
+    root = {i: i for i in fps}
+    for a in fps:
+        for b in fps:
+            if bin(fps[a] ^ fps[b]).count("1") <= radius and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    got = (queries.op9_simhash_dedup(spark, d) if radius == 2 else simhash.simhash_groups(spark.read.parquet(f"{d}/documents.parquet"), radius)).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", root[i]) for i in fps}
 
 
 def test_bit_planes_find_every_pair():
