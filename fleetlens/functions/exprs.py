@@ -28,7 +28,7 @@ CREDENTIALS = [
     (r"(?i)(://[^:/@\s]+:)[^@\s]+@", "$1***@"),
 ]
 # What a log template masks, in this order.
-MASKS = [r"'[^']*'|\"[^\"]*\"", r"\b[0-9A-Fa-f]+/[0-9A-Fa-f]+\b", r"\b0x[0-9A-Fa-f]+\b|\b[0-9A-Fa-f]{8,}\b", r"\b\d+(?:\.\d+)?\b"]
+MASKS = [r"'[^']*'|\"[^\"]*\"", r"\b[0-9a-fA-F]+/[0-9a-fA-F]+\b", r"\b0x[0-9a-fA-F]+\b", r"\d+(?:\.\d+)?"]
 
 
 def sanitize(text: Column) -> Column:
@@ -40,7 +40,7 @@ def sanitize(text: Column) -> Column:
 
 def mask_template(text: Column, placeholder: str = "<*>") -> Column:
     """The template of a log line: white space collapsed, then quoted strings, log positions, hex and numbers masked."""
-    text = F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = F.trim(F.regexp_replace(text, r"[\s\x85\p{Z}]+", " "))
     for pattern in MASKS:
         text = F.regexp_replace(text, pattern, placeholder)
     return text

@@ -5,49 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """df, computed and cut from its lineage: in the checkpoint folder if there is one, else on the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+from fleetlens.functions.store import settled
 
 
 def root_of(edges: DataFrame, key: list[str] | None = None) -> DataFrame:
     """(key, child, root, level) of every child of a forest of edges (key, child, parent).
 
-    Pointer doubling: each round lets every node jump as far again as it has come, until none moves, so a forest of d
-    levels takes log2(d) joins and one. Nodes on a cycle end at the node their jumps lead to, once these are longer
-    than any path can be.
+    Pointer doubling: each round lets every node jump as far again as it has come, and is written, so that a round reads
+    the one before twice; a forest of d levels takes log2(d) rounds and one. Nodes on a cycle, and those below one, have
+    no root: root and level are null.
     """
     key = key or []
-    jump = _settled(edges.select(*key, "child", F.col("parent").alias("root"), F.lit(1).alias("level")))
-    for _ in range(jump.count().bit_length()):
+    jump = settled(edges.select(*key, "child", F.col("parent").alias("root"), F.lit(1).cast("long").alias("level"), F.lit(True).alias("moved")), "jump")
+    for _ in range(jump.count().bit_length() + 1):
         up = jump.select(*key, F.col("child").alias("root"), F.col("root").alias("_up"), F.col("level").alias("_more"))
-        moved = jump.join(up, [*key, "root"], "left").select(*key, "child", F.coalesce("_up", "root").alias("root"), (F.col("level") + F.coalesce("_more", F.lit(0))).alias("level"), F.col("_more").isNotNull().alias("_moved"))
-        moved = _settled(moved)
-        jump = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
+        far = jump.join(up, [*key, "root"], "left")
+        jump = settled(far.select(*key, "child", F.coalesce("_up", "root").alias("root"), (F.col("level") + F.coalesce("_more", F.lit(0))).alias("level"), F.col("_up").isNotNull().alias("moved")), "jump")
+        if jump.where("moved").isEmpty():
             break
-    return jump
+    # After as many rounds as any path can take, only what stands on a cycle or leads to one still moves.
+    return jump.select(*key, "child", *(F.when(~F.col("moved"), F.col(c)).alias(c) for c in ("root", "level")))
 
 
-def lock_tree(waits: DataFrame, key: list[str], depth: int | None = None) -> DataFrame:
-    """(key, pid, root, level, path) from waits (key, pid, blocker): who waits for whom, from blockers that don't wait.
+def lock_tree(waits: DataFrame, key: list[str]) -> DataFrame:
+    """(key, pid, root, level, path, blocked) from waits (key, pid, blocker): who waits for whom, from blockers that don't wait.
 
-    One join for each level, until a level is empty or ``depth`` is reached, if it is given; a pid that already stands
-    on its path ends the branch, so cycles do too.
+    One join for each level, each written, until a level is empty. A pid that already stands on its path ends the branch,
+    so cycles do too. ``blocked`` counts the distinct pids below a pid in all trees of its key.
     """
+    waits = settled(waits.select(*key, "pid", "blocker").distinct(), "waits")
     waiting = waits.select(*key, F.col("pid").alias("blocker")).distinct()
     roots = waits.select(*key, "blocker").distinct().join(waiting, [*key, "blocker"], "left_anti")
-    level = roots.select(*key, F.col("blocker").alias("pid"), F.col("blocker").alias("root"), F.lit(0).alias("level"), F.array("blocker").alias("path"))
+    level = settled(roots.select(*key, F.col("blocker").alias("pid"), F.col("blocker").alias("root"), F.lit(0).alias("level"), F.array("blocker").alias("path")), "level")
     out = level
-    done = 0
-    while depth is None or done < depth:
-        below = level.select(*key, F.col("pid").alias("blocker"), "root", "level", "path")
-        level = waits.join(below, [*key, "blocker"]).where(~F.array_contains("path", F.col("pid"))).select(*key, "pid", "root", (F.col("level") + 1).alias("level"), F.concat("path", F.array("pid")).alias("path"))
-        done += 1
-        if depth is None:
-            level = _settled(level)
-            if level.isEmpty():
-                break
+    while True:
+        above = level.select(*key, F.col("pid").alias("blocker"), "root", "level", "path")
+        below = waits.join(above, [*key, "blocker"]).where(~F.array_contains("path", F.col("pid")))
+        level = settled(below.select(*key, "pid", "root", (F.col("level") + 1).alias("level"), F.concat("path", F.array("pid")).alias("path")), "level")
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
-    return out
+    below = out.select(*key, F.col("pid").alias("_below"), F.explode("path").alias("pid")).where("pid <> _below")
+    counts = below.groupBy(*key, "pid").agg(F.count_distinct("_below").alias("blocked"))
+    return out.join(counts, [*key, "pid"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(0)))

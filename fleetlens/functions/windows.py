@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.functions.store import settled
+
 
 def top_n(df: DataFrame, part: list[str], by: list[Column], n: int, rank: str = "rn") -> DataFrame:
     """The first n rows of each group; the literal bound lets Spark cut groups before the shuffle."""
@@ -30,19 +32,42 @@ def topn_any(df: DataFrame, part: list[str], key: list[str], metrics: list[str],
 
 
 def with_shares(df: DataFrame, metrics: list[str], part: list[str], whole: list[str]) -> DataFrame:
-    """Each metric's percentage of its group's sum (<m>_pct) and of the wider group's (<m>_total_pct), null where the sum is 0."""
+    """Each metric's percentage of its group's sum (<m>_pct) and of the wider group's (<m>_total_pct), null where the sum is 0.
+
+    Sums are aggregated before the shuffle and looked up, so that no group's rows come together in one task.
+    """
     for suffix, keys in (("pct", part), ("total_pct", whole)):
-        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        for m in metrics:
-            total = F.sum(m).over(w)
-            df = df.withColumn(f"{m}_{suffix}", F.when(total != 0, 100.0 * F.col(m) / total))
+        sums = F.struct(*(F.sum(m).alias(m) for m in metrics)).alias("_sums")
+        if keys:
+            totals = df.groupBy(*keys).agg(sums).withColumnsRenamed({k: f"_{k}" for k in keys})
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            df = df.join(totals, same).drop(*(f"_{k}" for k in keys))
+        else:
+            df = df.withColumn("_sums", df.agg(sums).scalar())
+        df = df.withColumns({f"{m}_{suffix}": F.when(F.col("_sums")[m] != 0, 100.0 * F.col(m) / F.col("_sums")[m]) for m in metrics}).drop("_sums")
     return df
 
 
+def running_total(df: DataFrame, part: list[str], order: str, weight: str, total: str = "running") -> DataFrame:
+    """df with the sum of ``weight`` over all rows of the group up to and with this one, by ``order`` (unique in a group).
+
+    Rows are put in range partitions by group and order; a small table of the partitions' sums tells what stands before
+    each, so that a group may span many tasks.
+    """
+    ranged = settled(df.repartitionByRange(*part, order).withColumn("_p", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy(*part, "_p").agg(F.sum(weight).alias("_s"))  # a row for each group in each partition
+    before = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_s")
+    own = F.sum(weight).over(Window.partitionBy(*part, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn(total, own).join(before, [*part, "_p"]).withColumn(total, F.col(total) + F.coalesce("_before", F.lit(0))).drop("_p", "_before")
+
+
 def nearest_rank(df: DataFrame, part: list[str], value: str, at: list[float]) -> DataFrame:
-    """(part, q, value): the value at rank max(1, ceil(q n - 1e-9)) of each group, for each q of ``at``."""
-    w = Window.partitionBy(*part)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    picks = F.array(*(F.struct(F.lit(q).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_n") - 1e-9)).alias("r")) for q in at))
-    hit = F.filter(picks, lambda p: p["r"] == F.col("_r"))
-    return ranked.select(*part, F.col(value).alias("value"), F.explode(hit).alias("p")).select(*part, F.col("p.q").alias("q"), "value")
+    """(part, q, value): the value at rank max(1, ceil(q n - 1e-9)) of each group, for each q of ``at``; from counts of equal values."""
+    counts = df.groupBy(*part, F.col(value).alias("value")).agg(F.count("*").alias("_n"))
+    ranked = running_total(counts, part, "value", "_n", "_last")
+    ranked = ranked.join(ranked.groupBy(*part).agg(F.sum("_n").alias("_all")), part)
+    picks = F.array(*(F.struct(F.lit(q).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_all") - 1e-9)).alias("r")) for q in at))
+    hit = F.filter(picks, lambda p: (p["r"] > F.col("_last") - F.col("_n")) & (p["r"] <= F.col("_last")))
+    return ranked.select(*part, "value", F.explode(hit).alias("p")).select(*part, F.col("p.q").alias("q"), "value")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.graph import root_of
+from fleetlens.functions.store import settled
 from fleetlens.functions.windows import top_n
 
 SYSTEM = ["pg_catalog", "information_schema"]
@@ -125,31 +126,35 @@ def covered(drafts: DataFrame, indexes: DataFrame, key: list[str]) -> DataFrame:
     An index answers if its first columns hold the draft's equality columns in any order and then the rest in place, or
     if it is unique and all its columns are tested for equality. A partial index must have the same predicate.
     """
-    live = indexes.where("method = 'btree' and valid").select(*key, "relid", F.col("columns").alias("has"), F.col("unique").alias("_unique"), F.col("predicate").alias("_where"))
+    live = indexes.where("method = 'btree' and valid").groupBy(*key, "relid").agg(F.collect_list(F.struct(F.col("columns").alias("has"), "unique", F.col("predicate").alias("only"))).alias("_live"))  # a relation's own indexes
     n = F.coalesce(F.expr("array_position(transform(columns, c -> array_contains(equality, c)), false)"), F.lit(0))
-    head = F.when(n == 0, F.size("columns")).otherwise((n - 1).cast("int"))
-    prefix = F.expr("slice(has, 1, _head)"), F.expr("slice(columns, 1, _head)")
-    tail = F.expr("slice(has, _head + 1, size(columns) - _head) = slice(columns, _head + 1, size(columns) - _head)")
-    same_rows = (F.size("_where") == 0) | (F.col("_where") == F.col("predicate"))
-    by_key = (F.size("has") >= F.size("columns")) & (F.size(F.array_except(*prefix)) == 0) & tail
-    by_unique = F.col("_unique") & (F.size("has") > 0) & (F.size(F.array_except("has", "equality")) == 0)
-    rows = drafts.where("reason is null").withColumn("_head", head)
-    hit = rows.join(live, [*key, "relid"]).where(same_rows & (by_key | by_unique)).select(*key, "relid", "fingerprint").distinct()
-    return rows.drop("_head").join(hit, [*key, "relid", "fingerprint"], "left_anti")
+    rows = drafts.where("reason is null").withColumn("_head", F.when(n == 0, F.size("columns")).otherwise((n - 1).cast("int")))
+
+    def answers(i: Column) -> Column:
+        first, rest = F.lit(1), F.size("columns") - F.col("_head")
+        prefix = F.size(F.array_except(F.slice(i["has"], first, F.col("_head")), F.slice("columns", first, F.col("_head")))) == 0
+        tail = F.slice(i["has"], F.col("_head") + 1, rest) == F.slice("columns", F.col("_head") + 1, rest)
+        by_key = (F.size(i["has"]) >= F.size("columns")) & prefix & tail
+        by_unique = i["unique"] & (F.size(i["has"]) > 0) & (F.size(F.array_except(i["has"], "equality")) == 0)
+        return ((F.size(i["only"]) == 0) | (i["only"] == F.col("predicate"))) & (by_key | by_unique)
+
+    return rows.join(live, [*key, "relid"], "left").where(~F.coalesce(F.exists("_live", answers), F.lit(False))).drop("_live", "_head")
 
 
 def merge_prefixes(drafts: DataFrame, key: list[str]) -> DataFrame:
     """V9: one candidate for each key; a key that begins another with the same predicate goes into the longest such, ties by name.
 
-    Each draft yields its prefixes (a key is short), so containers are found by an equi-join.
+    Each draft yields its prefixes (a key is short), so containers are found by an equi-join. Drafts and candidates are
+    written, as what follows reads them more than once.
     """
-    rows = drafts.withColumn("predicate", F.array_join("predicate", ","))
+    rows = settled(drafts.withColumn("predicate", F.array_join("predicate", ",")), "drafts")
     keys = rows.select(*key, "relid", "predicate", "columns").distinct()
     longer = keys.select(*key, "relid", "predicate", F.col("columns").alias("whole"), F.explode(F.transform(F.sequence(F.lit(1), F.size("columns")), lambda n: F.slice("columns", F.lit(1), n))).alias("columns"))
     target = longer.groupBy(*key, "relid", "predicate", "columns").agg(F.min_by("whole", F.struct((-F.size("whole")).alias("n"), F.array_join("whole", ",").alias("c"))).alias("whole"))
     moved = rows.join(target, [*key, "relid", "predicate", "columns"])
-    return moved.groupBy(*key, "relid", "predicate", F.col("whole").alias("columns")).agg(
+    merged = moved.groupBy(*key, "relid", "predicate", F.col("whole").alias("columns")).agg(
         F.sort_array(F.collect_set("fingerprint")).alias("fingerprints"), F.bool_or("stats_missing").alias("stats_missing"), F.bool_or("wide").alias("wide"))
+    return settled(merged, "candidates")
 
 
 def weights(candidates: DataFrame, workload: DataFrame, key: list[str]) -> DataFrame:
@@ -164,6 +169,7 @@ def weights(candidates: DataFrame, workload: DataFrame, key: list[str]) -> DataF
 
 def warnings(candidates: DataFrame, catalog: DataFrame, indexes: DataFrame, key: list[str]) -> DataFrame:
     """What speaks against a candidate, as a list of codes; similar indexes hold all its columns behind others."""
+    candidates = settled(candidates, "weighed")
     live = indexes.where("method = 'btree' and valid").select(*key, "relid", "name", F.col("columns").alias("_has"))
     held = candidates.join(live, [*key, "relid"]).where(F.size(F.array_except("columns", "_has")) == 0).groupBy(*key, "relid", "predicate", "columns").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("similar"))
     count = indexes.groupBy(*key, "relid").agg(F.count("*").alias("_indexes"))

@@ -107,41 +107,91 @@ def health_score(raw: DataFrame, key: list[str], weights: dict[str, float] | Non
     return raw.select(*key, critical.alias("critical")).join(scores, key).select(*key, "critical", F.when(F.col("critical"), F.least(score, F.lit(30.0))).otherwise(score).alias("score"))
 
 
-# Rule, category, metric, bounds of high, medium and low, and whether small values are bad.
+# Rule, category, metric, bounds of high, medium and low (null: none), whether small values are bad, and what the shown value is multiplied by.
 RULES = [
-    ("connection_ratio", "connections", "conn_ratio", 0.95, 0.80, 0.60, False), ("idle_in_tx", "connections", "idle_in_tx", 10.0, 5.0, 2.0, False),
-    ("long_tx", "connections", "longest_tx_s", 1800.0, 600.0, 300.0, False), ("cache_hit", "performance", "cache_hit_pct", 85.0, 90.0, 95.0, True),
-    ("max_dead", "storage", "dead_max_pct", 30.0, 20.0, 10.0, False), ("avg_dead", "storage", "dead_avg_pct", 25.0, 15.0, 5.0, False),
-    ("bloated", "storage", "bloated_tables", 20.0, 10.0, 5.0, False), ("lag_s", "replication", "replica_lag_s", 30.0, 5.0, 1.0, False),
-    ("lag_mb", "replication", "replica_lag_mb", 1024.0, 100.0, 10.0, False), ("xid", "maintenance", "xid_age", 1.6e9, 2e8, 1.5e8, False),
-    ("backlog", "maintenance", "vacuum_backlog", 30.0, 15.0, 6.0, False), ("never_vacuumed", "maintenance", "never_vacuumed", 5.0, 2.0, 1.0, False),
-    ("horizon", "horizon", "horizon_age", 1e8, 1e7, 1e6, False), ("lock_waiters", "locks", "lock_waiters", 10.0, 3.0, 1.0, False),
-    ("lock_wait", "locks", "lock_wait_s", 60.0, 30.0, 10.0, False), ("ungranted", "locks", "ungranted", 15.0, 5.0, 2.0, False),
-    ("lock_pool", "locks", "lock_pool", 0.8, 0.6, 0.5, False), ("hot", "storage", "hot_ratio", 0.5, 0.65, 0.8, True),
-    ("newpage", "storage", "newpage_ratio", 0.2, 0.1, 0.05, False), ("stale_stats", "maintenance", "stale_stats", 10.0, 5.0, 3.0, False),
-    ("load", "connections", "load_per_cpu", 4.0, 2.0, 1.0, False), ("pooler", "connections", "pooler_used", 0.8, 0.6, 0.5, False),
-    ("latency", "performance", "latency_ratio", 6.0, 3.0, 1.5, False), ("seqscan", "performance", "seqscan_ratio", 6.0, 3.0, 1.5, False),
-    ("disk", "storage", "disk_used", 0.9, 0.8, 0.7, False),
+    ("high_connection_ratio", "connections", "conn_ratio", 0.95, 0.80, 0.60, False, 1.0),
+    ("idle_in_transaction", "connections", "idle_in_tx", 10.0, 5.0, 2.0, False, 1.0),
+    ("long_running_transaction", "connections", "longest_tx_s", 1800.0, 600.0, 300.0, False, 1.0),
+    ("low_cache_hit_ratio", "performance", "graded_cache_hit_pct", 85.0, 90.0, 95.0, True, 1.0),
+    ("high_max_dead_ratio", "storage", "dead_max_pct", 30.0, 20.0, 10.0, False, 1.0),
+    ("high_avg_dead_ratio", "storage", "dead_avg_pct", 25.0, 15.0, 5.0, False, 1.0),
+    ("many_bloated_tables", "storage", "bloated_tables", 20.0, 10.0, 5.0, False, 1.0),
+    ("replication_lag_time", "replication", "replica_lag_s", 30.0, 5.0, 1.0, False, 1.0),
+    ("replication_lag_bytes", "replication", "replica_lag_mb", 1024.0, 100.0, 10.0, False, 1048576.0),
+    ("disconnected_replicas", "replication", "replicas_lost", 2.0, 1.0, None, False, 1.0),
+    ("xid_wraparound_risk", "maintenance", "xid_age", 1.6e9, 2e8, 1.5e8, False, 1.0),
+    ("stale_vacuum", "maintenance", "vacuum_overdue_days", 60.0, 21.0, 7.0, False, 24.0),
+    ("vacuum_backlog", "maintenance", "vacuum_backlog", 30.0, 15.0, 6.0, False, 1.0),
+    ("tables_never_vacuumed", "maintenance", "never_vacuumed", 5.0, 2.0, 1.0, False, 1.0),
+    ("autovacuum_disabled", "maintenance", "autovacuum_off", 1.0, None, None, False, 0.0),
+    ("track_counts_disabled", "maintenance", "track_counts_off", 1.0, None, None, False, 0.0),
+    ("tables_with_autovacuum_off", "maintenance", "autovac_off_tables", None, None, 1.0, False, 1.0),
+    ("relfrozenxid_age_outlier", "maintenance", "relfrozenxid_age", 1.6e9, 2e8, 1.5e8, False, 1.0),
+    ("horizon_lag_xids", "horizon", "horizon_age", 1e8, 1e7, 1e6, False, 1.0),
+    ("requested_checkpoint_ratio", "wal_checkpoint", "checkpoint_ratio", 0.20, 0.10, 0.05, False, 1.0),
+    ("track_io_timing_disabled", "performance", "io_timing_off", None, None, 1.0, False, 0.0),
+    ("active_lock_waiters", "locks", "lock_waiters", 10.0, 3.0, 1.0, False, 1.0),
+    ("longest_lock_wait_seconds", "locks", "lock_wait_s", 60.0, 30.0, 10.0, False, 1.0),
+    ("ungranted_locks", "locks", "ungranted", 15.0, 5.0, 2.0, False, 1.0),
+    ("deadlocks_rate", "locks", "deadlocks", None, None, 1.0, False, 1.0),
+    ("lock_pool_saturation", "locks", "lock_pool", 0.8, 0.6, 0.5, False, 1.0),
+    ("low_hot_update_ratio", "storage", "hot_ratio", 0.5, 0.65, 0.8, True, 1.0),
+    ("high_newpage_update_ratio", "storage", "newpage_ratio", 0.2, 0.1, 0.05, False, 1.0),
+    ("stale_planner_stats", "maintenance", "stale_stats", 10.0, 5.0, 3.0, False, 1.0),
+    ("wal_level_minimal_with_replicas", "wal_checkpoint", "minimal_wal_replicas", 1.0, None, None, False, 1.0),
+    ("wal_level_logical_without_publications", "wal_checkpoint", "idle_logical_wal", None, None, 1.0, False, 0.0),
+    ("checksum_failures", "storage", "checksum_failures", 1e-300, None, None, False, 1.0),
+    ("host_cpu_saturation", "connections", "load_per_cpu", 4.0, 2.0, 1.0, False, 1.0),
+    ("pooler_saturation", "connections", "pooler_used", 0.8, 0.6, 0.5, False, 1.0),
+    ("sequence_exhaustion", "storage", "sequence_free_pct", 5.0, 10.0, 20.0, True, 1.0),
+    ("latency_regression", "performance", "latency_ratio", 6.0, 3.0, 1.5, False, 1.0),
+    ("seq_scan_regression", "performance", "seqscan_ratio", 6.0, 3.0, 1.5, False, 1.0),
+    ("host_disk_space", "storage", "disk_used", 0.9, 0.8, 0.7, False, 1.0),
 ]
+# Severities, the gravest first.
+SEVERITIES = ["HIGH", "MEDIUM", "LOW"]
+#: What is taken for granted where the captured metrics lack a column: nothing to report.
+QUIET = {"relfrozenxid_age": 0.0, "wal_level": "replica", "logical_slots": 0, "wal_level_managed": False, "sequence_used": 0.0}
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "rule string, category string, metric string, high double, medium double, low double, inverted boolean")
+    return spark.createDataFrame(RULES, "rule string, category string, metric string, high double, medium double, low double, inverted boolean, scale double")
+
+
+def rule_metrics(raw: DataFrame) -> DataFrame:
+    """raw with the metrics that rules look at but captures don't hold as such; null where a rule doesn't apply."""
+    raw = raw.withColumns({c: F.lit(v) for c, v in QUIET.items() if c not in raw.columns})
+    points = _c("checkpoints_timed") + _c("checkpoints_req")
+    return raw.withColumns({
+        "conn_ratio": F.when(_c("conn_max") > 0, _c("conn_total") / _c("conn_max")),
+        "graded_cache_hit_pct": F.when((_c("cache_sample") == 0) | (_c("cache_sample") >= 50_000), _c("cache_hit_pct")),
+        "vacuum_overdue_days": _c("vacuum_overdue_h") / 24,
+        "checkpoint_ratio": F.when(points >= 10, _c("checkpoints_req") / points),
+        "minimal_wal_replicas": F.when(F.col("wal_level") == "minimal", _c("replicas")),
+        "idle_logical_wal": F.when((F.col("wal_level") == "logical") & (F.col("logical_slots") <= 0) & ~F.col("wal_level_managed"), 1.0),
+        "sequence_free_pct": 100 * (1 - _c("sequence_used")),
+    })
 
 
 def evaluate_rules(raw: DataFrame, key: list[str]) -> DataFrame:
-    """Findings (key, rule, category, value, severity), worst first; a small rule table is joined to the unpivoted metrics.
+    """Findings (key, rule, category, value, severity); the fixed table of rules is joined to the unpivoted metrics.
 
-    On standbys the maintenance rules rest; replication rules need replicas.
+    On standbys the maintenance rules rest; rules of replication lag need replicas. ``worst_first`` puts them in order.
     """
-    rows = raw.withColumn("conn_ratio", F.when(_c("conn_max") > 0, _c("conn_total") / _c("conn_max")).otherwise(0.0))
     metrics = sorted({r[2] for r in RULES})
-    long = rows.unpivot([*key, "replicas", "in_recovery"], [_c(m).alias(m) for m in metrics], "metric", "value")
+    long = rule_metrics(raw).unpivot([*key, "replicas", "in_recovery"], [_c(m).alias(m) for m in metrics], "metric", "value")
     hit = long.join(F.broadcast(rule_table(raw.sparkSession)), "metric")  # one row for each of the fixed rules
     reach = lambda bound: F.when(F.col("inverted"), F.col("value") < F.col(bound)).otherwise(F.col("value") >= F.col(bound))
     severity = F.when(reach("high"), "HIGH").when(reach("medium"), "MEDIUM").when(reach("low"), "LOW")
-    applies = ~((F.col("category") == "replication") & (F.col("replicas") <= 0)) & ~((F.col("category") == "maintenance") & F.col("in_recovery"))
-    return hit.withColumn("severity", severity).where(F.col("severity").isNotNull() & applies).select(*key, "rule", "category", "value", "severity")
+    applies = ~(F.col("rule").startswith("replication_lag") & (F.col("replicas") == 0)) & ~((F.col("category") == "maintenance") & F.col("in_recovery"))
+    shown = F.when(F.col("rule") == "sequence_exhaustion", 1 - F.col("value") / 100).otherwise(F.col("value") * F.col("scale"))
+    return hit.withColumn("severity", severity).where(F.col("severity").isNotNull() & applies).select(*key, "rule", "category", shown.alias("value"), "severity")
+
+
+def worst_first(findings: DataFrame, key: list[str]) -> DataFrame:
+    """Findings with their place (rn) within each key: by severity, then rule."""
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    return findings.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(rank, "rule")))
 
 
 def fleet_rank(scores: DataFrame, n: int) -> DataFrame:

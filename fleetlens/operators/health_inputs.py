@@ -13,7 +13,7 @@ from fleetlens.sources.snapshots import asof
 MIN_TUPLES, MIN_UPDATES = 10_000, 1_000
 # Categories that concern the instance only, and rules whose metric a data source sums over all databases.
 INSTANCE_ONLY = ["connections", "replication", "horizon", "wal_checkpoint", "locks"]
-INSTANCE_WIDE = ["cache_hit", "max_dead", "avg_dead", "hot", "xid", "checksum", "disk", "latency", "seqscan"]
+INSTANCE_WIDE = ["low_cache_hit_ratio", "high_max_dead_ratio", "high_avg_dead_ratio", "low_hot_update_ratio", "xid_wraparound_risk", "checksum_failures", "host_disk_space", "latency_regression", "seq_scan_regression"]
 PER_DATABASE = ["performance", "storage", "maintenance"]
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.exprs import mask_template
 
-# Severities from least to worst.
-SEVERITIES = ["DEBUG", "INFO", "NOTICE", "WARNING", "ERROR", "FATAL", "PANIC"]
+# Severities from least to worst; any other ranks below them.
+SEVERITIES = ["DEBUG", "INFO", "LOG", "NOTICE", "WARNING", "ERROR", "FATAL", "PANIC"]
 
 
 def log_search(logs: DataFrame, includes: list[str], excludes: list[str], severity: list[str] | None = None, placeholder: str = "<*>") -> DataFrame:
@@ -24,11 +24,15 @@ def log_search(logs: DataFrame, includes: list[str], excludes: list[str], severi
 
 
 def log_groups(logs: DataFrame) -> DataFrame:
-    """Count, first and last time, worst severity and latest text of each template; no cap on the lines read."""
-    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    rows = logs.select(mask_template(F.col("text")).alias("template"), "ts", "text", rank.alias("rank"))
-    groups = rows.groupBy("template").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("rank").alias("worst"), F.max_by("text", F.struct("ts", "text")).alias("latest"))
-    return groups.withColumn("severity", F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("worst").cast("int"))).drop("worst")
+    """Count, first and last time, worst severity and latest text of each template; no cap on the lines read.
+
+    Severities rank whatever their case, unknown ones and null last; the worst is given as it was written, of several
+    spellings the last by name.
+    """
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.upper("severity")), F.lit(0))
+    rows = logs.select(mask_template(F.col("text")).alias("template"), "ts", "text", F.struct(rank.alias("rank"), "severity").alias("worst"))
+    groups = rows.groupBy("template").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max("worst").alias("worst"), F.max_by("text", F.struct("ts", "text")).alias("latest"))
+    return groups.withColumn("severity", F.col("worst.severity")).drop("worst")
 
 
 def log_histogram(logs: DataFrame, max_buckets: int = 40) -> DataFrame:

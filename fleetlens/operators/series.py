@@ -61,16 +61,31 @@ def tail_histogram(objects: DataFrame, part: list[str], n: int) -> DataFrame:
     return nearest_rank(tail(objects, part, n), part, "value", [*(i / 10 for i in range(1, 10)), 0.95, 0.99])
 
 
+def tail_summary(objects: DataFrame, part: list[str], n: int) -> DataFrame:
+    """K8: number, sum and largest value of everything outside the first n."""
+    return tail(objects, part, n).groupBy(*part).agg(F.count("*").alias("count"), F.sum("value").alias("sum"), F.max("value").alias("max"))
+
+
 def coverage(objects: DataFrame, part: list[str], n: int) -> DataFrame:
-    """K9: the share of the first n in all activity, 1 where nothing moved."""
-    ranked = objects.withColumn("rn", F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("value"), "object")))
-    total = F.sum("value")
-    return ranked.groupBy(*part).agg(F.when(total > 0, F.sum(F.when(F.col("rn") <= n, F.col("value")).otherwise(0)) / total).otherwise(1.0).alias("coverage"))
+    """K9: the share of the first n in all activity, 1 where nothing moved; the first n and a sum, no ranking of all."""
+    tops = top_objects(objects, part, n).groupBy(*part).agg(F.sum("value").alias("_top"))
+    total = objects.groupBy(*part).agg(F.sum("value").alias("_all"))
+    return total.join(tops, part, "left").select(*part, F.when(F.col("_all") > 0, F.coalesce("_top", F.lit(0)) / F.col("_all")).otherwise(1.0).alias("coverage"))
 
 
-def aggregate_hosts(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """K5: sums over valid hosts and the number of hosts of each object."""
-    return rows.where("valid").groupBy(*key).agg(F.sum(value).alias(value), F.count_distinct("host").alias("hosts"))
+def aggregate_hosts(rows: DataFrame, key: list[str], value: str, size: str | None = None, expected: DataFrame | None = None) -> DataFrame:
+    """K5: sums over valid hosts and their number; with ``size`` the largest copy on any host, valid or not; by_host maps valid hosts to their sums.
+
+    Objects without a valid host stay, with null sums. With ``expected`` (host) the hosts that sent nothing at all are listed as missing.
+    """
+    valid = F.col("valid")
+    per = rows.groupBy(*key, "host").agg(F.sum(F.when(valid, F.col(value))).alias("_v"), F.bool_or(valid).alias("_ok"), *([F.max(size).alias("_size")] if size else []))
+    by_host = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("_ok"), F.struct("host", "_v")))))  # an entry for each host
+    out = per.groupBy(*key).agg(F.sum("_v").alias(value), F.count_if("_ok").alias("hosts"), *([F.max("_size").alias(size)] if size else []), by_host.alias("by_host"))
+    if expected is None:
+        return out
+    missing = expected.select("host").distinct().join(rows.select("host").distinct(), "host", "left_anti").agg(F.sort_array(F.collect_list("host")).alias("m"))
+    return out.withColumn("missing", missing.scalar())
 
 
 def previous_rank(tops: DataFrame, part: list[str], order: str) -> DataFrame:

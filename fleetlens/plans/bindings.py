@@ -56,7 +56,8 @@ VIEWS = {
           mod(p3, 6) as autovac_off_tables, mod(f, 7) as stale_stats, mod(low, 29) * 5000000 as horizon_age, 8 + mod(p2, 40) as checkpoints_timed, mod(p, 9) as checkpoints_req, mod(f, 13) as lock_waiters,
           mod(top, 71) as lock_wait_s, mod(p2, 17) as ungranted, mod(p3, 8) / 8e0 as lock_pool, mod(low, 120) as deadlocks, mod(s, 17) = 3 as autovacuum_off, mod(s, 19) = 5 as track_counts_off, mod(s, 5) = 1 as io_timing_off,
           mod(p1, 8) / 1e0 as latency_ratio, mod(p2, 8) / 1e0 as seqscan_ratio, mod(f, 9) / 8e0 as hot_ratio, mod(p, 16) / 16e0 as disk_used, mod(p3, 5) / 1e0 as load_per_cpu, mod(f, 8) / 8e0 as pooler_used,
-          case when mod(s, 23) = 7 then 1 else 0 end as checksum_failures, mod(s, 4) = 2 as in_recovery
+          case when mod(s, 23) = 7 then 1 else 0 end as checksum_failures, mod(s, 4) = 2 as in_recovery,
+          mod(low, 37) * 50000000 as relfrozenxid_age, case mod(s, 3) when 0 then 'minimal' when 1 then 'logical' else 'replica' end as wal_level, mod(p1, 2) as logical_slots, mod(f, 4) = 0 as wal_level_managed, mod(top, 64) / 64e0 as sequence_used
         from raw_counts""",
     # a signal is an event type's hourly value
     "series": "select 'fleet' as target, event_type as signal, date_trunc('hour', ts) as ts, count(*) as value, sum(cast(round(value * 100) as bigint)) as total from events group by event_type, date_trunc('hour', ts)",
@@ -72,13 +73,13 @@ VIEWS = {
         select c_nationkey as cluster, o_custkey as relation, o_orderkey as pid, o_orderstatus <> 'O' as granted,
           case when mod(o_orderkey, 5) = 0 then o_custkey else null end as transactionid
         from orders join customer on o_custkey = c_custkey""",
-    "waits": "select cust as cluster, pid, blocker from (select o_custkey as cust, o_orderkey as pid, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as blocker, extract(year from o_orderdate) as y from orders) x where blocker is not null and y >= 1996",
+    "waits": "select cust as cluster, pid, blocker from (select o_custkey as cust, o_orderkey as pid, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as blocker, o_orderdate from orders) x where blocker is not null",
     "logs": """
-        select event_id, ts, case when event_type = 'error' then 'ERROR' when event_type = 'view' then 'WARNING' else 'INFO' end as severity,
-          concat('user ', cast(user_id as varchar(20)), ' did ', event_type, ' at 0/1A', cast(mod(event_id, 10) as varchar(2)), ' with ', props) as text
+        select event_id, ts, case when event_type = 'error' then 'ERROR' when event_type = 'view' then 'WARNING' when event_type = 'purchase' then 'LOG' when event_type = 'signup' then (case when mod(event_id, 2) = 0 then 'fatal' else 'odd' end) else 'INFO' end as severity,
+          concat('user ', cast(user_id as varchar(20)), ' did ', event_type, ' in ', cast(mod(event_id, 700) as varchar(4)), 'ms  at 0/1A', cast(mod(event_id, 10) as varchar(2)), ' of 0xdeadBEEF in deadbeef with ', props) as text
         from events""",
     "storage_days": "select event_type as cluster, cast(ts as date) as dt, count(*) * 1000 as bytes from events group by event_type, cast(ts as date)",
-    "trigger_log": "select event_id, ts, event_type as kind, mod(user_id, 10) as cluster, case when mod(event_id, 7) = 0 then 'empty' else 'ok' end as outcome from events",
+    "trigger_log": "select event_id, ts, event_type as kind, concat('C', cast(mod(user_id, 10) as varchar(2))) as cluster, case when mod(event_id, 7) = 0 then 'empty' else 'ok' end as outcome from events",
     "sequences": "select p_partkey as seq_id, mod(p_partkey, 3) = 0 as is_int4, cast(floor(p_retailprice * 1000000) as bigint) as last_value, cast(2147483647 as bigint) as max_value from part",
     # a table is a customer, a column of it a line number, an index or a foreign key an order
     "attributes": """
@@ -110,7 +111,7 @@ VIEWS = {
         select o_custkey as host, o_orderkey as pid, case when o_orderpriority like '5%' then null else o_orderpriority end as database, case when o_orderstatus = 'F' then null else concat('u', cast(mod(o_orderkey, 5) as varchar(2))) end as user_name,
           case when o_orderstatus = 'O' then 'active' when o_orderstatus = 'F' then 'idle in transaction' else 'strange' end as state, case when mod(o_orderkey, 3) = 0 then 'client backend' else 'walwriter' end as backend_type
         from orders""",
-    "stat_db": "select c_nationkey as database, sum(case when o_orderstatus = 'F' then 1 else 0 end) as xact_commit, sum(case when o_orderstatus = 'P' then 1 else 0 end) as xact_rollback from orders join customer on o_custkey = c_custkey group by c_nationkey",
+    "stat_db": "select c_nationkey as database, sum(case when o_orderstatus = 'F' then 1 else 0 end) as xact_commit, sum(case when o_orderstatus = 'P' then 1 else 0 end) as xact_rollback, sum(mod(o_orderkey, 3)) as deadlocks, sum(mod(o_custkey, 5)) as conflicts, sum(mod(o_orderkey, 2)) as checksum_failures, sum(cast(floor(o_totalprice) as bigint)) as size_bytes, min(o_orderdate) as stats_reset, max(o_orderdate) as captured_at from orders join customer on o_custkey = c_custkey group by c_nationkey",
     "settings": """
         select host, name, max(setting) as setting, max(source) as source from (select o_custkey as host,
           case mod(o_orderkey, 8) when 0 then 'log_min_duration_statement' when 1 then 'from_collapse_limit' when 2 then 'huge_pages' when 3 then 'wal_compression' when 4 then 'autovacuum' when 5 then 'autovacuum_naptime' when 6 then 'vacuum_cost_limit' else 'maintenance_work_mem' end as name,

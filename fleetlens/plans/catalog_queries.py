@@ -152,16 +152,16 @@ def c1(spark, d):
 
 
 @query("c3_sessions", with_views("clients", """
-  select host, pid, mod(pid, 2) = 0 as ssl, row_number() over (partition by host order by case when backend_type = 'client backend' then 0 else 1 end, case state when 'idle in transaction' then 0 when 'active' then 2 else 6 end, pid) as state_order from clients"""))
+  select host, pid, coalesce(database like '1%', false) as ssl, row_number() over (partition by host order by case when backend_type = 'client backend' then 0 else 1 end, case state when 'idle in transaction' then 0 when 'active' then 2 else 6 end, pid) as state_order from clients"""))
 def c3(spark, d):
     rows = bind(spark, d, "clients")
-    ssl = rows.where("mod(pid, 2) = 0").select("host", "pid", F.lit(True).alias("ssl"))
+    ssl = rows.select("host", "pid", F.coalesce(F.col("database").startswith("1"), F.lit(False)).alias("ssl"))
     return maintenance.sessions(rows, ssl, ["host"]).select("host", "pid", "ssl", "state_order")
 
 
-@query("d1_db_health", with_views("stat_db", "select database, 100.0::double * xact_rollback / nullif(xact_commit + xact_rollback, 0) as rollback_pct from stat_db"))
+@query("d1_db_health", with_views("stat_db", "select database, 100.0::double * xact_rollback / nullif(xact_commit + xact_rollback, 0) as rollback_pct, cast(deadlocks as bigint) as deadlocks, cast(conflicts as bigint) as conflicts, cast(checksum_failures as bigint) as checksum_failures from stat_db"))
 def d1(spark, d):
-    return maintenance.db_health(bind(spark, d, "stat_db")).select("database", "rollback_pct")
+    return maintenance.db_health(bind(spark, d, "stat_db")).select("database", "rollback_pct", "deadlocks", "conflicts", "checksum_failures")
 
 
 @query("g1_settings_advice", with_views("settings writer", """
@@ -219,14 +219,14 @@ def l7(spark, d):
     return schema_checks.uuid_like(bind(spark, d, "classes"), bind(spark, d, "attributes"), NO_KEY).select("schema", "object", "within")
 
 
-@query("l8_without_fk", with_views("classes constraints", "select schema, object, code from (select schema, object, 'relation_without_fk' as code, relid from classes where relkind in ('r', 'p')) c where not exists (select 1 from constraints f where not validated and f.conrelid = c.relid) and not exists (select 1 from constraints f where not validated and f.confrelid = c.relid)"))
+@query("l8_without_fk", with_views("classes constraints", "select schema, object, code from (select schema, object, 'relation_without_fk' as code, relid from classes where relkind in ('r', 'p')) c where not exists (select 1 from constraints f where f.conrelid = c.relid) and not exists (select 1 from constraints f where f.confrelid = c.relid)"))
 def l8(spark, d):
-    return schema_checks.without_fk(bind(spark, d, "classes"), _constraints(spark, d).where("not validated"), NO_KEY).select("schema", "object", "code")
+    return schema_checks.without_fk(bind(spark, d, "classes"), _constraints(spark, d), NO_KEY).select("schema", "object", "code")
 
 
-@query("l9_without_columns", with_views("classes attributes", "select schema, object, 'relation_without_columns' as code from classes c where relkind in ('r', 'p') and not exists (select 1 from attributes a where is_array and a.attrelid = c.relid)"))
+@query("l9_without_columns", with_views("classes attributes", "select schema, object, 'relation_without_columns' as code from classes c where relkind in ('r', 'p') and not exists (select 1 from attributes a where a.attrelid = c.relid)"))
 def l9(spark, d):
-    return schema_checks.without_columns(bind(spark, d, "classes"), bind(spark, d, "attributes").where("is_array"), NO_KEY).select("schema", "object", "code")
+    return schema_checks.without_columns(bind(spark, d, "classes"), bind(spark, d, "attributes"), NO_KEY).select("schema", "object", "code")
 
 
 @query("l10_unsafe_names", with_views("classes", "select schema, object, case when object = 'user' then 'reserved_word_in_name' else 'unsafe_chars_in_name' end as code from classes where object = 'user' or regexp_matches(object, '[^A-Za-z0-9_]')"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import health, health_inputs, hot, indexes, series, signals, workload
 from fleetlens.plans.bindings import bind, with_views
+from fleetlens.plans.queries import _FINDINGS
 from fleetlens.plans.registry import SQL, query
 from fleetlens.sources import snapshots
 from fleetlens.streaming import incidents, triggers
@@ -28,7 +29,10 @@ def h2(spark, d):
     return health_inputs.raw_per_db(rows, io, ["database"]).select("database", "dead_max_pct", "bloated_tables", "hot_ratio", "vacuum_backlog", "never_vacuumed", "stale_stats", "cache_hit_pct")
 
 
-@query("h17_attribution")
+_WHOLE = "category in ('connections', 'replication', 'horizon', 'wal_checkpoint', 'locks') or rule = 'sequence_exhaustion'"
+
+
+@query("h17_attribution", with_views("raw", f"select rule, database, count(*) as n from (select rule, case when {_WHOLE} then null else cast(mon as varchar) end as database from ({_FINDINGS})) group by rule, database"))
 def h17(spark, d):
     rows = health.evaluate_rules(bind(spark, d, "raw"), ["instance", "mon"]).withColumns({"database": F.col("mon").cast("string"), "hit_database": F.lit(None).cast("string")})
     return health_inputs.attribute(rows).groupBy("rule", "database").agg(F.count("*").alias("n"))
@@ -81,10 +85,10 @@ def h20(spark, d):
 
 @query("h21_overlay", with_views("samples", """
   select e.event_id as probe_id, e.user_id, coalesce(case when mod(e.event_id, 3) = 0 then e.event_id end, s.reads) as reads, s.writes, case when mod(e.event_id, 3) <> 0 and s.reads is not null then 'reads' else '' end as backed
-  from events e asof left join (select user_id, day::timestamp as ts, reads, writes from samples where mod(extract(day from day), 3) = 0) s on e.user_id = s.user_id and e.ts >= s.ts"""))
+  from events e asof left join (select user_id, day::timestamp as ts, reads, writes from samples) s on e.user_id = s.user_id and e.ts >= s.ts"""))
 def h21(spark, d):
     probes = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("probe_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), F.expr("case when mod(event_id, 3) = 0 then event_id end").alias("reads"))
-    snaps = bind(spark, d, "samples").where("mod(day(day), 3) = 0").select("user_id", F.col("day").cast("timestamp").alias("ts"), "reads", "writes")
+    snaps = bind(spark, d, "samples").select("user_id", F.col("day").cast("timestamp").alias("ts"), "reads", "writes")
     return health_inputs.overlay(probes, snaps, ["user_id"], ["reads"], ["writes"]).drop("ts")
 
 
@@ -214,9 +218,9 @@ def s12(spark, d):
     return snapshots.retention_by_age(bind(spark, d, "storage_days"), "2024-01-10").withColumn("dt", F.col("dt").cast("string"))
 
 
-@query("s13_trigger_events", with_views("trigger_log", "select event_id, kind, ts from trigger_log where ts < timestamp '2024-01-20 00:00:00' order by ts desc, event_id desc limit 50"))
+@query("s13_trigger_events", with_views("trigger_log", "select event_id, kind, ts, cluster, outcome from trigger_log where ts < timestamp '2024-01-20 00:00:00' and ts >= timestamp '2024-01-02 00:00:00' and cluster ilike '%c3%' and outcome = 'ok' and kind = 'view' order by ts desc, event_id desc limit 50"))
 def s13(spark, d):
-    return snapshots.trigger_events(bind(spark, d, "trigger_log"), 50, "2024-01-20 00:00:00").select("event_id", "kind", "ts")
+    return snapshots.trigger_events(bind(spark, d, "trigger_log"), 50, "c3", "view", "ok", "2024-01-02 00:00:00", "2024-01-20 00:00:00").select("event_id", "kind", "ts", "cluster", "outcome")
 
 
 @query("t4_table_hit_rate", with_views("stat_indexes", "select index_id, 1.0::double * sum(idx_blks_hit) / nullif(sum(idx_blks_hit) + sum(idx_blks_read), 0) as hit_rate from stat_indexes group by index_id"))
@@ -230,11 +234,16 @@ def w9(spark, d):
     return workload.scope_report(report, ["calls"], F.col("database") < 12)
 
 
-@query("t3_table_caching", with_views("stat_indexes", "select host, index_id, 1.0::double * idx_blks_hit / nullif(idx_blks_hit + idx_blks_read, 0) as heap_ratio, 1.0::double * idx_blks_read / nullif(idx_blks_read, 0) as idx_ratio from stat_indexes where idx_blks_hit + idx_blks_read > 0"))
+_KINDS4 = {"heap": "idx_blks_hit, idx_blks_read", "idx": "idx_scan, size_bytes", "toast": "idx_blks_read, idx_scan", "tidx": "size_bytes, idx_blks_hit"}
+_RATIOS = ", ".join(f"1.0::double * {h} / nullif({h} + {r}, 0) as {k}_ratio" for k, v in _KINDS4.items() for h, r in [v.split(", ")])
+
+
+@query("t3_table_caching", with_views("stat_indexes", f"select host, index_id, {_RATIOS} from stat_indexes where idx_blks_hit + idx_blks_read + idx_scan + size_bytes > 0"))
 def t3(spark, d):
-    none = {f"{k}_blks_{x}": F.lit(0) for k in ("toast", "tidx") for x in ("hit", "read")}
-    rows = bind(spark, d, "stat_indexes").select("host", "index_id", F.col("idx_blks_hit").alias("heap_blks_hit"), F.col("idx_blks_read").alias("heap_blks_read"), F.col("idx_blks_read").alias("idx_blks_hit"), F.lit(0).alias("idx_blks_read")).withColumns(none)
-    return indexes.table_caching(rows).select("host", "index_id", "heap_ratio", "idx_ratio")
+    counters = {f"{k}_blks_{x}": F.col(c) for k, v in _KINDS4.items() for x, c in zip(("hit", "read"), v.split(", "))}
+    rows = bind(spark, d, "stat_indexes")
+    rows = rows.select("host", "index_id", *(c.alias(n) for n, c in counters.items()))
+    return indexes.table_caching(rows).select("host", "index_id", *(f"{k}_ratio" for k in _KINDS4))
 
 
 @query("t7_vacuum_thresholds", with_views("stat_tables", "select relid, 50 + (case when n_tup_del > 0 then 0.05e0 else 0.2e0 end) * reltuples as vacuum_at, 1000 + 0.2e0 * reltuples as insert_at, 50 + 0.1e0 * reltuples as analyze_at from stat_tables"))
@@ -243,6 +252,17 @@ def t7(spark, d):
     return indexes.vacuum_thresholds(_tables(spark, d).withColumn("reloptions", option)).select("relid", "vacuum_at", "insert_at", "analyze_at")
 
 
-@query("k5_aggregate_hosts", with_views("stat_indexes", "select index_id, cast(sum(idx_scan) as bigint) as idx_scan, count(distinct host) as hosts from stat_indexes where not is_unique group by index_id"))
+@query("k5_aggregate_hosts", with_views("stat_indexes", """
+  select index_id, cast(sum(idx_scan) filter (not is_unique) as bigint) as idx_scan, count(*) filter (not is_unique) as hosts, cast(max(size_bytes) as bigint) as size_bytes,
+    coalesce(string_agg(concat(host, '=', idx_scan), ',' order by host) filter (not is_unique), '') as by_host,
+    coalesce((select string_agg(cast(n_nationkey as varchar), ',' order by n_nationkey) from nation where n_nationkey not in (select host from stat_indexes)), '') as missing from stat_indexes group by index_id"""))
 def k5(spark, d):
-    return series.aggregate_hosts(bind(spark, d, "stat_indexes").withColumn("valid", ~F.col("is_unique")), ["index_id"], "idx_scan")
+    expected = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("host"))
+    rows = series.aggregate_hosts(bind(spark, d, "stat_indexes").withColumn("valid", ~F.col("is_unique")), ["index_id"], "idx_scan", "size_bytes", expected)
+    entries = F.transform(F.map_entries("by_host"), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"].cast("string")))
+    return rows.withColumns({"by_host": F.array_join(entries, ","), "missing": F.array_join(F.transform("missing", lambda h: h.cast("string")), ",")})
+
+
+@query("k8_tail_summary", with_views("objects", "select class, count(*) as count, cast(sum(value) as bigint) as sum, cast(max(value) as bigint) as max from (select *, row_number() over (partition by class order by value desc, object) as rn from objects) where rn > 20 or value <= 0 group by class"))
+def k8_summary(spark, d):
+    return series.tail_summary(bind(spark, d, "objects"), ["class"], 20)

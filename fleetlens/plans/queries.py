@@ -95,9 +95,9 @@ def s6(spark, d):
     return snapshots.list_snapshots(bind(spark, d, "stat_indexes").select(F.col("index_id").alias("snapshot_id"), F.col("host").alias("database")))
 
 
-@query("s9_asof", with_views("samples", "select e.event_id as probe_id, e.user_id, e.ts, s.writes from events e asof left join (select user_id, day::timestamp as ts, writes from samples where mod(extract(day from day), 3) = 0) s on e.user_id = s.user_id and e.ts >= s.ts"))
+@query("s9_asof", with_views("samples", "select e.event_id as probe_id, e.user_id, e.ts, s.writes from events e asof left join (select user_id, day::timestamp as ts, writes from samples) s on e.user_id = s.user_id and e.ts >= s.ts"))
 def s9(spark, d):
-    snaps = bind(spark, d, "samples").where("mod(day(day), 3) = 0").select("user_id", F.col("day").cast("timestamp").alias("ts"), "writes")
+    snaps = bind(spark, d, "samples").select("user_id", F.col("day").cast("timestamp").alias("ts"), "writes")
     probes = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("probe_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"))
     return snapshots.asof(probes, snaps, ["user_id"], "ts", "writes")
 
@@ -201,9 +201,14 @@ def c4(spark, d):
     return indexes.count_by(bind(spark, d, "sessions"), ["wait_event"], F.col("state") != "idle")
 
 
-@query("c5_lock_tree", with_views("waits", "select cluster, pid, root, level from (with recursive tree as (select distinct cluster, blocker as pid, blocker as root, 0 as level from waits w where not exists (select 1 from waits x where x.cluster = w.cluster and x.pid = w.blocker) union all select w.cluster, w.pid, t.root, t.level + 1 from tree t join waits w on w.cluster = t.cluster and w.blocker = t.pid where t.level < 12) select * from tree)"))
+@query("c5_lock_tree", with_views("waits", """
+  , tree as (with recursive t as (
+      select distinct cluster, blocker as pid, blocker as root, 0 as level, [blocker] as path from waits w where not exists (select 1 from waits x where x.cluster = w.cluster and x.pid = w.blocker)
+      union all select w.cluster, w.pid, t.root, t.level + 1, list_append(t.path, w.pid) from t join waits w on w.cluster = t.cluster and w.blocker = t.pid where not list_contains(t.path, w.pid)) select * from t),
+  below as (select cluster, up as pid, count(distinct pid) as blocked from (select cluster, pid, unnest(path) as up from tree) where up <> pid group by 1, 2)
+  select t.cluster, t.pid, root, level, array_to_string(path, '>') as path, coalesce(blocked, 0) as blocked from tree t left join below b on b.cluster = t.cluster and b.pid = t.pid"""))
 def c5(spark, d):
-    return lock_tree(bind(spark, d, "waits"), ["cluster"], 12).drop("path")
+    return lock_tree(bind(spark, d, "waits"), ["cluster"]).withColumn("path", F.array_join("path", ">"))
 
 
 @query("x4_seasonal_baseline", with_views("series", "select target, signal, extract(dow from ts) * 24 + extract(hour from ts) as how, median(value) as median, count(*) as n from series group by all"))
@@ -257,7 +262,10 @@ def z4(spark, d):
     return triggers.role_changes(bind(spark, d, "roles"), ["instance"], ["ts", "pos"])
 
 
-_MASK = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '''[^'']*''|\"[^\"]*\"', '<*>', 'g'), '\\b[0-9A-Fa-f]+/[0-9A-Fa-f]+\\b', '<*>', 'g'), '\\b0x[0-9A-Fa-f]+\\b|\\b[0-9A-Fa-f]{8,}\\b', '<*>', 'g'), '\\b\\d+(?:\\.\\d+)?\\b', '<*>', 'g')"
+# what a template masks, said in the order and the words of the SQL
+_MASK = "trim(regexp_replace(text, '[\\s\\x{85}\\p{Z}]+', ' ', 'g'))"
+for _p in ("''[^'']*''|\"[^\"]*\"", "\\b[[:xdigit:]]+/[[:xdigit:]]+\\b", "\\b0x[[:xdigit:]]+\\b", "[0-9]+([.][0-9]+)?"):
+    _MASK = f"regexp_replace({_MASK}, '{_p}', '<*>', 'g')"
 
 
 @query("e1_log_search", with_views("logs", "select event_id from logs where severity in ('ERROR', 'WARNING') and text ilike '%user 1%' and text not ilike '%\"k\": 2%'"))
@@ -265,7 +273,9 @@ def e1(spark, d):
     return logs.log_search(bind(spark, d, "logs"), ["User 1"], ['"k": 2'], ["ERROR", "WARNING"]).select("event_id")
 
 
-@query("e3_log_groups", with_views("logs", f"select template, count(*) as n, min(ts) as first_seen, max(ts) as last_seen, max_by(text, {{'t': ts, 'x': text}}) as latest, case max(case severity when 'ERROR' then 5 when 'WARNING' then 4 else 2 end) when 5 then 'ERROR' when 4 then 'WARNING' else 'INFO' end as severity from (select *, {_MASK} as template from logs) group by template"))
+@query("e3_log_groups", with_views("logs", f"""
+  select template, count(*) as n, min(ts) as first_seen, max(ts) as last_seen, max_by(text, {{'t': ts, 'x': text}}) as latest, max_by(severity, {{'r': rank, 's': severity}}) as severity
+  from (select *, {_MASK} as template, case upper(severity) when 'PANIC' then 8 when 'FATAL' then 7 when 'ERROR' then 6 when 'WARNING' then 5 when 'NOTICE' then 4 when 'LOG' then 3 when 'INFO' then 2 when 'DEBUG' then 1 else 0 end as rank from logs) group by template"""))
 def e3(spark, d):
     return logs.log_groups(bind(spark, d, "logs"))
 
@@ -280,15 +290,56 @@ def h14(spark, d):
     return health.health_score(bind(spark, d, "raw"), ["instance", "mon"])
 
 
-_RULES = " union all ".join(
-    f"select instance, mon, '{r}' as rule, '{c}' as category, v as value, case when v {op} {hi} then 'HIGH' when v {op} {mid} then 'MEDIUM' when v {op} {lo} then 'LOW' end as severity, replicas, in_recovery from (select *, cast({'conn_total::double / conn_max' if m == 'conn_ratio' else m} as double) as v from raw)"
-    for r, c, m, hi, mid, lo, inv in health.RULES for op in ["<" if inv else ">="]
-)
-
-
-@query("h16_rules", with_views("raw", f"select instance, mon, rule, category, value, severity from ({_RULES}) where severity is not null and not (category = 'replication' and replicas <= 0) and not (category = 'maintenance' and in_recovery)"))
+_AT_LEAST = "case when {0} >= {1} then 'HIGH' when {0} >= {2} then 'MEDIUM' when {0} >= {3} then 'LOW' end"
+_BELOW = _AT_LEAST.replace(">=", "<")
+_POINTS = "(checkpoints_timed + checkpoints_req)"
+# (rule, category, condition, shown value, severity), written apart from the operator's table
+_RULES = [
+    ("high_connection_ratio", "connections", "conn_max > 0", "conn_total::double / conn_max", _AT_LEAST.format("conn_total::double / conn_max", 0.95, 0.80, 0.60)),
+    ("idle_in_transaction", "connections", "true", "idle_in_tx", _AT_LEAST.format("idle_in_tx", 10, 5, 2)),
+    ("long_running_transaction", "connections", "true", "longest_tx_s", _AT_LEAST.format("longest_tx_s", 1800, 600, 300)),
+    ("low_cache_hit_ratio", "performance", "cache_sample = 0 or cache_sample >= 50000", "cache_hit_pct", _BELOW.format("cache_hit_pct", 85, 90, 95)),
+    ("high_max_dead_ratio", "storage", "true", "dead_max_pct", _AT_LEAST.format("dead_max_pct", 30, 20, 10)),
+    ("high_avg_dead_ratio", "storage", "true", "dead_avg_pct", _AT_LEAST.format("dead_avg_pct", 25, 15, 5)),
+    ("many_bloated_tables", "storage", "true", "bloated_tables", _AT_LEAST.format("bloated_tables", 20, 10, 5)),
+    ("replication_lag_time", "replication", "replicas <> 0", "replica_lag_s", _AT_LEAST.format("replica_lag_s", 30, 5, 1)),
+    ("replication_lag_bytes", "replication", "replicas <> 0", "replica_lag_mb * 1048576", _AT_LEAST.format("replica_lag_mb", 1024, 100, 10)),
+    ("disconnected_replicas", "replication", "true", "replicas_lost", "case when replicas_lost >= 2 then 'HIGH' when replicas_lost > 0 then 'MEDIUM' end"),
+    ("xid_wraparound_risk", "maintenance", "not in_recovery", "xid_age", _AT_LEAST.format("xid_age", 1600000000, 200000000, 150000000)),
+    ("stale_vacuum", "maintenance", "not in_recovery", "vacuum_overdue_h", _AT_LEAST.format("vacuum_overdue_h / 24e0", 60, 21, 7)),
+    ("vacuum_backlog", "maintenance", "not in_recovery", "vacuum_backlog", _AT_LEAST.format("vacuum_backlog", 30, 15, 6)),
+    ("tables_never_vacuumed", "maintenance", "not in_recovery", "never_vacuumed", _AT_LEAST.format("never_vacuumed", 5, 2, 1)),
+    ("autovacuum_disabled", "maintenance", "not in_recovery and autovacuum_off", "0", "'HIGH'"),
+    ("track_counts_disabled", "maintenance", "not in_recovery and track_counts_off", "0", "'HIGH'"),
+    ("tables_with_autovacuum_off", "maintenance", "not in_recovery and autovac_off_tables > 0", "autovac_off_tables", "'LOW'"),
+    ("relfrozenxid_age_outlier", "maintenance", "not in_recovery", "relfrozenxid_age", _AT_LEAST.format("relfrozenxid_age", 1600000000, 200000000, 150000000)),
+    ("horizon_lag_xids", "horizon", "true", "horizon_age", _AT_LEAST.format("horizon_age", 100000000, 10000000, 1000000)),
+    ("requested_checkpoint_ratio", "wal_checkpoint", f"{_POINTS} >= 10", f"checkpoints_req::double / {_POINTS}", _AT_LEAST.format(f"checkpoints_req::double / {_POINTS}", 0.2, 0.1, 0.05)),
+    ("track_io_timing_disabled", "performance", "io_timing_off", "0", "'LOW'"),
+    ("active_lock_waiters", "locks", "true", "lock_waiters", _AT_LEAST.format("lock_waiters", 10, 3, 1)),
+    ("longest_lock_wait_seconds", "locks", "true", "lock_wait_s", _AT_LEAST.format("lock_wait_s", 60, 30, 10)),
+    ("ungranted_locks", "locks", "true", "ungranted", _AT_LEAST.format("ungranted", 15, 5, 2)),
+    ("deadlocks_rate", "locks", "deadlocks > 0", "deadlocks", "'LOW'"),
+    ("lock_pool_saturation", "locks", "true", "lock_pool", _AT_LEAST.format("lock_pool", 0.8, 0.6, 0.5)),
+    ("low_hot_update_ratio", "storage", "true", "hot_ratio", _BELOW.format("hot_ratio", 0.5, 0.65, 0.8)),
+    ("high_newpage_update_ratio", "storage", "true", "newpage_ratio", _AT_LEAST.format("newpage_ratio", 0.2, 0.1, 0.05)),
+    ("stale_planner_stats", "maintenance", "not in_recovery", "stale_stats", _AT_LEAST.format("stale_stats", 10, 5, 3)),
+    ("wal_level_minimal_with_replicas", "wal_checkpoint", "wal_level = 'minimal' and replicas <> 0", "replicas", "'HIGH'"),
+    ("wal_level_logical_without_publications", "wal_checkpoint", "wal_level = 'logical' and logical_slots = 0 and not wal_level_managed", "0", "'LOW'"),
+    ("checksum_failures", "storage", "checksum_failures > 0", "checksum_failures", "'HIGH'"),
+    ("host_cpu_saturation", "connections", "true", "load_per_cpu", _AT_LEAST.format("load_per_cpu", 4, 2, 1)),
+    ("pooler_saturation", "connections", "true", "pooler_used", _AT_LEAST.format("pooler_used", 0.8, 0.6, 0.5)),
+    ("sequence_exhaustion", "storage", "true", "sequence_used", _BELOW.format("100 * (1 - sequence_used)", 5, 10, 20)),
+    ("latency_regression", "performance", "true", "latency_ratio", _AT_LEAST.format("latency_ratio", 6, 3, 1.5)),
+    ("seq_scan_regression", "performance", "true", "seqscan_ratio", _AT_LEAST.format("seqscan_ratio", 6, 3, 1.5)),
+    ("host_disk_space", "storage", "true", "disk_used", _AT_LEAST.format("disk_used", 0.9, 0.8, 0.7)),
+]
+_FINDINGS = " union all ".join(f"select instance, mon, '{r}' as rule, '{c}' as category, ({v})::double as value, {s} as severity from raw where ({w}) and {s} is not null" for r, c, w, v, s in _RULES)
+
+
+@query("h16_rules", with_views("raw", f"select *, row_number() over (partition by instance, mon order by case severity when 'HIGH' then 0 when 'MEDIUM' then 1 else 2 end, rule) as rn from ({_FINDINGS})"))
 def h16(spark, d):
-    return health.evaluate_rules(bind(spark, d, "raw"), ["instance", "mon"])
+    return health.worst_first(health.evaluate_rules(bind(spark, d, "raw"), ["instance", "mon"]), ["instance", "mon"])
 
 
 @query("h22_fleet_rank")

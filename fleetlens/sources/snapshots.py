@@ -47,10 +47,15 @@ def write_snapshot(report: DataFrame, path: str) -> None:
     rows.drop("query").write.mode("append").partitionBy("dt").parquet(f"{path}/rows")
 
 
-def read_snapshot(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
-    """A snapshot's rows with their texts."""
+def read_snapshot(spark: SparkSession, path: str, snapshot_id: str, dt: str | None = None) -> DataFrame:
+    """A snapshot's rows with their texts; of the texts only the days of the snapshot are read, of all days where ``dt`` isn't given."""
     rows = spark.read.parquet(f"{path}/rows").where(F.col("snapshot_id") == snapshot_id)
-    texts = spark.read.parquet(f"{path}/texts").dropDuplicates(["dt", "query_hash"])
+    texts = spark.read.parquet(f"{path}/texts")
+    if dt is not None:
+        rows, texts = (x.where(F.col("dt") == F.lit(dt)) for x in (rows, texts))
+    else:
+        texts = texts.where(F.col("dt").isin([r[0] for r in rows.select("dt").distinct().collect()]))  # a snapshot has a day or two
+    texts = texts.dropDuplicates(["dt", "query_hash"])
     return rows.join(texts, ["dt", "query_hash"], "left")
 
 
@@ -60,10 +65,11 @@ def list_snapshots(rows: DataFrame) -> DataFrame:
 
 
 def upsert_anchors(state: DataFrame, sample: DataFrame, key: list[str]) -> DataFrame:
-    """The latest row of each key in state and sample."""
-    both = state.unionByName(sample, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(F.desc("captured_at"))
-    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The latest row of each key in state and sample; of equal times the sample's, then the largest by its columns."""
+    both = state.withColumn("_new", F.lit(0)).unionByName(sample.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    columns = [c for c in both.columns if c != "_new"]
+    latest = both.groupBy(*key).agg(F.max(F.struct("captured_at", "_new", F.struct(*columns).alias("_row"))).alias("_last"))
+    return latest.select(*(F.col(f"_last._row.{c}").alias(c) for c in columns))
 
 
 def asof(probes: DataFrame, snaps: DataFrame, key: list[str], ts: str, value: str) -> DataFrame:
@@ -91,10 +97,25 @@ def retention_by_age(days: DataFrame, oldest: str) -> DataFrame:
     return days.where(F.col("dt") < F.lit(oldest).cast("date"))
 
 
-def trigger_events(events: DataFrame, n: int, before: str | None = None) -> DataFrame:
-    """Newest events first; the next page starts before the last row's time."""
-    rows = events.where(F.col("ts") < F.lit(before).cast("timestamp")) if before else events
-    return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+def trigger_events(events: DataFrame, n: int = 50, cluster: str = "", kind: str = "", outcome: str = "", since: str | None = None, before: str | None = None, after: tuple[str, int] | None = None) -> DataFrame:
+    """Newest events first, by part of the cluster's name, kind, outcome and time (since, before]; a page has ``n`` rows, 50 unless 1 to 500.
+
+    ``after`` is the (ts, event_id) of the last row seen, so that rows of equal time fall on one page or the next.
+    """
+    rows = events
+    if cluster:
+        rows = rows.where(F.contains(F.lower("cluster"), F.lit(cluster.lower())))
+    for column, value in (("kind", kind), ("outcome", outcome)):
+        if value:
+            rows = rows.where(F.col(column) == value)
+    if since:
+        rows = rows.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+    if before:
+        rows = rows.where(F.col("ts") < F.lit(before).cast("timestamp"))
+    if after:
+        ts, number = F.lit(after[0]).cast("timestamp"), after[1]
+        rows = rows.where((F.col("ts") < ts) | ((F.col("ts") == ts) & (F.col("event_id") < number)))
+    return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(n if 0 < n <= 500 else 50)
 
 
 def trigger_summary(events: DataFrame, key: list[str]) -> DataFrame:

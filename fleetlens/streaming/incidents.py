@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetlens.sources.snapshots import asof
-from fleetlens.streaming.triggers import STATE, SpikeConfig, SpikeState, step
+from fleetlens.streaming.triggers import STATE, SpikeConfig, SpikeState, probe, ripe
 
 
 @dataclass
@@ -36,21 +36,25 @@ class IncidentState:
 def advance(state: IncidentState, t: float, active: float, spike: SpikeConfig, cfg: IncidentConfig) -> list[dict]:
     """One sample of a host: the events that it causes.
 
-    A spike within ``min_gap_s`` of the last accepted event is dropped. An accepted one opens an incident and plans a
-    follow-up. The incident ends when activity stays below the onset's threshold for ``recovery_s``; that cancels the
-    follow-up. Without an end the follow-up comes when it is due.
+    A spike within ``min_gap_s`` of the last accepted event is held back. An accepted one opens an incident and plans a
+    follow-up. The incident ends when samples that belong to no candidate stay below the threshold of its onset, as it
+    was then, for ``recovery_s``; that cancels the follow-up. Without an end the follow-up comes when it is due.
     """
     out = []
-    quiet = state.spike.since < 0
-    fired = step(state.spike, t, active, spike)
-    if quiet and state.spike.since >= 0 and not state.in_spike:
-        state.threshold = state.spike.threshold
-    if fired and (state.last < 0 or t - state.last >= cfg.min_gap_s):
-        out.append({"kind": "activity_spike", "at": t, "value": fired["peak"]})
-        state.in_spike, state.below_since, state.last = True, -1.0, t
-        state.due = t + cfg.deferred_s if cfg.deferred_s > 0 else -1.0
-    elif state.in_spike:
-        if active >= state.threshold:
+    phase = probe(state.spike, t, active, spike)
+    if phase in ("started", "forming"):
+        state.below_since = -1.0
+        if phase == "started" and not state.in_spike:
+            state.threshold = state.spike.threshold
+        if ripe(state.spike, t, spike) and (state.last < 0 or t - state.last >= cfg.min_gap_s):
+            out.append({"kind": "activity_spike", "at": t, "value": state.spike.peak})
+            state.spike.reset()
+            state.in_spike, state.last = True, t
+            state.due = t + cfg.deferred_s if cfg.deferred_s > 0 else -1.0
+    elif phase in ("floor", "aborted"):
+        if cfg.recovery_s <= 0:
+            state.in_spike = False
+        if not state.in_spike or active >= state.threshold:
             state.below_since = -1.0
         elif state.below_since < 0:
             state.below_since = t
@@ -88,7 +92,7 @@ def incident_stream(samples: DataFrame, spike: SpikeConfig | None = None, cfg: I
     """Z3, Z5, Z6 over a stream; an event-time timer brings a follow-up even if no more samples come."""
     spike, cfg = spike or SpikeConfig(), cfg or IncidentConfig()
     own = [f.name for f in fields(IncidentState) if f.name != "spike"]
-    schema = STATE + ", in_spike boolean, threshold0 double, below_since double, due double, last double"
+    schema = STATE + ", in_spike boolean, threshold0 double, below_since double, due double, last0 double"
     names = [f.name for f in fields(SpikeState)]
 
     def load(held: GroupState) -> IncidentState:

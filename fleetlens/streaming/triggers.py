@@ -31,11 +31,16 @@ class SpikeConfig:
     duration_s: float = 120
     coverage: float = 0.7
     floor: float = 1.0
+    min_gap_s: float = 3600
+
+
+#: A dip may last this share of the duration; a candidate that hasn't fired after so many durations starts anew.
+DIP, STALE = 0.5, 4
 
 
 @dataclass
 class SpikeState:
-    """What a host's spike detection remembers."""
+    """What a host's spike detection remembers: the window's samples, the candidate, the last accepted spike."""
 
     times: list[float] = field(default_factory=list)
     values: list[float] = field(default_factory=list)
@@ -44,37 +49,59 @@ class SpikeState:
     high: int = 0
     seen: int = 0
     peak: float = 0.0
-    fired: bool = False
     threshold: float = 0.0
+    last: float = -1.0
 
+    def reset(self) -> None:
+        self.since, self.last_high, self.high, self.seen, self.peak = -1.0, -1.0, 0, 0, 0.0
 
-def step(state: SpikeState, t: float, active: float, cfg: SpikeConfig) -> dict | None:
-    """One sample: the state moves on, and a spike that has lasted is returned once.
 
-    A candidate forms when activity passes the threshold, which stays as it was at the onset; short dips of up to half
-    the duration are forgiven; it fires when it has lasted and enough of its samples were high, and is given up
-    after a longer dip or after four durations.
+def probe(state: SpikeState, t: float, active: float, cfg: SpikeConfig) -> str:
+    """Take in a sample; tells what it means for the candidate.
+
+    The threshold is the mean of the window's samples before this one, and ``percent`` more, anew at each sample; a count
+    that equals it is high. 'none': too few samples; 'floor': the mean is below the floor, which ends a candidate;
+    'aborted': a low sample without candidate, or one that ends it, the dip being too long; 'started'; 'forming'.
     """
     recent = [(a, b) for a, b in zip(state.times, state.values) if a >= t - cfg.window_s]
-    base = sum(b for _, b in recent) / len(recent) if recent else None
     state.times, state.values = [a for a, _ in recent] + [t], [b for _, b in recent] + [active]
+    if not recent:
+        return "none"
+    base = sum(b for _, b in recent) / len(recent)
+    state.threshold = base * (100 + cfg.percent) / 100
+    if base < cfg.floor:
+        state.reset()
+        return "floor"
+    if state.since >= 0 and t - state.since > STALE * cfg.duration_s:
+        state.reset()
+    if active < state.threshold:
+        if state.since < 0 or t - state.last_high > DIP * cfg.duration_s:
+            state.reset()
+            return "aborted"
+        state.seen += 1
+        return "forming"
+    state.last_high, state.high, state.seen, state.peak = t, state.high + 1, state.seen + 1, max(state.peak, active)
     if state.since < 0:
-        if base is None or base < cfg.floor or active <= base * (100 + cfg.percent) / 100:
-            return None
-        state.since, state.last_high, state.high, state.seen, state.peak, state.fired = t, t, 1, 1, active, False
-        state.threshold = base * (100 + cfg.percent) / 100
+        state.since = t
+        return "started"
+    return "forming"
+
+
+def ripe(state: SpikeState, t: float, cfg: SpikeConfig) -> bool:
+    """Whether the candidate has lasted and enough of its samples were high."""
+    return state.since >= 0 and t - state.since >= cfg.duration_s and state.high / state.seen >= cfg.coverage
+
+
+def step(state: SpikeState, t: float, active: float, cfg: SpikeConfig) -> dict | None:
+    """One sample: the state moves on, and a spike that is ripe is returned, unless one was within ``min_gap_s``.
+
+    A spike ends its candidate; one that comes too soon after the last leaves it, to fire later or grow stale.
+    """
+    if probe(state, t, active, cfg) not in ("started", "forming") or not ripe(state, t, cfg) or 0 <= state.last and t - state.last < cfg.min_gap_s:
         return None
-    state.seen += 1
-    state.peak = max(state.peak, active)
-    if active > state.threshold:
-        state.high, state.last_high = state.high + 1, t
-    out = None
-    covered = state.high / state.seen
-    if not state.fired and t - state.since >= cfg.duration_s and covered >= cfg.coverage:
-        state.fired = True
-        out = {"onset": state.since, "at": t, "peak": state.peak, "coverage": covered}
-    if t - state.last_high > cfg.duration_s / 2 or (not state.fired and t - state.since > 4 * cfg.duration_s):
-        state.since = -1.0
+    out = {"onset": state.since, "at": t, "peak": state.peak, "coverage": state.high / state.seen}
+    state.reset()
+    state.last = t
     return out
 
 
@@ -96,7 +123,7 @@ def spike_events(samples: DataFrame, cfg: SpikeConfig | None = None) -> DataFram
     return rows.groupBy("instance").applyInPandas(run, EVENTS)
 
 
-STATE = "times array<double>, values array<double>, since double, last_high double, high long, seen long, peak double, fired boolean, threshold double"
+STATE = "times array<double>, values array<double>, since double, last_high double, high long, seen long, peak double, threshold double, last double"
 
 
 def spike_stream(samples: DataFrame, cfg: SpikeConfig | None = None, late: str = "10 minutes") -> DataFrame:

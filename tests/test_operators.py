@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.exprs import lsn_to_long, sanitize
 from fleetlens.functions.graph import lock_tree, root_of
-from fleetlens.operators import health, workload
+from fleetlens.functions.windows import with_shares
+from fleetlens.operators import health, logs, workload
 from fleetlens.sources import snapshots
 from fleetlens.streaming.triggers import SpikeConfig, SpikeState, spike_events, spike_stream, step
 
@@ -35,6 +36,62 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert spark.table("spikes").collect() == batch != []
 
 
+def test_spikes_against_a_plain_replay(spark):
+    import random
+
+    dice = random.Random(3)
+    values = [dice.choice([8, 10, 12] if i // 40 % 2 else [10, 14, 15, 16, 21, 30]) for i in range(400)]
+    cfg = SpikeConfig(window_s=900, percent=30, duration_s=120, coverage=0.6, floor=9, min_gap_s=1000)
+    want, onset, last, highs = [], None, None, []
+    for i, v in enumerate(values):
+        before = [values[j] for j in range(max(0, i - 30), i)]
+        if not before:
+            continue
+        mean = sum(before) / len(before)
+        if mean < 9:
+            onset, highs = None, []
+            continue
+        if onset is not None and 30 * (i - onset) > 480:
+            onset, highs = None, []
+        if v >= mean * 130 / 100:
+            onset, highs = (i if onset is None else onset), [*highs, i]
+        elif onset is None or 30 * (i - highs[-1]) > 60:
+            onset, highs = None, []
+            continue
+        share = len(highs) / (i - onset + 1)
+        if 30 * (i - onset) >= 120 and share >= 0.6 and (last is None or 30 * (i - last) >= 1000):
+            want.append((30 * onset, 30 * i, max(values[j] for j in highs), share))
+            onset, highs, last = None, [], i
+    df = spark.createDataFrame([("a", 30 * i, v) for i, v in enumerate(values)], "instance string, t long, active long").select("instance", F.timestamp_seconds("t").alias("ts"), "active")
+    assert len(want) >= 3 and [(r.onset, r.at, r.peak, r.coverage) for r in spike_events(df, cfg).orderBy("at").collect()] == want
+
+
+def test_templates_and_severities_of_logs(spark):
+    rows = [(1, "LOG", "duration: 656ms  of 2E/28E36B88"), (2, "log", "duration:\u00a0698ms of 2E/1"), (3, None, "deadbeef 'a b' 0xFF x1"), (4, "weird", "deadbeef 'c' 0x0 x2"), (5, "fatal", "duration: 1.5ms of 0/0")]
+    got = logs.log_groups(spark.createDataFrame(rows, "t long, severity string, text string").withColumn("ts", F.timestamp_seconds("t")))
+    assert {(r.template, r.n, r.severity) for r in got.collect()} == {("duration: <*>ms of <*>", 3, "fatal"), ("deadbeef <*> <*> x<*>", 2, "weird")}
+
+
+def test_pages_of_events_lose_nothing(spark):
+    events = spark.createDataFrame([(i, 100 + i // 4, "c", "k", "ok") for i in range(20)], "event_id long, t long, cluster string, kind string, outcome string").withColumn("ts", F.timestamp_seconds("t"))
+    seen, last = [], None
+    while page := snapshots.trigger_events(events, 3, after=last).select("event_id", F.col("ts").cast("string").alias("ts")).collect():
+        seen, last = seen + [r.event_id for r in page], (page[-1].ts, page[-1].event_id)
+    assert seen == list(range(19, -1, -1))
+
+
+def test_anchors_of_equal_times(spark):
+    old = spark.createDataFrame([("a", 5, 1), ("b", 9, 2)], "k string, captured_at int, v int")
+    new = spark.createDataFrame([("a", 5, 3), ("a", 5, 2), ("b", 8, 9)], "k string, captured_at int, v int")
+    assert {tuple(r) for r in snapshots.upsert_anchors(old, new, ["k"]).collect()} == {("a", 5, 3), ("b", 9, 2)}
+
+
+def test_shares_keep_null_groups(spark):
+    df = spark.createDataFrame([(None, 1, 30), (None, 2, 10), ("x", 1, 60), ("y", 1, 0)], "d string, q int, m int")
+    got = {(r.d, r.q): (r.m_pct, r.m_total_pct) for r in with_shares(df, ["m"], ["d"], []).collect()}
+    assert got == {(None, 1): (75.0, 30.0), (None, 2): (25.0, 10.0), ("x", 1): (100.0, 60.0), ("y", 1): (None, 0.0)}
+
+
 def test_sanitize(spark):
     got = spark.range(1).select(sanitize(F.lit("create role a password 'secret'; postgres://u:pw@h/db")).alias("x")).first().x
     assert "secret" not in got and "pw@" not in got
@@ -57,7 +114,15 @@ def test_forests_and_trees_of_any_depth(spark):
     assert {(r.child, r.root, r.level) for r in root_of(edges).collect()} == {(i + 1, 1, i) for i in range(1, 151)}
     short = chain.where("pid <= 31")
     assert {(r.pid, r.root, r.level) for r in lock_tree(short, ["k"]).collect()} == {(i, 1, i - 1) for i in range(1, 32)}
-    assert root_of(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "child int, parent int")).count() == 3
+    cycle = root_of(spark.createDataFrame([(1, 2), (2, 1), (3, 1), (5, 6)], "child int, parent int"))
+    assert {tuple(r) for r in cycle.collect()} == {(1, None, None), (2, None, None), (3, None, None), (5, 6, 1)}
+    assert {(r.pid, r.blocked) for r in lock_tree(short, ["k"]).collect()} == {(i, 31 - i) for i in range(1, 32)}
+    assert root_of(chain.limit(0).selectExpr("pid as child", "blocker as parent")).count() == 0
+
+
+def test_a_chain_of_a_thousand(spark):
+    edges = spark.range(1, 1001).selectExpr("cast(id + 1 as int) as child", "cast(id as int) as parent")
+    assert root_of(edges).where("root <> 1 or level <> child - 1").count() == 0
 
 
 def test_blocked_pairs_keeps_unmatched(spark):

@@ -41,4 +41,4 @@ def test_sql_says_the_same(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_other_queries_run(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+    assert QUERIES[name](spark, DATA).count() >= 0
