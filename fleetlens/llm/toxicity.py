@@ -20,7 +20,6 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 BETWEEN = " .-_*~/\\,'"
 LETTERS = 28  # 0 the edge of a word, 1-26 a to z, 27 any other letter
 SAMPLE = 20_000
-TERMS = 256
 _edge = ".,;:?\"'()[]{}<>«»„“”‘’…|*#%&=~`/\\-_"
 _outer = "".join(c for c in _edge if c not in SIGNS)
 #: Signs at a word's edge that may stand for a letter.
@@ -67,8 +66,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(steps: list[list[tuple[str, float]]], model: LetterModel) -> str:
-    """The cheapest reading of a lattice under channel and letter costs."""
+def read(steps: list[list[tuple[str, float]]], model: LetterModel) -> tuple[float, str]:
+    """The cheapest reading of a lattice under channel and letter costs, with its cost (Viterbi)."""
     cost = model.cost
     best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for choices in [*steps, [(" ", 0.0)]]:
@@ -88,75 +87,68 @@ def viterbi(steps: list[list[tuple[str, float]]], model: LetterModel) -> str:
                 if (p, q) not in new or sum_ < new[p, q][0]:
                     new[p, q] = (sum_, (path, said))
         best = new
-    path = min(best.values(), key=lambda x: x[0])[1]
+    total, path = min(best.values(), key=lambda x: x[0])
     said = []
     while path:
         path, s = path
         said.append(s)
-    return "".join(reversed(said))
+    return total, "".join(reversed(said)).strip()
+
+
+#: What leaving out a sign at a word's edge costs that could stand for a letter.
+LEFT_OUT = 1.0
 
 
 class Restorer:
-    """Words of a text after undoing leetspeak, spacing and repetition; clean tokens have one reading and stay."""
+    """Restored text: leetspeak, spacing and repetition undone; clean tokens have one reading and stay."""
 
     def __init__(self, model: LetterModel, most: int = 700_000):
         self.model, self.most = model, most
         self.known: dict[str, tuple[str, ...]] = {}
 
+    def reading(self, token: str) -> str:
+        """A lower-case token as it was meant; of the readings with and without signs at its edges the cheaper one."""
+        inner, outer = token.strip(_edge), token.strip(_outer)
+        masked = outer != inner and any(map(str.isalpha, outer)) and _masked.search(outer)
+        if not masked and not _suspect.search(inner) and not _spaced.fullmatch(token):
+            return token
+        cost, text = read(lattice(inner), self.model)
+        if masked:
+            more, with_edge = read(lattice(outer), self.model)
+            if more < cost + LEFT_OUT * (len(outer) - len(inner)):
+                return with_edge
+        return text
+
     def token(self, token: str) -> tuple[str, ...]:
+        """The restored words of a token."""
         if (got := self.known.get(token)) is None:
+            got = (token,) if token.isalpha() and not _suspect.search(token) else tuple(words_text(self.reading(token)))
             if len(self.known) > self.most:
                 self.known.clear()
-            inner = token.strip(_edge)
-            if inner.isalpha() and not _suspect.search(inner):
-                got = (inner,)
-            elif not _suspect.search(inner) and not _spaced.fullmatch(token):
-                got = tuple(words_text(inner))
-            else:
-                read = viterbi(lattice(inner), self.model).split()
-                plain = inner.rstrip("!")
-                got = tuple(dict.fromkeys([*read, *words_text(inner), *((plain,) if plain.isalpha() else ())]))
-            outer = token.strip(_outer)
-            if outer != inner and any(map(str.isalpha, outer)) and _masked.search(outer):  # signs at the edge may be letters too
-                got = tuple(dict.fromkeys([*got, *viterbi(lattice(outer), self.model).split()]))
             self.known[token] = got
         return got
 
+    def joined(self, text: str) -> str:
+        """The lower-case text with letters that stand apart put together."""
+        return _spaced.sub(lambda m: self.reading(m.group()), text)
+
     def words(self, text: str) -> set[str]:
-        text = text.lower()
-        out: set[str] = set()
-        for t in set(text.split()):
-            out.update(self.token(t))
-        for m in _spaced.finditer(text):
-            out.update(self.token(m.group()))
-        return out
+        """The words of the restored text."""
+        return {w for t in set(self.joined(text.lower()).split()) for w in self.token(t)}
 
     def telling(self, texts: list[str], weights: dict[str, float]) -> list[set[str]]:
-        """The words of each text that have weights; each distinct token is restored once for all texts."""
-        low = [t.lower() for t in texts]
-        tokens, number, first = distinct_pieces(pa.array([" ".join(t.split()) for t in low], pa.string()))
+        """The words of each restored text that have weights; each distinct token is restored once for all texts."""
+        tokens, number, first = distinct_pieces(pa.array([" ".join(self.joined(t.lower()).split()) for t in texts], pa.string()))
         own = [[w for w in self.token(t) if w in weights] for t in tokens]
         out: list[set[str]] = [set() for _ in texts]
         hits = np.flatnonzero(np.fromiter(map(bool, own), bool, len(own))[number])
         for i, n in zip((np.searchsorted(first, hits, "right") - 1).tolist(), number[hits].tolist()):
             out[i].update(own[n])
-        for i, t in enumerate(low):
-            for m in _spaced.finditer(t):
-                out[i].update(w for w in self.token(m.group()) if w in weights)
         return out
 
     def text(self, text: str) -> str:
-        """The restored text: disguised stretches replaced by their readings, everything else as it is."""
-        joined = _spaced.sub(lambda m: viterbi(lattice(m.group().lower()), self.model).strip(), text)
-
-        def plain(m: regex.Match) -> str:
-            outer = m.group().lower().strip(_outer)
-            inner = outer.strip(_edge)
-            if any(map(str.isalpha, outer)) and _masked.search(outer):
-                return viterbi(lattice(outer), self.model).strip()
-            return viterbi(lattice(inner), self.model).strip() if _suspect.search(inner) else m.group()
-
-        return regex.sub(r"\S+", plain, joined)
+        """The restored text in lower case, all else as it is: what ``words`` and ``telling`` take words from."""
+        return regex.sub(r"\S+", lambda m: self.reading(m.group()), self.joined(text.lower()))
 
 
 def words_text(s: str) -> list[str]:
@@ -214,11 +206,47 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + math.fsum(self.weights[w] for w in words if w in self.weights)))))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> ToxicityModel:
+def fit_logistic(rows: list[list[int]], y: np.ndarray, times: np.ndarray, size: int, prior: float, ridge: float = 0.3) -> np.ndarray:
+    """Weights of ``size`` indicators and a bias (last) by penalised logistic regression, rows counting ``times``.
+
+    Newton's method; each step is solved by conjugate gradients, so that time and memory go with the indicators set.
+    """
+    flat = np.array([i for r in rows for i in [*r, size]], np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
+    forward = lambda v: np.bincount(row, v[flat], len(rows))
+    back = lambda v: np.bincount(flat, v[row], size + 1)
+    weight = np.full(size + 1, ridge)
+    weight[-1] = 1e-6
+    theta = np.zeros(size + 1)
+    theta[-1] = prior
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(forward(theta), -30, 30)))
+        grad = back(times * (p - y)) + weight * theta
+        if np.abs(grad).max() < 1e-8:
+            break
+        curve = times * p * (1 - p)
+        step, rest = np.zeros(size + 1), grad.copy()
+        way, size2 = rest.copy(), rest @ rest
+        for _ in range(200):
+            bent = back(curve * forward(way)) + weight * way
+            rate = size2 / (way @ bent)
+            step += rate * way
+            rest -= rate * bent
+            old, size2 = size2, rest @ rest
+            if size2 < 1e-20:
+                break
+            way = rest + size2 / old * way
+        theta -= step
+    return theta
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Letter model over all documents; word weights from at most ``sample`` labelled training rows.
 
-    The ``terms`` restored words that toxic rows hold most beyond chance (8 rows and 5 deviations at least; ties by
-    word) get weights by penalised logistic regression. Without labels of both kinds the share of ones is the score.
+    All restored words that toxic rows hold beyond chance (8 rows, twice the share and 5 deviations at least) get weights
+    by penalised logistic regression; they are some of the sample's words. Null and empty texts are rows without words;
+    repeated documents count as often as they occur. Without labels of both kinds, or without documents, the share of
+    ones is the score.
     """
     letters = LetterModel(letter_counts(docs))
     shared = docs.sparkSession.sparkContext.broadcast(letters)  # LETTERS cubed numbers
@@ -237,31 +265,20 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ter
         return ToxicityModel(letters, {}, prior)
     stats = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
     z = (F.col("k") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    chosen = [r[0] for r in stats.where(f"k >= 8 and k > 2 * {share} * n").select("word", z.alias("z")).where("z >= 5").orderBy(F.desc("z"), "word").limit(terms).collect()]
+    chosen = sorted(r[0] for r in stats.where((F.col("k") >= 8) & (F.col("k") > 2 * share * F.col("n")) & (z >= 5)).select("word").collect())
     place = {w: i for i, w in enumerate(chosen)}
-    has = rows.select("y", F.array_sort(F.array_intersect("words", F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<string>"))).alias("own")).groupBy("y", "own").agg(F.count("*").alias("n"))
+    own = F.array_sort(F.filter("words", lambda w: w.isin(chosen))) if chosen else F.array().cast("array<string>")
+    has = rows.select("y", own.alias("own")).groupBy("y", "own").agg(F.count("*").alias("n"))
     got = sorted((r.y, tuple(r.own), r.n) for r in has.collect())  # at most ``sample`` rows
-    x = np.zeros((len(got), len(chosen) + 1))
-    x[:, -1] = 1
-    for i, (_, own, _) in enumerate(got):
-        x[i, [place[w] for w in own]] = 1
-    y, m = np.array([g[0] for g in got]), np.array([g[2] for g in got], float)
-    theta = np.zeros(x.shape[1])
-    theta[-1] = prior
-    ridge = np.full(x.shape[1], 0.3)
-    ridge[-1] = 1e-6
-    for _ in range(25):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        grad = x.T @ (m * (p - y)) + ridge * theta
-        theta -= np.linalg.solve((x * (m * p * (1 - p))[:, None]).T @ x + np.diag(ridge), grad)
+    theta = fit_logistic([[place[w] for w in own] for _, own, _ in got], np.array([g[0] for g in got]), np.array([g[2] for g in got], float), len(chosen), prior)
     return ToxicityModel(letters, dict(zip(chosen, theta[:-1].tolist())), float(theta[-1]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (default: doc_id), held_out, score and predicted of every document.
 
-    Null and empty texts get the score of a text without telling words; repeated rows and null ids get a row each;
-    lang, source, labels and the id itself are never inputs of a score.
+    Null and empty texts get the score of a text without telling words; repeated rows and null ids get a row each; an
+    empty table gives no rows; lang, source, labels and the id itself are never inputs of a score.
     """
     carry = carry or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ``terms`` weights and the letter table
