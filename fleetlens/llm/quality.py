@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetlens.llm.common import held_out, training_rows, utf8, words_of
+from fleetlens.llm.common import held_out, training_rows, utf8, words_of, written
 
 WORD_BITS = 14
-STEPS = 16  # bins of each statistic
+STEPS = 9  # knots of each statistic
 STATISTICS = 14
-DIMENSIONS = (1 << WORD_BITS) + STATISTICS * STEPS
+#: Numeric columns of the documents that are inputs beside the text, where they exist.
+METADATA = ("n_chars",)
+DIMENSIONS = (1 << WORD_BITS) + (STATISTICS + len(METADATA)) * STEPS
 RANK = 6
 SAMPLE = 8000
+SAMPLE_VALUES = 8_000_000
 _CLASS = np.zeros(256, np.int64)  # 0 other bytes, 1 letters a-z, 2 A-Z, 3 digits, 4 spaces, 5 line ends, 6 sentence marks, 7 symbols
 for _chars, _kind in ((range(0x21, 0x7F), 7), (b".,;:!?'\"()-", 6), (range(0x61, 0x7B), 1), (range(0x41, 0x5B), 2), (range(0x30, 0x3A), 3), (b" \t", 4), (b"\r\n", 5)):
     _CLASS[list(_chars)] = _kind
@@ -37,8 +41,12 @@ def statistics(text: bytes, words: list[bytes], distinct: int) -> list[float]:
     ]
 
 
-def features(text: bytes, crc: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, values) of a whole text: its distinct words, hashed, with equal weights of norm 1, and one bin for each statistic."""
+def features(text: bytes, metadata: Sequence[float | None], crc: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, values) of a whole text and its metadata.
+
+    Its distinct words, hashed, have equal weights of norm 1. A statistic, and log2 of a metadata number, lies between
+    two of its knots and gives each a weight by its distance; null metadata give nothing.
+    """
     words = words_of(text)
     seen = set(words)
     if len(crc) > 150_000:
@@ -49,11 +57,16 @@ def features(text: bytes, crc: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray
         if (h := crc.get(w)) is None:
             h = crc[w] = zlib.crc32(w) & mask
         hashed.append(h)
-    bins = [mask + 1 + i * STEPS + min(STEPS - 1, int(x * STEPS)) for i, x in enumerate(statistics(text, words, len(seen)))]
-    index = np.array(hashed + bins, np.int64)
-    value = np.full(len(index), 1 / math.sqrt(max(1, len(seen))))
-    value[len(hashed) :] = 1.0
-    return index, value
+    numbers = statistics(text, words, len(seen)) + [None if x is None or x != x else math.log2(1 + max(0.0, x)) / 24 for x in metadata]
+    value = np.full(len(hashed) + 2 * len(numbers), 1 / math.sqrt(max(1, len(seen))))
+    at = len(hashed)
+    for i, x in enumerate(numbers):
+        place = 0.0 if x is None else min(1.0, x) * (STEPS - 1)
+        low = min(STEPS - 2, int(place))
+        hashed += (mask + 1 + i * STEPS + low, mask + 2 + i * STEPS + low)
+        value[at : at + 2] = (0.0, 0.0) if x is None else (low + 1 - place, place - low)
+        at += 2
+    return np.array(hashed, np.int64), value
 
 
 class FactorisationMachine:
@@ -68,8 +81,8 @@ class FactorisationMachine:
         return float(self.bias + self.w[index] @ value + 0.5 * (total @ total - (xv * xv).sum()))
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rank: int = RANK, epochs: int = 8, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 6) -> FactorisationMachine:
-        """Logistic loss by Adagrad over small batches, so that memory is bounded by a batch.
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rank: int = RANK, epochs: int = 8, steps: int = 300, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 6) -> FactorisationMachine:
+        """Logistic loss by Adagrad over small batches, so that memory is bounded by a batch; ``epochs``, but ``steps`` batches at least.
 
         Without rows of both kinds: the share of ones (one half without rows).
         """
@@ -82,7 +95,7 @@ class FactorisationMachine:
         theta[:, 1:] = dice.normal(0, 0.02, (DIMENSIONS, rank))
         square, square_bias = np.full_like(theta, 1e-4), 1e-4
         met = np.zeros(DIMENSIONS, bool)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-steps * batch // max(batch, len(rows))))):
             order = dice.permutation(len(rows))
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
@@ -109,57 +122,70 @@ class FactorisationMachine:
         return cls(bias, theta[:, 0].copy(), theta[:, 1:].copy())
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> FactorisationMachine:
-    """Fit on at most ``sample`` labelled training rows; their features come from whole texts."""
+def _inputs(docs: DataFrame) -> list[Column]:
+    """The text and the metadata as doubles; null where a column is missing."""
+    have = {c.lower() for c in docs.columns}
+    return [F.col("text").cast("string").alias("_text"), *((F.col(m) if m in have else F.lit(None)).cast("double").alias(f"_m{i}") for i, m in enumerate(METADATA))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crc: dict[bytes, int] = {}
-        for b in batches:
-            rows = [features(t, crc) for t in utf8(b.column(0))]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in rows], pa.binary())], ["y", "index"])
 
-    got = training_rows(docs, labels, label, sample).mapInArrow(run, "y double, index binary").toArrow()
-    rows = []
-    for raw in got.column("index").to_pylist():
-        index = np.frombuffer(raw, "<i4").astype(np.int64)
-        value = np.full(len(index), 1 / math.sqrt(max(1, len(index) - STATISTICS)))
-        value[len(index) - STATISTICS :] = 1.0
-        rows.append((index, value))
-    order = sorted(range(len(rows)), key=lambda i: rows[i][0].tobytes())  # tasks may end in any order
-    return FactorisationMachine.fit([rows[i] for i in order], np.array(got.column("y").to_pylist(), float)[order])
+def _rows(b: pa.RecordBatch, at: int, crc: dict[bytes, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    metadata = list(zip(*(b.column(at + 1 + i).to_pylist() for i in range(len(METADATA)))))
+    return (features(t, m, crc) for t, m in zip(utf8(b.column(at)), metadata))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs`` and score, predicted.
+def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_values: int = SAMPLE_VALUES) -> FactorisationMachine:
+    """Fit on labelled training rows, at most ``sample``, and at most ``sample_values`` feature values of them.
 
-    Null and empty texts are scored by their (empty) features; repeated rows and null ids get a row each; lang, source,
-    doc_id and labels are never read. Columns named score or predicted are replaced.
+    Features come from whole texts; which rows make up the sample depends on hashes alone. Null and empty texts are
+    rows like others; repeated documents count as often as they occur; without labels or documents the score is the
+    share of ones (one half).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crc: dict[bytes, int] = {}
+        for b in batches:
+            rows = list(_rows(b, 1, crc))
+            columns = [b.column(0), pa.array([len(i) for i, _ in rows], pa.int64()), pa.array([i.astype("<i4").tobytes() for i, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["y", "n", "index", "value"])
+
+    picked = training_rows(docs.select("doc_id", F.struct(*_inputs(docs)).alias("text")), labels, label, sample).select("y", "text.*")
+    made = picked.mapInArrow(run, "y double, n long, index binary, value binary").withColumn("h", F.xxhash64("index", "value"))
+    made = written(made, "features")
+    held, least = 0, None
+    for h, n in sorted(made.groupBy("h").agg(F.sum("n")).collect()):  # at most ``sample`` pairs
+        if held + n > sample_values:
+            break
+        held, least = held + n, h
+    got = made.where(F.col("h") <= least).select("y", "index", "value").toArrow() if least is not None else made.limit(0).select("y", "index", "value").toArrow()
+    rows = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(got.column("index").to_pylist(), got.column("value").to_pylist())]
+    y = got.column("y").to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0].tobytes(), rows[i][1].tobytes(), y[i]))  # tasks may end in any order
+    return FactorisationMachine.fit([rows[i] for i in order], np.array(y, float)[order])
+
+
+def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3, carry: list[str] | None = None) -> DataFrame:
+    """Columns ``carry`` (default: all of ``docs``) and score, predicted; what isn't carried doesn't leave the JVM but as input.
+
+    Null and empty texts are scored by their (empty) features; repeated rows and null ids get a row each; an empty table
+    gives no rows; lang, source, doc_id and labels are never read. Columns named score or predicted are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS * (RANK + 1) numbers
-    schema = docs.drop("score", "predicted").withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0)).schema
-    names = docs.drop("score", "predicted").columns
+    names = [c for c in carry or docs.columns if c.lower() not in ("score", "predicted")]
+    inner = [f"c{i}" for i in range(len(names))]  # no name can clash
+    schema = T.StructType([*(T.StructField(i, docs.schema[c].dataType) for i, c in zip(inner, names)), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc: dict[bytes, int] = {}
         for b in batches:
-            fm = shared.value
-            score = np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, fm.logit(*features(t, crc)))))) for t in utf8(b.column(len(names)))], float)
+            score = np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, shared.value.logit(*x))))) for x in _rows(b, len(names), crc)], float)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema.names)
 
-    return docs.select(*names, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    found = docs.select(*(F.col(c).alias(i) for i, c in zip(inner, names)), *_inputs(docs)).mapInArrow(run, schema)
+    return found.withColumnsRenamed(dict(zip(inner, names)))
 
 
 def score_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document; texts don't return from the tasks."""
+    """(doc_id, held_out, score, predicted) of every document, by a model trained on ``labels``; odd input as in its two parts."""
     model = train_quality(docs, labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crc: dict[bytes, int] = {}
-        for b in batches:
-            score = [1 / (1 + math.exp(-max(-30.0, min(30.0, shared.value.logit(*features(t, crc)))))) for t in utf8(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array([int(s >= 0.3) for s in score], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
-
-    frame = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return frame.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
+    return score_quality(marked, model, carry=["doc_id", "held_out"])
