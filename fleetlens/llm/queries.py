@@ -83,13 +83,13 @@ with words as (
 ), named as (
   select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from found group by r
 ), matches as (  -- windows that follow each other in a document and an item are one match
-  select r, min(i) as at, count(*) + any_value(m) - 1 as n from (select *, i - row_number() over (partition by r, it, i - j, m order by i) as island from found) group by r, it, i - j, m, island
+  select r, min(i) as place, count(*) + any_value(m) - 1 as n from (select *, i - row_number() over (partition by r, it, i - j, m order by i) as island from found) group by r, it, i - j, m, island
 ), longest as (
-  select r, max(n) as n, arg_min(at, {'n': -n, 'at': at}) as at from matches group by r
+  select r, max(n) as n, arg_min(place, {'n': -n, 'place': place}) as place from matches group by r
 )
 select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(n.n_items, 0) as n_items,
   sha256(coalesce(n.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(w.w) as contaminated,
-  cast(coalesce(l.n, 0) as bigint) as longest_match, cast(l.at as bigint) as longest_at
+  cast(coalesce(l.n, 0) as bigint) as longest_match, cast(l.place as bigint) as longest_at
 from words w left join hits h using (r) left join named n using (r) left join longest l using (r)
 """
 
