@@ -163,15 +163,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
     return FactorisationMachine.fit([rows[i] for i in order], np.array(y, float)[order])
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3, carry: list[str] | None = None) -> DataFrame:
-    """Columns ``carry`` (default: all of ``docs``) and score, predicted; what isn't carried doesn't leave the JVM but as input.
-
-    Null and empty texts are scored by their (empty) features; repeated rows and null ids get a row each; an empty table
-    gives no rows; lang, source, doc_id and labels are never read. Columns named score or predicted are replaced.
-    """
+def _scored(docs: DataFrame, names: list[str], model: FactorisationMachine, threshold: float) -> DataFrame:
+    """The columns ``names`` as c0, c1, ..., which clash with nothing, and score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS * (RANK + 1) numbers
-    names = [c for c in carry or docs.columns if c.lower() not in ("score", "predicted")]
-    inner = [f"c{i}" for i in range(len(names))]  # no name can clash
+    inner = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([*(T.StructField(i, docs.schema[c].dataType) for i, c in zip(inner, names)), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +175,23 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
             score = np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, shared.value.logit(*x))))) for x in _rows(b, len(names), crc)], float)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema.names)
 
-    found = docs.select(*(F.col(c).alias(i) for i, c in zip(inner, names)), *_inputs(docs)).mapInArrow(run, schema)
-    return found.withColumnsRenamed(dict(zip(inner, names)))
+    return docs.select(*(F.col(c).alias(i) for i, c in zip(inner, names)), *_inputs(docs)).mapInArrow(run, schema)
+
+
+def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3, carry: list[str] | None = None) -> DataFrame:
+    """Columns ``carry`` (default: all of ``docs``) and score, predicted.
+
+    Null and empty texts are scored by their (empty) features; repeated rows and null ids get a row each; an empty table
+    gives no rows; lang, source, doc_id and labels are never read. Columns named score or predicted are replaced.
+    """
+    names = [c for c in carry or docs.columns if c.lower() not in ("score", "predicted")]
+    return _scored(docs, names, model, threshold).withColumnsRenamed({f"c{i}": n for i, n in enumerate(names)})
+
+
+def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more, with their own columns, whatever their names; odd input as above."""
+    good = _scored(docs, docs.columns, model, threshold).where("predicted = 1")
+    return good.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)))
 
 
 def score_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
