@@ -176,11 +176,22 @@ def _encoder(tokenizer: str, pattern: str) -> PieceEncoder:
     return _encoders[tokenizer, pattern]
 
 
-def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
-    """Ids at which the document ids fall into ``shards`` ranges of about equal counts; only the ids are read."""
-    probs = [i / shards for i in range(1, shards)]
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", probs, 0.25 / shards) if probs else []
-    return np.unique(np.array(found or [], np.float64))
+#: Documents of a shard, about; more documents make more shards, not larger ones.
+SHARD_DOCS = 1 << 18
+
+
+def shard_bounds(docs: DataFrame, least: int, each: int = 32, seed: int = 10) -> np.ndarray:
+    """Ids at which the document ids fall into ranges of about equal counts: ``least`` ranges or one for each SHARD_DOCS documents.
+
+    Only ids are read, and about ``each`` for each range reach the driver; they shape the files, never what these hold.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    n = ids.count()
+    shards = max(least, n // SHARD_DOCS)
+    few = ids if n <= each * shards else ids.sample(each * shards / n, seed)
+    seen = np.sort(few.toArrow().column("doc_id").to_numpy())
+    at = np.arange(1, shards) * len(seen) // shards
+    return np.unique(seen[at[at < len(seen)]])
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, bounds: np.ndarray, end_id: int = 0, n_ids: int = 1 << 16) -> DataFrame:
@@ -302,10 +313,10 @@ def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, d
     spark = docs.sparkSession
     root = scratch_root(spark)
     encoded = f"{root}/ids-{uuid.uuid4().hex}"
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encode_documents(docs, tokenizer, pattern, shard_bounds(docs, shards), end_id).write.options(**UNIQUE).partitionBy("kind").parquet(encoded)
+    bounds = shard_bounds(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    encode_documents(docs, tokenizer, pattern, bounds, end_id).write.options(**UNIQUE).partitionBy("kind").parquet(encoded)
     both = spark.read.schema("shard int, doc_id long, ids binary, kind int").parquet(encoded)
     by_rank = id_ranks(both.where("kind = 1"))
     path = f"{root}/tokens-{uuid.uuid4().hex}"
-    write_token_files(both.where("kind = 0"), path, by_rank, shards)
+    write_token_files(both.where("kind = 0"), path, by_rank, len(bounds) + 1)
     return read_token_files(spark.read.schema(SEGMENT).parquet(path), by_rank, digest)
