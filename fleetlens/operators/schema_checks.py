@@ -155,7 +155,7 @@ def suppress(findings: DataFrame, masks: list[str], off: list[str] | None = None
 def order_findings(findings: DataFrame) -> DataFrame:
     """A total order: level, check, object, what within it."""
     rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
-    return findings.orderBy(rank, "code", "object", "within", F.desc_nulls_last("used_pct"))
+    return findings.orderBy(rank, "code", "object", "within", F.desc_nulls_last("used_pct"), *(["schema"] if "schema" in findings.columns else []))
 
 
 def lint_summary(findings: DataFrame, key: list[str]) -> DataFrame:

@@ -48,8 +48,13 @@ def top_chart(stmts: DataFrame, metrics: list[str], n: int = 10) -> DataFrame:
     return tops.join(F.broadcast(total), "metric").select("metric", "queryid", "rn", "value", safe_ratio(F.col("value"), F.col("total"), 100.0).alias("pct"))
 
 
+def exclude_users(stmts: DataFrame, users: list[str]) -> DataFrame:
+    """Without the statements of these users; unknown users stay."""
+    return stmts.where(F.col("user").isNull() | ~F.col("user").isin(users))
+
+
 def exclude_solely(report: DataFrame, users: list[str]) -> DataFrame:
-    """Without rows whose users are all excluded; W7 is ``where(~user.isin(users))``."""
+    """Without rows whose users are all excluded."""
     return report.where(F.size(F.array_except("usernames", F.array(*map(F.lit, users)))) > 0)
 
 
@@ -68,10 +73,24 @@ def compare(a: DataFrame, b: DataFrame, metrics: list[str], key: list[str]) -> D
 
 
 def compare_counts(compared: DataFrame) -> DataFrame:
-    """Rows in both snapshots and in one alone; views are ``orderBy(coalesce(a, b))`` and filters on present."""
+    """Rows in both snapshots and in one alone."""
     return compared.groupBy("present").agg(F.count("*").alias("n"))
 
 
+def compare_view(compared: DataFrame, metric: str, key: list[str], side: str = "a", hide_absent_a: bool = False, hide_absent_b: bool = False, only: str | None = None, n: int = 100) -> DataFrame:
+    """The first n rows with their place (rn) by one side's metric, largest first (absent counts as 0), ties by key; rows absent on a side may be hidden, or one kind of presence shown alone."""
+    rows = compared
+    if hide_absent_a:
+        rows = rows.where("present <> 'only_b'")
+    if hide_absent_b:
+        rows = rows.where("present <> 'only_a'")
+    if only:
+        rows = rows.where(F.col("present") == only)
+    by = [F.desc(F.coalesce(f"{side}_{metric}", F.lit(0))), *key]
+    first = rows.orderBy(*by).limit(n)  # each task keeps n rows
+    return first.withColumn("rn", F.row_number().over(Window.orderBy(*by)))
+
+
 def blocked_pairs(locks: DataFrame, key: list[str], holders_only: bool = False) -> DataFrame:
     """Waiting locks with the other locks on the same transaction or relation; unmatched waiters stay.
 
@@ -104,7 +123,7 @@ def fold_workload(entries: DataFrame) -> DataFrame:
 
 def advisor_workload(stmts: DataFrame, exclude: list[str], n: int = 500) -> DataFrame:
     """Per query sums and longest text of users that aren't excluded (unknown users stay), the n longest-running."""
-    kept = stmts.where(F.col("user").isNull() | ~F.col("user").isin(exclude))
+    kept = exclude_users(stmts, exclude)
     sums = kept.groupBy("queryid").agg(F.sum("calls").alias("calls"), F.sum("exec_ms").alias("exec_ms"), F.max_by("query", F.struct(F.length("query"), "query")).alias("query"))
     return sums.orderBy(F.desc("exec_ms"), "queryid").limit(n)
 

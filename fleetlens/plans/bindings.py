@@ -132,6 +132,35 @@ VIEWS = {
     "metrics": "select event_type as instance, 'statements_calls' as metric, 'all' as label, user_id as series, ts, cast(round(value * 100) as double) as value, event_id from events",
 }
 
+VIEWS |= {
+    # a capture is an event, statistics were reset at the start of its day
+    "captures": "select event_id, user_id, ts as captured_at, date_trunc('day', ts) as stats_reset from events",
+    # a running session is an order
+    "running": """
+        select o_custkey as host, o_orderkey as pid, cast(floor(o_totalprice) as bigint) as running_ms, case when o_orderstatus = 'O' then null else o_orderpriority end as wait_event,
+          concat('select ', o_orderpriority, ' from t', cast(mod(o_orderkey, 9) as varchar(2))) as query from orders""",
+    "ddl_texts": """
+        select c_custkey as queryid, concat('alter role r password ', chr(39), c_name, chr(39), '; postgres://u:', cast(c_custkey as varchar(20)), '@h/db password=', c_mktsegment, ' tail') as query from customer""",
+    "vacuums": """
+        select o_custkey as relid, concat('T_', cast(o_custkey as varchar(20))) as relname, max(case when o_orderstatus = 'F' then o_orderdate end) as last_vacuum, max(case when o_orderstatus = 'O' then o_orderdate end) as last_autovacuum,
+          min(case when o_orderstatus = 'P' then o_orderdate end) as last_analyze, min(case when o_orderpriority like '1%' then o_orderdate end) as last_autoanalyze from orders group by o_custkey""",
+    # a replica is an event, its positions are made of its numbers
+    "replicas": """
+        select event_id as pid, user_id as host, mod(event_id, 3) <> 0 as in_recovery, ts as last_replay_at, date_trunc('day', ts) + interval '1' day as captured_at, concat('2/', hex(event_id * 4096 + 4096)) as current_lsn,
+          concat('2/', hex(event_id * 4096 + 4096 - mod(user_id, 5) * 100)) as replay_lsn, concat('2/', hex(event_id * 4096 + 4096)) as receive_lsn, concat('1/', hex(event_id)) as restart_lsn,
+          mod(user_id, 5) * 100 as behind, 4294967296 + event_id * 4095 + 4096 as backlog from events""",
+    "grants": "select c_custkey as schema, case when mod(c_custkey, 3) = 0 then 'public' else 'app' end as grantee, case when mod(c_custkey, 2) = 0 then 'CREATE' else 'USAGE' end as privilege, c_nationkey as host from customer",
+    "versions": "select n_nationkey as host, 140000 + 10000 * mod(n_nationkey, 3) as version_num from nation",
+    # a lock probe is a date of orders
+    "probes": "select mod(o_custkey, 50) as host, o_orderdate as probe_at, o_orderkey as pid, cast(floor(o_totalprice) as bigint) as wait_s from orders",
+    "tuples": "select c_custkey as relid, mod(c_custkey * 7919, 5000) as dead_bytes, mod(c_custkey * 104729, 9000) as free_bytes, case when mod(c_custkey, 7) = 0 then 0 else c_custkey * 8192 end as table_bytes from customer",
+    # statements name tables; some names are in two schemas, some in none
+    "relations": "select p_partkey as relid, concat('s', cast(mod(p_partkey, 2) as varchar(2))) as schema, concat('t', cast(mod(p_partkey, 151) as varchar(20)), '_', cast(floor(p_partkey / 302) as varchar(20))) as name from part",
+    "mentions": """
+        select l_orderkey as fingerprint, case when mod(l_linenumber, 3) = 0 then 'pg_catalog' when mod(l_linenumber, 3) = 1 then concat('s', cast(mod(l_suppkey, 2) as varchar(2))) end as schema,
+          concat('t', cast(mod(l_partkey, 160) as varchar(20)), '_', cast(floor(l_partkey / 302) as varchar(20))) as name, l_linenumber as seq from lineitem""",
+}
+
 NEEDS = {"raw": ["raw_counts"]}
 
 

@@ -26,9 +26,9 @@ def read_telemetry(spark: SparkSession, paths: list[str], schema: T.StructType)
     return out
 
 
-def last_per_step(samples: DataFrame, step: str) -> DataFrame:
-    """The last value of each series in each step."""
-    return samples.groupBy("target", "signal", F.window("ts", step)["start"].alias("ts")).agg(F.max_by("value", "ts").alias("value"))
+def last_per_step(samples: DataFrame, step: str, tie: str = "value") -> DataFrame:
+    """The last value of each series in each step, of equal times the one with the largest ``tie``."""
+    return samples.groupBy("target", "signal", F.window("ts", step)["start"].alias("ts")).agg(F.max_by("value", F.struct("ts", tie)).alias("value"))
 
 
 def write_snapshot(report: DataFrame, path: str) -> None:
