@@ -262,3 +262,58 @@ _COVERED = "select c.fingerprint, c.relid, array_to_string(cols, ',') as columns
 @query("v8_covered", with_views("usages classes attributes idx", catalog._KEYS + _LIVE + " " + _COVERED))
 def v8(spark, d):
     return advisor.covered(catalog._drafts(spark, d), catalog._live_indexes(spark, d), NO_KEY).select("fingerprint", "relid", F.array_join("columns", ",").alias("columns"))
+
+
+_CANDIDATES = f"""
+  , cov as ({_COVERED}), flags as (select fingerprint, relid, bool_or(missing) as stats_missing from e group by all), widths as (select fingerprint, relid, count(*) filter (stop = 0) > 3 as wide from n group by all),
+  pred as (select u.fingerprint, u.relid, string_agg(distinct u.col, ',' order by u.col) as predicate from usages u join attributes a on a.attrelid = u.relid and concat('c', a.attnum) = u.col where u.role = 'is_null' and a.null_frac > 0 and a.null_frac <= 0.5
+    and not exists (select 1 from usages x where x.fingerprint = u.fingerprint and x.relid = u.relid and x.col = u.col and x.role in ('equality', 'range', 'order')) group by all),
+  whole as (select cov.*, coalesce(predicate, '') as predicate, stats_missing, wide from cov left join pred using (fingerprint, relid) left join flags using (fingerprint, relid) left join widths using (fingerprint, relid)),
+  names as (select distinct relid, predicate, columns from whole),
+  target as (select k.relid, k.predicate, k.columns, arg_min(w.columns, {{'n': -len(string_split(w.columns, ',')), 'c': w.columns}}) as longest from names k join names w on k.relid = w.relid and k.predicate = w.predicate and (w.columns = k.columns or starts_with(w.columns, k.columns || ',')) group by all),
+  cand as (select relid, predicate, longest as columns, list(distinct fingerprint) as fps, bool_or(stats_missing) as stats_missing, bool_or(wide) as wide from whole join target using (relid, predicate, columns) group by 1, 2, 3)"""
+
+
+@query("v9_merge_prefixes", with_views("usages classes attributes idx", catalog._KEYS + _LIVE + _CANDIDATES + " select relid, predicate, columns, len(fps) as statements, stats_missing, wide from cand"))
+def v9(spark, d):
+    merged = advisor.merge_prefixes(advisor.covered(catalog._drafts(spark, d), catalog._live_indexes(spark, d), NO_KEY), NO_KEY)
+    return merged.select("relid", "predicate", F.array_join("columns", ",").alias("columns"), F.size("fingerprints").alias("statements"), "stats_missing", "wide")
+
+
+SQL["v12_candidates"] = with_views("usages classes attributes idx load", catalog._KEYS + _LIVE + _CANDIDATES + """
+  , sums as (select c.relid, c.predicate, c.columns, sum(l.exec_ms) as ms, sum(l.calls) as calls from (select *, unnest(fps) as f from cand) c join load l on l.fingerprint = c.f group by all),
+  rated as (select c.*, s.calls, case when t.total > 0 then 100.0::double * coalesce(s.ms, 0) / t.total else 0.0 end as weight_pct from cand c left join sums s using (relid, predicate, columns), (select sum(exec_ms) as total from load) t),
+  told as (select r.*, k.relkind, k.reltuples, (select count(*) from idx i where i.indrelid = r.relid) as indexes, exists (select 1 from live i where i.relid = r.relid and len(list_filter(string_split(r.columns, ','), lambda x: not list_contains(i.has, x))) = 0) as alike from rated r left join classes k using (relid))
+  select relid, predicate, columns, len(fps) as statements, cast(calls as bigint) as calls, weight_pct, concat_ws(',', case when alike then 'similar_index' end, case when indexes >= 10 then 'many_indexes' end, case when stats_missing then 'stats_missing' end, case when wide then 'wide_index' end,
+    case when relkind = 'p' then 'partition_root' end, case when relkind = 'm' then 'materialized_view' end, case when reltuples >= 1000 and reltuples > 100 then 'write_heavy' end, case when weight_pct < 1 then 'low_weight' end) as warnings,
+    row_number() over (partition by relid order by weight_pct desc, columns, predicate) as rn from told qualify rn <= 5""")
+
+# One sample of each host a step; what a state becomes is said once, for spikes alone and for whole incidents.
+_PROBES = """
+  , a as (select instance, epoch(ts)::double as t, active::double as active, row_number() over (partition by instance order by ts) as rn,
+    avg(active) over (partition by instance order by ts range between interval 6 hours preceding and interval 1 second preceding) as base from activity),
+  walk as (with recursive s as (
+    select distinct instance, 0::bigint as rn, null::double as since, null::double as high_at, 0 as high, 0 as seen, 0::double as peak, null::double as last, false as inside, null::double as bar, null::double as below, null::double as due,
+      null::double as onset, null::double as fired, null::double as top, null::double as share, null::double as dropped, null::double as followed, null::double as seen_value from a
+    union all
+    select instance, rn, case when fire then null else since end, case when fire then null else high_at end, case when fire then 0 else high end, case when fire then 0 else seen end, case when fire then 0 else peak end, case when fire or fall then t else last end,
+      case when fire then true when fall then false else inside end, bar, case when fall then null else below end, case when due <= t then null else due end,
+      case when fire then since end, case when fire then t end, case when fire then peak end, case when fire then high::double / seen end, case when fall then t end, case when due <= t then due end, active
+    from (select * replace (case when fire then t + 7200 when fall then null else due end as due) from (
+      select *, kind in ('started', 'forming') and t - since >= 3600 and high::double / seen >= 0.5 and (last is null or t - last >= {gap}) as fire,
+        kind in ('floor', 'aborted') and inside and active < bar and below_before is not null and t - below_before >= 3600 as fall
+      from (select instance, rn, t, active, last, inside, due, kind, below as below_before,
+          case when kind = 'none' then since when kind in ('floor', 'aborted') then null when kind = 'started' then t else since2 end as since,
+          case when kind = 'none' then high_at when kind in ('floor', 'aborted') then null when up then t else high_at2 end as high_at,
+          case when kind = 'none' then high when kind in ('floor', 'aborted') then 0 else high2 + up::int end as high, case when kind = 'none' then seen when kind in ('floor', 'aborted') then 0 else seen2 + 1 end as seen,
+          case when kind = 'none' then peak when kind in ('floor', 'aborted') then 0 when up then greatest(peak2, active) else peak2 end as peak,
+          case when kind = 'started' and not inside then base * 120 / 100 else bar end as bar,
+          case when kind = 'none' then below when kind in ('started', 'forming') then null when not inside or active >= bar then null when below is null then t else below end as below
+        from (select *, case when base is null then 'none' when base < 1 then 'floor' when not up and (since2 is null or t - high_at2 > 1800) then 'aborted' when up and since2 is null then 'started' else 'forming' end as kind
+          from (select s.*, a.rn as rn2, a.t, a.active, a.base, coalesce(a.active >= a.base * 120 / 100, false) as up, case when old then null else since end as since2, case when old then null else high_at end as high_at2, case when old then 0 else high end as high2,
+              case when old then 0 else seen end as seen2, case when old then 0 else peak end as peak2 from (select s.* replace (s.rn + 1 as rn) from s) s join a on a.instance = s.instance and a.rn = s.rn, lateral (select coalesce(a.base >= 1 and a.t - s.since > 14400, false) as old))))))
+  ) select * from s)"""
+SQL["z2_spike_events"] = with_views("activity", _PROBES.replace("{gap}", "3600") + " select instance, onset, fired as at, top as peak, share as coverage from walk where fired is not null")
+SQL["z3_incidents"] = with_views("activity", _PROBES.replace("{gap}", "21600") + """
+  select instance, 'activity_spike' as kind, fired as at, top as value from walk where fired is not null union all select instance, 'activity_drop', dropped, seen_value from walk where dropped is not null
+  union all select instance, 'deferred', followed, seen_value from walk where followed is not null""")
