@@ -60,7 +60,7 @@ VIEWS = {
           mod(low, 37) * 50000000 as relfrozenxid_age, case mod(s, 3) when 0 then 'minimal' when 1 then 'logical' else 'replica' end as wal_level, mod(p1, 2) as logical_slots, mod(f, 4) = 0 as wal_level_managed, mod(top, 64) / 64e0 as sequence_used
         from raw_counts""",
     # a signal is an event type's hourly value
-    "series": "select 'fleet' as target, event_type as signal, date_trunc('hour', ts) as ts, count(*) as value, sum(cast(round(value * 100) as bigint)) as total from events group by event_type, date_trunc('hour', ts)",
+    "series": "select concat('t', cast(mod(user_id, 2) as varchar(2))) as target, event_type as signal, date_trunc('hour', ts) as ts, count(*) as value, sum(cast(round(value * 100) as bigint)) as total from events group by concat('t', cast(mod(user_id, 2) as varchar(2))), event_type, date_trunc('hour', ts)",
     "objects": "select event_type as class, user_id as object, sum(cast(round(value * 100) as bigint)) as value from events group by event_type, user_id",
     "samples": """
         select user_id, day, sum(n) over (partition by user_id order by day) - case when mod(user_id, 17) = 0 and day >= date '2024-01-15' then 40 else 0 end as reads,

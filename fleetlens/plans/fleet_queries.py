@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import health, health_inputs, hot, indexes, series, signals, workload
 from fleetlens.plans.bindings import bind, with_views
-from fleetlens.plans.queries import _FINDINGS
+from fleetlens.plans.queries import _AT, _BASE, _FINDINGS
 from fleetlens.plans.registry import SQL, query
 from fleetlens.sources import snapshots
 from fleetlens.streaming import incidents, triggers
@@ -157,10 +157,10 @@ def x3(spark, d):
     return signals.signals_to_raw(wide).select("target", "ts", "conn_total", "cache_hit_pct", "replicas", "xid_age")
 
 
-@query("x5_with_baseline", with_views("series", "select s.signal, s.ts, s.value, b.baseline, case when s.value > 0 and b.baseline > 0 then s.value / b.baseline end as ratio from series s join (select signal, extract(dow from ts) * 24 + extract(hour from ts) as how, median(value) as baseline from series group by all) b on s.signal = b.signal and extract(dow from s.ts) * 24 + extract(hour from s.ts) = b.how"))
+@query("x5_with_baseline", with_views("series", f"select s.target, s.signal, s.ts, s.value, b.median as baseline, case when s.value > 0 and b.median > 0 then s.value / b.median end as ratio from series s left join {_BASE.format(100)} b on {_AT}"))
 def x5(spark, d):
     rows = bind(spark, d, "series")
-    return series.with_baseline(rows, series.seasonal_baseline(rows, 1)).select("signal", "ts", "value", "baseline", "ratio")
+    return series.with_baseline(rows, series.seasonal_baseline(rows, 100)).select("target", "signal", "ts", "value", "baseline", "ratio")
 
 
 @query("x8_score_history")
