@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
@@ -95,7 +94,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
     merger = Merger(tokenizer)
     raw = [w.encode() for w in words]
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
+    path = os.path.join(SparkFiles.getRootDirectory(), name)  # Spark's own folder for such files
     Lexicon.write(path, raw, [merger.ids(w) for w in raw])
     docs.sparkSession.sparkContext.addFile(path)
     return name

@@ -135,6 +135,18 @@ def test_word_bpe_is_the_library(docs, empty):
     assert word_bpe.encode_decode(empty, path).count() == 0
 
 
+def test_odd_strings_encode_as_in_the_library(spark):
+    dice = np.random.default_rng(9)
+    alphabet = list("abcdeéßñ ΣİıK012.,;:!?'’\"-_/\\()[]{}@#$%^&*+=~`|<>\t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u200b\u2028\u3000\ufeff中日🙂e\u0301") + ["ing", "the ", " 's", "n't", "  ", "<|endoftext|>", "ﬁ"]
+    rows = [(i, "".join(dice.choice(alphabet, size=int(dice.integers(0, 40))))) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    word, byte = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    for t, got in ((Tokenizer.from_file(word), word_bpe.encode_decode(frame, word)), (Tokenizer.from_file(byte), token_files.round_trip(frame, byte, public_tokenizers.PATTERN))):
+        ids = {r.doc_id: bytes(r.ids) for r in got.collect()}
+        end = [0] if "start" in got.columns else []
+        assert all(ids[i] == np.array([*t.encode(s, add_special_tokens=False).ids, *end], "<u4").tobytes() for i, s in rows)
+
+
 def test_token_files_are_the_library(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
