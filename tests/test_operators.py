@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 from fleetlens.functions.exprs import lsn_to_long, sanitize
 from fleetlens.functions.graph import lock_tree, root_of
 from fleetlens.functions.windows import with_shares
-from fleetlens.operators import health, logs, workload
+from fleetlens.operators import health, hot, logs, maintenance, workload
 from fleetlens.sources import snapshots
+from fleetlens.streaming import incidents
 from fleetlens.streaming.triggers import SpikeConfig, SpikeState, spike_events, spike_stream, step
 
 CFG = SpikeConfig(window_s=1800, percent=50, duration_s=120, coverage=0.7)
@@ -146,3 +147,28 @@ def test_score_of_a_healthy_and_a_critical_host(spark):
     flags = {"autovacuum_off": False, "track_counts_off": False, "io_timing_off": False, "in_recovery": False}
     raw = spark.createDataFrame([{"host": "good", **base, **flags}, {"host": "bad", **base, **flags, "xid_age": 2e9}])
     assert {r.host: (r.critical, r.score) for r in health.health_score(raw, ["host"]).collect()} == {"good": (False, 100.0), "bad": (True, 30.0)}
+
+
+def test_event_log_keeps_errors_and_comes_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ok"), (2, None), (3, "error: no answer"), (4, "empty")], "event_id long, outcome string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a restart from the checkpoint adds nothing
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        incidents.event_log(stream, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "ok"), (2, "ok"), (3, "error: no answer"), (4, "empty")}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_live_percentile_leaves_broken_hosts_out(spark):
+    day = lambda n: F.timestamp_seconds(F.lit(86400 * n))
+    was = spark.createDataFrame([("c", "o", "h1", 100, 1, "s"), ("c", "o", "h2", 100, 1, "s"), ("c", "o", "h3", 100, 1, "s"), ("c", "o", "h4", 500, 1, "s")], "class string, object string, host string, value long, stats_reset int, part_sig string").withColumn("captured_at", day(0))
+    now = spark.createDataFrame([("c", "o", "h1", 300, 1, "s"), ("c", "o", "h2", 900, 2, "s"), ("c", "o", "h3", 900, 1, "t"), ("c", "o", "h4", 400, 1, "s")], "class string, object string, host string, value long, stats_reset int, part_sig string").withColumn("captured_at", day(2))
+    windows = spark.createDataFrame([("c", True), ("c", False)], "class string, complete boolean").withColumns({"from_ts": day(0), "to_ts": F.when(F.col("complete"), day(3)).otherwise(day(9))})
+    ladder = spark.createDataFrame([("c", [float(10 * i) for i in range(1, 10)], [95.0, 99.0], 400.0)], "class string, deciles array<double>, upper array<double>, top double")
+    row = hot.live_percentile(was, now, windows, ladder, ["class"]).first()
+    assert row.per_day == 100.0 and abs(row.percentile - (0.99 + 0.01 * (300 - 99) / (400 - 99))) < 1e-12
+
+
+def test_settings_of_replication(spark):
+    rows = spark.createDataFrame([("synchronous_commit", "on"), ("work_mem", "4MB")], "name string, setting string")
+    assert [r.setting for r in maintenance.settings_subset(rows, maintenance.REPLICATION).collect()] == ["on"]
