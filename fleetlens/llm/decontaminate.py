@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,9 @@ from fleetlens.llm.common import utf8, words_of, written
 WINDOW = 13
 CHUNK = 16  # words that are compared at once; a window fits in
 PIECE = 4096  # words of a piece of a long item
+BLOCK = 1 << 20  # bytes of benchmark words in a block
+#: Blocks that documents pass in one job; then the documents are written, and the blocks let go.
+TOGETHER = 8
 
 
 def _rows(text: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -125,7 +129,6 @@ class TestBlock:
         self.opening = at[first_of] if len(at) else at
         rows = rows[first_of] if len(at) else rows
         self.length = (rows != 0).sum(axis=1)
-        self.high = _keys(np.where(rows == 0, np.int64(0xFFFFFFFF), rows))
         held = np.unique(number * np.int64(max(1, len(self.ids))) + self.piece[at]) if len(at) else np.zeros(0, np.int64)
         self.holder = held % max(1, len(self.ids))
         self.holder_from = np.searchsorted(held // max(1, len(self.ids)), np.arange(len(self.low) + 1))
@@ -134,6 +137,7 @@ class TestBlock:
         self.pairs = np.unique(self.double)
         self.single = np.unique(rows[self.length == 1, 0]) if len(rows) else np.zeros(0, np.int64)
         self._array: SuffixArray | None = None
+        self._high: np.ndarray | None = None
 
     def pairs_of(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
         return text[at].astype(np.int64) * self.base + text[at + 1]
@@ -145,8 +149,16 @@ class TestBlock:
             self._array = SuffixArray(self.text, self.suffixes)
         return self._array
 
+    @property
+    def high(self) -> np.ndarray:
+        """The last key that begins with each window."""
+        if self._high is None:
+            rows = self.low.view(">u4").reshape(-1, CHUNK).astype("<u4")
+            self._high = _keys(np.where(rows == 0, np.uint32(0xFFFFFFFF), rows))
+        return self._high
+
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_array": None}
+        return self.__dict__ | {"_array": None, "_high": None}
 
 
 def _among(values: np.ndarray, allowed: np.ndarray) -> np.ndarray:
@@ -254,16 +266,20 @@ def benchmark_pieces(benchmark: DataFrame, window: int = WINDOW, piece: int = PI
     return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "item string, whole boolean, first long, words binary")
 
 
-def test_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[TestBlock, bool]]:
-    """The benchmark in blocks of about ``block_bytes``, each fetched alone; True behind all but the last."""
+def test_blocks(benchmark: DataFrame, window: int, block_bytes: int, together: int) -> Iterator[tuple[list[Broadcast], bool]]:
+    """The benchmark in blocks of about ``block_bytes``, each fetched and broadcast alone, ``together`` at a time; True behind all but the last."""
     pieces = written(benchmark_pieces(benchmark, window), "pieces")
     total = pieces.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     number = F.pmod(F.xxhash64("item", "first", "words"), F.lit(blocks))
+    held = []
     for k in range(blocks):
         rows = pieces.where(number == k).collect()  # pieces of bounded size, dealt evenly by a hash
         order = sorted(((r.item, r.whole, r.first, bytes(r.words)) for r in rows), key=lambda r: (r[0] is not None, r[0] or "", r[2], r[3]))
-        yield TestBlock(order, window), k + 1 < blocks
+        held.append(benchmark.sparkSession.sparkContext.broadcast(TestBlock(order, window)))
+        if len(held) == together or k + 1 == blocks:
+            yield held, k + 1 < blocks
+            held = []
 
 
 def _united(parts: list[np.ndarray]) -> int:
@@ -276,11 +292,7 @@ def _united(parts: list[np.ndarray]) -> int:
     return total
 
 
-#: Blocks that documents pass in one job; then they are written, and the blocks let go.
-TOGETHER = 8
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = WINDOW, block_bytes: int = 4 << 20, shard_words: int = 1 << 18) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK, shard_words: int = 1 << 18) -> DataFrame:
     """Words of each document that stand inside a benchmark window, and the items they come from.
 
     A window is ``window`` (CHUNK at most) consecutive words of an item, or the whole of a shorter item. Training texts
@@ -306,26 +318,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] |
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), *state])
     empty = [F.lit(0).cast("long"), F.array().cast("array<bigint>"), F.array().cast("array<string>"), F.lit(0).cast("long"), F.lit(None).cast("long")]
     frame = docs.select(*(F.col(c).alias(n) for c, n in zip(carry, names)), F.col("text").cast("string").alias("text"), *(e.alias(f.name) for e, f in zip(empty, state)))
-    for number, (block, more) in enumerate(test_blocks(benchmark, window, block_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    for blocks, more in test_blocks(benchmark, window, block_bytes, TOGETHER):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, more=more) -> Iterator[pa.RecordBatch]:
-            test = shared.value
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks, more=more) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
-                found = list(_scan(utf8(b.column(k)), test, shard_words))
-                runs = [x + r.tolist() for x, (_, r, *_) in zip(b.column(k + 2).to_pylist(), found)]
-                items = [sorted({*x, *f[2]}) if f[2] else x for x, f in zip(b.column(k + 3).to_pylist(), found)]
-                best = [min((-n, a), (-f[3], f[4])) if n and f[3] else (-n, a) if n else (-f[3], f[4]) for n, a, f in zip(b.column(k + 4).to_pylist(), b.column(k + 5).to_pylist(), found)]
+                texts = utf8(b.column(k))
+                n, (runs, items, longest, at) = [], [b.column(k + i).to_pylist() for i in range(2, 6)]
+                for shared in blocks:
+                    n = []
+                    for d, (words, covered, names, length, place) in enumerate(_scan(texts, shared.value, shard_words)):
+                        n.append(words)
+                        if length:
+                            runs[d] = [*runs[d], *covered.tolist()]
+                            items[d] = sorted({*items[d], *names})
+                            if not longest[d] or (-length, place) < (-longest[d], at[d]):
+                                longest[d], at[d] = length, place
                 text = b.column(k) if more else pa.nulls(b.num_rows, pa.string())
-                longest = [pa.array([-n for n, _ in best], pa.int64()), pa.array([a if n else None for n, a in best], pa.int64())]
-                columns = [*b.columns[:k], text, pa.array([f[0] for f in found], pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), *longest]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                made = zip((n, runs, items, longest, at), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:k], text, *(pa.array(x, t) for x, t in made)], schema.names)
 
         frame = frame.mapInArrow(run, schema)
-        if more and number % TOGETHER == TOGETHER - 1:
+        if more:
             frame = written(frame, "scanned")
+            for shared in blocks:
+                shared.unpersist()
     added = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("longest_match", T.LongType()), ("longest_at", T.LongType()), ("runs", T.ArrayType(T.LongType())), ("items", T.ArrayType(T.StringType()))]
     out = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(carry, kept)), *(T.StructField(n, t) for n, t in added)])
 
@@ -341,29 +359,29 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] |
     return frame.mapInArrow(finish, out)
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, block_bytes: int = 4 << 20, shard_words: int = 1 << 18) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, block_bytes: int = BLOCK, shard_words: int = 1 << 18) -> DataFrame:
     """(item, item_at, length, doc_id, doc_at): the longest verbatim match over all documents of each test suffix that has one of ``least`` words.
 
     Suffixes whose match only continues that of the suffix before are left out. Tasks return the best of their shards;
     ties go to the smallest doc_id, then place. Null ids are kept as null; other oddities as in ``find_contamination``.
     """
     out = None
-    for block, _ in test_blocks(benchmark, WINDOW, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    for blocks, _ in test_blocks(benchmark, WINDOW, block_bytes, TOGETHER):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            test = shared.value
-            item, first = np.array(test.ids, object), np.array(test.first, np.int64)
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for number, edges, shard in _shards(utf8(b.column(1)), test, shard_words):
-                    length, place = shard.longest(test)
-                    follows = np.zeros(len(length), bool)
-                    follows[1:] = (np.diff(test.suffixes) == 1) & (length[:-1] == length[1:] + 1)
-                    some = np.flatnonzero((length >= least) & ~follows)
-                    doc = np.searchsorted(edges, place[some], "right") - 1
-                    piece = test.piece[some]
-                    columns = [pa.array(item[piece], pa.string()), pa.array(first[piece] + test.suffixes[some] - test.edge[piece]), pa.array(length[some]), b.column(0).take(pa.array(number + doc)), pa.array(place[some] - edges[doc])]
-                    yield pa.RecordBatch.from_arrays(columns, ["item", "item_at", "length", "doc_id", "doc_at"])
+                texts = utf8(b.column(1))
+                for test in (shared.value for shared in blocks):
+                    item, first = np.array(test.ids, object), np.array(test.first, np.int64)
+                    for number, edges, shard in _shards(texts, test, shard_words):
+                        length, place = shard.longest(test)
+                        follows = np.zeros(len(length), bool)
+                        follows[1:] = (np.diff(test.suffixes) == 1) & (length[:-1] == length[1:] + 1)
+                        some = np.flatnonzero((length >= least) & ~follows)
+                        doc = np.searchsorted(edges, place[some], "right") - 1
+                        piece = test.piece[some]
+                        columns = [pa.array(item[piece], pa.string()), pa.array(first[piece] + test.suffixes[some] - test.edge[piece]), pa.array(length[some]), b.column(0).take(pa.array(number + doc)), pa.array(place[some] - edges[doc])]
+                        yield pa.RecordBatch.from_arrays(columns, ["item", "item_at", "length", "doc_id", "doc_at"])
 
         ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         found = ids.mapInArrow(run, "item string, item_at long, length long, doc_id long, doc_at long")
