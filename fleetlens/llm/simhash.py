@@ -41,14 +41,14 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, piece: int = 1 <<
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 3, digest: bool = False) -> DataFrame:
-    """(doc_id, fp long) of every document; with ``digest`` also the SHA-256 of its text in hex."""
+    """(doc_id, fp long) of every document; with ``digest`` also the SHA-256 of id and text in hex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = utf8(b.column(1))
             columns = [b.column(0), pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64), pa.int64())]
             if digest:
-                columns.append(pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()))
+                columns.append(pa.array([hashlib.sha256(f"{'n' if i is None else i}|".encode() + t).hexdigest() for i, t in zip(b.column(0).to_pylist(), texts)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest"][: len(columns)])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -152,7 +152,7 @@ def simhash_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFr
 
 
 def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """One document of each group, with its own columns: the smallest doc_id, then the smallest text.
+    """One document of each group, with its own columns: the smallest doc_id, then the first SHA-256 of id and text.
 
     A document is judged by its own fingerprint, so unlike texts under one doc_id are each kept or dropped with their
     own group. Ids come before null; of rows with equal id and text the one stays whose
@@ -166,11 +166,12 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     # The first document of each fingerprint, then of each group: no group is gathered in one place.
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "digest")
     first = prints.groupBy("fp").agg(F.min(order).alias("first")).join(groups, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
-    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    marked = mine.withColumn("_d", digest)
-    kept = marked.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")), "left_semi")
+    chosen = first.select(F.col("first.digest").alias("_d"))
+    named = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("n"))
+    marked = mine.withColumn("_d", F.sha2(F.concat(named, F.lit("|"), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
     others = [c for c in mine.columns if c not in ("doc_id", "text")]
     every = F.struct(*mine.columns)
-    one = F.min_by(every, F.to_json(F.struct(*others))) if others else F.first(every)  # combined before the shuffle
-    return kept.groupBy("doc_id", "_d").agg(one.alias("one")).select(*(F.col(f"one.{c}").alias(n) for c, n in zip(mine.columns, docs.columns)))
+    one = F.min_by(every, F.to_json(F.struct(*others))) if others else F.first(every)
+    # Equal rows are combined before the shuffle, which the join then needs no more.
+    kept = marked.groupBy("_d").agg(one.alias("one")).join(chosen, "_d", "left_semi")
+    return kept.select(*(F.col(f"one.{c}").alias(n) for c, n in zip(mine.columns, docs.columns)))
