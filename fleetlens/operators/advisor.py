@@ -147,7 +147,8 @@ def merge_prefixes(drafts: DataFrame, key: list[str]) -> DataFrame:
     Each draft yields its prefixes (a key is short), so containers are found by an equi-join. Drafts and candidates are
     written, as what follows reads them more than once.
     """
-    rows = settled(drafts.withColumn("predicate", F.array_join("predicate", ",")), "drafts")
+    rows = drafts.select(*key, "relid", "fingerprint", "columns", F.array_join("predicate", ",").alias("predicate"), "stats_missing", "wide")
+    rows = settled(rows, "drafts")
     keys = rows.select(*key, "relid", "predicate", "columns").distinct()
     longer = keys.select(*key, "relid", "predicate", F.col("columns").alias("whole"), F.explode(F.transform(F.sequence(F.lit(1), F.size("columns")), lambda n: F.slice("columns", F.lit(1), n))).alias("columns"))
     target = longer.groupBy(*key, "relid", "predicate", "columns").agg(F.min_by("whole", F.struct((-F.size("whole")).alias("n"), F.array_join("whole", ",").alias("c"))).alias("whole"))
