@@ -241,9 +241,13 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.9, sample: int = S
     found = written(fetched.mapInArrow(compare, "node long, links long, root long"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "_node")
-    named = distinct.join(links, "node", "left").join(components, F.col("node") == F.col("_node"), "left").select("v", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("root"))
+    ids = distinct.select("node", "rep", "copies")
+    named = ids.join(links, "node", "left").join(components, F.col("node") == F.col("_node"), "left").select("node", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("v", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "component_id")
-    joined = rows.join(named, "v", "left")
-    component = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    named = named.join(least, "root").select("node", "rep", "copies", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "component_id")
+    # A vector that stands once is its row; only rows of the others look theirs up by its value.
+    once = named.where("copies = 1").select(F.col("rep").alias("vec_id"), "n_links", "component_id")
+    others = named.where("copies > 1").join(distinct.where("copies > 1").select("node", "v"), "node").select("v", "n_links", "component_id")
+    again = rows.where("v is not null").join(others, "v").select("vec_id", "n_links", "component_id")
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return once.unionByName(again).unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
