@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import infill, itq, license_scan, pii, quality, repeats, sharding, simhash, token_files, toxicity, word_bpe
+from fleetlens.llm import bilinear, infill, itq, license_scan, pii, quality, repeats, sharding, simhash, token_files, toxicity, word_bpe
 from fleetlens.llm.common import read_table
 from fleetlens.llm.decontaminate import find_contamination
 
@@ -92,8 +92,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(h == 0, F.lit(False)).alias("held_out"), F.coalesce(h != 0, F.lit(False)).alias("learnt"))
+    return bilinear.score_corpus(docs, F.col("learnt"), ["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_license_scan, op2_decontaminate, op3_embedding_dedup, op4_word_bpe, op5_toxicity, op6_quality, op7_sharding, op8_pii, op9_simhash_dedup, op10_token_files, op11_periodic_runs, op12_fill_in_middle)
+    every = (op1_license_scan, op2_decontaminate, op3_embedding_dedup, op4_word_bpe, op5_toxicity, op6_quality, op7_sharding, op8_pii, op9_simhash_dedup, op10_token_files, op11_periodic_runs, op12_fill_in_middle, op13_lm_scores)
     return {f.__name__: f for f in every}
 
 
@@ -198,5 +204,5 @@ from parts
 
 
 def oracle_sql() -> dict[str, str]:
-    """Not here, but tested against brute force: trained models (5, 6), random draws (7), tokenizers (4, 10), XXH64 (9), places of matches (8)."""
+    """Not here, but tested against brute force: trained models (5, 6, 13), random draws (7), tokenizers (4, 10), XXH64 (9), places of matches (8)."""
     return {"op1_license_scan": license_scan.scan_sql(), "op2_decontaminate": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op11_periodic_runs": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
