@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.functions.store import settled
 
@@ -27,24 +28,75 @@ def root_of(edges: DataFrame, key: list[str] | None = None) -> DataFrame:
     return jump.select(*key, "child", *(F.when(~F.col("moved"), F.col(c)).alias(c) for c in ("root", "level")))
 
 
-def lock_tree(waits: DataFrame, key: list[str]) -> DataFrame:
-    """(key, pid, root, level, path, blocked) from waits (key, pid, blocker): who waits for whom, from blockers that don't wait.
+def _ancestry(parents: DataFrame, key: list[str], paths: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """((key, pid, root, level, below, path) of all nodes under a root, [(key, pid, up) of each round]).
+
+    Pointer doubling over (key, pid, parent), parent null for roots: after k rounds a node knows the ancestor 2^k above
+    (``up``), the topmost one nearer than that, the way there, and how many nodes lie less than 2^k below it. A round
+    joins what the ancestor knows, and adds up, by ancestor, what nodes 2^k below know; each is written, so plans stay small
+    and rounds are log2 of the depth. Nodes on a cycle, or below one, have no topmost ancestor and are left out.
+    """
+    state = parents.select(*key, "pid", F.col("parent").alias("up"), F.col("pid").alias("root"), F.lit(0).cast("long").alias("level"), F.lit(1).cast("long").alias("n"), (F.array("pid") if paths else F.array().cast(T.ArrayType(parents.schema["pid"].dataType))).alias("path"))
+    state = settled(state, "ancestry")
+    lifts = [state.select(*key, "pid", "up")]
+    for k in range(state.count().bit_length() + 1):
+        if state.where("up is not null").isEmpty():
+            break
+        above = state.select(*key, F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("level").alias("_level"), F.col("path").alias("_path"))
+        under = state.where("up is not null").groupBy(*key, F.col("up").alias("pid")).agg(F.sum("n").alias("_n"))
+        far = state.join(above, [*key, "up"], "left").join(under, [*key, "pid"], "left")
+        more = F.col("up").isNotNull()
+        state = settled(far.select(*key, "pid", F.col("_up").alias("up"), F.when(more, F.col("_root")).otherwise(F.col("root")).alias("root"), F.when(more, F.col("_level") + (1 << k)).otherwise(F.col("level")).alias("level"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.when(more, F.concat("_path", "path")).otherwise(F.col("path")).alias("path")), "ancestry")
+        lifts.append(state.select(*key, "pid", "up"))
+    return state.where("up is null").select(*key, "pid", "root", "level", (F.col("n") - 1).alias("below"), "path"), lifts
+
+
+def _settled_parents(waits: DataFrame, key: list[str]) -> DataFrame:
+    """(key, pid, parent) of every pid; the parent is the deepest blocker, null for those that don't wait.
 
-    One join for each level, each written, until a level is empty. A pid that already stands on its path ends the branch,
-    so cycles do too. ``blocked`` counts the distinct pids below a pid in all trees of its key.
+    A pid with several blockers hangs below the deepest of them if the path to that one holds the others; else it is its
+    own parent, a cycle, which takes it and all below it out. Levels are first guessed by how many a blocker waits for
+    itself, as in a queue for one lock, then counted; what changes is counted again until nothing does.
     """
-    waits = settled(waits.select(*key, "pid", "blocker").distinct(), "waits")
-    waiting = waits.select(*key, F.col("pid").alias("blocker")).distinct()
-    roots = waits.select(*key, "blocker").distinct().join(waiting, [*key, "blocker"], "left_anti")
-    level = settled(roots.select(*key, F.col("blocker").alias("pid"), F.col("blocker").alias("root"), F.lit(0).alias("level"), F.array("blocker").alias("path")), "level")
-    out = level
-    while True:
-        above = level.select(*key, F.col("pid").alias("blocker"), "root", "level", "path")
-        below = waits.join(above, [*key, "blocker"]).where(~F.array_contains("path", F.col("pid")))
-        level = settled(below.select(*key, "pid", "root", (F.col("level") + 1).alias("level"), F.concat("path", F.array("pid")).alias("path")), "level")
-        if level.isEmpty():
+    several = waits.groupBy(*key, "pid").agg(F.count("*").alias("_k"), F.min("blocker").alias("_one"))
+    roots = waits.select(*key, F.col("blocker").alias("pid")).distinct().join(several, [*key, "pid"], "left_anti").withColumn("parent", F.lit(None).cast(waits.schema["pid"].dataType))
+    fixed = several.where("_k = 1").select(*key, "pid", F.col("_one").alias("parent")).unionByName(roots)
+    loose = settled(waits.join(several.where("_k > 1").select(*key, "pid"), [*key, "pid"], "left_semi"), "loose")
+    most = loose.select(*key, "pid").distinct().count()
+    if not most:
+        return fixed
+    deepest = lambda depth: F.max(F.struct(depth.alias("d"), F.col("blocker").alias("b")))["b"].alias("parent")
+    guess = several.select(*key, F.col("pid").alias("blocker"), "_k")
+    chosen = settled(loose.join(guess, [*key, "blocker"], "left").groupBy(*key, "pid").agg(deepest(F.coalesce("_k", F.lit(0)))), "chosen")
+    for _ in range(most + 1):
+        nodes, lifts = _ancestry(fixed.unionByName(chosen), key, False)
+        known = loose.join(nodes.select(*key, F.col("pid").alias("blocker"), "level"), [*key, "blocker"], "left")
+        fresh = settled(known.groupBy(*key, "pid").agg(deepest(F.coalesce("level", F.lit(1 << 62)))), "chosen")
+        moved = fresh.join(chosen.withColumnRenamed("parent", "_was"), [*key, "pid"]).where("parent <> _was")
+        chosen, before = fresh, chosen
+        if moved.isEmpty():
+            chosen = before
             break
-        out = out.unionByName(level)
-    below = out.select(*key, F.col("pid").alias("_below"), F.explode("path").alias("pid")).where("pid <> _below")
-    counts = below.groupBy(*key, "pid").agg(F.count_distinct("_below").alias("blocked"))
-    return out.join(counts, [*key, "pid"], "left").withColumn("blocked", F.coalesce("blocked", F.lit(0)))
+    # is each other blocker the ancestor of the parent that stands as many levels above as they differ?
+    level = nodes.select(*key, F.col("pid").alias("parent"), F.col("level").alias("_deep"))
+    asked = known.join(chosen, [*key, "pid"]).where("blocker <> parent").join(level, [*key, "parent"], "left").withColumn("_steps", F.col("_deep") - F.col("level")).withColumn("_at", F.col("parent"))
+    for k, lift in enumerate(lifts):
+        up = lift.select(*key, F.col("pid").alias("_at"), F.col("up").alias("_up"))
+        step = F.shiftright("_steps", k).bitwiseAND(F.lit(1)) == 1
+        asked = asked.join(up, [*key, "_at"], "left").withColumn("_at", F.when(step, F.col("_up")).otherwise(F.col("_at"))).drop("_up")
+    held = (F.col("_steps") > 0) & F.col("_at").eqNullSafe(F.col("blocker"))
+    loops = asked.where(~F.coalesce(held, F.lit(False))).select(*key, "pid").distinct().withColumn("_loop", F.lit(True))
+    ends = chosen.join(loops, [*key, "pid"], "left").select(*key, "pid", F.when(F.col("_loop"), F.col("pid")).otherwise(F.col("parent")).alias("parent"))
+    return fixed.unionByName(settled(ends, "parents"))
+
+
+def lock_tree(waits: DataFrame, key: list[str], paths: bool = True) -> DataFrame:
+    """(key, pid, root, level, path, blocked) from waits (key, pid, blocker): who waits for whom, from blockers that don't wait.
+
+    A pid stands below its deepest blocker, if all its blockers are on the path to that one; so it stands in one place,
+    and those on a cycle, or below one, in none. ``blocked`` counts the pids below a pid. Rounds are log2 of the
+    depth. Without ``paths``, which are as long as their pid's level, the column is left out.
+    """
+    waits = settled(waits.select(*key, "pid", "blocker").where("blocker is not null").distinct(), "waits")
+    nodes = _ancestry(_settled_parents(waits, key), key, paths)[0].withColumnRenamed("below", "blocked").withColumn("level", F.col("level").cast("int"))
+    return nodes if paths else nodes.drop("path")
