@@ -21,7 +21,7 @@ PRIOR = 0.1
 END = "\n"
 CLASS = 64  # outcomes of a class
 OUTCOMES = 64 * CLASS  # most outcomes of the model: END, all other words together, and the most frequent words
-LEXICON = 1 << 16  # words whose counts tasks hold; those of all others are joined
+LEXICON = 1 << 16  # most words whose counts tasks hold; those of all others are joined
 CONTEXT, RANK = 3, 16
 END_ID, OTHER = 0, 1
 #: Noise samples for each batch among the classes, and among the words of each class.
@@ -37,7 +37,7 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER_TABLE).split()
 
 
-def count_tokens(docs: DataFrame, flush: int = 300_000) -> DataFrame:
+def count_tokens(docs: DataFrame, flush: int = 200_000) -> DataFrame:
     """(word, n) over all texts; END stands once for each. Tasks count before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,6 +61,17 @@ def count_tokens(docs: DataFrame, flush: int = 300_000) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The most frequent words and their counts, ``most`` at most, those of one step of the logarithm all or none; most frequent first."""
+    stepped = counts.where(F.col("word") != END).withColumn("step", F.floor(8 * F.log2("n")).cast("int"))
+    least, held = 1 << 30, 0
+    for step, n in sorted(stepped.groupBy("step").agg(F.count("*")).collect(), reverse=True):  # some hundreds of steps
+        if held + n > most:
+            break
+        least, held = step, held + n
+    return sorted(((r[0], r[1]) for r in stepped.where(F.col("step") >= least).select("word", "n").collect()), key=lambda r: (-r[1], r[0]))
+
+
 def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Logarithm of each row's share at its place, normalised over the row."""
     x -= x.max(axis=1, keepdims=True)
@@ -218,7 +229,7 @@ def _numbered(lists: list[list[bytes]], number: dict[bytes, int], start: int) ->
     """(stream, place, lexicon index): outcomes with CONTEXT starts before each text and END behind; where the outcomes stand."""
     get = number.get
     size = np.fromiter(map(len, lists), np.int64, len(lists))
-    index = np.fromiter((get(w, -1) for words in lists for w in words), np.int64, int(size.sum()))
+    index = np.array([get(w, -1) for words in lists for w in words], np.int64)
     end = np.cumsum(size + 1 + CONTEXT)
     stream = np.full(int(end[-1]) if len(end) else 0, start, np.int64)
     place = np.arange(len(index)) + np.repeat((end - (size + 1)) - (np.cumsum(size) - size), size)
@@ -240,7 +251,7 @@ def train_model(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS, lexico
     """
     spark = docs.sparkSession
     tokens, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0))).first()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(lexicon).collect()  # at most ``lexicon`` rows
+    top = frequent(counts, lexicon)
     words, n = [r[0] for r in top], np.array([r[1] for r in top], float)
     unit = tokens + PRIOR * (distinct + 1)
     base = (n + PRIOR) / unit
@@ -273,7 +284,7 @@ def train_model(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS, lexico
                         trainer.step(c[:, order[at : at + BATCH]], t[order[at : at + BATCH]])
 
             for b in batches:
-                for part in by_bytes(b, 0, 4 << 20):
+                for part in by_bytes(b, 0, 2 << 20):
                     stream, place, _ = _numbered([tokens_of(t) for t in utf8(part.column(0))], number, network.size)
                     context.append(network.contexts(stream, place).astype(np.int32))
                     target.append(stream[place].astype(np.int32))
@@ -329,7 +340,7 @@ def score_texts(docs: DataFrame, model: LanguageModel, counts: DataFrame, carry:
         end_log = math.log10((m.end_count + PRIOR) / m.unit)
         logs = np.append(m.logs, 0.0)
         for whole in batches:
-            for b in by_bytes(whole, k, 4 << 20):
+            for b in by_bytes(whole, k, 2 << 20):
                 lists = [tokens_of(t) for t in utf8(b.column(k))]
                 stream, place, index = _numbered(lists, number, m.network.size)
                 size = np.fromiter(map(len, lists), np.int64, len(lists))
