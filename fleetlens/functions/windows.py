@@ -71,3 +71,22 @@ def nearest_rank(df: DataFrame, part: list[str], value: str, at: list[float]) ->
     picks = F.array(*(F.struct(F.lit(q).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("_all") - 1e-9)).alias("r")) for q in at))
     hit = F.filter(picks, lambda p: (p["r"] > F.col("_last") - F.col("_n")) & (p["r"] <= F.col("_last")))
     return ranked.select(*part, "value", F.explode(hit).alias("p")).select(*part, F.col("p.q").alias("q"), "value")
+
+
+def running_last(df: DataFrame, part: list[str], order: list[str], value: str, name: str, before: int = 0) -> DataFrame:
+    """df with the last non-null ``value`` of the group up to this row by ``order``, or up to ``before`` rows before it.
+
+    As in ``running_total`` rows are put in range partitions, and a small table tells the last value before each, so that a
+    group may span many tasks.
+    """
+    ranged = settled(df.repartitionByRange(*part, *order).withColumn("_p", F.spark_partition_id()), "ranged")
+    own = Window.partitionBy(*part, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -before)
+    place = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = ranged.groupBy(*part, "_p").agg(F.max_by(value, place).alias("_e"))  # a row for each group in each partition
+    past = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_past", F.last("_e", ignorenulls=True).over(past)).drop("_e").withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(part)} | {"_p": "_q"})
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(part):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    found = ranged.withColumn("_own", F.last(value, ignorenulls=True).over(own)).join(ends, same, "left")
+    return found.withColumn(name, F.coalesce("_own", "_past")).drop("_own", "_past", "_p", "_q", *(f"_k{i}" for i in range(len(part))))

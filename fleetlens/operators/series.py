@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.exprs import hour_of_week
-from fleetlens.functions.windows import nearest_rank, top_n
+from fleetlens.functions.windows import nearest_rank, running_last, top_n
 
 
 def pivot_signals(long: DataFrame, signals: list[str]) -> DataFrame:
@@ -89,6 +89,6 @@ def aggregate_hosts(rows: DataFrame, key: list[str], value: str, size: str | Non
 
 
 def previous_rank(tops: DataFrame, part: list[str], order: str) -> DataFrame:
-    """An object's rank in the snapshot before, null where it wasn't in it."""
-    w = Window.partitionBy(*part).orderBy(order)
-    return tops.withColumn("previous_rank", F.lag("rn").over(w))
+    """An object's rank in the snapshot before, null where it wasn't in it; an object may have any number of snapshots."""
+    marked = tops.withColumn("_rank", F.struct("rn"))
+    return running_last(marked, part, [order], "_rank", "_was", before=1).withColumn("previous_rank", F.col("_was.rn")).drop("_rank", "_was")

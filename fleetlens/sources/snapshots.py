@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.functions.exprs import sanitize
+from fleetlens.functions.windows import running_last
 
 
 def harmonise(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -73,11 +74,15 @@ def upsert_anchors(state: DataFrame, sample: DataFrame, key: list[str]) -> DataF
 
 
 def asof(probes: DataFrame, snaps: DataFrame, key: list[str], ts: str, value: str) -> DataFrame:
-    """For each probe the value of the newest snapshot at or before it: one union and one running window, no range join."""
-    both = snaps.select(*key, ts, F.col(value), F.lit(0).alias("_probe"), F.lit(None).cast("long").alias("probe_id"))
-    both = both.unionByName(probes.select(*key, ts, F.lit(None).cast(snaps.schema[value].dataType).alias(value), F.lit(1).alias("_probe"), F.col("probe_id").cast("long")))
-    w = Window.partitionBy(*key).orderBy(ts, "_probe", "probe_id").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("_probe = 1").select("probe_id", *key, ts, value)
+    """For each probe the value of the newest snapshot at or before it: one union and one running value, no range join.
+
+    Both lie in range partitions by key and time (see ``running_last``), so a key with a third of all rows is many tasks.
+    """
+    both = snaps.select(*key, ts, F.struct(F.col(value).alias("v")).alias("_v"), F.lit(0).alias("_probe"), F.lit(None).cast("long").alias("probe_id"))
+    none = F.lit(None).cast(both.schema["_v"].dataType).alias("_v")
+    both = both.unionByName(probes.select(*key, ts, none, F.lit(1).alias("_probe"), F.col("probe_id").cast("long")))
+    found = running_last(both, key, [ts, "_probe", "probe_id"], "_v", "_found").where("_probe = 1")
+    return found.select("probe_id", *key, ts, F.col("_found.v").alias(value))
 
 
 def previous(snaps: DataFrame, key: list[str], ts: str) -> DataFrame:

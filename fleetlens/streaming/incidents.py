@@ -2,134 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field, fields
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fleetlens.functions.timelines import greedy
 from fleetlens.sources.snapshots import asof
-from fleetlens.streaming.triggers import STATE, SpikeConfig, SpikeState, probe, ripe
-
-
-@dataclass
-class IncidentConfig:
-    recovery_s: float = 300
-    deferred_s: float = 900
-    min_gap_s: float = 3600
-
-
-@dataclass
-class IncidentState:
-    """A host between a spike and its end: the threshold at the spike's onset, since when it is below, the pending follow-up."""
+from fleetlens.streaming.replay import replayed, streamed
+from fleetlens.streaming.segments import IncidentConfig, SpikeConfig
 
-    spike: SpikeState = field(default_factory=SpikeState)
-    in_spike: bool = False
-    threshold: float = 0.0
-    below_since: float = -1.0
-    due: float = -1.0
-    last: float = -1.0
 
-
-def advance(state: IncidentState, t: float, active: float, spike: SpikeConfig, cfg: IncidentConfig) -> list[dict]:
-    """One sample of a host: the events that it causes.
-
-    A spike within ``min_gap_s`` of the last accepted event is held back. An accepted one opens an incident and plans a
-    follow-up. The incident ends when samples that belong to no candidate stay below the threshold of its onset, as it
-    was then, for ``recovery_s``; that cancels the follow-up. Without an end the follow-up comes when it is due.
-    """
-    out = []
-    phase = probe(state.spike, t, active, spike)
-    if phase in ("started", "forming"):
-        state.below_since = -1.0
-        if phase == "started" and not state.in_spike:
-            state.threshold = state.spike.threshold
-        if ripe(state.spike, t, spike) and (state.last < 0 or t - state.last >= cfg.min_gap_s):
-            out.append({"kind": "activity_spike", "at": t, "value": state.spike.peak})
-            state.spike.reset()
-            state.in_spike, state.last = True, t
-            state.due = t + cfg.deferred_s if cfg.deferred_s > 0 else -1.0
-    elif phase in ("floor", "aborted"):
-        if cfg.recovery_s <= 0:
-            state.in_spike = False
-        if not state.in_spike or active >= state.threshold:
-            state.below_since = -1.0
-        elif state.below_since < 0:
-            state.below_since = t
-        elif t - state.below_since >= cfg.recovery_s:
-            out.append({"kind": "activity_drop", "at": t, "value": active})
-            state.in_spike, state.below_since, state.due, state.last = False, -1.0, -1.0, t
-    if 0 <= state.due <= t:
-        out.append({"kind": "deferred", "at": state.due, "value": active})
-        state.due = -1.0
-    return out
-
-
-INCIDENTS = "instance string, kind string, at double, value double"
-_COLUMNS = [c.split()[0] for c in INCIDENTS.split(", ")]
-
-
-def _rows(samples: DataFrame) -> DataFrame:
-    return samples.select(F.col("instance").cast("string").alias("instance"), "ts", F.unix_timestamp("ts").cast("double").alias("t"), F.col("active").cast("double").alias("active"))
-
-
-def incident_events(samples: DataFrame, spike: SpikeConfig | None = None, cfg: IncidentConfig | None = None) -> DataFrame:
-    """Z3, Z5, Z6 over stored samples (instance, ts, active); a group is one host's history."""
-    spike, cfg = spike or SpikeConfig(), cfg or IncidentConfig()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = IncidentState(), []
-        for t, a in frame.sort_values(["t", "active"])[["t", "active"]].itertuples(index=False):
-            out += [{"instance": frame["instance"].iloc[0], **e} for e in advance(state, float(t), float(a), spike, cfg)]
-        return pd.DataFrame(out, columns=_COLUMNS)
-
-    return _rows(samples).drop("ts").groupBy("instance").applyInPandas(run, INCIDENTS)
+def incident_events(samples: DataFrame, spike: SpikeConfig | None = None, cfg: IncidentConfig | None = None, span_s: int = 86400) -> DataFrame:
+    """Z3, Z5, Z6 over stored samples (instance, ts, active): instance, kind, at and value of each event; see ``replayed``."""
+    return replayed(samples, spike or SpikeConfig(), cfg or IncidentConfig(), span_s).select("instance", "kind", "at", "value")
 
 
 def incident_stream(samples: DataFrame, spike: SpikeConfig | None = None, cfg: IncidentConfig | None = None, late: str = "10 minutes") -> DataFrame:
-    """Z3, Z5, Z6 over a stream; an event-time timer brings a follow-up even if no more samples come."""
-    spike, cfg = spike or SpikeConfig(), cfg or IncidentConfig()
-    own = [f.name for f in fields(IncidentState) if f.name != "spike"]
-    schema = STATE + ", in_spike boolean, threshold0 double, below_since double, due double, last0 double"
-    names = [f.name for f in fields(SpikeState)]
-
-    def load(held: GroupState) -> IncidentState:
-        if not held.exists:
-            return IncidentState()
-        v = [list(x) if hasattr(x, "__len__") else x for x in held.get]
-        return IncidentState(SpikeState(*v[: len(names)]), *v[len(names) :])
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, out = load(held), []
-        if held.hasTimedOut:
-            if state.due >= 0:
-                out.append({"instance": key[0], "kind": "deferred", "at": state.due, "value": state.spike.values[-1] if state.spike.values else 0.0})
-                state.due = -1.0
-        else:
-            frame = pd.concat(list(frames)).sort_values(["t", "active"])
-            for t, a in frame[["t", "active"]].itertuples(index=False):
-                out += [{"instance": key[0], **e} for e in advance(state, float(t), float(a), spike, cfg)]
-        spikes = asdict(state.spike)
-        held.update((*(spikes[n] for n in names), *(getattr(state, n) for n in own)))
-        if state.due >= 0 and state.due * 1000 > held.getCurrentWatermarkMs():
-            held.setTimeoutTimestamp(int(state.due * 1000))
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-    return _rows(samples.withWatermark("ts", late)).groupBy("instance").applyInPandasWithState(run, INCIDENTS, schema, "append", GroupStateTimeout.EventTimeTimeout)
+    """Z3, Z5, Z6 over a stream; an event-time timer brings a follow-up even if no more samples come. See ``streamed``."""
+    return streamed(samples, spike or SpikeConfig(), cfg or IncidentConfig(), late).select("instance", "kind", "at", "value")
 
 
 def debounce(events: DataFrame, key: list[str], min_gap_s: int = 3600) -> DataFrame:
-    """The events that are accepted: ``min_gap_s`` or more after the last accepted one, whatever their kind.
-
-    A fold over a host's event times keeps the times accepted; hosts have few events, and of each only its time is held.
-    """
-    times = F.array_sort(F.collect_set(F.unix_timestamp("ts")))
-    kept = F.aggregate(times, F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= min_gap_s), F.concat(acc, F.array(t))).otherwise(acc))
-    accepted = events.groupBy(*key).agg(kept.alias("_kept")).select(*key, F.explode("_kept").alias("_t"))
-    first = events.withColumn("_t", F.unix_timestamp("ts")).groupBy(*key, "_t").agg(F.min_by("kind", F.struct("ts", "kind")).alias("kind"))
-    return first.join(accepted, [*key, "_t"]).select(*key, F.timestamp_seconds("_t").alias("ts"), "kind")
+    """The events that are accepted: ``min_gap_s`` or more after the last accepted one, whatever their kind; see ``greedy``."""
+    timed = events.withColumn("t", F.unix_timestamp("ts"))
+    first = timed.groupBy(*key, "t").agg(F.min_by("kind", F.struct("ts", "kind")).alias("kind"))
+    accepted = greedy(first.select(*key, "t", (F.col("t") + min_gap_s).alias("until")), key)
+    return first.join(accepted, [*key, "t"]).select(*key, F.timestamp_seconds("t").alias("ts"), "kind")
 
 
 def lock_peak(events: DataFrame, blocked: DataFrame, key: list[str]) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field, fields
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlens.streaming.replay import replayed, streamed
+from fleetlens.streaming.segments import SpikeConfig
+
 
 def with_activity_baseline(samples: DataFrame, key: list[str], window_s: int = 1800) -> DataFrame:
     """Mean of the samples in the trailing window without the latest; null with fewer than two."""
@@ -24,120 +23,15 @@ def role_changes(samples: DataFrame, key: list[str], order: list[str]) -> DataFr
     return samples.withColumn("direction", direction).where("direction is not null")
 
 
-@dataclass
-class SpikeConfig:
-    window_s: float = 1800
-    percent: float = 50
-    duration_s: float = 120
-    coverage: float = 0.7
-    floor: float = 1.0
-    min_gap_s: float = 3600
-
-
-#: A dip may last this share of the duration; a candidate that hasn't fired after so many durations starts anew.
-DIP, STALE = 0.5, 4
-
-
-@dataclass
-class SpikeState:
-    """What a host's spike detection remembers: the window's samples, the candidate, the last accepted spike."""
-
-    times: list[float] = field(default_factory=list)
-    values: list[float] = field(default_factory=list)
-    since: float = -1.0
-    last_high: float = -1.0
-    high: int = 0
-    seen: int = 0
-    peak: float = 0.0
-    threshold: float = 0.0
-    last: float = -1.0
-
-    def reset(self) -> None:
-        self.since, self.last_high, self.high, self.seen, self.peak = -1.0, -1.0, 0, 0, 0.0
-
-
-def probe(state: SpikeState, t: float, active: float, cfg: SpikeConfig) -> str:
-    """Take in a sample; tells what it means for the candidate.
-
-    The threshold is the mean of the window's samples before this one, and ``percent`` more, anew at each sample; a count
-    that equals it is high. 'none': too few samples; 'floor': the mean is below the floor, which ends a candidate;
-    'aborted': a low sample without candidate, or one that ends it, the dip being too long; 'started'; 'forming'.
-    """
-    recent = [(a, b) for a, b in zip(state.times, state.values) if a >= t - cfg.window_s]
-    state.times, state.values = [a for a, _ in recent] + [t], [b for _, b in recent] + [active]
-    if not recent:
-        return "none"
-    base = sum(b for _, b in recent) / len(recent)
-    state.threshold = base * (100 + cfg.percent) / 100
-    if base < cfg.floor:
-        state.reset()
-        return "floor"
-    if state.since >= 0 and t - state.since > STALE * cfg.duration_s:
-        state.reset()
-    if active < state.threshold:
-        if state.since < 0 or t - state.last_high > DIP * cfg.duration_s:
-            state.reset()
-            return "aborted"
-        state.seen += 1
-        return "forming"
-    state.last_high, state.high, state.seen, state.peak = t, state.high + 1, state.seen + 1, max(state.peak, active)
-    if state.since < 0:
-        state.since = t
-        return "started"
-    return "forming"
-
-
-def ripe(state: SpikeState, t: float, cfg: SpikeConfig) -> bool:
-    """Whether the candidate has lasted and enough of its samples were high."""
-    return state.since >= 0 and t - state.since >= cfg.duration_s and state.high / state.seen >= cfg.coverage
-
-
-def step(state: SpikeState, t: float, active: float, cfg: SpikeConfig) -> dict | None:
-    """One sample: the state moves on, and a spike that is ripe is returned, unless one was within ``min_gap_s``.
-
-    A spike ends its candidate; one that comes too soon after the last leaves it, to fire later or grow stale.
-    """
-    if probe(state, t, active, cfg) not in ("started", "forming") or not ripe(state, t, cfg) or 0 <= state.last and t - state.last < cfg.min_gap_s:
-        return None
-    out = {"onset": state.since, "at": t, "peak": state.peak, "coverage": state.high / state.seen}
-    state.reset()
-    state.last = t
-    return out
-
-
-EVENTS = "instance string, onset double, at double, peak double, coverage double"
-
-
-def spike_events(samples: DataFrame, cfg: SpikeConfig | None = None) -> DataFrame:
-    """Z2 over stored samples (instance, ts, active): one event for each spike."""
-    cfg = cfg or SpikeConfig()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = SpikeState(), []
-        for t, a in frame.sort_values(["t", "active"])[["t", "active"]].itertuples(index=False):
-            if event := step(state, float(t), float(a), cfg):
-                out.append({"instance": frame["instance"].iloc[0], **event})
-        return pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
-
-    rows = samples.select(F.col("instance").cast("string").alias("instance"), F.unix_timestamp("ts").cast("double").alias("t"), F.col("active").cast("double").alias("active"))
-    return rows.groupBy("instance").applyInPandas(run, EVENTS)
-
-
-STATE = "times array<double>, values array<double>, since double, last_high double, high long, seen long, peak double, threshold double, last double"
+def spike_events(samples: DataFrame, cfg: SpikeConfig | None = None, span_s: int = 86400) -> DataFrame:
+    """Z2 over stored samples (instance, ts, active): instance, onset, at, peak and coverage of each spike; see ``replayed``."""
+    return _spikes(replayed(samples, cfg or SpikeConfig(), span_s=span_s))
 
 
 def spike_stream(samples: DataFrame, cfg: SpikeConfig | None = None, late: str = "10 minutes") -> DataFrame:
-    """Z2 over a stream: the same steps with checkpointed state; late samples fall to the watermark."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    cfg = cfg or SpikeConfig()
+    """Z2 over a stream; see ``streamed``."""
+    return _spikes(streamed(samples, cfg or SpikeConfig(), late=late))
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = SpikeState(*[list(x) if hasattr(x, "__len__") else x for x in held.get]) if held.exists else SpikeState()
-        frame = pd.concat(list(frames)).sort_values(["t", "active"])
-        out = [{"instance": key[0], **e} for t, a in frame[["t", "active"]].itertuples(index=False) if (e := step(state, float(t), float(a), cfg))]
-        held.update(tuple(asdict(state)[f.name] for f in fields(state)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
 
-    rows = samples.withWatermark("ts", late).select(F.col("instance").cast("string").alias("instance"), "ts", F.unix_timestamp("ts").cast("double").alias("t"), F.col("active").cast("double").alias("active"))
-    return rows.groupBy("instance").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+def _spikes(events: DataFrame) -> DataFrame:
+    return events.select("instance", "onset", "at", F.col("value").alias("peak"), "coverage")

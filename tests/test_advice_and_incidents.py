@@ -1,19 +1,20 @@
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fleetlens.operators import advisor, health_inputs, maintenance, schema_checks, signals
 from fleetlens.sources import snapshots
 from fleetlens.streaming import incidents
-from fleetlens.streaming.triggers import SpikeConfig, SpikeState
+from fleetlens.streaming.segments import Carry, SpikeConfig, Stretch, events_in
 
 SPIKE = SpikeConfig(window_s=1800, percent=50, duration_s=120, coverage=0.7)
 USAGE = "db string, fingerprint string, schema string, table string, column string, role string, desc boolean, seq int"
 
 
 def play(values, cfg, every=30):
-    state = incidents.IncidentState(SpikeState())
-    return [(e["kind"], e["at"]) for i, v in enumerate(values) for e in incidents.advance(state, i * every, v, SPIKE, cfg)]
+    t = np.arange(len(values)) * float(every)
+    return [(e[0], e[2]) for e in events_in(Stretch(t, np.array(values, float), 0, SPIKE), Carry(), cfg)]
 
 
 def test_recovery_cancels_the_follow_up():

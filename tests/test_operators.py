@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from fleetlens.functions.exprs import lsn_to_long, sanitize
@@ -6,14 +7,15 @@ from fleetlens.functions.windows import with_shares
 from fleetlens.operators import health, hot, logs, maintenance, workload
 from fleetlens.sources import snapshots
 from fleetlens.streaming import incidents
-from fleetlens.streaming.triggers import SpikeConfig, SpikeState, spike_events, spike_stream, step
+from fleetlens.streaming.segments import Carry, SpikeConfig, Stretch, events_in
+from fleetlens.streaming.triggers import spike_events, spike_stream
 
 CFG = SpikeConfig(window_s=1800, percent=50, duration_s=120, coverage=0.7)
 
 
 def replay(values, every=30):
-    state = SpikeState()
-    return [e for i, v in enumerate(values) if (e := step(state, i * every, v, CFG))]
+    t = np.arange(len(values)) * float(every)
+    return [{"onset": e[1], "at": e[2], "peak": e[3], "coverage": e[4]} for e in events_in(Stretch(t, np.array(values, float), 0, CFG), Carry())]
 
 
 def test_sustained_spike_fires_once():
