@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import utf8, words_of, written
+from fleetlens.functions.windows import running_total
+from fleetlens.llm.common import scratch_root, utf8, words_of, written
 
 WINDOW = 13
 CHUNK = 16  # words that are compared at once; a window fits in
-PIECE = 4096  # words of a piece of a long item
 BLOCK = 1 << 20  # bytes of benchmark words in a block
 #: Blocks that documents pass in one job; then the documents are written, and the blocks let go.
 TOGETHER = 8
@@ -98,38 +99,36 @@ class SuffixArray:
 
 
 class TestBlock:
-    """Some pieces of benchmark items: their words one behind the other, a 0 behind each piece."""
+    """Some benchmark items, whole: their words one behind the other, a 0 behind each item."""
 
-    def __init__(self, pieces: list[tuple[str | None, bool, int, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.ids: list[str | None] = []
-        self.first: list[int] = []
         edges, words = [0], []
         short = []
-        for item, whole, first, raw in pieces:
+        for item, raw in items:
             own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in raw.split()]
-            short.append(whole and len(own) < window)
+            short.append(len(own) < window)
             self.ids.append(item)
-            self.first.append(first)
             words += [*own, 0]
             edges.append(len(words))
         text = np.array(words, np.int32)
         self.text, self.edge = _padded(text), np.array(edges, np.int64)
         self.suffixes = np.flatnonzero(text)
-        self.piece = np.searchsorted(self.edge, self.suffixes, "right") - 1
-        left = self.edge[1:][self.piece] - 1 - self.suffixes if len(self.suffixes) else self.suffixes
-        opens = (left >= window) | (np.array(short, bool)[self.piece] & (self.suffixes == self.edge[self.piece])) if len(self.suffixes) else np.zeros(0, bool)
+        self.item = np.searchsorted(self.edge, self.suffixes, "right") - 1
+        left = self.edge[1:][self.item] - 1 - self.suffixes if len(self.suffixes) else self.suffixes
+        opens = (left >= window) | (np.array(short, bool)[self.item] & (self.suffixes == self.edge[self.item])) if len(self.suffixes) else np.zeros(0, bool)
         at = np.flatnonzero(opens)
         rows = _rows(self.text, self.suffixes[at]) if len(at) else np.zeros((0, CHUNK), np.int32)
         rows[:, window:] = 0
         low = _keys(rows)
         self.low, first_of, number = np.unique(low, return_index=True, return_inverse=True)
-        #: a suffix that opens each window, the window's words, and the pieces that hold it
+        #: a suffix that opens each window, the window's words, and the items that hold it
         self.opening = at[first_of] if len(at) else at
         rows = rows[first_of] if len(at) else rows
         self.length = (rows != 0).sum(axis=1)
-        held = np.unique(number * np.int64(max(1, len(self.ids))) + self.piece[at]) if len(at) else np.zeros(0, np.int64)
+        held = np.unique(number * np.int64(max(1, len(self.ids))) + self.item[at]) if len(at) else np.zeros(0, np.int64)
         self.holder = held % max(1, len(self.ids))
         self.holder_from = np.searchsorted(held // max(1, len(self.ids)), np.arange(len(self.low) + 1))
         self.base = len(self.vocabulary) + 1
@@ -248,37 +247,40 @@ def _scan(texts: list[bytes], test: TestBlock, words: int) -> Iterator[tuple[int
             yield n, _intervals(covered[edges[d] : edges[d + 1] - 1]), sorted(names), int(length[best]), int(places[best] - edges[d])
 
 
-def benchmark_pieces(benchmark: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
-    """(item, whole, first, words) of every item: pieces of ``piece`` words and the window - 1 behind, cut in tasks."""
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item, words) of every item that has words; equal rows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for item, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                words = words_of(text)
-                for at in range(0, len(words), piece):
-                    own = words[at : at + piece + window - 1]
-                    if not at or len(own) >= window:
-                        out.append((item, at == 0 and len(words) <= piece + window - 1, at, b" ".join(own)))
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.binary()))], ["item", "whole", "first", "words"])
+            words = [b" ".join(words_of(t)) for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], ["item", "words"])
 
-    return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "item string, whole boolean, first long, words binary")
+    return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "item string, words binary").where(F.octet_length("words") > 0).distinct()
 
 
 def test_blocks(benchmark: DataFrame, window: int, block_bytes: int, together: int) -> Iterator[tuple[list[Broadcast], bool]]:
-    """The benchmark in blocks of about ``block_bytes``, each fetched and broadcast alone, ``together`` at a time; True behind all but the last."""
-    pieces = written(benchmark_pieces(benchmark, window), "pieces")
-    total = pieces.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    number = F.pmod(F.xxhash64("item", "first", "words"), F.lit(blocks))
+    """The benchmark in blocks of whole items, each fetched and broadcast alone, ``together`` at a time; True behind all but the last.
+
+    Items stand in order of a hash, and a block takes those that begin within its ``block_bytes``, so it holds at most so much and
+    one item more. Items are written once, by their block; blocks in which none begins don't exist.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark_items(benchmark).withColumn("bytes", F.octet_length("words").cast("long")).withColumn("place", F.struct(F.xxhash64("item", "words").alias("h"), "item", "words"))
+    dealt = running_total(items, [], "place", "bytes", "behind").withColumn("block", F.floor((F.col("behind") - F.col("bytes")) / block_bytes))
+    path = f"{scratch_root(spark)}/blocks-{uuid.uuid4().hex}"
+    dealt.select("block", "item", "words").repartition("block").write.partitionBy("block").parquet(path)
+    schema = T.StructType([T.StructField("item", T.StringType()), T.StructField("words", T.BinaryType()), T.StructField("block", T.LongType())])
+    stored = spark.read.schema(schema).parquet(path)
+    blocks = sorted(r[0] for r in stored.select("block").distinct().collect())  # a number for each block_bytes of the benchmark
+    if not blocks:
+        yield [spark.sparkContext.broadcast(TestBlock([], window))], False
     held = []
-    for k in range(blocks):
-        rows = pieces.where(number == k).collect()  # pieces of bounded size, dealt evenly by a hash
-        order = sorted(((r.item, r.whole, r.first, bytes(r.words)) for r in rows), key=lambda r: (r[0] is not None, r[0] or "", r[2], r[3]))
-        held.append(benchmark.sparkSession.sparkContext.broadcast(TestBlock(order, window)))
-        if len(held) == together or k + 1 == blocks:
-            yield held, k + 1 < blocks
+    for k in blocks:
+        rows = stored.where(F.col("block") == k).collect()
+        order = sorted(((r.item, bytes(r.words)) for r in rows), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+        held.append(spark.sparkContext.broadcast(TestBlock(order, window)))
+        if len(held) == together or k == blocks[-1]:
+            yield held, k != blocks[-1]
             held = []
 
 
@@ -303,7 +305,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] |
 
     Returns the columns ``carry`` (default: doc_id) and n_words, n_hit, n_items, items_sha256, contaminated, longest_match
     (words of the longest verbatim match of a window's length or more, 0 without), longest_at (its first word, null
-    without; matches within pieces of PIECE words of an item), runs (starts and ends of the covered words, alternating;
+    without), runs (starts and ends of the covered words, alternating;
     they may overlap between blocks) and items. Null and empty texts have no words; items without words never occur;
     windows of items without id count as hits but name no item; item ids count once however often they appear;
     repeated documents get a row each; an empty benchmark contaminates nothing; an empty table gives no rows.
@@ -365,28 +367,32 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW,
     Suffixes whose match only continues that of the suffix before are left out. Tasks return the best of their shards;
     ties go to the smallest doc_id, then place. Null ids are kept as null; other oddities as in ``find_contamination``.
     """
-    out = None
+    best = F.struct((-F.col("length")).alias("n"), "doc_id", "doc_at")
+    schema = "item string, item_at long, length long, doc_id long, doc_at long"
+    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = docs.sparkSession.createDataFrame([], schema)
     for blocks, _ in test_blocks(benchmark, WINDOW, block_bytes, TOGETHER):
 
         def run(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = utf8(b.column(1))
                 for test in (shared.value for shared in blocks):
-                    item, first = np.array(test.ids, object), np.array(test.first, np.int64)
+                    item = np.array(test.ids, object)
                     for number, edges, shard in _shards(texts, test, shard_words):
                         length, place = shard.longest(test)
                         follows = np.zeros(len(length), bool)
                         follows[1:] = (np.diff(test.suffixes) == 1) & (length[:-1] == length[1:] + 1)
                         some = np.flatnonzero((length >= least) & ~follows)
                         doc = np.searchsorted(edges, place[some], "right") - 1
-                        piece = test.piece[some]
-                        columns = [pa.array(item[piece], pa.string()), pa.array(first[piece] + test.suffixes[some] - test.edge[piece]), pa.array(length[some]), b.column(0).take(pa.array(number + doc)), pa.array(place[some] - edges[doc])]
+                        own = test.item[some]
+                        columns = [pa.array(item[own], pa.string()), pa.array(test.suffixes[some] - test.edge[own]), pa.array(length[some]), b.column(0).take(pa.array(number + doc)), pa.array(place[some] - edges[doc])]
                         yield pa.RecordBatch.from_arrays(columns, ["item", "item_at", "length", "doc_id", "doc_at"])
 
-        ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        found = ids.mapInArrow(run, "item string, item_at long, length long, doc_id long, doc_at long")
-        out = found if out is None else out.unionByName(found)
-    best = F.struct((-F.col("length")).alias("n"), "doc_id", "doc_at")
+        found = ids.mapInArrow(run, schema).groupBy("item", "item_at").agg(F.min(best).alias("b"))
+        out = out.unionByName(written(found.select("item", "item_at", (-F.col("b.n")).alias("length"), "b.doc_id", "b.doc_at"), "longest"))
+        for shared in blocks:
+            shared.unpersist()
+    # equal ids of items in several blocks
     return out.groupBy("item", "item_at").agg(F.min(best).alias("b")).select("item", "item_at", (-F.col("b.n")).alias("length"), "b.doc_id", "b.doc_at")
 
 

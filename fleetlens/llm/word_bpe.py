@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
+import re
 import struct
 import unicodedata
 import uuid
@@ -17,6 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from fleetlens.llm.common import by_bytes, distinct_pieces, spell_out, written
 from fleetlens.llm.lexicon import Lexicon, Merger
@@ -25,13 +28,39 @@ from fleetlens.llm.lexicon import Lexicon, Merger
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = regex.compile(f"[{_WHITE}]+")
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
+#: The library's own steps, for code points that Python's tables don't have yet.
+NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+WORDS = pre_tokenizers.Split(Regex(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
 #: str.split() also cuts here, the tokenizer doesn't.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+@functools.cache
+def unknown() -> re.Pattern:
+    """Code points that Python's Unicode tables don't have, noncharacters included, or whose place among marks the library's lack."""
+    nfc = normalizers.NFC()
+    around = ("q\u0301{}", "q{}\u0301", "q\u0316{}", "q{}\u0316", "q{}\u0334", "q\u0345{}", "q{}\u0345")  # marks of classes 230, 220, 1 and 240
+
+    def foreign(c: int) -> bool:
+        letter = chr(c)
+        if unicodedata.combining(letter):
+            return any(nfc.normalize_str(x) != unicodedata.normalize("NFC", x) for x in (a.format(letter) for a in around))
+        return unicodedata.category(letter) == "Cn"
+
+    edges, was = [], False
+    for c in range(0x80, 0x110001):
+        now = c < 0x110000 and foreign(c)
+        if now != was:
+            edges.append(c)
+            was = now
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+
+
 def chunks_of(text: str) -> list[str]:
     """Stretches between white space, normalised and lower-cased as the tokenizer does, letter by letter."""
     if not text.isascii():
+        if unknown().search(text):
+            return [d for c in SPACE.split(text) if c for d in ([NORMAL.normalize_str(c)] if unknown().search(c) else chunks_of(c))]
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # else lower() would look at the neighbours
@@ -47,6 +76,8 @@ def words_in(chunk: str) -> list[str]:
         return [chunk]
     if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
         return [chunk[:-1], chunk[-1]]
+    if not chunk.isascii() and unknown().search(chunk):
+        return [w for w, _ in WORDS.pre_tokenize_str(chunk)]
     return WORD.findall(chunk)
 
 
