@@ -130,15 +130,17 @@ def disclosing(holding: DataFrame, docs: DataFrame, threshold: float, support: i
     Over all documents and whole texts: n(t, e) documents hold the term and the entity, n(t) the term, n(e) the entity,
     of N, where rows with equal doc_id and text count once. The measure is the mutual information log2(n(t,e) N / (n(t) n(e))) as a share of its largest value,
     -log2(n(t,e) / N); pairs that ``support`` documents share and that reach ``threshold`` (above 0) disclose. As n(t,e)
-    is n(t) or n(e) at most, most pairs can't reach it by these two counts alone and are never formed.
+    is n(t) or n(e) at most, most pairs can't reach it by these two counts alone and are never formed. Entities of the same
+    documents have the same counts with every term, and so have terms with every entity: each such group is one, known by
+    128 bits of its documents' hashes, so that a text of thousands of entities, repeated, forms one pair and not all.
     """
     units = written(docs.groupBy("doc_id", "h").agg(F.count("*").alias("rows")), "units")
     n, repeated = units.agg(F.count("*"), F.count_if(F.col("rows") > 1)).first()
     total = float(max(2, n))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.k") + 1)
     entities = written(holding.select("doc_id", "h", F.explode("found").alias("x")).select("doc_id", "h", _entity(kind, F.col("x.v")).alias("entity")).distinct(), "entities")
-    spread = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    shared = written(entities.join(spread, "entity"), "shared")
+    spread = entities.groupBy("entity").agg(F.count("*").alias("n_e"), *_documents("e")).where(F.col("n_e") >= support)
+    shared = written(entities.join(spread, "entity").select("doc_id", "h", "n_e", "e1", "e2").distinct(), "shared")
 
     def reach(low: Column) -> Column:
         """The largest count that can go with ``low``; the share rises with n(t,e), so n(t,e) = low decides."""
@@ -153,13 +155,24 @@ def disclosing(holding: DataFrame, docs: DataFrame, threshold: float, support: i
     terms = docs.select(F.explode(_words(F.col("text"))).alias("term"), share_of.alias("part")).groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_t"))
     terms = terms.where(F.col("n_t").between(support, F.greatest(F.lit(float(most)), reach(F.lit(float(most))))))
     own = holding.select("doc_id", "h", F.explode(_words(F.col("_t"))).alias("term")).where("term <> ''").distinct()
-    own = own.join(terms, "term").withColumnsRenamed({"doc_id": "_doc_id", "h": "_h"})
-    both = shared.join(own, shared["doc_id"].eqNullSafe(own["_doc_id"]) & (shared["h"] == own["_h"])).drop("_doc_id", "_h")
+    own = written(own.join(terms, "term"), "own")
+    own = own.join(own.groupBy("term").agg(*_documents("t")), "term")
+    groups = own.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h"), "n_t", "t1", "t2").distinct()
+    both = shared.join(groups, shared["doc_id"].eqNullSafe(groups["_doc_id"]) & (shared["h"] == groups["_h"])).drop("_doc_id", "_h")
     together = written(both.where(F.greatest("n_t", "n_e") <= reach(F.least("n_t", "n_e"))), "together")
     joint = F.col("n_te") / total
     share = F.when(joint >= 1, 1.0).otherwise(F.log2(joint * total * total / (F.col("n_t") * F.col("n_e"))) / -F.log2(joint))
-    pairs = together.groupBy("entity", "term", "n_t", "n_e").agg(F.count("*").alias("n_te")).where((F.col("n_te") >= support) & (share >= threshold))
-    return together.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("doc_id", "h").agg(F.collect_set("term").alias("telling"))
+    names = ["e1", "e2", "n_e", "t1", "t2", "n_t"]
+    pairs = together.groupBy(*names).agg(F.count("*").alias("n_te")).where((F.col("n_te") >= support) & (share >= threshold))
+    telling = together.join(pairs.select(*names), names, "left_semi").select("doc_id", "h", "t1", "t2", "n_t").distinct()
+    telling = telling.withColumnsRenamed({c: f"_{c}" for c in telling.columns})
+    same = own["doc_id"].eqNullSafe(telling["_doc_id"]) & (own["h"] == telling["_h"]) & (own["t1"] == telling["_t1"]) & (own["t2"] == telling["_t2"]) & (own["n_t"] == telling["_n_t"])
+    return own.join(telling, same, "left_semi").groupBy("doc_id", "h").agg(F.collect_set("term").alias("telling"))
+
+
+def _documents(name: str) -> tuple[Column, Column]:
+    """128 bits that tell a group's distinct documents."""
+    return F.bit_xor(F.xxhash64("doc_id", "h")).alias(f"{name}1"), F.bit_xor(F.xxhash64("h", F.lit(name), "doc_id")).alias(f"{name}2")
 
 
 def _placed(holding: DataFrame, docs: DataFrame, threshold: float, support: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import islice
 from operator import eq
 
 import numpy as np
@@ -24,6 +25,7 @@ DIMENSIONS = (1 << WORD_BITS) + (STATISTICS + len(METADATA)) * STEPS
 RANK = 6
 SAMPLE = 8000
 SAMPLE_VALUES = 8_000_000
+TOGETHER = 128  # rows scored at once
 _CLASS = np.zeros(256, np.int64)  # 0 other bytes, 1 letters a-z, 2 A-Z, 3 digits, 4 spaces, 5 line ends, 6 sentence marks, 7 symbols
 for _chars, _kind in ((range(0x21, 0x7F), 7), (b".,;:!?'\"()-", 6), (range(0x61, 0x7B), 1), (range(0x41, 0x5B), 2), (range(0x30, 0x3A), 3), (b" \t", 4), (b"\r\n", 5)):
     _CLASS[list(_chars)] = _kind
@@ -76,18 +78,27 @@ class FactorisationMachine:
         self.bias, self.w, self.v = bias, w, v
 
     def logit(self, index: np.ndarray, value: np.ndarray) -> float:
+        return float(self.logits([(index, value)])[0])
+
+    def logits(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of many rows at once; each has a feature at least."""
+        if not rows:
+            return np.zeros(0)
+        start = np.cumsum([0, *(len(i) for i, _ in rows[:-1])])
+        index, value = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
         xv = self.v[index] * value[:, None]
-        total = xv.sum(axis=0)
-        return float(self.bias + self.w[index] @ value + 0.5 * (total @ total - (xv * xv).sum()))
+        total = np.add.reduceat(xv, start)
+        return self.bias + np.add.reduceat(self.w[index] * value, start) + 0.5 * ((total * total).sum(axis=1) - np.add.reduceat((xv * xv).sum(axis=1), start))
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rank: int = RANK, epochs: int = 8, steps: int = 300, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 6) -> FactorisationMachine:
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, times: np.ndarray | None = None, rank: int = RANK, epochs: int = 8, steps: int = 300, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 6) -> FactorisationMachine:
         """Logistic loss by Adagrad over small batches, so that memory is bounded by a batch; ``epochs``, but ``steps`` batches at least.
 
-        Without rows of both kinds: the share of ones (one half without rows).
+        A row counts ``times``. Without rows of both kinds: the share of ones (one half without rows).
         """
         dice = np.random.default_rng(seed)
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        times = np.ones(len(y)) if times is None else times
+        share = (times @ y + 0.5) / (times.sum() + 1)
         bias = math.log(share / (1 - share))
         theta = np.zeros((DIMENSIONS, rank + 1))  # w, then v
         if len(y) == 0 or y.min() == y.max():
@@ -105,7 +116,7 @@ class FactorisationMachine:
                 xt = theta[index] * x
                 sums = np.add.reduceat(xt, start)
                 pairs = 0.5 * ((sums[:, 1:] ** 2).sum(1) - np.add.reduceat((xt[:, 1:] ** 2).sum(1), start))
-                error = (1 / (1 + np.exp(-np.clip(bias + sums[:, 0] + pairs, -30, 30))) - y[own]) / len(own)
+                error = (1 / (1 + np.exp(-np.clip(bias + sums[:, 0] + pairs, -30, 30))) - y[own]) * times[own] / times[own].sum()
                 inner = np.repeat(sums, count, axis=0) - xt
                 inner[:, 0] = 1
                 inner *= np.repeat(error, count)[:, None] * x
@@ -136,9 +147,10 @@ def _rows(b: pa.RecordBatch, at: int, crc: dict[bytes, int]) -> Iterator[tuple[n
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_values: int = SAMPLE_VALUES) -> FactorisationMachine:
     """Fit on labelled training rows, at most ``sample``, and at most ``sample_values`` feature values of them.
 
-    Features come from whole texts; which rows make up the sample depends on hashes alone. Null and empty texts are
-    rows like others; repeated documents count as often as they occur; without labels or documents the score is the
-    share of ones (one half).
+    Features come from whole texts; which rows make up the sample depends on hashes alone. Rows with equal features and
+    label are one that counts as often as they occur; one too large for what is left of ``sample_values`` is passed over,
+    smaller ones behind it are not. Null and empty texts are rows like others; without labels or documents the score is
+    the share of ones (one half).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,18 +161,18 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sa
             yield pa.RecordBatch.from_arrays(columns, ["y", "n", "index", "value"])
 
     picked = training_rows(docs.select("doc_id", F.struct(*_inputs(docs)).alias("text")), labels, label, sample).select("y", "text.*")
-    made = picked.mapInArrow(run, "y double, n long, index binary, value binary").withColumn("h", F.xxhash64("index", "value"))
-    made = written(made, "features")
-    held, least = 0, None
-    for h, n in sorted(made.groupBy("h").agg(F.sum("n")).collect()):  # at most ``sample`` pairs
-        if held + n > sample_values:
-            break
-        held, least = held + n, h
-    got = made.where(F.col("h") <= least).select("y", "index", "value").toArrow() if least is not None else made.limit(0).select("y", "index", "value").toArrow()
+    made = picked.mapInArrow(run, "y double, n long, index binary, value binary").withColumn("h", F.xxhash64("index", "value", "y"))
+    made = written(made.groupBy("h").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("y", "n", "index", "value"))), "features")
+    held, taken = 0, []
+    for h, n in made.orderBy("h").limit(sample).select("h", "n").collect():  # at most ``sample`` rows
+        if held + n <= sample_values:
+            held += n
+            taken.append((h,))
+    got = made.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "h long")), "h").select("y", "times", "index", "value").toArrow()
     rows = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(got.column("index").to_pylist(), got.column("value").to_pylist())]
-    y = got.column("y").to_pylist()
+    y, times = (np.array(got.column(c).to_pylist(), float) for c in ("y", "times"))
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0].tobytes(), rows[i][1].tobytes(), y[i]))  # tasks may end in any order
-    return FactorisationMachine.fit([rows[i] for i in order], np.array(y, float)[order])
+    return FactorisationMachine.fit([rows[i] for i in order], y[order], times[order])
 
 
 def _scored(docs: DataFrame, names: list[str], model: FactorisationMachine, threshold: float) -> DataFrame:
@@ -172,7 +184,9 @@ def _scored(docs: DataFrame, names: list[str], model: FactorisationMachine, thre
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc: dict[bytes, int] = {}
         for b in batches:
-            score = np.array([1 / (1 + math.exp(-max(-30.0, min(30.0, shared.value.logit(*x))))) for x in _rows(b, len(names), crc)], float)
+            rows = _rows(b, len(names), crc)
+            logits = [shared.value.logits(some) for some in iter(lambda: list(islice(rows, TOGETHER)), [])]
+            score = 1 / (1 + np.exp(-np.clip(np.concatenate([*logits, np.zeros(0)]), -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema.names)
 
     return docs.select(*(F.col(c).alias(i) for i, c in zip(inner, names)), *_inputs(docs)).mapInArrow(run, schema)

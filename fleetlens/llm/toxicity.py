@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import by_bytes, distinct_pieces, held_out, training_rows, utf8, words_of, written
@@ -240,11 +240,18 @@ def fit_logistic(rows: list[list[int]], y: np.ndarray, times: np.ndarray, size:
     return theta
 
 
+def beyond_chance(k: Column, n: Column, share: float) -> Column:
+    """Twice the log likelihood ratio of k ones among n rows against their ``share``; unlike a deviation it holds for few rows."""
+    part = lambda x, p: F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0)
+    return 2 * (part(k, share) + part(n - k, 1 - share))
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Letter model over all documents; word weights from at most ``sample`` labelled training rows.
 
-    All restored words that toxic rows hold beyond chance (8 rows, twice the share and 5 deviations at least) get weights
-    by penalised logistic regression; they are some of the sample's words. Null and empty texts are rows without words;
+    All restored words that toxic rows hold beyond chance get weights by penalised logistic regression: those held at more
+    than twice the share whose likelihood ratio (``beyond_chance``) is 25, five deviations, at least, however many rows
+    there are. Null and empty texts are rows without words;
     repeated documents count as often as they occur. Without labels of both kinds, or without documents, the share of
     ones is the score.
     """
@@ -264,8 +271,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     if not 0 < ones < n:
         return ToxicityModel(letters, {}, prior)
     stats = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    z = (F.col("k") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    chosen = sorted(r[0] for r in stats.where((F.col("k") >= 8) & (F.col("k") > 2 * share * F.col("n")) & (z >= 5)).select("word").collect())
+    chosen = sorted(r[0] for r in stats.where((F.col("k") > 2 * share * F.col("n")) & (beyond_chance(F.col("k"), F.col("n"), share) >= 25)).select("word").collect())
     place = {w: i for i, w in enumerate(chosen)}
     own = F.array_sort(F.filter("words", lambda w: w.isin(chosen))) if chosen else F.array().cast("array<string>")
     has = rows.select("y", own.alias("own")).groupBy("y", "own").agg(F.count("*").alias("n"))

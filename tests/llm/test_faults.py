@@ -1,15 +1,18 @@
 """Inputs that once went wrong: long and repeated benchmark items, newer letters, repeated labelled rows, few labels, many entities."""
 
+import os
 import random
 import unicodedata
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetlens.llm import decontaminate, word_bpe
+from fleetlens.llm import decontaminate, pii, quality, toxicity, word_bpe
+from fleetlens.llm.common import scratch_root
 from fleetlens.llm.lexicon import Merger
 from fleetlens.llm.queries import OP2_SQL
 
@@ -71,3 +74,66 @@ def test_every_letter_is_encoded_as_by_the_library(around):
     texts = [around.replace("{}", c) for c in letters]
     for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         assert [i for c in word_bpe.chunks_of(text) for w in word_bpe.words_in(c) for i in merger.ids(w.encode())] == want.ids, ascii(text)
+
+
+def test_a_document_that_stands_often_hides_no_other(spark):
+    dice = random.Random(3)
+    docs = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{dice.randrange(60)}" for _ in range(40))) for i in range(60)]
+    often = "tail " + " ".join(f"z{i}" for i in range(300))
+    rows = docs[1:] + [(0, often)] * 400
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.train_quality(frame, labels, sample_values=10_000)
+    single = quality.train_quality(spark.createDataFrame([*docs[1:], (0, often)], "doc_id long, text string"), labels, sample_values=10_000)
+    assert (model.w != 0).sum() == (single.w != 0).sum() > 100  # every distinct row has been learnt from
+    scores = {r.doc_id: r.score for r in quality.score_quality(spark.createDataFrame(docs[1:], "doc_id long, text string"), model).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
+    # a row too large for the sample is passed over, those behind it aren't
+    huge = [*docs[1:], (0, " ".join(f"y{i}" for i in range(5000)))]
+    assert (quality.train_quality(spark.createDataFrame(huge, "doc_id long, text string"), labels, sample_values=4000).w != 0).sum() > 50
+
+
+def test_rows_count_as_often_as_they_occur():
+    dice = np.random.default_rng(1)
+    rows = [(dice.choice(50, 8, replace=False), np.ones(8)) for _ in range(30)]
+    y, times = dice.integers(0, 2, 30).astype(float), dice.integers(1, 4, 30).astype(float)
+    weighted = quality.FactorisationMachine.fit(rows, y, times, batch=64, decay=0.0)
+    again = [(r, v) for r, v, k in zip(rows, y, times) for _ in range(int(k))]
+    spelt = quality.FactorisationMachine.fit([r for r, _ in again], np.array([v for _, v in again]), batch=64, decay=0.0)
+    a, b = weighted.logits(rows), spelt.logits(rows)
+    assert np.corrcoef(a, b)[0, 1] > 0.98 and ((a > 0) == (b > 0)).mean() > 0.9
+
+
+def test_few_toxic_rows_are_enough_if_they_tell(spark):
+    dice = random.Random(2)
+    plain = lambda: " ".join(dice.choice("the of and river stone house tree walk open many small light".split()) for _ in range(30))
+    docs = [(i, plain() + (" blargh" if i % 50 == 7 else "")) for i in range(300)]
+    labels = [(i, int(i % 50 == 7)) for i in range(300)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train_toxicity(*frames)
+    assert set(model.weights) == {"blargh"}  # from five or six rows
+    one = spark.createDataFrame([(i, int(i == 57)) for i in range(300)], "doc_id long, toxic int")
+    assert toxicity.train_toxicity(frames[0], one).weights == {}  # a single row tells nothing
+
+
+def test_likelihood_ratio_is_the_textbooks(spark):
+    import math
+
+    for k, n, share in ((3, 3, 0.02), (8, 20, 0.1), (0, 5, 0.3), (5, 5, 0.5)):
+        want = 2 * sum(x * math.log(x / (n * p)) for x, p in ((k, share), (n - k, 1 - share)) if x)
+        assert spark.range(1).select(toxicity.beyond_chance(F.lit(k), F.lit(n), share)).first()[0] == pytest.approx(want)
+
+
+def test_many_entities_and_terms_form_few_pairs(spark):
+    def text(n, words):
+        return " ".join(f"user{i}@mail.org" for i in range(n)) + " " + " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(words))
+
+    log = text(14_000, 3000)  # a third of a megabyte, twice
+    docs = spark.createDataFrame([(1, log), (2, log + " other"), (3, "user1@mail.org said nothing")] + [(i, f"plain text number {i}") for i in range(4, 40)], "doc_id long, text string")
+    kept = pii.written(pii.find_base(docs).where(F.size("found") > 0), "spans")
+    plain = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    before = set(os.listdir(scratch_root(spark).removeprefix("file:")))
+    telling = {r.doc_id: set(r.telling) for r in pii.disclosing(kept, plain, 0.8, 2).collect()}
+    made = [d for d in set(os.listdir(scratch_root(spark).removeprefix("file:"))) - before if d.startswith("together-")]
+    assert len(made) == 1 and spark.read.parquet(f"{scratch_root(spark)}/{made[0]}").count() < 20
+    assert telling[1] == telling[2] and len(telling[1]) >= 3000
