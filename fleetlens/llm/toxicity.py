@@ -250,7 +250,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """Letter model over all documents; word weights from at most ``sample`` labelled training rows.
 
     All restored words that toxic rows hold beyond chance get weights by penalised logistic regression: those held at more
-    than twice the share whose likelihood ratio (``beyond_chance``) is 25, five deviations, at least, however many rows
+    than twice the share whose likelihood ratio (``beyond_chance``) is 16, four deviations, at least, however many rows
     there are. Null and empty texts are rows without words;
     repeated documents count as often as they occur. Without labels of both kinds, or without documents, the share of
     ones is the score.
@@ -271,7 +271,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     if not 0 < ones < n:
         return ToxicityModel(letters, {}, prior)
     stats = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    chosen = sorted(r[0] for r in stats.where((F.col("k") > 2 * share * F.col("n")) & (beyond_chance(F.col("k"), F.col("n"), share) >= 25)).select("word").collect())
+    chosen = sorted(r[0] for r in stats.where((F.col("k") > 2 * share * F.col("n")) & (beyond_chance(F.col("k"), F.col("n"), share) >= 16)).select("word").collect())
     place = {w: i for i, w in enumerate(chosen)}
     own = F.array_sort(F.filter("words", lambda w: w.isin(chosen))) if chosen else F.array().cast("array<string>")
     has = rows.select("y", own.alias("own")).groupBy("y", "own").agg(F.count("*").alias("n"))
