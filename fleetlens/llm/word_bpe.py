@@ -35,9 +35,13 @@ WORDS = pre_tokenizers.Split(Regex(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+#: Letters that may be unknown; the ranges left out hold known ones only.
+RARE = re.compile("[^\x00-\u02ff\u2010-\u205e\u20a0-\u20bf]+")
+
+
 @functools.cache
-def unknown() -> re.Pattern:
-    """Code points that Python's Unicode tables don't have, noncharacters included, or whose place among marks the library's lack."""
+def unknown() -> np.ndarray:
+    """Edges of the ranges of code points that Python's Unicode tables don't have, noncharacters included, or whose place among marks the library's lack."""
     nfc = normalizers.NFC()
     around = ("q\u0301{}", "q{}\u0301", "q\u0316{}", "q{}\u0316", "q{}\u0334", "q\u0345{}", "q{}\u0345")  # marks of classes 230, 220, 1 and 240
 
@@ -53,14 +57,19 @@ def unknown() -> re.Pattern:
         if now != was:
             edges.append(c)
             was = now
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], edges[1::2])) + "]")
+    return np.array(edges, np.uint32)
+
+
+def has_unknown(text: str) -> bool:
+    rare = "".join(RARE.findall(text))
+    return bool(rare) and bool((np.searchsorted(unknown(), np.frombuffer(rare.encode("utf-32-le", "surrogatepass"), "<u4"), "right") & 1).any())
 
 
 def chunks_of(text: str) -> list[str]:
     """Stretches between white space, normalised and lower-cased as the tokenizer does, letter by letter."""
     if not text.isascii():
-        if unknown().search(text):
-            return [d for c in SPACE.split(text) if c for d in ([NORMAL.normalize_str(c)] if unknown().search(c) else chunks_of(c))]
+        if has_unknown(text):
+            return [d for c in SPACE.split(text) if c for d in ([NORMAL.normalize_str(c)] if has_unknown(c) else chunks_of(c))]
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # else lower() would look at the neighbours
@@ -76,7 +85,7 @@ def words_in(chunk: str) -> list[str]:
         return [chunk]
     if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
         return [chunk[:-1], chunk[-1]]
-    if not chunk.isascii() and unknown().search(chunk):
+    if not chunk.isascii() and has_unknown(chunk):
         return [w for w, _ in WORDS.pre_tokenize_str(chunk)]
     return WORD.findall(chunk)
 
