@@ -28,7 +28,7 @@ def root_of(edges: DataFrame, key: list[str] | None = None) -> DataFrame:
     return jump.select(*key, "child", *(F.when(~F.col("moved"), F.col(c)).alias(c) for c in ("root", "level")))
 
 
-def _ancestry(parents: DataFrame, key: list[str], paths: bool) -> tuple[DataFrame, list[DataFrame]]:
+def ancestry(parents: DataFrame, key: list[str], paths: bool) -> tuple[DataFrame, list[DataFrame]]:
     """((key, pid, root, level, below, path) of all nodes under a root, [(key, pid, up) of each round]).
 
     Pointer doubling over (key, pid, parent), parent null for roots: after k rounds a node knows the ancestor 2^k above
@@ -69,7 +69,7 @@ def _settled_parents(waits: DataFrame, key: list[str]) -> DataFrame:
     guess = several.select(*key, F.col("pid").alias("blocker"), "_k")
     chosen = settled(loose.join(guess, [*key, "blocker"], "left").groupBy(*key, "pid").agg(deepest(F.coalesce("_k", F.lit(0)))), "chosen")
     for _ in range(most + 1):
-        nodes, lifts = _ancestry(fixed.unionByName(chosen), key, False)
+        nodes, lifts = ancestry(fixed.unionByName(chosen), key, False)
         known = loose.join(nodes.select(*key, F.col("pid").alias("blocker"), "level"), [*key, "blocker"], "left")
         fresh = settled(known.groupBy(*key, "pid").agg(deepest(F.coalesce("level", F.lit(1 << 62)))), "chosen")
         moved = fresh.join(chosen.withColumnRenamed("parent", "_was"), [*key, "pid"]).where("parent <> _was")
@@ -98,5 +98,5 @@ def lock_tree(waits: DataFrame, key: list[str], paths: bool = True) -> DataFrame
     depth. Without ``paths``, which are as long as their pid's level, the column is left out.
     """
     waits = settled(waits.select(*key, "pid", "blocker").where("blocker is not null").distinct(), "waits")
-    nodes = _ancestry(_settled_parents(waits, key), key, paths)[0].withColumnRenamed("below", "blocked").withColumn("level", F.col("level").cast("int"))
+    nodes = ancestry(_settled_parents(waits, key), key, paths)[0].withColumnRenamed("below", "blocked").withColumn("level", F.col("level").cast("int"))
     return nodes if paths else nodes.drop("path")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.graph import root_of
+from fleetlens.functions.graph import ancestry, root_of
 from fleetlens.functions.store import settled
 from fleetlens.functions.windows import top_n
 
@@ -187,23 +187,47 @@ def rank_candidates(candidates: DataFrame, key: list[str], n: int = 50) -> DataF
     return top_n(candidates, key, [F.desc("weight_pct"), F.asc("relid"), F.asc(F.array_join("columns", ",")), F.asc("predicate")], n)
 
 
-def ddl_text(candidates: DataFrame, relations: DataFrame, leaves: DataFrame, key: list[str]) -> DataFrame:
-    """Statements that would build each candidate, for reading only.
+def ddl_text(candidates: DataFrame, relations: DataFrame, edges: DataFrame, key: list[str], most: int = 20) -> DataFrame:
+    """Statements that would build each candidate (key, relid, predicate, columns), for reading only.
 
-    A partitioned table gets an index on the parent alone, one on each leaf (key, relid, leaf), and their attachment.
+    A plain table gets one index, built concurrently. A partitioned one (relkind p) gets an index on itself alone; below it
+    each partition, from the top down by name (edges: key, child, parent), gets its own, on itself alone if it is partitioned again, and
+    behind all below it is attached to the index of the table it is a direct partition of. ``most`` partitions are spelt out;
+    of the others only the leaves are counted. Partitions lie at any depth; rounds are log2 of it.
     """
     q = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    cols = F.array_join(F.transform("columns", q), ", ")
-    where = F.when(F.col("predicate") != "", F.concat(F.lit(" WHERE "), F.array_join(F.transform(F.split("predicate", ","), lambda c: F.concat(q(c), F.lit(" IS NULL"))), " AND "))).otherwise("")
+    named = relations.select(*key, "relid", "schema", "table", "relkind", F.concat_ws(".", "schema", "table").alias("_name"))
+    up = named.select(*key, F.col("relid").alias("parent"), F.col("_name").alias("_above"))
+    links = edges.join(named.select(*key, F.col("relid").alias("child"), F.col("_name").alias("pid")), [*key, "child"]).join(up, [*key, "parent"])
+    tops = named.join(links.select(*key, F.col("pid").alias("_name")), [*key, "_name"], "left_anti").select(*key, F.col("_name").alias("pid"), F.lit(None).cast("string").alias("parent"))
+    paths = ancestry(links.select(*key, "pid", F.col("_above").alias("parent")).unionByName(tops), key, True)[0].select(*key, F.col("pid").alias("_name"), "root", "path")
+    tree = named.join(paths, [*key, "_name"])
+
+    cols = F.concat(F.lit("("), F.array_join(F.transform("columns", q), ", "), F.lit(")"), F.when(F.col("predicate") != "", F.concat(F.lit(" WHERE "), F.array_join(F.transform(F.split("predicate", ","), lambda c: F.concat(q(c), F.lit(" IS NULL"))), " AND "))).otherwise(""))
     name = lambda t: F.substring(F.concat_ws("_", t, F.array_join("columns", "_"), F.lit("idx")), 1, 63)
-    build = lambda how, t: F.concat(F.lit("CREATE INDEX "), F.lit(how), q(name(t)), F.lit(" ON "), q(F.col("schema")), F.lit("."), q(t), F.lit(" ("), cols, F.lit(")"), where, F.lit(";"))
-    rows = candidates.join(relations.select(*key, "relid", "schema", "table"), [*key, "relid"])
-    on_parent = F.replace(build("", F.col("table")), F.lit(" ON "), F.lit(" ON ONLY "))
-    attach = F.concat(build("CONCURRENTLY ", F.col("leaf")), F.lit("\nALTER INDEX "), q(F.col("schema")), F.lit("."), q(name(F.col("table"))), F.lit(" ATTACH PARTITION "), q(F.col("schema")), F.lit("."), q(name(F.col("leaf"))), F.lit(";"))
-    parts = rows.join(leaves, [*key, "relid"]).groupBy(*key, "relid", "predicate", "columns").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("leaf", attach.alias("t")))), lambda x: x["t"]), "\n").alias("_parts"))
-    whole = rows.join(parts, [*key, "relid", "predicate", "columns"], "left")
-    text = F.when(F.col("_parts").isNotNull(), F.concat_ws("\n", on_parent, "_parts")).otherwise(build("CONCURRENTLY ", F.col("table")))
-    return whole.withColumn("ddl", text).drop("_parts", "schema", "table")
+    index = lambda s, t: F.concat(q(s), F.lit("."), q(name(t)))
+    table = F.concat(q(F.col("schema")), F.lit("."), q(F.col("table")))
+    ident = [*key, "relid", "predicate", "columns"]
+    own = candidates.join(named, [*key, "relid"])
+    # every node below a candidate's table, itself included, with its parent's name
+    whole = own.select(*ident, F.col("_name").alias("root"), F.col("relkind").alias("_kind")).where("_kind = 'p'")
+    below = tree.select(*key, "root", "path", "schema", "table", "relkind", "_name", F.get("path", F.size("path") - 2).alias("_up"))
+    parents = named.select(*key, F.col("_name").alias("_up"), F.col("schema").alias("_up_schema"), F.col("table").alias("_up_table"))
+    nodes = whole.join(below, [*key, "root"]).join(parents, [*key, "_up"], "left")
+    inner = F.col("relkind") == "p"
+    rank = F.row_number().over(Window.partitionBy(*ident).orderBy("path")) - 1  # a table's partitions
+    nodes = nodes.withColumn("_rank", rank)
+    built = F.concat(F.when(inner, F.lit("CREATE INDEX ")).otherwise("CREATE INDEX CONCURRENTLY "), q(name(F.col("table"))), F.when(inner, F.lit(" ON ONLY ")).otherwise(" ON "), table, F.lit(" "), cols, F.lit(";"))
+    joined = F.concat(F.lit("ALTER INDEX "), index(F.col("_up_schema"), F.col("_up_table")), F.lit(" ATTACH PARTITION "), index(F.col("schema"), F.col("table")), F.lit(";"))
+    lines = F.array(F.struct(F.col("path").alias("at"), built.alias("line")), F.struct(F.concat("path", F.array(F.lit("\U0010ffff"))).alias("at"), F.when(F.col("_rank") > 0, joined).alias("line")))
+    listed = F.col("_rank") <= most
+    # a list of 2 * most lines at most
+    script = F.array_join(F.transform(F.array_sort(F.filter(F.flatten(F.collect_list(F.when(listed, lines))), lambda x: x["line"].isNotNull())), lambda x: x["line"]), "\n")
+    skipped = F.count_if(~listed & ~inner)
+    scripts = nodes.groupBy(*ident).agg(script.alias("_script"), skipped.alias("_skipped"), F.max("_rank").alias("_parts"))
+    more = F.when(F.col("_skipped") > 0, F.concat(F.lit("\n-- "), F.col("_skipped").cast("string"), F.lit(" more partitions are built and attached the same way")))
+    text = F.when(F.col("_parts") > 0, F.concat("_script", F.coalesce(more, F.lit("")))).otherwise(F.concat(F.lit("CREATE INDEX "), F.when(F.col("relkind") == "p", "").otherwise("CONCURRENTLY "), q(name(F.col("table"))), F.lit(" ON "), table, F.lit(" "), cols, F.lit(";")))
+    return own.join(scripts, ident, "left").withColumn("ddl", text).drop("_parts", "_script", "_skipped", "_name", "schema", "table", "relkind")
 
 
 def not_analysed(rows: DataFrame, key: list[str]) -> DataFrame:

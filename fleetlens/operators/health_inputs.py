@@ -25,64 +25,81 @@ def _of(name: str) -> Column:
     return F.max(F.when(F.col("name") == name, F.col("setting")))
 
 
-def raw_per_db(stat_tables: DataFrame, statio: DataFrame, key: list[str]) -> DataFrame:
-    """H2: cache, dead rows, in-page updates and the vacuum queue of each key, one grouping for each view.
-
-    ``stat_tables`` carries vacuum_due and analyze_due (M1) and captured_at. Absent activity reads as healthy.
-    """
+def _table_numbers() -> list[Column]:
+    """What H2 tells of a key's tables; rows without their columns add nothing."""
     live = F.col("n_live_tup") + F.col("n_dead_tup")
     dead = F.when(live > MIN_TUPLES, F.round(100.0 * F.col("n_dead_tup") / live, 2))
     busy = F.col("n_tup_upd") > MIN_UPDATES
     updates = F.sum(F.when(busy, F.col("n_tup_upd")))
     vacuumed, analyzed = F.greatest("last_vacuum", "last_autovacuum"), F.greatest("last_analyze", "last_autoanalyze")
     stale = F.col("analyze_due") & (F.col("reltuples") > 0) & (analyzed.isNull() | (_age(analyzed) > 3 * 3600))
-    tables = stat_tables.groupBy(*key).agg(
+    return [
         F.coalesce(F.max(dead), F.lit(0.0)).alias("dead_max_pct"), F.coalesce(F.avg(dead), F.lit(0.0)).alias("dead_avg_pct"), F.count_if(dead > 20).alias("bloated_tables"),
         F.coalesce(F.sum(F.when(busy, F.col("n_tup_hot_upd"))) / updates, F.lit(1.0)).alias("hot_ratio"),
         F.coalesce(F.sum(F.when(busy, F.col("n_tup_newpage_upd"))) / updates, F.lit(0.0)).alias("newpage_ratio"),
         F.count_if("vacuum_due").alias("vacuum_backlog"), F.coalesce(F.max(F.when(F.col("vacuum_due"), _age(vacuumed) / 3600)), F.lit(0.0)).alias("vacuum_overdue_h"),
         F.count_if((live > MIN_TUPLES) & vacuumed.isNull()).alias("never_vacuumed"), F.count_if(stale).alias("stale_stats"),
-    )
+    ]
+
+
+def _cache_numbers() -> list[Column]:
     hit, read = F.sum("heap_blks_hit"), F.sum("heap_blks_read")
-    cache = statio.groupBy(*key).agg(
-        F.coalesce(F.round(100.0 * hit / F.nullif(hit + read, F.lit(0)), 2), F.lit(100.0)).alias("cache_hit_pct"), F.coalesce(hit + read, F.lit(0)).alias("cache_sample"))
+    return [F.coalesce(F.round(100.0 * hit / F.nullif(hit + read, F.lit(0)), 2), F.lit(100.0)).alias("cache_hit_pct"), F.coalesce(hit + read, F.lit(0)).alias("cache_sample")]
+
+
+def raw_per_db(stat_tables: DataFrame, statio: DataFrame, key: list[str]) -> DataFrame:
+    """H2: cache, dead rows, in-page updates and the vacuum queue of each key, one grouping for each view.
+
+    ``stat_tables`` carries vacuum_due and analyze_due (M1) and captured_at. Absent activity reads as healthy.
+    """
+    tables, cache = stat_tables.groupBy(*key).agg(*_table_numbers()), statio.groupBy(*key).agg(*_cache_numbers())
     return tables.join(cache, key, "full").fillna({"cache_hit_pct": 100.0, "hot_ratio": 1.0}).fillna(0)
 
 
 def raw_metrics(views: dict[str, DataFrame], key: list[str]) -> DataFrame:
     """H1: one row for each host of ``hosts`` (key, in_recovery) with all inputs of the score.
 
-    Each of the views activity, stat_tables, statio, replication, classes, settings, checkpoints, locks, database_stats
-    is grouped once by key and joined; a view without rows of a host leaves neutral values. The database at fault is
-    named for long and idle transactions (most offenders first, then the oldest).
+    The views activity, stat_tables, statio, replication, classes, settings, checkpoints, locks and database_stats are put
+    below each other, each row with its own columns only, and grouped once by key: one exchange for all of them, and no join.
+    Sessions are first added up by database, since the database at fault is named for long and idle transactions (most
+    offenders first, then the oldest). A view without rows of a host leaves neutral values.
     """
-    a = views["activity"]
     idle = F.coalesce((F.col("state") == "idle in transaction") & (_age("xact_start") > 30), F.lit(False))
     waits = F.col("wait_event_type") == "Lock"
-    sessions = a.groupBy(*key).agg(
-        F.count("state").alias("conn_total"), F.count_if(idle).alias("idle_in_tx"), F.coalesce(F.max(_age("xact_start")), F.lit(0)).alias("longest_tx_s"),
-        F.min_by("database", F.when(F.col("xact_start").isNotNull(), F.struct("xact_start", "database"))).alias("longest_tx_database"), F.coalesce(F.max("backend_xmin_age"), F.lit(0)).alias("horizon_age"),
-        F.max_by("database", F.struct("backend_xmin_age", "database")).alias("horizon_database"),
-        F.count_if(waits & (F.col("state") == "active")).alias("lock_waiters"), F.coalesce(F.max(F.when(waits, _age("state_change"))), F.lit(0)).alias("lock_wait_s"),
-    )
-    offenders = a.where(idle).groupBy(*key, "database").agg(F.count("*").alias("n"), F.min("xact_start").alias("since"))
-    offender = offenders.groupBy(*key).agg(F.min_by("database", F.struct((-F.col("n")).alias("n"), "since", "database")).alias("idle_in_tx_database"))
-    replicas = views["replication"].groupBy(*key).agg(
-        F.count("*").alias("replicas"), F.coalesce(F.max("replay_lag_s"), F.lit(0.0)).alias("replica_lag_s"), F.coalesce(F.max("replay_lag_bytes") / (1 << 20), F.lit(0.0)).alias("replica_lag_mb"), F.count_if(F.col("state") != "streaming").alias("replicas_lost"))
+    sessions = views["activity"].groupBy(*key, "database").agg(
+        F.count("state").alias("a_sessions"), F.count_if(idle).alias("a_idle"), F.min(F.when(idle, F.col("xact_start"))).alias("a_idle_since"), F.max(_age("xact_start")).alias("a_longest"), F.min("xact_start").alias("a_since"),
+        F.max("backend_xmin_age").alias("a_horizon"), F.count_if(waits & (F.col("state") == "active")).alias("a_waiters"), F.max(F.when(waits, _age("state_change"))).alias("a_wait_s"))
     off = F.coalesce(F.lower(F.try_element_at("reloptions", F.lit("autovacuum_enabled"))).isin("off", "0", "f", "false", "n", "no"), F.lit(False))
-    classes = views["classes"].where("relkind in ('r', 'm', 't')").groupBy(*key).agg(F.count_if(off).alias("autovac_off_tables"), F.coalesce(F.max("xid_age"), F.lit(0)).alias("xid_age"))
-    named = views["settings"].groupBy(*key).agg(
-        _of("max_connections").cast("double").alias("conn_max"), _of("max_locks_per_transaction").cast("double").alias("_locks"), _of("wal_level").alias("wal_level"),
-        *(F.coalesce(_of(n) != "on", F.lit(True)).alias(c) for n, c in (("autovacuum", "autovacuum_off"), ("track_counts", "track_counts_off"), ("track_io_timing", "io_timing_off"))))
-    points = views["checkpoints"].groupBy(*key).agg(F.max("timed").alias("checkpoints_timed"), F.max("requested").alias("checkpoints_req"))
-    held = views["locks"].groupBy(*key).agg(F.count_if(~F.col("granted")).alias("ungranted"), F.count("*").alias("_held"))
-    stats = views["database_stats"].groupBy(*key).agg(F.coalesce(F.sum("deadlocks"), F.lit(0)).alias("deadlocks"), F.coalesce(F.sum("checksum_failures"), F.lit(0)).alias("checksum_failures"))
-    out = views["hosts"].select(*key, "in_recovery")
-    for part in (sessions, offender, raw_per_db(views["stat_tables"], views["statio"], key), replicas, classes, named, points, held, stats):
-        out = out.join(part, key, "left")
-    flags = {c: F.coalesce(c, F.lit(False)) for c in ("autovacuum_off", "track_counts_off", "io_timing_off")}
-    out = out.withColumn("lock_pool", F.when(F.col("_locks") * F.col("conn_max") > 0, F.col("_held") / (F.col("_locks") * F.col("conn_max")))).withColumns(flags)
-    return out.drop("_locks", "_held").fillna({"cache_hit_pct": 100.0, "hot_ratio": 1.0}).fillna(0)
+    columns = {
+        "hosts": ["in_recovery"], "statio": ["heap_blks_hit", "heap_blks_read"], "settings": ["name", "setting"], "checkpoints": ["timed", "requested"], "locks": ["granted"], "database_stats": ["deadlocks", "checksum_failures"],
+        "stat_tables": ["n_live_tup", "n_dead_tup", "n_tup_upd", "n_tup_hot_upd", "n_tup_newpage_upd", "reltuples", "vacuum_due", "analyze_due", "last_vacuum", "last_autovacuum", "last_analyze", "last_autoanalyze", "captured_at"],
+    }
+    parts = {n: views[n].select(*key, *c) for n, c in columns.items()} | {"sessions": sessions}
+    parts["replication"] = views["replication"].select(*key, F.col("state").alias("r_state"), "replay_lag_s", "replay_lag_bytes")
+    parts["classes"] = views["classes"].where("relkind in ('r', 'm', 't')").select(*key, off.alias("c_off"), "xid_age")
+    every = None
+    for name, part in parts.items():
+        part = part.withColumn("_from", F.lit(name))
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    of = lambda n: F.col("_from") == n
+    offender = F.struct((-F.col("a_idle")).alias("n"), "a_idle_since", "database")
+    grouped = every.groupBy(*key).agg(
+        F.bool_or("in_recovery").alias("in_recovery"), F.count_if(of("hosts")).alias("_hosts"), F.sum("a_sessions").alias("conn_total"), F.sum("a_idle").alias("idle_in_tx"), F.coalesce(F.max("a_longest"), F.lit(0)).alias("longest_tx_s"),
+        F.min_by("database", F.when(F.col("a_since").isNotNull(), F.struct("a_since", "database"))).alias("longest_tx_database"), F.coalesce(F.max("a_horizon"), F.lit(0)).alias("horizon_age"),
+        F.max_by("database", F.when(of("sessions"), F.struct("a_horizon", "database"))).alias("horizon_database"), F.sum("a_waiters").alias("lock_waiters"), F.coalesce(F.max("a_wait_s"), F.lit(0)).alias("lock_wait_s"),
+        F.min_by("database", F.when(F.col("a_idle") > 0, offender)).alias("idle_in_tx_database"), *_table_numbers(), *_cache_numbers(),
+        F.count_if(of("replication")).alias("replicas"), F.coalesce(F.max("replay_lag_s"), F.lit(0.0)).alias("replica_lag_s"), F.coalesce(F.max("replay_lag_bytes") / (1 << 20), F.lit(0.0)).alias("replica_lag_mb"), F.count_if(F.col("r_state") != "streaming").alias("replicas_lost"),
+        F.count_if("c_off").alias("autovac_off_tables"), F.coalesce(F.max("xid_age"), F.lit(0)).alias("xid_age"),
+        _of("max_connections").cast("double").alias("conn_max"), _of("max_locks_per_transaction").cast("double").alias("_locks"), _of("wal_level").alias("wal_level"), F.count_if(of("settings")).alias("_settings"),
+        *(F.coalesce(_of(n) != "on", F.lit(True)).alias(c) for n, c in (("autovacuum", "autovacuum_off"), ("track_counts", "track_counts_off"), ("track_io_timing", "io_timing_off"))),
+        F.max("timed").alias("checkpoints_timed"), F.max("requested").alias("checkpoints_req"), F.count_if(~F.col("granted")).alias("ungranted"), F.count_if(of("locks")).alias("_held"),
+        F.coalesce(F.sum("deadlocks"), F.lit(0)).alias("deadlocks"), F.coalesce(F.sum("checksum_failures"), F.lit(0)).alias("checksum_failures"),
+    )
+    room = F.col("_locks") * F.col("conn_max")
+    out = grouped.where("_hosts > 0").withColumn("lock_pool", F.when((room > 0) & (F.col("_held") > 0), F.col("_held") / room))
+    # without settings nothing says that something is off
+    out = out.withColumns({c: F.col(c) & (F.col("_settings") > 0) for c in ("autovacuum_off", "track_counts_off", "io_timing_off")})
+    return out.drop("_locks", "_held", "_hosts", "_settings").fillna({"cache_hit_pct": 100.0, "hot_ratio": 1.0}).fillna(0)
 
 
 def attribute(findings: DataFrame, database_scoped: bool = False, metrics_backed: bool = False, backed: list[str] | None = None) -> DataFrame:

@@ -14,11 +14,39 @@ def pivot_signals(long: DataFrame, signals: list[str]) -> DataFrame:
     return long.groupBy("target", "ts").pivot("signal", signals).agg(F.last("value", ignorenulls=True))
 
 
+def value_counts(series: DataFrame) -> DataFrame:
+    """(target, signal, how, value, n): how often each value stands in each hour of the week. Tables of several days add up."""
+    known = series.where("value is not null")
+    return known.groupBy("target", "signal", hour_of_week(F.col("ts")).alias("how"), "value").agg(F.count("*").alias("n"))
+
+
+def fold_counts(state: DataFrame, added: DataFrame, expired: DataFrame | None = None) -> DataFrame:
+    """X4 from day to day: the counts of ``state`` with a day's own added and those of one beyond the window taken out."""
+    every = state.unionByName(added)
+    if expired is not None:
+        every = every.unionByName(expired.withColumn("n", -F.col("n")))
+    return every.groupBy("target", "signal", "how", "value").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def baseline_from_counts(counts: DataFrame, min_points: int) -> DataFrame:
+    """(target, signal, how, median, n) of series of ``min_points`` points or more.
+
+    The median is half the values at ranks (n + 1) / 2, rounded down and up, which lie where the running count reaches them;
+    no group's values are held together, equal ones are one row.
+    """
+    hour = ["target", "signal", "how"]
+    enough = counts.groupBy("target", "signal").agg(F.sum("n").alias("points")).where(F.col("points") >= min_points)
+    w = Window.partitionBy(*hour)
+    last, n = F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w)
+    ranked = counts.join(enough.drop("points"), ["target", "signal"], "left_semi").withColumns({"_last": last, "_all": n})
+    low, high = F.floor((F.col("_all") + 1) / 2), F.ceil((F.col("_all") + 1) / 2)
+    hit = lambda r: F.when((r > F.col("_last") - F.col("n")) & (r <= F.col("_last")), F.col("value") / 2)
+    return ranked.groupBy(*hour).agg((F.sum(hit(low)) + F.sum(hit(high))).alias("median"), F.sum("n").alias("n"))
+
+
 def seasonal_baseline(series: DataFrame, min_points: int) -> DataFrame:
-    """(target, signal, how, median, n) by hour of week, for series of ``min_points`` points or more."""
-    enough = series.groupBy("target", "signal").agg(F.count("value").alias("points")).where(F.col("points") >= min_points)
-    by_hour = series.groupBy("target", "signal", hour_of_week(F.col("ts")).alias("how")).agg(F.median("value").alias("median"), F.count("value").alias("n"))
-    return by_hour.join(enough.drop("points"), ["target", "signal"], "left_semi")
+    """(target, signal, how, median, n) by hour of week, for series of ``min_points`` points or more; see ``baseline_from_counts``."""
+    return baseline_from_counts(value_counts(series), min_points)
 
 
 def with_baseline(series: DataFrame, base: DataFrame) -> DataFrame:

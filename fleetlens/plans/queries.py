@@ -353,4 +353,4 @@ def h22(spark, d):
     return health.fleet_rank(h14(spark, d), 20)
 
 
-from fleetlens.plans import catalog_queries, fleet_queries, more_queries  # noqa: E402,F401  (they register themselves)
+from fleetlens.plans import catalog_queries, fleet_queries, late_queries, more_queries  # noqa: E402,F401  (they register themselves)

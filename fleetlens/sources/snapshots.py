@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from fleetlens.functions.exprs import sanitize
 from fleetlens.functions.windows import running_last
@@ -32,6 +36,36 @@ def last_per_step(samples: DataFrame, step: str, tie: str = "value") -> DataFram
     return samples.groupBy("target", "signal", F.window("ts", step)["start"].alias("ts")).agg(F.max_by("value", F.struct("ts", tie)).alias("value"))
 
 
+def range_evaluation(samples: DataFrame, start: str, end: str, step_s: int, look_back_s: int, tie: str = "value", fill: bool = False) -> DataFrame:
+    """S2, range form: (target, signal, ts, value) at every step from ``start`` to ``end``: the newest sample at or before it.
+
+    A sample counts for less than ``look_back_s`` seconds; a newest one without value marks its series as gone. Steps
+    without a sample are absent, or with ``fill`` null, for each series that has samples in reach of the range. Of equal
+    times the largest ``tie`` wins. Samples are first cut down to the newest between two steps, before the shuffle; then each covers
+    its steps up to the next one's, so no step is searched.
+    """
+    if step_s <= 0:
+        raise ValueError("a range has steps of a second or more")
+    at, first, last = F.unix_micros("ts"), F.unix_micros(F.lit(start).cast("timestamp")), F.unix_micros(F.lit(end).cast("timestamp"))
+    step, back, steps = step_s * 1_000_000, look_back_s * 1_000_000, F.floor((last - first) / (step_s * 1_000_000))
+    near = samples.where((at > first - back) & (at <= last))
+    slot = F.greatest(F.ceil((at - first) / step), F.lit(0)).cast("long")  # the first step that sees it
+    newest = near.groupBy("target", "signal", slot.alias("slot")).agg(F.max(F.struct(at.alias("at"), F.col(tie).alias("tie"), "value")).alias("x"))
+    following = F.lead("slot").over(Window.partitionBy("target", "signal").orderBy("slot"))  # a row for each step at most
+    ends = F.least(F.coalesce(following - 1, steps), F.floor((F.col("x.at") + back - 1 - first) / step), steps)
+    covered = newest.withColumn("_to", ends.cast("long")).where((F.col("_to") >= F.col("slot")) & F.col("x.value").isNotNull())
+    rows = covered.select("target", "signal", F.explode(F.sequence("slot", "_to")).alias("slot"), F.col("x.value").alias("value"))
+    if fill:
+        grid = near.select("target", "signal").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), steps.cast("long"))))
+        rows = grid.join(rows, ["target", "signal", "slot"], "left")
+    return rows.select("target", "signal", F.timestamp_micros(first + F.col("slot") * step).alias("ts"), "value")
+
+
+def instant_evaluation(samples: DataFrame, at: str, look_back_s: int, tie: str = "value") -> DataFrame:
+    """S2, instant form: each series' newest sample at ``at``, absent without one in reach."""
+    return range_evaluation(samples, at, at, 1, look_back_s, tie)
+
+
 def write_snapshot(report: DataFrame, path: str) -> None:
     """Sanitised texts in a dictionary by hash, numbers by day; what a day's dictionary has isn't written again."""
     spark = report.sparkSession
@@ -140,16 +174,71 @@ def read_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame
 def commit_hot(snapshot: DataFrame, anchors: DataFrame, path: str, version: int) -> None:
     """A snapshot and its anchors, visible together or not at all.
 
-    Both are written to the version's own folder, and the version is entered among the commits last. Repeating a version
-    writes it anew, so a retried batch is safe.
+    Both are written to the version's own folder, and the version is entered among the commits last, as one empty file
+    whose name is the version; no file is renamed or rewritten. Repeating a version writes it anew, so a retried batch is safe.
     """
     snapshot.write.mode("overwrite").parquet(f"{path}/snapshot/v={version}")
     anchors.write.mode("overwrite").parquet(f"{path}/anchors/v={version}")
-    spark = snapshot.sparkSession
-    spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/v={version}")
+    folder, system = _hadoop(snapshot.sparkSession, f"{path}/commits")
+    system.mkdirs(folder)
+    system.create(_hadoop(snapshot.sparkSession, f"{path}/commits/{version:019d}")[0], True).close()
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, whichever store it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def read_hot(spark: SparkSession, path: str, part: str) -> DataFrame:
-    """The ``snapshot`` or ``anchors`` of the newest committed version."""
-    newest = spark.read.parquet(f"{path}/commits").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/{part}/v={newest}")
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest committed version, by one listing of names; a reader that keeps it sees that version for good."""
+    folder, system = _hadoop(spark, f"{path}/commits")
+    names = [f.getPath().getName() for f in system.listStatus(folder)] if system.exists(folder) else []
+    return max((int(n) for n in names if n.isdigit()), default=None)
+
+
+def read_hot(spark: SparkSession, path: str, part: str, version: int | None = None) -> DataFrame:
+    """The ``snapshot`` or ``anchors`` of a committed version, the newest where none is given."""
+    version = newest_version(spark, path) if version is None else version
+    if version is None:
+        raise ValueError("nothing is committed yet")
+    return spark.read.parquet(f"{path}/{part}/v={version}")
+
+
+def commit_stream(samples: DataFrame, key: list[str], path: str, checkpoint: str, report: Callable[[DataFrame, DataFrame], DataFrame]) -> DataStreamWriter:
+    """A stream of samples as committed versions: each batch's snapshot, the anchors after it, and its outcome, exactly once.
+
+    The batch's number is its version. ``report`` makes the snapshot from the batch and the anchors before it. A batch that is run again, after
+    a failure anywhere between its writes, starts from the anchors of the newest version before its own and writes its own
+    version anew; readers follow the commits, so rows of a version that broke off are never seen. The outcome ('ok', 'empty', or 'error'
+    with its text) is part of the snapshot's commit; an error commits the anchors unchanged.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder, system = _hadoop(spark, f"{path}/commits")
+        names = [int(f.getPath().getName()) for f in system.listStatus(folder) if f.getPath().getName().isdigit()] if system.exists(folder) else []
+        before = max((v for v in names if v < number), default=None)
+        anchors = read_hot(spark, path, "anchors", before) if before is not None else batch.limit(0)
+        outcome, text = "ok", ""
+        try:
+            made = report(batch, anchors)
+            made.write.mode("overwrite").parquet(f"{path}/report/v={number}")
+            found = spark.read.schema(made.schema).parquet(f"{path}/report/v={number}")
+            outcome = "empty" if found.isEmpty() else "ok"
+        except AnalysisException as e:
+            outcome, text = "error", str(e).splitlines()[0][:200]
+        moved = upsert_anchors(anchors, batch, key) if outcome != "error" else anchors
+        log = spark.range(1).select(F.lit(number).cast("long").alias("version"), F.lit(outcome).alias("outcome"), F.lit(text).alias("error"))
+        commit_hot(log, moved, path, number)
+
+    return samples.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """(version, outcome, error) of every committed batch, errors and empty reports included."""
+    last = newest_version(spark, path)
+    log = spark.read.parquet(f"{path}/snapshot").select("version", "outcome", "error")
+    folder, system = _hadoop(spark, f"{path}/commits")
+    done = [(int(f.getPath().getName()),) for f in system.listStatus(folder) if f.getPath().getName().isdigit() and int(f.getPath().getName()) <= last]
+    return log.join(spark.createDataFrame(done, "version long"), "version", "left_semi")

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import advisor, health_inputs, maintenance, schema_checks, signals
@@ -46,11 +47,59 @@ def test_debounce_counts_from_the_last_accepted(spark):
 
 def test_hot_commit_is_seen_whole(spark, tmp_path):
     a, path = spark.createDataFrame([(1,)], "x int"), str(tmp_path / "hot")
+    assert snapshots.newest_version(spark, path) is None
     snapshots.commit_hot(a, a, path, 1)
     a.withColumn("x", F.lit(9)).write.parquet(f"{path}/snapshot/v=2")  # a commit that broke off
     assert snapshots.read_hot(spark, path, "snapshot").first().x == 1
+    pinned = snapshots.newest_version(spark, path)
     snapshots.commit_hot(a.withColumn("x", F.lit(2)), a, path, 2)
-    assert snapshots.read_hot(spark, path, "snapshot").first().x == 2
+    assert snapshots.read_hot(spark, path, "snapshot").first().x == 2 and snapshots.read_hot(spark, path, "snapshot", pinned).first().x == 1
+
+
+def test_a_stream_of_commits_survives_a_kill_between_its_writes(spark, tmp_path, monkeypatch):
+    schema = "k string, captured_at timestamp, v long"
+    row = lambda k, t, v: (k, t, v)
+
+    def arrive(name, rows):
+        frame = spark.createDataFrame(rows, "k string, t long, v long").select("k", F.timestamp_seconds("t").alias("captured_at"), "v")
+        frame.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    path, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    grown = lambda batch, anchors: batch.join(anchors.select("k", F.col("v").alias("was")), "k", "left").selectExpr("k", "v - coalesce(was, 0) as grown")
+
+    def go():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        q = snapshots.commit_stream(stream, ["k"], path, checkpoint, grown).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    arrive("a", [row("x", 10, 5), row("y", 10, 1)])
+    go()
+    arrive("b", [row("x", 20, 9)])
+    whole = snapshots.commit_hot
+
+    def broken(snapshot, anchors, to, version):  # the snapshot is written, then the driver is gone
+        snapshot.write.mode("overwrite").parquet(f"{to}/snapshot/v={version}")
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(snapshots, "commit_hot", broken)
+    with pytest.raises(Exception):
+        go()
+    assert snapshots.newest_version(spark, path) == 0 and {(r.k, r.v) for r in snapshots.read_hot(spark, path, "anchors").collect()} == {("x", 5), ("y", 1)}
+    monkeypatch.setattr(snapshots, "commit_hot", whole)
+    go()
+    assert {(r.k, r.v) for r in snapshots.read_hot(spark, path, "anchors").collect()} == {("x", 9), ("y", 1)}
+    assert {(r.k, r.grown) for r in spark.read.parquet(f"{path}/report/v=1").collect()} == {("x", 4)}  # against the anchors before, once
+    assert sorted((r.version, r.outcome) for r in snapshots.read_outcomes(spark, path).collect()) == [(0, "ok"), (1, "ok")]
+
+
+def test_outcomes_of_errors_and_empty_reports(spark, tmp_path):
+    spark.createDataFrame([("x", 1)], "k string, v long").select("k", F.timestamp_seconds("v").alias("captured_at"), "v").write.parquet(str(tmp_path / "in"))
+    schema = "k string, captured_at timestamp, v long"
+    for name, report in (("empty", lambda b, a: b.where("v > 5")), ("error", lambda b, a: b.select("nowhere"))):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        snapshots.commit_stream(stream, ["k"], str(tmp_path / name), str(tmp_path / f"cp-{name}"), report).trigger(availableNow=True).start().awaitTermination(120)
+        got = snapshots.read_outcomes(spark, str(tmp_path / name)).collect()
+        assert [r.outcome for r in got] == [name] and bool(got[0].error) == (name == "error")
 
 
 def test_read_logs(spark, tmp_path):
@@ -87,17 +136,25 @@ def test_advice(spark):
     work = spark.createDataFrame([("d", "q1", 60, 1), ("d", "q2", 20, 1), ("d", "q4", 20, 1)], "db string, fingerprint string, exec_ms long, calls long")
     ranked = advisor.rank_candidates(advisor.weights(merged, work, ["db"]), ["db"])
     assert [(r.weight_pct, r.rn) for r in ranked.orderBy("rn").collect()] == [(80.0, 1), (20.0, 2)]
-    leaves = spark.createDataFrame([], "db string, relid long, leaf string")
-    text = {r.predicate: r.ddl for r in advisor.ddl_text(merged, relations, leaves, ["db"]).collect()}
+    text = {r.predicate: r.ddl for r in advisor.ddl_text(merged, relations, edges, ["db"]).collect()}
     assert text["gone"] == 'CREATE INDEX CONCURRENTLY "orders_user_id_idx" ON "public"."orders" ("user_id") WHERE "gone" IS NULL;'
 
 
-def test_partition_script_attaches_every_leaf(spark):
-    relations, _, _ = advisor_tables(spark)
-    cand = spark.createDataFrame([("d", 1, "", ["at"])], "db string, relid long, predicate string, columns array<string>")
-    leaves = spark.createDataFrame([("d", 1, "orders_b"), ("d", 1, "orders_a")], "db string, relid long, leaf string")
-    lines = advisor.ddl_text(cand, relations, leaves, ["db"]).first().ddl.split("\n")
-    assert lines[0].startswith('CREATE INDEX "orders_at_idx" ON ONLY') and [x for x in lines if "ATTACH" in x][0].endswith('"orders_a_at_idx";') and len(lines) == 5
+def test_partition_script_of_nested_partitions(spark):
+    names = {1: ("orders", "p"), 2: ("orders_b", "r"), 3: ("orders_a", "p"), 4: ("orders_a_2", "r"), 5: ("orders_a_1", "r"), 6: ("hollow", "p"), 7: ("plain", "r")}
+    relations = spark.createDataFrame([("d", i, "public", t, k) for i, (t, k) in names.items()], "db string, relid long, schema string, table string, relkind string")
+    edges = spark.createDataFrame([("d", 2, 1), ("d", 3, 1), ("d", 4, 3), ("d", 5, 3)], "db string, child long, parent long")
+    cand = spark.createDataFrame([("d", i, "", ["at"]) for i in (1, 6, 7)], "db string, relid long, predicate string, columns array<string>")
+    text = {r.relid: r.ddl for r in advisor.ddl_text(cand, relations, edges, ["db"]).collect()}
+    only = lambda t: f'CREATE INDEX "{t}_at_idx" ON ONLY "public"."{t}" ("at");'
+    leaf = lambda t: f'CREATE INDEX CONCURRENTLY "{t}_at_idx" ON "public"."{t}" ("at");'
+    attach = lambda up, t: f'ALTER INDEX "public"."{up}_at_idx" ATTACH PARTITION "public"."{t}_at_idx";'
+    assert text[1].split("\n") == [
+        only("orders"), only("orders_a"), leaf("orders_a_1"), attach("orders_a", "orders_a_1"), leaf("orders_a_2"), attach("orders_a", "orders_a_2"), attach("orders", "orders_a"), leaf("orders_b"), attach("orders", "orders_b"),
+    ]
+    assert text[6] == 'CREATE INDEX "hollow_at_idx" ON "public"."hollow" ("at");' and text[7].startswith("CREATE INDEX CONCURRENTLY")
+    short = {r.relid: r.ddl for r in advisor.ddl_text(cand, relations, edges, ["db"], most=2).collect()}[1].split("\n")
+    assert short[-1] == "-- 2 more partitions are built and attached the same way" and short[-2] == attach("orders", "orders_a")
 
 
 def test_suppression_by_mask(spark):
@@ -138,3 +195,11 @@ def test_replication_status_ranks_unknown_last(spark):
     slots = spark.createDataFrame([("k", 3, "s3")], "k string, active_pid int, slot_name string")
     got = {r.pid: (r.lag_rank, r.replay_lag_bytes, r.slot_name) for r in maintenance.repl_status(rep, slots, ["k"]).collect()}
     assert got == {3: (1, 254, "s3"), 1: (2, 15, ""), 2: (3, None, "")}
+
+
+def test_raw_metrics_take_one_exchange(spark):
+    from fleetlens.plans.queries import QUERIES
+
+    plan = QUERIES["h1_raw_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    grouped = plan.split("Union")[0]
+    assert grouped.count("Exchange hashpartitioning") == 1 and "Join" not in grouped and plan.count("Union") == 1

@@ -174,3 +174,41 @@ def test_golden_shapes(values, count, coverage, peak):
     assert len(got) == count
     if count:
         assert (got[0][3], got[0][4]) == (peak, coverage)
+
+
+def test_range_evaluation_against_a_plain_loop(spark):
+    dice = random.Random(6)
+    rows = [("t", f"s{dice.randrange(3)}", dice.randrange(0, 4000), dice.choice((None, float(dice.randrange(9)))), i) for i in range(160)]
+    df = spark.createDataFrame(rows, "target string, signal string, t long, value double, tie long").withColumn("ts", F.timestamp_seconds("t"))
+    start, end, step, back = 600, 3600, 250, 400
+    at = lambda t: f"1970-01-01 {t // 3600:02d}:{t // 60 % 60:02d}:{t % 60:02d}"
+    want = set()
+    for s in {r[1] for r in rows}:
+        for t in range(start, end + 1, step):
+            seen = [r for r in rows if r[1] == s and t - back < r[2] <= t]
+            newest = max(seen, key=lambda r: (r[2], r[4]), default=None)
+            if newest and newest[3] is not None:
+                want.add((s, t, newest[3]))
+    got = snapshots.range_evaluation(df, at(start), at(end), step, back, "tie").collect()
+    assert {(r.signal, int(r.ts.timestamp()), r.value) for r in got} == want and len(got) == len(want)
+    full = snapshots.range_evaluation(df, at(start), at(end), step, back, "tie", fill=True).collect()
+    assert {(r.signal, int(r.ts.timestamp()), r.value) for r in full if r.value is not None} == want and len(full) == 3 * len(range(start, end + 1, step))
+    one = snapshots.instant_evaluation(df, at(1100), back, "tie").collect()
+    assert {(r.signal, r.value) for r in one} == {(s, v) for s, t, v in want if t == 1100}
+    assert snapshots.range_evaluation(df.limit(0), at(start), at(end), step, back, "tie").collect() == []
+
+
+def test_baselines_add_up_by_day(spark):
+    dice = random.Random(7)
+    rows = [("t", "s", 3600 * dice.randrange(24 * 28), float(dice.randrange(30)) / 4) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "target string, signal string, t long, value double").withColumn("ts", F.timestamp_seconds("t"))
+    day = F.floor(F.col("t") / 86400)
+    whole = {(r.how, r.median, r.n) for r in series.seasonal_baseline(df, 100).collect()}
+    exact = {(r.how, r.m, r.n) for r in df.groupBy(series.hour_of_week(F.col("ts")).alias("how")).agg(F.median("value").alias("m"), F.count("*").alias("n")).collect()}
+    assert whole == exact
+    parts = [series.value_counts(df.where((day >= a) & (day < b))) for a, b in ((0, 10), (10, 20), (20, 28))]
+    folded = series.fold_counts(series.fold_counts(parts[0], parts[1]), parts[2])
+    assert {(r.how, r.median, r.n) for r in series.baseline_from_counts(folded, 100).collect()} == whole
+    later = series.fold_counts(parts[0], parts[1], expired=parts[0])
+    assert sorted(map(tuple, later.collect())) == sorted(map(tuple, parts[1].select(*later.columns).collect()))
+    assert series.baseline_from_counts(parts[0], 10_000).collect() == []
