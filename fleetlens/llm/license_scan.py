@@ -87,7 +87,8 @@ LICENCES = [
         ["in no event will the authors be held liable for any damages arising from the use of this software"],
     ),
 ]
-RARE = 3
+#: Of a licence's words, so many stand in place where it is labelled, and where it counts for the score without its key phrases.
+LEAST_PCT, NEAR_PCT = 15, 50
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -96,14 +97,14 @@ def _cut(text: str) -> list[str]:
 
 
 def templates() -> list[dict]:
-    """Base phrases and licences: key phrases and all words by their offset from the start of the first key phrase."""
+    """Base phrases and licences: key phrases and all words by their offset from the start of the first key phrase, and how many words must stand in place (least: beside the key phrases; near: without them)."""
     out = []
     for base, label, text, keys in [*((True, label, phrase, [phrase]) for label, phrase in BASE), *((False, *x) for x in LICENCES)]:
         words, phrases = _cut(text), [_cut(k) for k in keys]
         at = [next(i for i in range(len(words)) if words[i : i + len(p)] == p) for p in phrases]
         first = min(at)
         out.append({
-            "label": label, "base": base, "keys": [{"o": i - first, "w": p} for i, p in zip(at, phrases)],
+            "label": label, "base": base, "least": len(words) if base else -(-len(words) * LEAST_PCT // 100), "near": len(words) if base else -(-len(words) * NEAR_PCT // 100), "keys": [{"o": i - first, "w": p} for i, p in zip(at, phrases)],
             "body": [{"o": i - first, "w": w} for i, w in enumerate(words)],
         })
     return out
@@ -119,55 +120,55 @@ def _fixed(value: object, kind: str) -> Column:
 
 
 def licence_idf(docs: DataFrame) -> dict[str, float]:
-    """Inverse document frequency of each key-phrase word over all documents: as many rows as there are such words."""
-    vocabulary = sorted({w for t in templates() for k in t["keys"] for w in k["w"]})
+    """Inverse document frequency of each licence word over all documents: as many rows as there are such words."""
+    vocabulary = sorted({b["w"] for t in templates() for b in t["body"]})
     seen = docs.select(F.explode(F.array_distinct(F.filter(_words(F.col("text")), lambda w: w.isin(vocabulary)))).alias("word"))
     rows = {r[0]: r[1] for r in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = docs.count()
     return {w: math.log((total + 1) / (rows.get(w, 0) + 1)) for w in vocabulary}
 
 
-def rare_postings(idf: dict[str, float], rare: int) -> tuple[dict[str, list[dict]], list[int]]:
-    """The index: for each word the (template, offset) that it stands at among a template's ``rare`` rarest places, and how many these are."""
+def rare_postings(idf: dict[str, float]) -> dict[str, list[dict]]:
+    """The index: for each word the (template, offset) that it stands at among a template's rarest words.
+
+    A template of n words of which m in place are near has its n - m + 1 rarest places here: wherever m stand, one of these
+    does, whichever words were altered. The rarest place of its key phrases is here too, as they must all stand for a label.
+    """
     index: dict[str, list[dict]] = {}
-    needs = []
     for number, t in enumerate(templates()):
-        places = [(k["o"] + i, w) for k in t["keys"] for i, w in enumerate(k["w"])]
-        chosen = sorted(places, key=lambda p: (-idf[p[1]], p[0]))[:rare]
-        for o, w in chosen:
+        rarest = lambda b: (-idf[b["w"]], b["o"])
+        chosen = {b["o"]: b["w"] for b in sorted(t["body"], key=rarest)[: len(t["body"]) - t["near"] + 1]}
+        key = min(({"o": k["o"] + i, "w": w} for k in t["keys"] for i, w in enumerate(k["w"])), key=rarest)
+        for o, w in sorted({**chosen, key["o"]: key["w"]}.items()):
             index.setdefault(w, []).append({"t": number, "o": o})
-        needs.append(len(chosen))
-    return index, needs
+    return index
 
 
-def scan_licenses(docs: DataFrame, carry: list[str] | None = None, rare: int = RARE) -> DataFrame:
+def scan_licenses(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (default: doc_id) and n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
-    A positional index holds, for each template, the places of the ``rare`` words of its key phrases that have the
-    highest IDF over the corpus. A file's words are looked up in it; each posting found votes for a template and a start,
-    and a start stays only if all of that template's rare words vote for it, each at its own distance. There all key
-    phrases are verified word for word. Which words are rare steers the search, never the result: a template that
-    stands has all its rare words in place. ``places`` lists label, start (of the first key phrase) and the share of
-    the template's words that stand where the template has them; score is the largest such share, 0 without a place.
+    A positional index holds, for each template, the places of its words of the highest IDF over the corpus. A file's rare
+    licence words are looked up in it; each posting votes for a template and a start, and words at their own distances
+    vote for the same one. At each start voted for, the template's words in place are counted and its key phrases verified word
+    for word. The label is given where all key phrases stand and LEAST_PCT of a licence's words are in place, so neither a
+    licence that is only mentioned nor a body whose key phrase was altered is labelled. ``score`` is the largest share of
+    words in place at labelled starts and at those with NEAR_PCT, 0 without: the altered body has its score. Which words are rare steers the search, never the
+    result. ``places`` lists label, start (of the first key phrase) and share of those labelled.
     Work is linear in the text, the plan doesn't grow with the templates, and nothing but word counts is shuffled.
 
     Null and empty texts have no words and no labels (empty strings) and null first_word and last_word; repeated rows
     and null ids get a row each; an empty table gives no rows; columns not in ``carry`` are ignored, whatever their names.
     """
     carry = carry or ["doc_id"]
-    index, needs = rare_postings(licence_idf(docs), rare)
+    index = rare_postings(licence_idf(docs))
     posting = "struct<t:int,o:int>"
-    every = _fixed(templates(), "array<struct<label:string,base:boolean,keys:array<struct<o:int,w:array<string>>>,body:array<struct<o:int,w:string>>>>")
+    every = _fixed(templates(), "array<struct<label:string,base:boolean,least:int,near:int,keys:array<struct<o:int,w:array<string>>>,body:array<struct<o:int,w:string>>>>")
     frame = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), _words(F.col("text")).alias("_w"))
     rare_words = sorted(index)
     frame = frame.withColumn("_at", F.array_compact(F.transform("_w", lambda w, i: F.when(w.isin(rare_words), i))))
     postings = _fixed(index, f"map<string,array<{posting}>>")
     votes = F.flatten(F.transform("_at", lambda p: F.transform(F.try_element_at(postings, F.get("_w", p)), lambda x: F.struct(x["t"].alias("t"), (p - x["o"]).alias("s")))))
-    frame = frame.withColumn("_votes", F.array_sort(F.filter(votes, lambda v: v["s"] >= 0)))
-    need = _fixed(needs, "array<int>")
-    before = lambda i: F.get("_votes", i - 1)
-    # Equal votes stand together: the first of them at i and one more need - 1 places on mean that all rare words agree.
-    frame = frame.withColumn("_starts", F.filter("_votes", lambda v, i: ((i == 0) | (before(i) != v)) & F.coalesce(F.get("_votes", i + F.get(need, v["t"]) - 1) == v, F.lit(False))))
+    frame = frame.withColumn("_starts", F.array_distinct(F.filter(votes, lambda v: v["s"] >= 0)))
 
     def stands(v: Column) -> Column:
         return F.forall(F.get(every, v["t"])["keys"], lambda k: F.slice("_w", v["s"] + k["o"] + 1, F.size(k["w"])) == k["w"])
@@ -175,9 +176,10 @@ def scan_licenses(docs: DataFrame, carry: list[str] | None = None, rare: int = R
     def place(v: Column) -> Column:
         t = F.get(every, v["t"])
         hit = F.size(F.filter(t["body"], lambda b: F.get("_w", v["s"] + b["o"]) == b["w"]))
-        return F.struct(t["label"].alias("label"), t["base"].alias("base"), v["s"].cast("long").alias("start"), (hit / F.size(t["body"])).alias("share"))
+        return F.struct(t["label"].alias("label"), t["base"].alias("base"), v["s"].cast("long").alias("start"), (hit / F.size(t["body"])).alias("share"), (hit >= t["near"]).alias("near"), ((hit >= t["least"]) & stands(v)).alias("named"))
 
-    frame = frame.withColumn("_found", F.transform(F.filter("_starts", stands), place))
+    frame = frame.withColumn("_near", F.filter(F.transform("_starts", place), lambda x: x["near"] | x["named"]))
+    frame = frame.withColumn("_found", F.filter("_near", lambda x: x["named"]))
     frame = frame.withColumn("_base", F.filter("_found", lambda x: x["base"]))
     start = F.transform("_base", lambda x: x["start"])
     names = lambda column: F.array_join(F.array_sort(F.array_distinct(F.transform(column, lambda x: x["label"]))), ",")
@@ -186,13 +188,13 @@ def scan_licenses(docs: DataFrame, carry: list[str] | None = None, rare: int = R
         F.size("_w").cast("long").alias("n_words"), F.size("_base").cast("long").alias("n_base"),
         F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
         names("_base").alias("base_labels"), names("_found").alias("labels"),
-        F.coalesce(F.array_max(F.transform("_found", lambda x: x["share"])), F.lit(0.0)).alias("score"),
-        F.transform("_found", lambda x: x.dropFields("base")).alias("places"),
+        F.coalesce(F.array_max(F.transform("_near", lambda x: x["share"])), F.lit(0.0)).alias("score"),
+        F.transform("_found", lambda x: x.dropFields("base", "near", "named")).alias("places"),
     )
 
 
 def scan_sql() -> str:
-    """The same result as DuckDB SQL by another way: phrases are sought as strings in the joined words, no index, no rare words."""
+    """The same result as DuckDB SQL by another way: every word votes for every place of a template that has it, none is rare; phrases are compared as strings."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     strings = lambda xs: "[" + ", ".join(map(quote, xs)) + "]"
     texts = [*((True, label, phrase, [phrase]) for label, phrase in BASE), *((False, *x) for x in LICENCES)]
@@ -203,20 +205,25 @@ def scan_sql() -> str:
     ), parts as (  -- words before the first key phrase, the phrases' own offsets from it
       select id, label, base, string_split(body, ' ') as b, keys,
         list_transform(keys, lambda k: len(string_split(substr(' ' || body || ' ', 1, instr(' ' || body || ' ', ' ' || k || ' ')), ' ')) - 2) as o from licences
+    ), body as (
+      select id, unnest(b) as word, unnest(range(len(b))) - list_min(o) as o from parts
     ), words as (
       select doc_id, row_number() over () as r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
       from documents
-    ), able as (
-      select w.r, w.w, p.* from (select *, ' ' || array_to_string(w, ' ') || ' ' as s from words) w
-      join parts p on len(list_filter(p.keys, lambda k: not contains(w.s, ' ' || k || ' '))) = 0
+    ), spelt as (
+      select r, unnest(w) as word, unnest(range(len(w))) as i from words
+    ), votes as (
+      select s.r, b.id, s.i - b.o as i, count(*) as hit from spelt s join body b on s.word = b.word where s.i >= b.o group by s.r, b.id, s.i - b.o
+    ), near as (
+      select v.r, v.i, p.label, p.base, p.keys, p.o, w.w, v.hit / cast(len(p.b) as double) as share
+      from votes v join parts p on p.id = v.id join words w on w.r = v.r where case when p.base then v.hit = len(p.b) else v.hit * 100 >= len(p.b) * {LEAST_PCT} end
     ), tried as (
-      select *, unnest(range(len(w))) as i from able
+      select *, len(list_filter(range(len(keys)), lambda n: array_to_string(w[i + o[n + 1] - list_min(o) + 1 : i + o[n + 1] - list_min(o) + len(string_split(keys[n + 1], ' '))], ' ') = keys[n + 1])) = len(keys) as named from near
     ), places as (
-      select r, label, base, i, len(list_filter(range(len(b)), lambda j: i + j - list_min(o) >= 0 and w[i + j - list_min(o) + 1] = b[j + 1])) / cast(len(b) as double) as share
-      from tried where len(list_filter(range(len(keys)), lambda n: array_to_string(w[i + o[n + 1] - list_min(o) + 1 : i + o[n + 1] - list_min(o) + len(string_split(keys[n + 1], ' '))], ' ') = keys[n + 1])) = len(keys)
+      select * from tried where named or share * 100 >= {NEAR_PCT}
     ), found as (
       select r, count(*) filter (base) as n_base, min(i) filter (base) as first_word, max(i) filter (base) as last_word, max(share) as score,
-        string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels from places group by r
+        string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) filter (named) as labels from places group by r
     )
     select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(f.n_base, 0) as n_base, cast(f.first_word as bigint) as first_word, cast(f.last_word as bigint) as last_word,
       coalesce(f.base_labels, '') as base_labels, coalesce(f.labels, '') as labels, coalesce(f.score, 0.0) as score

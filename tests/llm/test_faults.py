@@ -137,3 +137,35 @@ def test_many_entities_and_terms_form_few_pairs(spark):
     made = [d for d in set(os.listdir(scratch_root(spark).removeprefix("file:"))) - before if d.startswith("together-")]
     assert len(made) == 1 and spark.read.parquet(f"{scratch_root(spark)}/{made[0]}").count() < 20
     assert telling[1] == telling[2] and len(telling[1]) >= 3000
+
+
+def test_a_mention_is_no_licence_and_an_altered_body_has_a_score(spark):
+    from fleetlens.llm import license_scan
+
+    mit = next(text for label, text, _ in license_scan.LICENCES if label == "mit")
+    rows = [(1, "we do not use the Mozilla Public License here"), (2, mit), (3, mit.replace("hereby", "therefore")), (4, mit.replace("hereby", "therefore").replace("Software", "Program")), (5, "intro " + mit + " " + mit), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    assert (got[1].labels, got[1].score) == ("", 0.0) and (got[2].labels, got[2].score) == ("mit", 1.0)
+    assert got[3].labels == "" and 0.95 < got[3].score < 1  # its key phrase was altered
+    assert got[4].labels == "" and 0.5 < got[4].score < got[3].score and len(got[5].places) == 2
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = {r[0]: r for r in con.execute(license_scan.scan_sql()).fetchall()}
+    for i, r in got.items():
+        assert tuple(r)[:8] == want[i]
+
+
+def test_any_altered_words_leave_a_rare_one_in_place():
+    from fleetlens.llm import license_scan
+
+    dice = random.Random(4)
+    every = license_scan.templates()
+    idf = {w: dice.random() for w in sorted({b["w"] for t in every for b in t["body"]})}
+    index = license_scan.rare_postings(idf)
+    for number, t in enumerate(every):
+        own = {p["o"] for w in index.values() for p in w if p["t"] == number}
+        for _ in range(20):
+            kept = {b["o"] for b in dice.sample(t["body"], t["near"])}
+            assert kept & own
