@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -176,33 +177,44 @@ def _encoder(tokenizer: str, pattern: str) -> PieceEncoder:
     return _encoders[tokenizer, pattern]
 
 
-#: Documents of a shard, about; more documents make more shards, not larger ones.
-SHARD_DOCS = 1 << 18
+#: Bytes of a shard's ids, about; more bytes make more shards, not larger ones. A document counts ROW bytes besides its ids.
+SHARD_BYTES, ROW = 128 << 20, 64
 
 
-def shard_bounds(docs: DataFrame, least: int, each: int = 32, seed: int = 10) -> np.ndarray:
-    """Ids at which the document ids fall into ranges of about equal counts: ``least`` ranges or one for each SHARD_DOCS documents.
+def shard_bounds(encoded: DataFrame, least: int, each: int = 32, seed: int = 10) -> np.ndarray:
+    """Ids at which the encoded documents fall into ranges of about equal bytes: ``least`` ranges or one for each SHARD_BYTES.
 
-    Only ids are read, and about ``each`` for each range reach the driver; they shape the files, never what these hold.
+    Only ids and sizes are read; rows are drawn by their size, about ``each`` for each range, and only these ids reach the
+    driver. They shape the files, never what these hold.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    n = ids.count()
-    shards = max(least, n // SHARD_DOCS)
-    few = ids if n <= each * shards else ids.sample(each * shards / n, seed)
-    seen = np.sort(few.toArrow().column("doc_id").to_numpy())
+    rows = encoded.select("doc_id", F.col("size").alias("size"))
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = max(least, total // SHARD_BYTES)
+    drawn = rows.where((F.rand(seed) < F.col("size") * (each * shards / max(1, total))) & F.col("doc_id").isNotNull())
+    seen = np.sort(drawn.select("doc_id").toArrow().column("doc_id").to_numpy())
     at = np.arange(1, shards) * len(seen) // shards
     return np.unique(seen[at[at < len(seen)]])
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, bounds: np.ndarray, end_id: int = 0, n_ids: int = 1 << 16) -> DataFrame:
-    """(kind, shard, doc_id, ids binary).
+def in_shards(encoded: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """``encoded`` with the shard of each document: the range of ``bounds`` that its doc_id lies in (null: the first)."""
 
-    Kind 0: 16-bit ids of every whole text with the end id behind them; null counts as empty; the shard is the range of
-    ``bounds`` that the doc_id lies in (null: the first). Kind 1: one row for each task, how often it saw each id, as
-    64-bit integers.
+    @F.pandas_udf("int")
+    def shard(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy()).astype(np.int32))
+
+    lowest = F.lit(-(1 << 63)).cast("long")
+    return encoded.withColumn("shard", shard(F.coalesce("doc_id", lowest)))
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, n_ids: int = 1 << 16) -> DataFrame:
+    """(kind, doc_id, size, ids binary).
+
+    Kind 0: 16-bit ids of every whole text with the end id behind them, and their bytes with ROW more; null counts as
+    empty. Kind 1: one row for each task, how often it saw each id, as 64-bit integers.
     """
     tail = np.array([end_id], "<u2").tobytes()
-    names = ["kind", "shard", "doc_id", "ids"]
+    names = ["kind", "doc_id", "size", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_ids, "<i8")
@@ -210,11 +222,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, bounds: np.n
             for part in by_bytes(b, 1, 16 << 20):
                 ids = [x + tail for x in _encoder(tokenizer, pattern).encode(part.column(1))]
                 total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=n_ids)
-                at = np.searchsorted(bounds, part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(at), part.column(0), pa.array(ids, pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([None], pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), part.column(0), pa.array([len(x) + ROW for x in ids], pa.int64()), pa.array(ids, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, shard int, doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, doc_id long, size long, ids binary")
 
 
 def id_ranks(tallies: DataFrame, n_ids: int = 1 << 16) -> np.ndarray:
@@ -241,7 +252,7 @@ SEGMENT = "shard int, segment int, start long, n_docs int, n_tokens long, doc_id
 def write_token_files(encoded: DataFrame, path: str, by_rank: np.ndarray, partitions: int, segment_tokens: int = 1 << 19) -> None:
     """Write ids in ascending doc_id order (null first, ties by ids) as segments of about ``segment_tokens`` tokens.
 
-    A shard is one range of doc_ids, known from the encoding, so no pass over the ids is needed to find the ranges. A segment holds the documents' ids and lengths, then the ranks of their tokens:
+    A shard is one range of doc_ids (see ``in_shards``). A segment holds the documents' ids and lengths, then the ranks of their tokens:
     control bytes and data bytes apart. ``start`` counts the shard's tokens before the segment.
     """
     rank_of = np.empty(len(by_rank), np.uint32)
@@ -313,10 +324,10 @@ def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, d
     spark = docs.sparkSession
     root = scratch_root(spark)
     encoded = f"{root}/ids-{uuid.uuid4().hex}"
-    bounds = shard_bounds(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    encode_documents(docs, tokenizer, pattern, bounds, end_id).write.options(**UNIQUE).partitionBy("kind").parquet(encoded)
-    both = spark.read.schema("shard int, doc_id long, ids binary, kind int").parquet(encoded)
+    encode_documents(docs, tokenizer, pattern, end_id).write.options(**UNIQUE).partitionBy("kind").parquet(encoded)
+    both = spark.read.schema("doc_id long, size long, ids binary, kind int").parquet(encoded)
     by_rank = id_ranks(both.where("kind = 1"))
+    bounds = shard_bounds(both.where("kind = 0"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     path = f"{root}/tokens-{uuid.uuid4().hex}"
-    write_token_files(both.where("kind = 0"), path, by_rank, len(bounds) + 1)
+    write_token_files(in_shards(both.where("kind = 0"), bounds), path, by_rank, len(bounds) + 1)
     return read_token_files(spark.read.schema(SEGMENT).parquet(path), by_rank, digest)

@@ -169,3 +169,18 @@ def test_any_altered_words_leave_a_rare_one_in_place():
         for _ in range(20):
             kept = {b["o"] for b in dice.sample(t["body"], t["near"])}
             assert kept & own
+
+
+def test_token_shards_are_even_in_bytes(spark, monkeypatch):
+    from fleetlens.llm import token_files
+
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 1 << 20)
+    # a tenth of the ids hold nine tenths of the bytes
+    encoded = spark.range(20_000).selectExpr("id as doc_id", "cast(if(id between 5000 and 7000, 20000, 300) as bigint) as size", "cast('' as binary) as ids")
+    bounds = token_files.shard_bounds(encoded, 2)
+    dealt = token_files.in_shards(encoded, bounds).groupBy("shard").agg(F.sum("size").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("shard").collect()
+    total = sum(r.n for r in dealt)
+    assert len(dealt) > 30 and max(r.n for r in dealt) < 3 * total / len(dealt)
+    assert all(x.b < y.a for x, y in zip(dealt, dealt[1:]))
+    nameless = token_files.in_shards(spark.createDataFrame([(None, 64, b"")], "doc_id long, size long, ids binary"), bounds)
+    assert nameless.first().shard == 0 and len(token_files.shard_bounds(encoded.limit(0), 3)) == 0
