@@ -207,3 +207,25 @@ def h1(spark, d):
         "locks": c.select("h", (key % 6 != 0).alias("granted")), "database_stats": nation.select(host, (n * 2).alias("deadlocks"), (n % 2).alias("checksum_failures")),
     }
     return health_inputs.raw_metrics(views, ["h"])
+
+
+@query("s3_log_records", with_views("logs", "select date_trunc('second', ts) as ts, severity, concat('h', cast(mod(event_id, 7) as varchar(2))) as host, text, concat('e', cast(event_id as varchar(20))) as event from logs"))
+def s3(spark, d):
+    """S3: the log records written as JSON lines, then scanned."""
+    rows = bind(spark, d, "logs").select(F.date_trunc("second", "ts").alias("ts"), "severity", F.concat(F.lit("h"), (F.col("event_id") % 7).cast("string")).alias("host"), "text", F.create_map(F.lit("event"), F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("fields"))
+    path = f"{scratch_root(spark)}/logs-{uuid.uuid4().hex}"
+    rows.write.json(path)
+    return snapshots.read_logs(spark, path).select("ts", "severity", "host", "text", F.col("fields")["event"].alias("event"))
+
+
+@query("s8_streamed_anchors", with_views("samples", "select user_id, strftime(day, '%Y-%m-%d') as day, reads, writes, 'ok' as outcome from samples qualify row_number() over (partition by user_id order by day desc) = 1"))
+def s8(spark, d):
+    """Samples as a stream of committed versions; the anchors of the newest one, and how its batches ended."""
+    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    samples = bind(spark, d, "samples").select("user_id", F.col("day").cast("timestamp").alias("captured_at"), F.col("reads").cast("long").alias("reads"), F.col("writes").cast("long").alias("writes"))
+    samples.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 64).parquet(f"{root}/in")
+    snapshots.commit_stream(stream, ["user_id"], f"{root}/out", f"{root}/checkpoint", lambda batch, anchors: batch.groupBy("user_id").agg(F.sum("reads").alias("reads"))).trigger(availableNow=True).start().awaitTermination()
+    outcome = snapshots.read_outcomes(spark, f"{root}/out").agg(F.array_join(F.sort_array(F.collect_set("outcome")), ",").alias("outcome"))
+    anchors = snapshots.read_hot(spark, f"{root}/out", "anchors").withColumn("outcome", outcome.scalar())
+    return anchors.select("user_id", F.date_format("captured_at", "yyyy-MM-dd").alias("day"), "reads", "writes", "outcome")
