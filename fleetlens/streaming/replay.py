@@ -84,7 +84,7 @@ class SampleProcessor(StatefulProcessor):
         self.window = handle.getListState("window", "t double, active double")
         self.carry = handle.getValueState("carry", ", ".join(f"{n} double" for n in Carry.__dataclass_fields__))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["t", "active"])
         held = [tuple(r) for r in self.window.get()]
         carry = self._carry()
@@ -101,10 +101,10 @@ class SampleProcessor(StatefulProcessor):
                 self.handle.registerTimer(int(carry.due * 1000))
         yield self._frame(key, events)
 
-    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         """No sample came at the follow-up's time."""
         carry, events = self._carry(), []
-        if carry.due >= 0 and int(carry.due * 1000) == expired.getExpiryTimeInMs():
+        if carry.due >= 0 and int(carry.due * 1000) == expiredTimerInfo.getExpiryTimeInMs():
             last = [r[1] for r in self.window.get()][-1:] or [0.0]
             events.append(("deferred", -1.0, carry.due, last[0], -1.0))
             carry.due = -1.0

@@ -212,3 +212,20 @@ def test_baselines_add_up_by_day(spark):
     later = series.fold_counts(parts[0], parts[1], expired=parts[0])
     assert sorted(map(tuple, later.collect())) == sorted(map(tuple, parts[1].select(*later.columns).collect()))
     assert series.baseline_from_counts(parts[0], 10_000).collect() == []
+
+
+def test_a_timer_brings_the_follow_up_and_state_is_the_window(spark, tmp_path):
+    start = 1_700_000_000
+    first = [("a", start + 30 * i, v) for i, v in enumerate([10] * 200 + [20] * 12)]
+    later = [("b", first[-1][1] + 7200 + 30 * i, 5) for i in range(300)]
+    for name, rows in (("1", first), ("2", later), ("3", [("b", later[-1][1] + 30, 5)])):
+        df = spark.createDataFrame(rows, "instance string, t long, active long").select("instance", F.timestamp_seconds("t").alias("ts"), "active")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*"))
+        events = incidents.incident_stream(stream, SpikeConfig(), IncidentConfig(300, 900, 3600))
+        q = events.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = {(r.instance, r.kind): r["at"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {("a", "activity_spike"), ("a", "deferred")} and got["a", "deferred"] == got["a", "activity_spike"] + 900
+    state = spark.read.format("statestore").option("stateVarName", "window").load(str(tmp_path / "cp"))
+    assert state.count() <= 2 * (1800 // 30 + 1)  # of 513 samples
