@@ -184,3 +184,19 @@ def test_token_shards_are_even_in_bytes(spark, monkeypatch):
     assert all(x.b < y.a for x, y in zip(dealt, dealt[1:]))
     nameless = token_files.in_shards(spark.createDataFrame([(None, 64, b"")], "doc_id long, size long, ids binary"), bounds)
     assert nameless.first().shard == 0 and len(token_files.shard_bounds(encoded.limit(0), 3)) == 0
+
+
+def test_one_id_for_all_rows_and_texts_of_megabytes(spark):
+    from fleetlens.llm import token_files
+
+    byte = public_tokenizers.path("byte_bpe_50k.json")
+    long = " ".join(f"piece{i % 5000} of é text," for i in range(120_000))  # 2.5 MB
+    rows = [(7, f"text number {i}") for i in range(40)] + [(7, "text number 3"), (7, None), (7, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for path, run, end in ((byte, lambda p: token_files.round_trip(docs, p, public_tokenizers.PATTERN), [0]), (TOKENIZER, lambda p: word_bpe.encode_decode(docs, p), [])):
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        got = sorted(bytes(r.ids) for r in run(path).collect())
+        assert got == sorted(np.array([*library.encode(t or "", add_special_tokens=False).ids, *end], "<u4").tobytes() for _, t in rows)
+    starts = sorted((r.start, r.n_tokens) for r in token_files.round_trip(docs, byte, public_tokenizers.PATTERN).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0
