@@ -174,3 +174,12 @@ def test_live_percentile_leaves_broken_hosts_out(spark):
 def test_settings_of_replication(spark):
     rows = spark.createDataFrame([("synchronous_commit", "on"), ("work_mem", "4MB")], "name string, setting string")
     assert [r.setting for r in maintenance.settings_subset(rows, maintenance.REPLICATION).collect()] == ["on"]
+
+
+def test_blocked_pairs_are_equi_joins(spark):
+    schema = "k int, pid int, locktype string, relation int, transactionid int, lock_database int, granted boolean"
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = workload.blocked_pairs(spark.createDataFrame([], schema), ["k"])._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
