@@ -58,13 +58,13 @@ def _settled_parents(waits: DataFrame, key: list[str]) -> DataFrame:
     own parent, a cycle, which takes it and all below it out. Levels are first guessed by how many a blocker waits for
     itself, as in a queue for one lock, then counted; what changes is counted again until nothing does.
     """
-    several = waits.groupBy(*key, "pid").agg(F.count("*").alias("_k"), F.min("blocker").alias("_one"))
+    several = settled(waits.groupBy(*key, "pid").agg(F.count("*").alias("_k"), F.min("blocker").alias("_one")), "several")
     roots = waits.select(*key, F.col("blocker").alias("pid")).distinct().join(several, [*key, "pid"], "left_anti").withColumn("parent", F.lit(None).cast(waits.schema["pid"].dataType))
     fixed = several.where("_k = 1").select(*key, "pid", F.col("_one").alias("parent")).unionByName(roots)
-    loose = settled(waits.join(several.where("_k > 1").select(*key, "pid"), [*key, "pid"], "left_semi"), "loose")
-    most = loose.select(*key, "pid").distinct().count()
+    most = several.where("_k > 1").count()
     if not most:
         return fixed
+    loose = settled(waits.join(several.where("_k > 1").select(*key, "pid"), [*key, "pid"], "left_semi"), "loose")
     deepest = lambda depth: F.max(F.struct(depth.alias("d"), F.col("blocker").alias("b")))["b"].alias("parent")
     guess = several.select(*key, F.col("pid").alias("blocker"), "_k")
     chosen = settled(loose.join(guess, [*key, "blocker"], "left").groupBy(*key, "pid").agg(deepest(F.coalesce("_k", F.lit(0)))), "chosen")

@@ -11,13 +11,18 @@ from fleetlens.functions.store import settled
 from fleetlens.functions.windows import running_last
 
 
-def _next(frame: pd.DataFrame) -> np.ndarray:
-    """Of rows by time, the place of the first row not before each one's ``until``, len(frame) where there is none."""
-    return np.maximum(np.searchsorted(frame["t"].to_numpy(), frame["until"].to_numpy(), "left"), np.arange(1, len(frame) + 1))
+def _chained(frame: pd.DataFrame, key: list[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows of a partition by key and time, and for each the place of its key's first row not before its ``until``, len(frame) where there is none."""
+    frame = frame.assign(_g=frame.groupby(key, dropna=False, sort=False).ngroup()).sort_values(["_g", "t"], ignore_index=True)
+    g, t = frame["_g"].to_numpy(), frame["t"].to_numpy()
+    low, n = t.min(), len(frame)
+    span = t.max() - low + 2  # keys follow each other on one line
+    sought = np.maximum(np.searchsorted(g * span + (t - low), g * span + np.clip(frame["until"].to_numpy() - low, 0, span - 1), "left"), np.arange(1, n + 1))
+    return frame, np.where(np.append(g, -1)[sought] == g, sought, n)
 
 
 def greedy(events: DataFrame, key: list[str]) -> DataFrame:
-    """(key, t) of the events taken from (key, t, until), t distinct in a key: the first, and after each the first one not before its ``until``.
+    """(key, t) of the events taken from (key, t, until), whole numbers, t distinct in a key: the first, and after each the first one not before its ``until``.
 
     Events lie in range partitions by key and time, so a key may span many. In each partition every event learns the last
     one that its own chain takes there, by pointer doubling; the first event at or behind that one's ``until`` is where
@@ -29,9 +34,9 @@ def greedy(events: DataFrame, key: list[str]) -> DataFrame:
     ranged = settled(events.select(*key, "t", "until").repartitionByRange(*key, "t").withColumn("_p", F.spark_partition_id()), "ranged")
 
     def leave(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("t", ignore_index=True)
+        frame, hop = _chained(frame, key)
         n = len(frame)
-        hop, last = np.append(_next(frame), n), np.append(np.arange(n), n)
+        hop, last = np.append(hop, n), np.append(np.arange(n), n)
         while (hop[:n] < n).any():
             last = np.where(hop < n, last[hop], last)
             hop = hop[hop]
@@ -42,7 +47,7 @@ def greedy(events: DataFrame, key: list[str]) -> DataFrame:
     reached = starts.select(*key, "t")
     if not starts.where("_wide").isEmpty():
         own = ranged.join(starts.where("_wide").select(*key), key, "left_semi")
-        left = settled(own.groupBy(*key, "_p").applyInPandas(leave, f"{keys}, t {kind['t']}, _p int, beyond {kind['t']}"), "left")
+        left = settled(own.groupBy("_p").applyInPandas(leave, f"{keys}, t {kind['t']}, _p int, beyond {kind['t']}"), "left")
         # where each distinct exit goes on: the first event at or behind it, which is the last one met when time runs backwards
         asked = left.select(*key, F.col("beyond").alias("_at"), F.lit(1).alias("_ask"), F.lit(None).cast(kind["t"]).alias("_t")).distinct()
         there = own.select(*key, F.col("t").alias("_at"), F.lit(0).alias("_ask"), F.col("t").alias("_t"))
@@ -59,12 +64,12 @@ def greedy(events: DataFrame, key: list[str]) -> DataFrame:
     entries = ranged.join(reached, [*key, "t"]).select(*key, "_p", F.col("t").alias("_entry"))
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("t", ignore_index=True)
-        hop, taken = _next(frame).tolist(), []
-        at = int(np.searchsorted(frame["t"].to_numpy(), frame["_entry"].iloc[0], "left"))
-        while at < len(hop):
+        frame, hop = _chained(frame, key)
+        at, taken = np.flatnonzero(frame["t"].to_numpy() == frame["_entry"].to_numpy()), []
+        while len(at):  # a place for each key
             taken.append(at)
             at = hop[at]
-        return frame[[*key, "t"]].iloc[taken]
+            at = at[at < len(hop)]
+        return frame[[*key, "t"]].iloc[np.concatenate(taken)]
 
-    return ranged.join(entries, [*key, "_p"]).groupBy(*key, "_p").applyInPandas(walk, f"{keys}, t {kind['t']}")
+    return ranged.join(entries, [*key, "_p"]).groupBy("_p").applyInPandas(walk, f"{keys}, t {kind['t']}")
