@@ -25,7 +25,7 @@ DIMENSIONS = (1 << WORD_BITS) + (STATISTICS + len(METADATA)) * STEPS
 RANK = 6
 SAMPLE = 8000
 SAMPLE_VALUES = 8_000_000
-TOGETHER = 128  # rows scored at once
+TOGETHER = 32  # rows scored at once
 _CLASS = np.zeros(256, np.int64)  # 0 other bytes, 1 letters a-z, 2 A-Z, 3 digits, 4 spaces, 5 line ends, 6 sentence marks, 7 symbols
 for _chars, _kind in ((range(0x21, 0x7F), 7), (b".,;:!?'\"()-", 6), (range(0x61, 0x7B), 1), (range(0x41, 0x5B), 2), (range(0x30, 0x3A), 3), (b" \t", 4), (b"\r\n", 5)):
     _CLASS[list(_chars)] = _kind
@@ -51,7 +51,7 @@ def features(text: bytes, metadata: Sequence[float | None], crc: dict[bytes, int
     """
     words = words_of(text)
     seen = set(words)
-    if len(crc) > 150_000:
+    if len(crc) > 75_000:
         crc.clear()
     mask = (1 << WORD_BITS) - 1
     hashed = []

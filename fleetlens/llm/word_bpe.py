@@ -90,7 +90,7 @@ def words_in(chunk: str) -> list[str]:
     return WORD.findall(chunk)
 
 
-def frequent_words(docs: DataFrame, size: int, flush: int = 300_000) -> DataFrame:
+def frequent_words(docs: DataFrame, size: int, flush: int = 150_000) -> DataFrame:
     """(word, n): the most frequent words of all texts, ``size`` at most; ties are in or out together.
 
     Words are counted in tasks before the shuffle.
@@ -105,7 +105,7 @@ def frequent_words(docs: DataFrame, size: int, flush: int = 300_000) -> DataFram
             return batch
 
         for b in batches:
-            for part in by_bytes(b, 0):
+            for part in by_bytes(b, 0, 2 << 20):
                 chunks, number, _ = distinct_pieces(pa.array([" ".join(chunks_of(t)) if t else "" for t in part.column(0).to_pylist()], pa.string()))
                 for c, n in zip(chunks, np.bincount(number, minlength=len(chunks)).tolist()):
                     for w in words_in(c):
@@ -113,6 +113,7 @@ def frequent_words(docs: DataFrame, size: int, flush: int = 300_000) -> DataFram
                 if len(words) > flush:
                     yield out()
         yield out()
+        pa.default_memory_pool().release_unused()
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
     counts = written(counts.groupBy("word").agg(F.sum("n").alias("n")), "words").withColumn("step", F.floor(8 * F.log2("n")).cast("int"))
@@ -143,7 +144,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, size: int) -> str:
 class WordEncoder:
     """Whole texts to ids: frequent words by the lexicon, all others by exact merging; repeats are remembered."""
 
-    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 100_000):
+    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = 60_000):
         self.lexicon, self.merger, self.most = lexicon, merger, most
         self.known: dict[str, bytes] = {}  # ids of a stretch between white space
         self.words: dict[str, bytes] = {}
@@ -219,7 +220,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, size: int = 1 << 16, carry: l
         encoder = _encoder(name, tokenizer)
         merger = encoder.merger
         for whole in batches:
-            for b in by_bytes(whole, len(carry), 4 << 20):
+            for b in by_bytes(whole, len(carry), 2 << 20):
                 ids = encoder.encode([x or "" for x in b.column(len(carry)).to_pylist()])
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 if digest:
