@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -197,14 +198,16 @@ def shard_bounds(encoded: DataFrame, least: int, each: int = 32, seed: int = 10)
 
 
 def in_shards(encoded: DataFrame, bounds: np.ndarray) -> DataFrame:
-    """``encoded`` with the shard of each document: the range of ``bounds`` that its doc_id lies in (null: the first)."""
+    """``encoded`` with the shard of each document: the range of ``bounds`` that its doc_id lies in (null: the first).
 
-    @F.pandas_udf("int")
-    def shard(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy()).astype(np.int32))
-
-    lowest = F.lit(-(1 << 63)).cast("long")
-    return encoded.withColumn("shard", shard(F.coalesce("doc_id", lowest)))
+    The bounds below an id are counted in blocks of about the square root of their number, then within one block.
+    """
+    width = max(1, math.isqrt(len(bounds)))
+    fixed = lambda values: F.from_json(F.lit(json.dumps(values.tolist())), "array<bigint>")
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col("doc_id")))
+    rows = encoded.withColumn("_block", below(fixed(bounds[width - 1 :: width])))
+    within = below(F.slice(fixed(bounds), F.col("_block") * width + 1, F.lit(width)))
+    return rows.withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("_block") * width + within)).drop("_block")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int = 0, n_ids: int = 1 << 16) -> DataFrame:
