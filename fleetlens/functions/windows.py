@@ -21,14 +21,24 @@ def unpivot_metrics(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFr
 def topn_any(df: DataFrame, part: list[str], key: list[str], metrics: list[str], n: int, pin: Column | None = None) -> DataFrame:
     """Rows that are among the first n of their group by any metric (largest first, ties by key), and pinned ones.
 
-    The metrics are ranked in long form, where the bound on the rank limits each group early; the OR of one window for
-    each metric would not.
+    A row's hash of the key puts it into one of 16 n lots. The n-th largest of the lots' maxima is at most the n-th largest
+    value, so rows below it in every metric are left out without a sort; a group with fewer lots keeps all. These bounds, a row
+    for each group, are broadcast. The rest, ties at the bound included, is written and ranked in long form, where the bound on the rank limits each group early.
     """
-    ranked = top_n(unpivot_metrics(df, [*part, *key], metrics), [*part, "metric"], [F.col("value").desc_nulls_last(), *map(F.asc, key)], n)
+    lots = df.groupBy(*part, F.pmod(F.hash(*key), F.lit(16 * n)).alias("_lot")).agg(*(F.max(m).alias(m) for m in metrics))
+    nth = lambda m: F.get(F.sort_array(F.collect_list(m), asc=False), F.lit(n - 1))
+    bounds = lots.groupBy(*part).agg(*(nth(m).alias(f"_least_{m}") for m in metrics)).withColumnsRenamed({p: f"_group_{p}" for p in part})  # lists of 16 n values
+    same, high = F.lit(True), F.lit(False) if pin is None else pin
+    for p in part:
+        same = same & F.col(p).eqNullSafe(F.col(f"_group_{p}"))
+    for m in metrics:
+        high = high | F.col(f"_least_{m}").isNull() | (F.col(m) >= F.col(f"_least_{m}"))
+    few = settled(df.join(F.broadcast(bounds), same).where(high).select(*df.columns), "few")
+    ranked = top_n(unpivot_metrics(few, [*part, *key], metrics), [*part, "metric"], [F.col("value").desc_nulls_last(), *map(F.asc, key)], n)
     kept = ranked.select(*part, *key)
     if pin is not None:
-        kept = kept.unionByName(df.where(pin).select(*part, *key))
-    return df.join(kept.distinct(), [*part, *key], "left_semi")
+        kept = kept.unionByName(few.where(pin).select(*part, *key))
+    return few.join(kept.distinct(), [*part, *key], "left_semi")
 
 
 def with_shares(df: DataFrame, metrics: list[str], part: list[str], whole: list[str]) -> DataFrame:
