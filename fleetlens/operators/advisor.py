@@ -59,14 +59,17 @@ def split_roles(usages: DataFrame, key: list[str]) -> DataFrame:
     Joins count as equality; grouping orders only without an explicit order; an order of mixed directions is no use.
     """
     def names(*roles: str) -> Column:
-        hits = F.sort_array(F.collect_list(F.when(F.col("role").isin(*roles), F.struct("seq", "column"))))
-        return F.array_distinct(F.transform(hits, lambda x: x["column"]))
+        return F.array_distinct(F.transform(F.filter("_hits", lambda x: x["role"].isin(*roles)), lambda x: x["column"]))
 
-    mixed = lambda role: F.count_distinct(F.when(F.col("role") == role, F.coalesce("desc", F.lit(False)))) > 1
+    def mixed(role: str) -> Column:
+        desc = F.when(F.col("role") == role, F.coalesce("desc", F.lit(False)))
+        return F.coalesce(F.min(desc) != F.max(desc), F.lit(False))
+
+    # one list, and no distinct count beside it: that would triple the rows before they are grouped
     rows = usages.groupBy(*key, "fingerprint", "relid").agg(
-        names("equality", "join").alias("equality"), names("range").alias("ranges"), names("is_null").alias("nulls"),
-        names("order").alias("_order"), names("group").alias("_group"), mixed("order").alias("_mixed_order"), mixed("group").alias("_mixed_group"),
-    )
+        F.sort_array(F.collect_list(F.struct("seq", "column", "role"))).alias("_hits"), mixed("order").alias("_mixed_order"), mixed("group").alias("_mixed_group"))
+    rows = rows.select(*key, "fingerprint", "relid", names("equality", "join").alias("equality"), names("range").alias("ranges"), names("is_null").alias("nulls"),
+        names("order").alias("_order"), names("group").alias("_group"), "_mixed_order", "_mixed_group")
     by_order = F.when(F.col("_mixed_order"), _none()).otherwise(F.col("_order"))
     by_group = F.when(F.col("_mixed_group"), _none()).otherwise(F.col("_group"))
     return rows.withColumn("ordering", F.when(F.size("_order") > 0, by_order).otherwise(by_group)).drop("_order", "_group", "_mixed_order", "_mixed_group")
@@ -106,18 +109,22 @@ def draft_keys(facts: DataFrame, width: int = 3, min_rows: int = 10_000) -> Data
     ``reason`` tells why there is none.
     """
     equality, missing = order_equality()
-    rows = facts.withColumns({"_eq": equality, "stats_missing": missing, "predicate": null_predicate()})
-    wanted = F.array_distinct(F.concat("_eq", F.when(F.size("ranges") > 0, F.slice("ranges", 1, 1)).otherwise(F.col("ordering"))))
-    rows = rows.withColumn("_want", wanted).withColumn("_keep", F.filter("_want", lambda c: F.coalesce(_fact(c)["indexable"], F.lit(False))))
-    unique = F.transform("_keep", lambda c: F.array_contains("equality", c) & F.coalesce(_fact(c)["n_distinct"] <= -1, F.lit(False)))
-    at = F.array_position(unique, True)
-    rows = rows.withColumn("_cut", F.when(at > 0, F.slice("_keep", F.lit(1), at.cast("int"))).otherwise(F.col("_keep")))
+    tail = F.when(F.size("ranges") > 0, F.slice("ranges", 1, 1)).otherwise(F.col("ordering"))
+    indexable = lambda c: F.coalesce(_fact(c)["indexable"], F.lit(False))
+    # the reason doesn't ask for the order, so that a filter on it costs little wherever it is put
+    some = F.concat("equality", tail)
     reason = (
         F.when(F.col("rows").isNull(), "unknown_relation").when(F.col("rows") < min_rows, "table_too_small")
-        .when((F.size("_keep") == 0) & F.exists("_want", lambda c: ~_fact(c)["indexable"]), "unsupported_type")
-        .when((F.size("_keep") == 0) & (F.size("_want") > 0), "unknown_column").when(F.size("_keep") == 0, "no_indexable_predicate")
+        .when(F.exists(some, indexable), F.lit(None).cast("string"))
+        .when(F.exists(some, lambda c: ~_fact(c)["indexable"]), "unsupported_type")
+        .when(F.size(some) > 0, "unknown_column").otherwise("no_indexable_predicate")
     )
-    return rows.withColumns({"columns": F.slice("_cut", 1, width), "wide": F.size("_cut") > width, "reason": reason}).drop("_eq", "_want", "_keep", "_cut", "facts")
+    rows = facts.withColumns({"_eq": equality, "stats_missing": missing, "predicate": null_predicate(), "reason": reason})
+    rows = rows.withColumn("_keep", F.filter(F.array_distinct(F.concat("_eq", tail)), indexable))
+    unique = F.transform("_keep", lambda c: F.array_contains("equality", c) & F.coalesce(_fact(c)["n_distinct"] <= -1, F.lit(False)))
+    at = F.array_position(unique, True)
+    rows = rows.withColumn("_cut", F.when(at > 0, F.slice("_keep", F.lit(1), at.cast("int"))).otherwise(F.col("_keep")))
+    return rows.withColumns({"columns": F.slice("_cut", 1, width), "wide": F.size("_cut") > width}).drop("_eq", "_keep", "_cut", "facts")
 
 
 def covered(drafts: DataFrame, indexes: DataFrame, key: list[str]) -> DataFrame:
