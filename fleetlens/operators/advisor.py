@@ -133,16 +133,19 @@ def covered(drafts: DataFrame, indexes: DataFrame, key: list[str]) -> DataFrame:
     An index answers if its first columns hold the draft's equality columns in any order and then the rest in place, or
     if it is unique and all its columns are tested for equality. A partial index must have the same predicate.
     """
-    live = indexes.where("method = 'btree' and valid").groupBy(*key, "relid").agg(F.collect_list(F.struct(F.col("columns").alias("has"), "unique", F.col("predicate").alias("only"))).alias("_live"))  # a relation's own indexes
+    live = indexes.where("method = 'btree' and valid").groupBy(*key, "relid").agg(F.collect_set(F.struct(F.col("columns").alias("has"), "unique", F.col("predicate").alias("only"))).alias("_live"))  # a relation's own indexes, equal ones once
     n = F.coalesce(F.expr("array_position(transform(columns, c -> array_contains(equality, c)), false)"), F.lit(0))
     rows = drafts.where("reason is null").withColumn("_head", F.when(n == 0, F.size("columns")).otherwise((n - 1).cast("int")))
 
+    def within(some: Column, all_: Column | str) -> Column:
+        return F.forall(some, lambda c: F.array_contains(all_, c))
+
     def answers(i: Column) -> Column:
         first, rest = F.lit(1), F.size("columns") - F.col("_head")
-        prefix = F.size(F.array_except(F.slice(i["has"], first, F.col("_head")), F.slice("columns", first, F.col("_head")))) == 0
-        tail = F.slice(i["has"], F.col("_head") + 1, rest) == F.slice("columns", F.col("_head") + 1, rest)
-        by_key = (F.size(i["has"]) >= F.size("columns")) & prefix & tail
-        by_unique = i["unique"] & (F.size(i["has"]) > 0) & (F.size(F.array_except(i["has"], "equality")) == 0)
+        prefix = within(F.slice(i["has"], first, F.col("_head")), F.slice("columns", first, F.col("_head")))
+        tail = (rest == 0) | (F.slice(i["has"], F.col("_head") + 1, rest) == F.slice("columns", F.col("_head") + 1, rest))
+        by_key = (F.size(i["has"]) >= F.size("columns")) & tail & prefix
+        by_unique = i["unique"] & (F.size(i["has"]) > 0) & within(i["has"], "equality")
         return ((F.size(i["only"]) == 0) | (i["only"] == F.col("predicate"))) & (by_key | by_unique)
 
     return rows.join(live, [*key, "relid"], "left").where(~F.coalesce(F.exists("_live", answers), F.lit(False))).drop("_live", "_head")
