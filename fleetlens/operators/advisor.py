@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.functions.graph import ancestry, root_of
 from fleetlens.functions.store import settled
@@ -46,11 +47,17 @@ def resolve_tables(usages: DataFrame, relations: DataFrame, edges: DataFrame, ke
 
 
 def bind_usages(columns_used: DataFrame, candidates: DataFrame, columns: DataFrame, key: list[str]) -> DataFrame:
-    """V3: unqualified columns (key, fingerprint, column, ...) bound to the one of the statement's tables (key, fingerprint, relid) that has them."""
-    owners = candidates.join(columns.select(*key, "relid", "column"), [*key, "relid"]).groupBy(*key, "fingerprint", "column").agg(F.count("*").alias("_n"), F.min("relid").alias("relid"))
-    rows = columns_used.join(owners, [*key, "fingerprint", "column"], "left")
-    reason = F.when(F.col("_n") > 1, "ambiguous_column").when(F.col("_n").isNull(), "unknown_column")
-    return rows.withColumns({"reason": reason, "relid": F.when(F.col("_n") == 1, F.col("relid"))}).drop("_n")
+    """V3: unqualified columns (key, fingerprint, column, ...) bound to the one of the statement's tables (key, fingerprint, relid) that has them.
+
+    Only a table's list of columns travels to the statements, a row for each of their tables (candidates and columns are
+    unique); a statement's own tables are then one row, so that its usages stay where they are.
+    """
+    has = columns.groupBy(*key, "relid").agg(F.collect_list("column").alias("has"))
+    tables = candidates.join(has, [*key, "relid"]).groupBy(*key, "fingerprint").agg(F.collect_list(F.struct("relid", "has")).alias("_tables"))
+    owners = F.transform(F.filter("_tables", lambda t: F.array_contains(t["has"], F.col("column"))), lambda t: t["relid"])
+    rows = columns_used.join(tables, [*key, "fingerprint"], "left").withColumn("_owners", F.coalesce(owners, F.array().cast(T.ArrayType(candidates.schema["relid"].dataType))))
+    reason = F.when(F.size("_owners") > 1, "ambiguous_column").when(F.size("_owners") == 0, "unknown_column")
+    return rows.withColumns({"reason": reason, "relid": F.when(F.size("_owners") == 1, F.col("_owners")[0])}).drop("_owners", "_tables")
 
 
 def split_roles(usages: DataFrame, key: list[str]) -> DataFrame:

@@ -246,8 +246,7 @@ def v2(spark, d):
   select u.fingerprint, u.seq, u.col as "column", case when o.n = 1 then o.relid end as relid, case when o.n > 1 then 'ambiguous_column' when o.n is null then 'unknown_column' end as reason from usages u left join o on o.fingerprint = u.fingerprint and o.col = u.col"""))
 def v3(spark, d):
     used = bind(spark, d, "usages")
-    own = used.select("fingerprint", "relid").distinct()
-    candidates = own.unionByName(own.select("fingerprint", (F.col("relid") + 1).alias("relid"))).distinct()
+    candidates = used.select("fingerprint", F.explode(F.array("relid", F.col("relid") + 1)).alias("relid")).distinct()
     return advisor.bind_usages(used.select("fingerprint", "seq", F.col("col").alias("column")), candidates, catalog._columns(spark, d), NO_KEY).select("fingerprint", "seq", "column", "relid", "reason")
 
 
