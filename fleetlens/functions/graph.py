@@ -43,10 +43,11 @@ def ancestry(parents: DataFrame, key: list[str], paths: bool) -> tuple[DataFrame
         if state.where("up is not null").isEmpty():
             break
         above = state.select(*key, F.col("pid").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("level").alias("_level"), F.col("path").alias("_path"))
-        under = state.where("up is not null").groupBy(*key, F.col("up").alias("pid")).agg(F.sum("n").alias("_n"))
-        far = state.join(above, [*key, "up"], "left").join(under, [*key, "pid"], "left")
-        more = F.col("up").isNotNull()
-        state = settled(far.select(*key, "pid", F.col("_up").alias("up"), F.when(more, F.col("_root")).otherwise(F.col("root")).alias("root"), F.when(more, F.col("_level") + (1 << k)).otherwise(F.col("level")).alias("level"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.when(more, F.concat("_path", "path")).otherwise(F.col("path")).alias("path")), "ancestry")
+        moving = state.where("up is not null")  # nodes at their root stay where they are
+        under = moving.groupBy(*key, F.col("up").alias("pid")).agg(F.sum("n").alias("_n"))
+        far = moving.join(above, [*key, "up"], "left").select(*key, "pid", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("_level") + (1 << k)).alias("level"), "n", F.concat("_path", "path").alias("path"))
+        far = far.unionByName(state.where("up is null")).join(under, [*key, "pid"], "left")
+        state = settled(far.select(*key, "pid", "up", "root", "level", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), "path"), "ancestry")
         lifts.append(state.select(*key, "pid", "up"))
     return state.where("up is null").select(*key, "pid", "root", "level", (F.col("n") - 1).alias("below"), "path"), lifts
 
