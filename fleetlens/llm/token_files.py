@@ -24,12 +24,15 @@ LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes): each value takes 1 to 4 bytes, its length minus one stands in two control bits."""
     values = values.astype("<u4")
-    size = 1 + (values > 0xFF) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    top = int(values.max(initial=0))
+    held = np.ones((len(values), max(1, -(-top.bit_length() // 8))), bool)  # bytes that a value takes, of those that any takes
     code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    code[: len(values)] = size - 1
+    for place in range(1, held.shape[1]):
+        np.greater_equal(values, 1 << 8 * place, out=held[:, place])
+        code[: len(values)] += held[:, place]
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    data = values.view(np.uint8).reshape(-1, 4)[:, : held.shape[1]][held]
     return control.tobytes(), data.tobytes()
 
 
@@ -161,8 +164,11 @@ class PieceEncoder:
             head = number[first[:-1]]
             number = number.copy()
             number[first[:-1]] = len(words) + np.arange(len(plain))
-            self._learn({w for w in words if w not in known})
-            parts = [known[w] for w in words] + [self._plain(self.pieces(words[i])) for i in head.tolist()]
+            parts = list(map(known.get, words))
+            if fresh := {w for w, ids in zip(words, parts) if ids is None}:
+                self._learn(fresh)
+                parts = [known[w] if ids is None else ids for w, ids in zip(words, parts)]
+            parts += [self._plain(self.pieces(words[i])) for i in head.tolist()]
             for i, ids in zip(plain.tolist(), spell_out(parts, number, first, "<u2")):
                 out[i] = ids
         return out
