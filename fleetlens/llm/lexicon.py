@@ -60,7 +60,8 @@ class Lexicon:
         data = np.memmap(path, "<i8", mode="r")
         self.longest, *sizes = data[:7].tolist()
         edges = 7 + np.concatenate([[0], np.cumsum(sizes)])
-        self.key, self.target, self.add, self.final, self.start, self.ids = (data[a:b] for a, b in zip(edges, edges[1:]))
+        flat = data.view(np.ndarray)  # still mapped, without the subclass's cost at every access
+        self.key, self.target, self.add, self.final, self.start, self.ids = (flat[a:b] for a, b in zip(edges, edges[1:]))
 
     def numbers(self, words: Sequence[bytes]) -> np.ndarray:
         """The number of each word, or -1."""
@@ -88,8 +89,13 @@ class Lexicon:
             out[done] = number[done]
         return out
 
-    def ids_of(self, number: int) -> np.ndarray:
-        return self.ids[self.start[number] : self.start[number + 1]]
+    def ids_of(self, numbers: np.ndarray) -> list[bytes]:
+        """Ids of the words with these numbers as little-endian 32-bit integers."""
+        start = self.start[numbers]
+        size = self.start[numbers + 1] - start
+        end = np.cumsum(size)
+        raw = self.ids[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)].astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip((4 * (end - size)).tolist(), (4 * end).tolist())]
 
 
 def _minimal(words: list[bytes]) -> tuple[list[bool], list[dict[int, int]]]:
@@ -130,8 +136,13 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(fresh)) for b in range(256)]
 
 
+#: Longer words are merged one by one.
+MATRIX = 64
+NONE = 1 << 60
+
+
 class Merger:
-    """Exact BPE merging of one word: always the earliest-learnt pair, the leftmost first."""
+    """Exact BPE merging of words: always the earliest-learnt pair, the leftmost first."""
 
     def __init__(self, tokenizer_json: str):
         with open(tokenizer_json, encoding="utf-8") as f:
@@ -141,6 +152,8 @@ class Merger:
         self.suffix = model["end_of_word_suffix"] or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = {self.vocab[a] << 20 | self.vocab[b]: r << 20 | self.vocab[a + b] for r, (a, b) in enumerate(pairs)}
+        order = sorted(self.merges)
+        self.pairs, self.made = np.array([*order, NONE]), np.array([*map(self.merges.get, order), NONE])  # no pair is as large as the last
         letters = byte_letters()
         self.inner = [self.vocab[c] for c in letters]
         self.last = [self.vocab[c + self.suffix] for c in letters]
@@ -154,9 +167,9 @@ class Merger:
         inner = self.inner
         have = [inner[b] for b in word[:-1]]
         have.append(self.last[word[-1]])
-        if len(have) > 64:
+        if len(have) > MATRIX:
             return self._long(have)
-        get, none = self.merges.get, 1 << 60
+        get, none = self.merges.get, NONE
         rank = [get(a << 20 | b, none) for a, b in zip(have, have[1:])]
         while rank:
             low = min(rank)
@@ -171,6 +184,64 @@ class Merger:
                 rank[i - 1] = get(have[i - 1] << 20 | new, none)
         return have
 
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What each pair of ids becomes, with its rank above it; NONE if it stays."""
+        pair = left << 20 | right
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.made[at], NONE)
+
+    def many(self, words: Sequence[bytes], block: int = 1 << 15) -> list[bytes]:
+        """``ids`` of each word as little-endian 32-bit integers; ``block`` words at a time bound the memory."""
+        return [x for at in range(0, len(words), block) for x in self._block(words[at : at + block])]
+
+    def _block(self, words: Sequence[bytes]) -> list[bytes]:
+        """Words of as many ids stand in one matrix.
+
+        A step merges one pair in every row, so what is left has one id less and meets the words that began with that
+        many; rows without a pair are done.
+        """
+        out = [b""] * len(words)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(length > MATRIX).tolist():
+            out[i] = np.array(self.ids(words[i]), "<u4").tobytes()
+        inner, last = np.array(self.inner, np.int64), np.array(self.last, np.int64)
+        order = np.argsort(length, kind="stable")
+        edges = np.searchsorted(length[order], np.arange(MATRIX + 2))
+        row = np.zeros(0, np.int64)
+        have, rank = np.zeros((0, MATRIX + 1), np.int64), np.zeros((0, MATRIX), np.int64)
+        for size in range(MATRIX, 0, -1):
+            if len(row):  # one merge in every row that is left
+                n = np.arange(len(row))
+                best = rank.argmin(1)
+                new = rank[n, best] & 0xFFFFF
+                keep = np.ones(have.shape, bool)
+                keep[n, best + 1] = False
+                have = have[keep].reshape(len(row), size)
+                have[n, best] = new
+                keep = np.ones(rank.shape, bool)
+                keep[n, best] = False
+                rank = rank[keep].reshape(len(row), size - 1)
+                a, b = np.flatnonzero(best > 0), np.flatnonzero(best < size - 1)
+                rank[a, best[a] - 1] = self._merged(have[a, best[a] - 1], new[a])
+                rank[b, best[b]] = self._merged(new[b], have[b, best[b] + 1])
+            else:
+                have, rank = have[:, :size], rank[:, : size - 1]
+            if len(more := order[edges[size] : edges[size + 1]]):
+                text = np.frombuffer(b"".join([words[i] for i in more.tolist()]), np.uint8).reshape(len(more), size)
+                fresh = inner[text]
+                fresh[:, -1] = last[text[:, -1]]
+                row = np.concatenate([row, more])
+                have = np.concatenate([have, fresh])
+                rank = np.concatenate([rank, self._merged(fresh[:, :-1], fresh[:, 1:])])
+            if not len(row):
+                continue
+            done = rank.min(1, initial=NONE) == NONE
+            raw, step = have[done].astype("<u4").tobytes(), 4 * size
+            for k, i in enumerate(row[done].tolist()):
+                out[i] = raw[k * step : (k + 1) * step]
+            row, have, rank = row[~done], have[~done], rank[~done]
+        return out
+
     def _long(self, have: list[int]) -> list[int]:
         """The same by a heap, for words whose length squared would count."""
         n = len(have)

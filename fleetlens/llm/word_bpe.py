@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -151,14 +152,17 @@ class WordEncoder:
         self.special = regex.compile("(" + "|".join(map(regex.escape, merger.special)) + ")") if merger.special else None
 
     def learn(self, chunks: set[str]) -> None:
-        words = self.words
-        cut = {c: words_in(c) for c in chunks}
-        fresh = list({w for ws in cut.values() for w in ws if w not in words})
+        words, known = self.words, self.known
+        alone = [c for c in chunks if c.isalpha()]
+        cut = {c: words_in(c) for c in chunks if not c.isalpha()}
+        fresh = list({w for ws in (alone, *cut.values()) for w in ws if w not in words})
         raw = [w.encode() for w in fresh]
-        for w, r, n in zip(fresh, raw, self.lexicon.numbers(raw).tolist()):
-            words[w] = self.lexicon.ids_of(n).astype("<u4").tobytes() if n >= 0 else pack_ids(self.merger.ids(r))
-        for c, ws in cut.items():
-            self.known[c] = words[c] if len(ws) == 1 and ws[0] == c else b"".join([words[w] for w in ws])
+        number = self.lexicon.numbers(raw)
+        frequent, others = np.flatnonzero(number >= 0), np.flatnonzero(number < 0).tolist()
+        words.update(zip([fresh[i] for i in frequent.tolist()], self.lexicon.ids_of(number[frequent])))
+        words.update(zip([fresh[i] for i in others], self.merger.many([raw[i] for i in others])))
+        known.update(zip(alone, map(words.__getitem__, alone)))
+        known.update(zip(cut, [b"".join(map(words.__getitem__, ws)) for ws in cut.values()]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; strings of special tokens are those tokens."""
@@ -199,9 +203,11 @@ def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def decode(ids: bytes, names: list[str]) -> str:
+def decode(ids: list[bytes], names: pa.Array) -> pa.Array:
     """The tokenizer file names no decoder, so tokens are joined by spaces, special ones included."""
-    return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    edge = np.cumsum([0, *map(len, ids)]) // 4  # in tokens
+    tokens = names.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), tokens), pa.scalar(" ", tokens.type))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, size: int = 1 << 16, carry: list[str] | None = None, digest: bool = False) -> DataFrame:
@@ -218,15 +224,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, size: int = 1 << 16, carry: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(name, tokenizer)
-        merger = encoder.merger
+        names = pa.array(encoder.merger.names, pa.large_string())
         for whole in batches:
             for b in by_bytes(whole, len(carry), 2 << 20):
                 ids = encoder.encode([x or "" for x in b.column(len(carry)).to_pylist()])
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
+                decoded = decode(ids, names)
                 if digest:
-                    more = [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(decode(x, merger.names).encode()).hexdigest() for x in ids])]
+                    more = [pa.array([hashlib.sha256(x).hexdigest() for x in column], pa.string()) for column in (ids, decoded.cast(pa.large_binary()).to_pylist())]
                 else:
-                    more = [pa.array(ids, pa.binary()), pa.array([decode(x, merger.names) for x in ids], pa.string())]
+                    more = [pa.array(ids, pa.binary()), decoded.cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], n, *more], schema.names)
         for memory in (encoder.known, encoder.words):  # an idle worker holds no more than the automaton and the merges
             memory.clear()

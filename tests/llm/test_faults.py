@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from fleetlens.llm import decontaminate, pii, quality, toxicity, word_bpe
 from fleetlens.llm.common import scratch_root
-from fleetlens.llm.lexicon import Merger
+from fleetlens.llm.lexicon import Lexicon, Merger
 from fleetlens.llm.queries import OP2_SQL
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +76,34 @@ def test_every_letter_is_encoded_as_by_the_library(around):
         assert [i for c in word_bpe.chunks_of(text) for w in word_bpe.words_in(c) for i in merger.ids(w.encode())] == want.ids, ascii(text)
 
 
+def test_rare_words_are_merged_together(monkeypatch):
+    library, merger = Tokenizer.from_file(TOKENIZER), Merger(TOKENIZER)
+    library.no_truncation()
+    dice = random.Random(4)
+    words = ["".join(dice.choices(a, k=dice.randrange(1, 90))) for a in ("abcdefghijklmnopqrstuvwxyz", "einsrtha", "ab", "éßжд中") for _ in range(500)] + ["a", "é", "aa", "a" * 64, "a" * 65, "the", "ing"]
+    want = [np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    raw = [w.encode() for w in words]
+    assert merger.many(raw) == merger.many(raw, block=7) == want and merger.many([]) == [] and merger.many([b"", raw[0]]) == [b"", want[0]]
+    one_by_one = []
+    monkeypatch.setattr(Merger, "ids", lambda self, w, ids=Merger.ids: one_by_one.append(len(w)) or ids(self, w))
+
+    class Empty:  # knows no word
+        numbers = staticmethod(lambda words: np.full(len(words), -1))
+        ids_of = staticmethod(lambda numbers: [])
+
+    encoder = word_bpe.WordEncoder(Empty, merger)
+    assert encoder.encode([" ".join(words)]) == [b"".join(want)] and min(one_by_one) > 64
+
+
+def test_lexicon_gives_the_ids_of_many_words(tmp_path):
+    ids = {b"a": [5], b"ab": [], b"b": [1, 2, 70_000], "é".encode(): [9, 8]}
+    Lexicon.write(str(tmp_path / "x"), list(ids), list(ids.values()))
+    lexicon = Lexicon(str(tmp_path / "x"))
+    words = [b"b", b"a", "é".encode(), b"ab", b"b"]
+    assert lexicon.ids_of(lexicon.numbers(words)) == [np.array(ids[w], "<u4").tobytes() for w in words]
+    assert lexicon.ids_of(np.zeros(0, np.int64)) == [] and lexicon.numbers([b"abc", b""]).tolist() == [-1, -1]
+
+
 def test_a_document_that_stands_often_hides_no_other(spark):
     dice = random.Random(3)
     docs = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{dice.randrange(60)}" for _ in range(40))) for i in range(60)]
