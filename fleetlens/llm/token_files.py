@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -53,6 +54,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 UNIQUE = {"compression": "zstd", "parquet.enable.dictionary": "false"}
 
 
+#: Signs that the pattern leaves in one piece where they follow letters and no letter follows them.
+SIGNS = string.punctuation
+
+
 class PieceEncoder:
     """Encodes whole texts with the tokenizers library, asking it once for each distinct piece of text.
 
@@ -62,7 +67,7 @@ class PieceEncoder:
     with runs of spaces take the plain ways.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 800_000):
+    def __init__(self, path: str, pattern: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -79,7 +84,9 @@ class PieceEncoder:
         line = np.zeros(1 << 16, bool)
         line[vocabulary["\u010a"]] = True
         self.marks = {" ": spaced, "\n": line}
-        self.behind_space: dict[str, bytes] = {}  # ids of " " + word
+        # ids of " " + word; when there are too many, those that weren't asked for since the last time go
+        self.behind_space: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.alone: dict[str, bytes] = {}
         self.raw: dict[str, bytes] = {}  # ids of pieces that the pattern cut
 
@@ -105,56 +112,55 @@ class PieceEncoder:
 
     def _learn(self, fresh: set[str]) -> None:
         """Ids of " " + x for every x."""
-        known, alone = self.behind_space, self.alone
-        words, lines, later, cut = set(), set(), [], {}
-        for x in fresh:
-            if x.isalpha():
-                words.add(x)
-                continue
-            core, mark = (x[:-1], x[-1]) if x[-1] in ".,;:!?|" else (x, "")
+        known, alone, raw = self.behind_space, self.alone, self.raw
+        words = {x for x in fresh if x.isalpha()}
+        later, two, cut = [], [], {}
+        for x in fresh - words:
+            core = x.rstrip(SIGNS)
             if core.isalpha():
-                later.append((x, core, mark, "", ""))
-                if core not in known:
-                    words.add(core)
+                later.append((x, core, x[len(core) :]))
                 continue
-            head, end, tail = x.partition("\n")
-            core, mark = (head[:-1], head[-1]) if head and head[-1] in ".,;:!?|" else (head, "")
-            if core.isalpha() and tail.isalpha():
-                later.append((x, core, mark, end, tail))
-                if core not in known:
-                    words.add(core)
-                if tail not in alone:
-                    lines.add(tail)
+            head, _, tail = x.partition("\n")
+            core, start = head.rstrip(SIGNS), tail.rstrip(SIGNS)
+            if core.isalpha() and start.isalpha():
+                two.append((x, core, head[len(core) :], start, tail[len(start) :]))
             else:
                 cut[x] = self.pieces(" " + x)
-        order = list(words)
+        for _, core, *_ in (*later, *two):
+            if core not in known:
+                words.add(core)
+        lines = {start for *_, start, _ in two if start not in alone}
+        known.update((w, self.before[w]) for w in words & self.before.keys())
+        order = [w for w in words if w not in known]
         known.update(zip(order, self._many(order, " ")))
         order = list(lines)
         alone.update(zip(order, [x[2:] for x in self._many(order, "\n")]))  # without the line end's own id
-        signs = {m: self._plain([m]) if m else b"" for m in {m for _, _, m, end, _ in later for m in (m, end)}}
-        for x, core, mark, end, tail in later:
-            ids = known[core] + signs[mark]
-            known[x] = ids + signs[end] + alone[tail] if tail else ids
+        signs = {m: self._plain([m]) if m else b"" for m in {"\n", *(x[2] for x in later), *(m for x in two for m in x[2::2])}}
+        end = signs["\n"]
+        known.update([(x, known[core] + signs[mark]) for x, core, mark in later])
+        known.update([(x, known[core] + signs[mark] + end + alone[start] + signs[more]) for x, core, mark, start, more in two])
         self._plain([p for pieces in cut.values() for p in pieces])
-        raw = self.raw
-        for x, pieces in cut.items():
-            known[x] = b"".join([raw[p] for p in pieces])
+        known.update([(x, b"".join([raw[p] for p in pieces])) for x, pieces in cut.items()])
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
-        if len(self.behind_space) > self.most:  # what is put together from words is cheap, so it goes first
-            self.behind_space = {x: ids for x, ids in self.behind_space.items() if x.isalpha()}
-        for memory, most in ((self.behind_space, self.most * 3 // 4), (self.alone, self.most // 4), (self.raw, self.most // 4)):
-            if len(memory) > most:
+        if len(self.behind_space) > self.most:
+            self.before, self.behind_space = self.behind_space, {}
+        for memory in (self.alone, self.raw):
+            if len(memory) > self.most // 2:
                 memory.clear()
         known = self.behind_space
         texts = pc.fill_null(texts, "")
-        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " ")), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, "")))
+        cut = pc.split_pattern(texts, " ")
+        empty = np.flatnonzero(pc.equal(pc.binary_length(cut.flatten()), 0).to_numpy(zero_copy_only=False))
+        odd = np.zeros(len(texts), bool)  # with a space beside another or at an end, or with no sign at all
+        odd[np.searchsorted(cut.offsets.to_numpy() - cut.offsets[0].as_py(), empty, "right") - 1] = True
+        del cut
         marked = pc.match_substring(texts, self.special[0]) if self.special else pc.equal(texts, None)
         for s in self.special[1:]:
             marked = pc.or_(marked, pc.match_substring(texts, s))
         out = [b""] * len(texts)
-        odd, marked = (x.to_numpy(zero_copy_only=False).astype(bool) for x in (odd, pc.fill_null(marked, False)))
+        marked = pc.fill_null(marked, False).to_numpy(zero_copy_only=False).astype(bool)
         for i in np.flatnonzero(odd | marked).tolist():
             text = texts[i].as_py()
             out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes() if marked[i] else self._plain(self.pieces(text))
@@ -165,8 +171,9 @@ class PieceEncoder:
             number = number.copy()
             number[first[:-1]] = len(words) + np.arange(len(plain))
             parts = list(map(known.get, words))
-            if fresh := {w for w, ids in zip(words, parts) if ids is None}:
-                self._learn(fresh)
+            if missing := [w for w, ids in zip(words, parts) if ids is None]:
+                known.update([(w, ids) for w, ids in zip(missing, map(self.before.get, missing)) if ids is not None])
+                self._learn({w for w in missing if w not in known})
                 parts = [known[w] if ids is None else ids for w, ids in zip(words, parts)]
             parts += [self._plain(self.pieces(words[i])) for i in head.tolist()]
             for i, ids in zip(plain.tolist(), spell_out(parts, number, first, "<u2")):

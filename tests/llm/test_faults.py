@@ -7,6 +7,7 @@ import unicodedata
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -95,6 +96,27 @@ def test_rare_words_are_merged_together(monkeypatch):
     assert encoder.encode([" ".join(words)]) == [b"".join(want)] and min(one_by_one) > 64
 
 
+def test_frequent_pieces_outlive_a_full_memory():
+    from fleetlens.llm import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    encoder = token_files.PieceEncoder(path, public_tokenizers.PATTERN, most=300)
+    asked = []
+    many = encoder._many
+    encoder._many = lambda words, sign: asked.append(set(words)) or many(words, sign)
+    signs = ["", ".", "###", "'", "''s", "!\nLine", ".\nLine;;", "\n", "\n\nx", "'s", "'s.", "é", "1", "|", "\t.", "\u00a0", "$\n$"]
+    dice = random.Random(5)
+    letters = lambda n: "".join(dice.choices("etaoinshrdlü", k=n))
+    for turn in range(8):
+        words = ["theword", "other.", *(letters(7) + dice.choice(signs) for _ in range(400)), "theword,"]
+        texts = [" ".join(words), "", " theword", "theword ", "a  theword", " ", "a b", None, "x<|endoftext|> theword", *signs]
+        want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+        assert encoder.encode(pa.array(texts)) == want and encoder.encode(pa.array(["", *texts]).slice(1)) == want
+    assert sum("theword" in x for x in asked) == 1  # a full memory was emptied before
+
+
 def test_lexicon_gives_the_ids_of_many_words(tmp_path):
     ids = {b"a": [5], b"ab": [], b"b": [1, 2, 70_000], "é".encode(): [9, 8]}
     Lexicon.write(str(tmp_path / "x"), list(ids), list(ids.values()))
