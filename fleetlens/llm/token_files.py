@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 import os
-import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import by_bytes, distinct_pieces, joined, scratch_root, spell_out, written
+from fleetlens.llm.common import by_bytes, joined, scratch_root
 
 #: For each control byte, the lengths of the four codes that it governs, two bits each, lowest first.
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -54,17 +53,64 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 UNIQUE = {"compression": "zstd", "parquet.enable.dictionary": "false"}
 
 
-#: Signs that the pattern leaves in one piece where they follow letters and no letter follows them.
-SIGNS = string.punctuation
+#: Kinds of bytes for ``cut_texts``: letters, digits, other signs, the apostrophe, bytes from 0x80 on, white space, and signs that
+#: aren't white space everywhere.
+LETTER, DIGIT, SIGN, QUOTE, HIGH, SPACE, UNSURE = range(7)
+_KINDS = np.full(256, SIGN, np.uint8)
+_KINDS[[i for i in range(128) if chr(i).isalpha()]] = LETTER
+_KINDS[0x30:0x3A], _KINDS[0x27], _KINDS[0x80:], _KINDS[0x1C:0x20] = DIGIT, QUOTE, HIGH, UNSURE
+_KINDS[[9, 10, 11, 12, 13, 32]] = SPACE
+#: For eight times a byte's kind and the next one's: 1 if pieces always end between them, 2 if they do unless the first ends a white-space letter.
+_CUTS = np.zeros(256, np.uint8)
+for _a, _nexts in ((LETTER, (DIGIT, SIGN, QUOTE, SPACE)), (DIGIT, (LETTER, SIGN, QUOTE, SPACE)), (SIGN, (LETTER, DIGIT, SPACE)), (QUOTE, (DIGIT, SPACE))):
+    _CUTS[[8 * _a + b for b in _nexts]] = 1
+_CUTS[8 * HIGH + SPACE] = 2
+KINDS, CUTS = _KINDS.tobytes(), _CUTS.tobytes()
+#: White space beyond ASCII, the last three bytes of each sign as a number (the last two where it has two).
+WIDE = np.array([int.from_bytes(c.encode(), "big") for c in "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"])
+
+
+def cut_texts(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """(pieces of all texts in order, number of pieces before each text, and of all).
+
+    A cut stands only where the public pattern of byte-level BPE ends a piece whatever stands around, so the pieces can be
+    encoded alone: between ASCII letters, digits and signs, but not behind an apostrophe, before white space behind something
+    else, and behind a line end that stands alone. Runs of white space stay with what follows, signs beyond ASCII with their
+    neighbours.
+    """
+    edge = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    whole = texts.buffers()[2]
+    data = np.frombuffer(whole, np.uint8)[edge[0] : edge[-1]] if whole is not None else np.zeros(0, np.uint8)
+    edge = edge - edge[0]
+    n = len(data)
+    kind = np.frombuffer(data.tobytes().translate(KINDS), np.uint8)
+    pair = kind[:-1] << 3
+    pair |= kind[1:]
+    cut = np.zeros(n + 1, np.uint8)  # before each byte
+    cut[1:-1] = np.frombuffer(pair.tobytes().translate(CUTS), np.uint8)
+    at = np.flatnonzero(cut == 2)
+    at = at[(data[at - 1] <= 0xAF)]
+    last = data[at - 1].astype(np.int64) | data[at - 2].astype(np.int64) << 8
+    cut[at[np.isin(last, WIDE) | np.isin(last | data[at - 3].astype(np.int64) << 16, WIDE)]] = 0
+    line = np.flatnonzero(data[:-1] == 10)
+    cut[line[(cut[line] != 0) & (kind[line + 1] < HIGH)] + 1] = 1
+    cut[edge] = 1
+    start = np.flatnonzero(cut)
+    pieces = pa.Array.from_buffers(pa.string(), len(start) - 1, [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(data)])
+    return pieces, np.searchsorted(start, edge)
+
+
+#: Longer pieces aren't held, so that memory doesn't grow with them.
+SHORT = 64
 
 
 class PieceEncoder:
     """Encodes whole texts with the tokenizers library, asking it once for each distinct piece of text.
 
-    The public pattern of byte-level BPE cuts a text before it merges, so the ids of a text are those of its pieces,
-    and a cut before a space between two other signs is always there. Distinct words are encoded many at a time, as
-    one text of words behind spaces (or line ends) that the tokens show again. Texts with a special token's string or
-    with runs of spaces take the plain ways.
+    The public pattern of byte-level BPE cuts a text before it merges, so the ids of a text are those of its pieces
+    (see ``cut_texts``). Pieces and their ids are held in two Arrow arrays, looked up and put together many at a time.
+    Distinct words behind a space are encoded as one text of words that the tokens show again, other pieces one by one.
+    Texts with a special token's string go to the library as they are.
     """
 
     def __init__(self, path: str, pattern: str, most: int = 500_000):
@@ -78,21 +124,15 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(pattern).findall
         self.most = most
-        vocabulary = self.tokenizer.get_vocab()
         spaced = np.zeros(1 << 16, bool)  # tokens that begin with a space
-        spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
-        line = np.zeros(1 << 16, bool)
-        line[vocabulary["\u010a"]] = True
-        self.marks = {" ": spaced, "\n": line}
-        # ids of " " + word; when there are too many, those that weren't asked for since the last time go
-        self.behind_space: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
-        self.raw: dict[str, bytes] = {}  # ids of pieces that the pattern cut
+        spaced[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
+        self.marks = {" ": spaced}
+        # when too many were asked for since the last time, those that weren't go
+        self.known, self.known_ids, self.asked = pa.array([], pa.string()), pa.array([], pa.binary()), np.zeros(0, bool)
 
     def _many(self, words: list[str], sign: str) -> list[bytes]:
         """Ids of sign + word for words of letters alone."""
-        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
         out: list[bytes] = []
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([sign + sign.join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u2")
@@ -103,82 +143,55 @@ class PieceEncoder:
             out += [raw[a:b] for a, b in zip(edge, edge[1:])]
         return out
 
-    def _plain(self, pieces: list[str]) -> bytes:
-        raw = self.raw
-        if fresh := list({p for p in pieces if p not in raw}):
-            for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                raw[p] = np.array(e.ids, "<u2").tobytes()
-        return b"".join([raw[p] for p in pieces])
-
-    def _learn(self, fresh: set[str]) -> None:
-        """Ids of " " + x for every x."""
-        known, alone, raw = self.behind_space, self.alone, self.raw
-        words = {x for x in fresh if x.isalpha()}
-        later, two, cut = [], [], {}
-        for x in fresh - words:
-            core = x.rstrip(SIGNS)
-            if core.isalpha():
-                later.append((x, core, x[len(core) :]))
-                continue
-            head, _, tail = x.partition("\n")
-            core, start = head.rstrip(SIGNS), tail.rstrip(SIGNS)
-            if core.isalpha() and start.isalpha():
-                two.append((x, core, head[len(core) :], start, tail[len(start) :]))
-            else:
-                cut[x] = self.pieces(" " + x)
-        for _, core, *_ in (*later, *two):
-            if core not in known:
-                words.add(core)
-        lines = {start for *_, start, _ in two if start not in alone}
-        known.update((w, self.before[w]) for w in words & self.before.keys())
-        order = [w for w in words if w not in known]
-        known.update(zip(order, self._many(order, " ")))
-        order = list(lines)
-        alone.update(zip(order, [x[2:] for x in self._many(order, "\n")]))  # without the line end's own id
-        signs = {m: self._plain([m]) if m else b"" for m in {"\n", *(x[2] for x in later), *(m for x in two for m in x[2::2])}}
-        end = signs["\n"]
-        known.update([(x, known[core] + signs[mark]) for x, core, mark in later])
-        known.update([(x, known[core] + signs[mark] + end + alone[start] + signs[more]) for x, core, mark, start, more in two])
-        self._plain([p for pieces in cut.values() for p in pieces])
-        known.update([(x, b"".join([raw[p] for p in pieces])) for x, pieces in cut.items()])
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, by the pieces that the pattern itself cuts."""
+        cut = [self.pieces(x) for x in texts]
+        fresh = list({p for pieces in cut for p in pieces})
+        ids = {p: np.array(e.ids, "<u2").tobytes() for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
+        return [b"".join([ids[p] for p in pieces]) for pieces in cut]
+
+    def _learn(self, fresh: list[str]) -> list[bytes]:
+        """Ids of each piece."""
+        worded = [x[0] == " " and x[1:].isalpha() for x in fresh]
+        words = iter(self._many([x[1:] for x, w in zip(fresh, worded) if w], " "))
+        others = iter(self._plain([x for x, w in zip(fresh, worded) if not w]))
+        return [next(words) if w else next(others) for w in worded]
+
+    def encode_array(self, texts: pa.Array) -> pa.BinaryArray:
+        """Ids of each text as little-endian 16-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        marked = {}
+        for s in self.special:
+            for i in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist():
+                marked[i] = None
+        if marked:
+            for i in marked:
+                marked[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u2").tobytes()
+            hit = np.zeros(len(texts), bool)
+            hit[list(marked)] = True
+            texts = pc.if_else(pa.array(hit), "", texts)
+        if self.asked.sum() > self.most:
+            kept = pa.array(self.asked)
+            self.known, self.known_ids, self.asked = self.known.filter(kept), self.known_ids.filter(kept), np.zeros(self.asked.sum(), bool)
+        pieces, first = cut_texts(texts)
+        coded = pieces.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        fresh = coded.dictionary.filter(place.is_null())
+        place = pc.fill_null(place, -1).to_numpy().copy()
+        place[place < 0] = len(self.known) + np.arange(len(fresh))
+        fresh_ids = pa.array(self._learn(fresh.to_pylist()), pa.binary())
+        ids = pa.concat_arrays([self.known_ids, fresh_ids]).take(pa.array(place)).take(coded.indices)
+        self.asked[place[place < len(self.known)]] = True
+        short = pc.less_equal(pc.binary_length(fresh), SHORT)
+        self.known, self.known_ids = pa.concat_arrays([self.known, fresh.filter(short)]), pa.concat_arrays([self.known_ids, fresh_ids.filter(short)])
+        self.asked = np.concatenate([self.asked, np.ones(len(self.known) - len(self.asked), bool)])
+        edge = np.frombuffer(ids.buffers()[1], np.int32)[first]
+        out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edge), ids.buffers()[2]])
+        return pc.if_else(pa.array(hit), pa.array([marked.get(i) for i in range(len(texts))], pa.binary()), out) if marked else out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit integers."""
-        if len(self.behind_space) > self.most:
-            self.before, self.behind_space = self.behind_space, {}
-        for memory in (self.alone, self.raw):
-            if len(memory) > self.most // 2:
-                memory.clear()
-        known = self.behind_space
-        texts = pc.fill_null(texts, "")
-        cut = pc.split_pattern(texts, " ")
-        empty = np.flatnonzero(pc.equal(pc.binary_length(cut.flatten()), 0).to_numpy(zero_copy_only=False))
-        odd = np.zeros(len(texts), bool)  # with a space beside another or at an end, or with no sign at all
-        odd[np.searchsorted(cut.offsets.to_numpy() - cut.offsets[0].as_py(), empty, "right") - 1] = True
-        del cut
-        marked = pc.match_substring(texts, self.special[0]) if self.special else pc.equal(texts, None)
-        for s in self.special[1:]:
-            marked = pc.or_(marked, pc.match_substring(texts, s))
-        out = [b""] * len(texts)
-        marked = pc.fill_null(marked, False).to_numpy(zero_copy_only=False).astype(bool)
-        for i in np.flatnonzero(odd | marked).tolist():
-            text = texts[i].as_py()
-            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes() if marked[i] else self._plain(self.pieces(text))
-        plain = np.flatnonzero(~(odd | marked))
-        if len(plain):
-            words, number, first = distinct_pieces(texts.take(pa.array(plain)))
-            head = number[first[:-1]]
-            number = number.copy()
-            number[first[:-1]] = len(words) + np.arange(len(plain))
-            parts = list(map(known.get, words))
-            if missing := [w for w, ids in zip(words, parts) if ids is None]:
-                known.update([(w, ids) for w, ids in zip(missing, map(self.before.get, missing)) if ids is not None])
-                self._learn({w for w in missing if w not in known})
-                parts = [known[w] if ids is None else ids for w, ids in zip(words, parts)]
-            parts += [self._plain(self.pieces(words[i])) for i in head.tolist()]
-            for i, ids in zip(plain.tolist(), spell_out(parts, number, first, "<u2")):
-                out[i] = ids
-        return out
+        """The same as a list."""
+        return self.encode_array(texts).to_pylist()
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
@@ -234,11 +247,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, pattern: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_ids, "<i8")
-        for b in joined(batches, 1):
-            for part in by_bytes(b, 1, 16 << 20):
-                ids = [x + tail for x in _encoder(tokenizer, pattern).encode(part.column(1))]
-                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=n_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), part.column(0), pa.array([len(x) + ROW for x in ids], pa.int64()), pa.array(ids, pa.binary())], names)
+        for b in joined(batches, 1, 20 << 20):
+            for part in by_bytes(b, 1, 20 << 20):
+                ids = pc.binary_join_element_wise(_encoder(tokenizer, pattern).encode_array(part.column(1)), tail, b"")
+                total += np.bincount(np.frombuffer(ids.buffers()[2], "<u2", np.frombuffer(ids.buffers()[1], np.int32)[len(ids)] // 2), minlength=n_ids)
+                size = pc.add(pc.cast(pc.binary_length(ids), pa.int64()), ROW)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), part.column(0), size, ids], names)
         yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, doc_id long, size long, ids binary")

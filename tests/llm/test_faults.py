@@ -117,6 +117,30 @@ def test_frequent_pieces_outlive_a_full_memory():
     assert sum("theword" in x for x in asked) == 1  # a full memory was emptied before
 
 
+def test_pieces_are_cut_at_signs_and_line_ends():
+    from fleetlens.llm import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    encoder = token_files.PieceEncoder(path, public_tokenizers.PATTERN)
+    learnt = []
+    learn = encoder._learn
+    encoder._learn = lambda fresh: learnt.extend(fresh) or learn(fresh)
+    dice = random.Random(6)
+    words = ["".join(dice.choices("etaoinshrdl", k=6)) for _ in range(40)]
+    signs = [".\n", ",", ";", ".", "?\n", "'s ", "-", "1", "!\n"]
+    texts = ["".join(dice.choice(words) + dice.choice(signs) + dice.choice(["", " "]) for _ in range(300)) for _ in range(20)]
+    texts += ["a \u00a0 \u00a0", "\x1f \u00a0 \u00a0", "a\n \n\nb", "don't", "('tis)", "\u3000\u3000\nb\n\u3000\u3000c", "é\u2003 \u1680 d", "x\x85  y"]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert encoder.encode(pa.array(texts)) == want  # white space on both sides of a space was cut in two before
+    assert len(learnt) < 400  # each pair of words about a sign or a line end was a piece of its own before
+    held, long = len(encoder.known), "y" * 5000
+    assert encoder.encode(pa.array([long])) == [np.array(library.encode(long, add_special_tokens=False).ids, "<u2").tobytes()]
+    assert len(encoder.known) == held  # long pieces take no memory
+    assert encoder.encode(pa.array([], pa.string())) == [] and encoder.encode(pa.array(["", None], pa.large_string())) == [b"", b""]
+
+
 def test_lexicon_gives_the_ids_of_many_words(tmp_path):
     ids = {b"a": [5], b"ab": [], b"b": [1, 2, 70_000], "é".encode(): [9, 8]}
     Lexicon.write(str(tmp_path / "x"), list(ids), list(ids.values()))
